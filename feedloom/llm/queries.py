@@ -6,7 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import embedding_dedup, mixing
+from .embedding_dedup import embedding_near_duplicates
+from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .packing import pack
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed vocabulary file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a 3:1:2 mixture of one and a half times the corpus takes of every document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 4096 tokens."""
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,9 +36,14 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=80)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between all vectors of equal label at a cosine of 0.98."""
+    return embedding_near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mix_sources": mixing.SQL, "op10_embedding_near_dedup": embedding_dedup.SQL}
