@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language, mixing, quality, topk
+from . import embedding_dedup, html_text, language, mixing, quality, topk
 from .common import crc_remainder
 from .embedding_dedup import embedding_near_duplicates
 from .mixing import mix_sources
@@ -59,6 +59,12 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=80)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_text.extract_text(pages, html_text.train(pages))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between all vectors of equal label at a cosine of 0.98."""
     return embedding_near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
