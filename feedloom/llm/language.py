@@ -85,7 +85,7 @@ def train(docs: DataFrame, held: int = 2, of: int = 4, per_language: int = PER_L
     """Learn from the text and non-null lang of documents whose crc32(doc_id as text) modulo ``of`` is not ``held``.
 
     Document frequencies count all of them; centroids take ``per_language`` of each language. A
-    language's floor is half the first percentile of its sample's cosines. Texts that are null or
+    language's floor is a quarter of the first percentile of its sample's cosines. Texts that are null or
     hold no letter are not learned from. What reaches the driver is bounded by the number of
     languages: the sums and ``clusters`` centroids of each.
     """
@@ -115,7 +115,7 @@ def train(docs: DataFrame, held: int = 2, of: int = 4, per_language: int = PER_L
         rows = rows.sort_values(["doc_id", "text"]).head(per_language)
         x = _vectors(list(rows.text), idf)
         c = spherical_k_means(x, clusters)
-        floor = 0.5 * float(np.quantile((x @ c.T).max(axis=1), 0.01))
+        floor = 0.25 * float(np.quantile((x @ c.T).max(axis=1), 0.01))
         return pd.DataFrame({"lang": rows.lang.iloc[0], "vector": [v.astype(np.float32).tobytes() for v in c], "floor": floor})
 
     found = known.join(ids, ["doc_id", "lang"]).groupBy("lang").applyInPandas(fit, "lang string, vector binary, floor double").collect()
