@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, language, mixing, quality, topk
+from . import chat, embedding_dedup, html_text, language, licenses, mixing, quality, topk
 from .common import crc_remainder
 from .embedding_dedup import embedding_near_duplicates
 from .mixing import mix_sources
@@ -27,6 +27,23 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents as files of a tree: two directories below the source, one file in eight a licence file."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    part = lambda n, salt: F.pmod(F.crc32(F.concat(F.lit(salt), F.col("doc_id").cast("string")).cast("binary")), F.lit(n))
+    place = F.when(part(5, "d") == 0, F.lit("")).otherwise(F.concat(F.lit("p"), part(40, "a").cast("string"), F.when(part(3, "e") == 0, F.lit("/")).otherwise(F.concat(F.lit("/m"), part(6, "b").cast("string"), F.lit("/")))))
+    name = F.when(part(8, "n") == 0, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs.select("doc_id", "text", F.concat(F.coalesce("source", F.lit("unknown")), F.lit("/"), place, name).alias("path"))
+    return licenses.scan_licenses(files).select("doc_id", "path", "own_license", F.round("own_score", 9).alias("own_score"), "license", "license_from")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of all conversation turns, recovered from their raw messages, and the turns rendered alike."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    raw = chat.raw_messages(turns)
+    return chat.recover_roles(raw, chat.train(raw)).select("conv_id", "turn", "role_found", "rendered")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from two thirds of the labelled ones."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
