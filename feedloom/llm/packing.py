@@ -8,6 +8,7 @@ running sum. Pass 2 cuts each document at the window borders. No document moves
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,61 +22,60 @@ from .common import join_by_key, text_chunks, written
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a worker remembers (some tens of bytes each); a full memory is emptied.
-WORD_MEMORY = 400_000
+#: Words whose ids a worker remembers (about 150 bytes each); a full memory is emptied.
+WORD_MEMORY = 1_000_000
 _TAIL = b".,!?;:"
 
 
-class WordIds:
-    """Ids of texts by a tokenizer whose pieces never cross white space, with a memory of words.
+class WordIds(dict):
+    """Ids of words by a tokenizer whose pieces never cross white space; remembers the words it has met.
 
-    A word is what stands between ASCII white space. ASCII letters are lower-cased beforehand, as
-    the tokenizer does itself, in texts of code points below 256 (elsewhere composition could come
-    between) that cannot hold special tokens, and closing punctuation after a letter or digit is a piece of its own.
+    A word is what stands between ASCII white space. A word of printable code points below 256
+    needs no composition, so its lower-cased pieces go straight to the tokenizer's model in the
+    byte alphabet; any other word, and one that may hold a special token, goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
+        super().__init__()
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, np.uint32).tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > WORD_MEMORY:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        parts = {}
-        for w in new:
-            core = w.rstrip(_TAIL)
-            if core and len(core) < len(w) and core[-1:].isalnum():
-                parts[w] = core, w[len(core) :]
-        alone = {w for w in new if w not in parts} | {p for pair in parts.values() for p in pair}
-        self._encode([w for w in alone if w not in self.known])
-        self.known.update({w: self.known[a] + self.known[b] for w, (a, b) in parts.items()})
-
-    def __call__(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        blob = (text or "").encode("utf-8", "replace")
+        self.model = self.tokenizer.model
+        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.other = regex.compile(r"[^\x21-\x7E\xA1-\xAC\xAE-\xFF]|<\|").search
+        unprintable = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.alphabet = {b: 256 + i for i, b in enumerate(unprintable)}
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(_TAIL)
+        text = core.decode("utf-8", "replace")
+        if text.isalpha() and (core.isascii() or not self.other(text)):
+            ids = self._piece(text.lower()) if len(core) == len(word) else self[core] + self[word[len(core) :]]
+        elif self.other(text := word.decode("utf-8", "replace")):
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        else:
+            pieces = self.pieces(text.lower())
+            ids = self._piece(pieces[0]) if len(pieces) == 1 else b"".join([self[p.encode()] for p in pieces])
+        if len(self) >= WORD_MEMORY:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def of(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit numbers."""
+        text = text or ""
         try:
-            text and text.encode("latin-1")
-            blob = blob if b"<|" in blob else blob.lower()
+            text.encode("latin-1")
+            text = text if "<|" in text else text.lower()
         except UnicodeEncodeError:
             pass
-        words = blob.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            out = []
-            for i in range(0, len(words), WORD_MEMORY // 4):
-                run = words[i : i + WORD_MEMORY // 4]
-                self._learn(set(run))
-                out.append(b"".join(map(self.known.__getitem__, run)))
-            return b"".join(out)
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
 
 
 @lru_cache(2)
@@ -87,7 +87,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, part, before, doc_tokens, ids): ids of each document and the tokens before it in its partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part, before = word_ids(path), TaskContext.get().partitionId(), 0
+        encode, part, before = word_ids(path).of, TaskContext.get().partitionId(), 0
         end = np.array([end_id], np.uint32).tobytes()
         for batch in batches:
             for ids, texts in text_chunks(list(batch.doc_id), list(batch.text), 1 << 20):
