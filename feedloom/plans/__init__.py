@@ -1 +1,12 @@
+"""Registered queries: ``queries()`` on Spark, ``oracles()`` for DuckDB."""
 
+from . import feed_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracles():
+    return dict(ORACLES)
