@@ -6,9 +6,9 @@ so a group of copies of any size is one node from there on. Two steps find links
 
 1. In every bucket (nodes that share a band key) each node is compared with the bucket's smallest
    node: as many comparisons as memberships. The links found give first components.
-2. Buckets that still hold several components compare their remaining members, in blocks of
-   ``BLOCK`` rows, with all members of other components. Blocks are tasks, so a large bucket is
-   spread out, and only the links found leave a task.
+2. Buckets that still hold several components compare the members outside their largest component,
+   in blocks of ``BLOCK`` rows, with all members of other components. Blocks are tasks, so a large
+   bucket is spread out, and only the links found leave a task.
 
 Every comparison is the exact intersection of the two full sets. With 32 bands of 4 a pair at the
 threshold of 0.8 shares no band with probability 5e-8, and less above it.
@@ -141,39 +141,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.mapInPandas(run, "a long, b long")
 
 
+def _unsettled(active: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members (key, band, node, root, main) of buckets that hold several components; main is the largest of them."""
+    root = groups.select(F.col("node").alias("_n"), F.col("component").alias("_r"))
+    placed = active.join(root, F.col("node") == F.col("_n"), "left").select("key", "band", "node", F.coalesce("_r", "node").alias("root"))
+    shares = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = shares.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    return placed.join(mixed.select("key", "main"), "key")
+
+
 def _block_links(members: DataFrame, feats: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of members (key, band, node, hub, root, hub_root) across components, beyond those with the hub."""
-    size = members.groupBy("key").agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(F.expr("root <> hub_root")) / BLOCK).cast("int").alias("rest")
+    """Links of members (key, band, node, root, main) across components.
+
+    The members of all buckets with the same main component form one set, so that a text is sent
+    for its component and not for every bucket; pairs in different components that share a band
+    are compared. The set is dealt to pairs of blocks by hash.
+    """
+    members = cut(members.select("main", "node", "root").distinct())
+    size = members.groupBy("main").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(F.expr("root <> main")) / BLOCK).cast("int").alias("rest")
     )
     bands = feats.where("node is not null").select("node", "bands").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    rows = members.join(size, "key").join(sets, "node").join(bands, "node")
+    rows = members.join(size, "main").join(sets, "node").join(bands, "node")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keep = ["key", "band", "node", "root", "items", "bands"]
-    left = rows.where("root <> hub_root").select(*keep, block("rest").alias("i"), every("blocks").alias("j"), F.lit(True).alias("left"))
+    keep = ["main", "node", "root", "items", "bands"]
+    left = rows.where("root <> main").select(*keep, block("rest").alias("i"), every("blocks").alias("j"), F.lit(True).alias("left"))
     right = rows.select(*keep, every("rest").alias("i"), block("blocks").alias("j"), F.lit(False).alias("left"))
 
     def run(both: pd.DataFrame) -> pd.DataFrame:
         x, y = both[both.left], both[~both.left]
         found: list[tuple[int, int]] = []
-        root = dict(zip(pd.concat([x.node, y.node]), pd.concat([x.root, y.root]), strict=True))
+        root = dict(zip(both.node, both.root, strict=True))
         if len(x) and len(y):
-            here = int(x.band.iloc[0])
             kx, ky = np.stack(x.bands.to_list()), np.stack(y.bands.to_list())
-            sy = [np.frombuffer(v, np.uint64) for v in y["items"]]
+            sy, ny = [np.frombuffer(v, np.uint64) for v in y["items"]], y.node.to_numpy()
             for i, (a, blob) in enumerate(zip(x.node, x["items"], strict=True)):
                 sa = np.frombuffer(blob, np.uint64)
-                first = (ky == kx[i]).argmax(axis=1) == here
-                for j in np.flatnonzero(first):
-                    b = y.node.iloc[j]
-                    if root[a] != root[b] and _linked(sa, sy[j], percent):
-                        found.append((a, b))
-                        old, new = root[b], root[a]
+                for j in np.flatnonzero((ky == kx[i]).any(axis=1)):
+                    if root[a] != root[ny[j]] and _linked(sa, sy[j], percent):
+                        found.append((a, int(ny[j])))
+                        old, new = root[ny[j]], root[a]
                         root = {k: new if v == old else v for k, v in root.items()}
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return left.unionByName(right).groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    return left.unionByName(right).groupBy("main", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -198,17 +210,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     involved = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     sets = _full_sets(docs, feats, involved, n)
     links = cut(_verified(pairs, sets, percent))
-    groups = components(links)
-    root = groups.select(F.col("node").alias("_n"), F.col("component").alias("_r"))
-    hub_root = root.select(F.col("_n").alias("_h"), F.col("_r").alias("_hr"))
-    placed = active.join(root, F.col("node") == F.col("_n"), "left").join(hub_root, F.col("hub") == F.col("_h"), "left")
-    placed = placed.select("key", "band", "node", "hub", F.coalesce("_r", "node").alias("root"), F.coalesce("_hr", "hub").alias("hub_root"))
-    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.expr("root <> hub_root")).alias("r")).where("c > 1 and r > 0").select("key")
-    rest = cut(placed.join(mixed, "key", "left_semi"))
+    groups = cut(components(links))
+    rest = cut(_unsettled(active, groups))
     if not rest.isEmpty():
-        more = cut(_block_links(rest, feats, sets, percent))
-        if not more.isEmpty():
-            groups = components(links.unionByName(more))
+        more = _block_links(rest, feats, sets, percent)
+        groups = cut(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
     group = F.coalesce("component", "node")
     known = feats.select("doc_id", "n_shingles", "node").join(groups, "node", "left").select("doc_id", "n_shingles", group.alias("grp"))
     least = known.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("least"))
