@@ -1,6 +1,6 @@
 """Registered queries: ``queries()`` on Spark, ``oracles()`` for DuckDB."""
 
-from . import catalog_queries, evidence_queries, feed_queries, scoring_queries  # noqa: F401
+from . import catalog_queries, evidence_queries, export_queries, feed_queries, scoring_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
