@@ -33,7 +33,7 @@ def read_feed(spark: SparkSession, path: str, columns: list[str] | None = None)
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Header and rows; only cells with a comma, quote or line break are quoted; nulls and empty texts are empty cells."""
-    X
+    df.write.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="", lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def validate_delivery(spark: SparkSession, path: str) -> DataFrame:
