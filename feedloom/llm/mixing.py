@@ -72,19 +72,19 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     sums = cut(docs.select("source", rank.alias("_rank"), word_count("text").alias("_size")).groupBy("source", bucket.alias("bucket")).agg(F.sum("_size").alias("words")))
     plan = water_fill(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = cut(plan.withColumn("whole", whole).withColumn("need", F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("long")))
+    plan = cut(plan.withColumn("_whole", whole).withColumn("_need", F.floor(F.col("target") - F.col("_whole") * F.col("source_size") + 0.5).cast("long")))
     by_bucket = Window.partitionBy("source").orderBy("bucket")
-    at = sums.withColumn("until", F.sum("words").over(by_bucket)).join(plan.select(F.col("source").alias("_s"), "need"), F.col("source").eqNullSafe(F.col("_s")))
-    at = at.where("until - words < need and need <= until").select("source", F.col("bucket").alias("_bucket"), (F.col("need") - F.col("until") + F.col("words")).alias("rest"))
+    at = sums.withColumn("until", F.sum("words").over(by_bucket)).join(plan.select(F.col("source").alias("_s"), "_need"), F.col("source").eqNullSafe(F.col("_s")))
+    at = at.where("until - words < _need and _need <= until").select("source", F.col("bucket").alias("_bucket"), (F.col("_need") - F.col("until") + F.col("words")).alias("rest"))
     near = join_by_key(docs.select("doc_id", "text", "source", rank.alias("_rank")), at, "source", "doc_id").where(bucket == F.col("_bucket"))
     ties = near.groupBy("source", "_rank", "rest").agg(F.sum(word_count("text")).alias("words"))
     until = F.sum("words").over(Window.partitionBy("source").orderBy("_rank"))
     edge = ties.withColumn("until", until).where("until - words < rest and rest <= until")
-    edge = edge.select(F.col("source").alias("_s"), F.col("_rank").alias("edge"), (F.col("rest") - F.col("until") + F.col("words")).alias("part"), F.col("words").alias("part_of"))
-    plan = cut(plan.join(edge, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "need"))
+    edge = edge.select(F.col("source").alias("_s"), F.col("_rank").alias("_edge"), (F.col("rest") - F.col("until") + F.col("words")).alias("_part"), F.col("words").alias("_part_of"))
+    plan = cut(plan.join(edge, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "_need"))
     out = join_by_key(docs.withColumns({"_rank": rank, "size": word_count("text")}), plan, "source", "doc_id")
-    more = F.when(F.col("_rank") < F.col("edge"), F.col("size")).when(F.col("_rank") == F.col("edge"), F.expr("size * part div part_of")).otherwise(F.lit(0))
-    return out.withColumn("taken", (F.col("whole") * F.col("size") + more).cast("long")).drop("_rank", "whole", "edge", "part", "part_of")
+    more = F.when(F.col("_rank") < F.col("_edge"), F.col("size")).when(F.col("_rank") == F.col("_edge"), F.expr("size * _part div _part_of")).otherwise(F.lit(0))
+    return out.withColumn("taken", (F.col("_whole") * F.col("size") + more).cast("long")).drop("_rank", "_whole", "_edge", "_part", "_part_of")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
