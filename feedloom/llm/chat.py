@@ -5,11 +5,13 @@ question, its length class and its number of lines; the logarithms of their freq
 up. The most likely sequence of roles is found by Viterbi over segments of ``SEGMENT`` turns: each
 segment is summed up by a matrix (best score from the role before it to its last role), the
 matrices of a conversation are folded, and each segment is then decoded between its fixed ends.
+Conversations of one segment, nearly all, are decoded at once.
 So a conversation of any length is spread over tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +23,8 @@ from .common import cut
 
 ROLES = ["system", "user", "assistant", "tool"]
 SEGMENT = 128
+#: Rows that a task decodes at a time, about; segments are dealt to such groups by hash.
+GROUP = 4096
 # Names that transcripts give to speakers.
 SPEAKERS = {
     "system": "system|sys|instruction|instructions",
@@ -113,17 +117,28 @@ def recover_roles(messages: DataFrame, model: RoleModel) -> DataFrame:
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns(observed()).withColumns({"segment": F.floor(F.coalesce("turn", F.lit(-1)) / SEGMENT).cast("long"), "tie": F.xxhash64("text")})
     k = len(ROLES)
-    in_order = lambda p: p.sort_values(["turn", "tie"], na_position="first", kind="stable")
-    key = "conv_id long, segment long"
+    groups = max(1, -(-rows.count() // GROUP))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("conv_id", "segment"), F.lit(groups)).cast("int"))
+
+    def segments(p: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """The segments of a bucket, each in order of its turns."""
+        p = p.sort_values(["conv_id", "segment", "turn", "tie"], na_position="first", kind="stable", ignore_index=True)
+        key = pd.DataFrame({"c": p.conv_id.fillna(-1), "n": p.conv_id.isna(), "s": p.segment})
+        edge = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy())
+        for start, end in zip(edge, [*edge[1:], len(p)], strict=True):
+            yield p.iloc[start:end]
 
     def sum_up(p: pd.DataFrame) -> pd.DataFrame:
-        seen = _seen(in_order(p), model)
-        best = np.full((k + 1, k), -1e300)
-        best[:k] = model.move + seen[0]
-        best[k] = model.start + seen[0]
-        for s in seen[1:]:
-            best = (best[:, :, None] + model.move[None]).max(axis=1) + s
-        return pd.DataFrame([(p.conv_id.iloc[0], p.segment.iloc[0], best.ravel().tolist())], columns=["conv_id", "segment", "best"]).astype({"conv_id": "Int64"})
+        out = []
+        for part in segments(p):
+            seen = _seen(part, model)
+            best = np.full((k + 1, k), -1e300)
+            best[:k] = model.move + seen[0]
+            best[k] = model.start + seen[0]
+            for s in seen[1:]:
+                best = (best[:, :, None] + model.move[None]).max(axis=1) + s
+            out.append((part.conv_id.iloc[0], part.segment.iloc[0], best.ravel().tolist()))
+        return pd.DataFrame(out, columns=["conv_id", "segment", "best"]).astype({"conv_id": "Int64"})
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("segment")
@@ -143,15 +158,21 @@ def recover_roles(messages: DataFrame, model: RoleModel) -> DataFrame:
         return pd.DataFrame({"conv_id": p.conv_id.astype("Int64"), "segment": p.segment, "enter": [-1, *ends[:-1]], "leave": ends})
 
     def decode(p: pd.DataFrame) -> pd.DataFrame:
-        p = in_order(p)
-        enter, leave = int(p.enter.iloc[0]), int(p.leave.iloc[0])
-        path = viterbi(_seen(p, model), model.move, model.start if enter < 0 else model.move[enter], np.where(np.arange(k) == leave, 0.0, -1e300))
-        return pd.DataFrame({"conv_id": p.conv_id.astype("Int64"), "turn": p.turn.astype("Int64"), "role_found": [ROLES[i] for i in path], "text": p.text})
-
-    sums = rows.drop("text").groupBy("conv_id", "segment").applyInPandas(sum_up, key + ", best array<double>")
-    ends = sums.groupBy("conv_id").applyInPandas(fold, key + ", enter int, leave int").toDF("_c", "_s", "enter", "leave")
-    placed = rows.join(ends, rows["conv_id"].eqNullSafe(ends["_c"]) & (rows["segment"] == ends["_s"])).drop("_c", "_s")
-    found = placed.groupBy("conv_id", "segment").applyInPandas(decode, "conv_id long, turn long, role_found string, text string")
+        out = []
+        for part in segments(p):
+            enter, leave = part.enter.iloc[0], part.leave.iloc[0]
+            first = model.start if pd.isna(enter) or enter < 0 else model.move[int(enter)]
+            last = None if pd.isna(leave) else np.where(np.arange(k) == leave, 0.0, -1e300)
+            path = viterbi(_seen(part, model), model.move, first, last)
+            out.append(part[["conv_id", "turn", "text"]].assign(role_found=[ROLES[i] for i in path]))
+        return pd.concat(out).astype({"conv_id": "Int64", "turn": "Int64"})[["conv_id", "turn", "role_found", "text"]]
+
+    several = rows.groupBy("conv_id").agg((F.min("segment") < F.max("segment")).alias("several")).where("several").select(F.col("conv_id").alias("_k"))
+    long_ones = rows.drop("text").join(several, F.col("conv_id").eqNullSafe(F.col("_k")), "left_semi")
+    sums = long_ones.groupBy("bucket").applyInPandas(sum_up, "conv_id long, segment long, best array<double>")
+    ends = sums.groupBy("conv_id").applyInPandas(fold, "conv_id long, segment long, enter int, leave int").toDF("_c", "_s", "enter", "leave")
+    placed = rows.join(ends, rows["conv_id"].eqNullSafe(ends["_c"]) & (rows["segment"] == ends["_s"]), "left").drop("_c", "_s")
+    found = placed.groupBy("bucket").applyInPandas(decode, "conv_id long, turn long, role_found string, text string")
     found = found.withColumn("text", F.regexp_replace("text", MARKER, ""))
     return found.withColumn("rendered", F.concat(F.lit("<|"), "role_found", F.lit("|>\n"), "text", F.lit("\n")))
 
