@@ -41,6 +41,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after texts for Python workers are limited to 8 MB a batch in its session (one row may be larger).
+
+    The default of 64 MB a batch would let two workers of an executor hold some hundred MB each.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def join_by_key(big: DataFrame, small: DataFrame, key: str, salt_by: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """Join on one null-safe key that may be skewed on the big side and is unique on the small side.
 

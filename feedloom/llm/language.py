@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, crc_remainder
+from .common import BROADCAST_ROWS, bounded_batches, crc_remainder
 
 BITS = 13
 #: Texts of each language from which centroids are clustered (first by a hash of the id), and clusters.
@@ -101,7 +101,7 @@ def train(docs: DataFrame, held: int = 2, of: int = 4, per_language: int = PER_L
         at = np.flatnonzero(total)
         yield pd.DataFrame({"at": np.append(at, -1), "df": np.append(total[at], n)})
 
-    sums = {r["at"]: r["df"] for r in known.select("text").mapInPandas(frequencies, "at int, df long").groupBy("at").agg(F.sum("df").alias("df")).collect()}
+    sums = {r["at"]: r["df"] for r in bounded_batches(known.select("text")).mapInPandas(frequencies, "at int, df long").groupBy("at").agg(F.sum("df").alias("df")).collect()}
     n = sums.pop(-1, 0) or 0
     df = np.zeros(1 << bits)
     for at, v in sums.items():
@@ -152,5 +152,5 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     text = F.col("text").cast("string")
     lettered = F.when(text.rlike(r"\p{L}"), text)
-    found = docs.withColumn("_found", nearest(lettered))
+    found = bounded_batches(docs).withColumn("_found", nearest(lettered))
     return found.withColumns({c: F.col(f"_found.{c}") for c in ("lang_pred", "score", "rejected")}).drop("_found")

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 THRESHOLD = 0.55
 TERM = r"[a-z0-9]+"
 #: Header lines of well-known licences (SPDX identifier, wording).
@@ -117,7 +119,7 @@ def scan(files: DataFrame, model: Matcher) -> DataFrame:
 
     files = files.drop("own_license", "own_score")
     possible = F.when(_holds(F.col("text"), model.anchors), F.col("text"))
-    out = files.withColumn("_own", own(possible))
+    out = bounded_batches(files).withColumn("_own", own(possible))
     return out.withColumns({"own_license": F.col("_own.own_license"), "own_score": F.when(F.col("_own.own_license").isNotNull(), F.col("_own.own_score"))}).drop("_own")
 
 

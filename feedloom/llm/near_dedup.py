@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, components, cut, mix, shingles, text_chunks, written
+from .common import Words, bounded_batches, components, cut, mix, shingles, text_chunks, written
 
 BANDS, ROWS = 32, 4
 #: Node ids are broadcast to select texts up to this count (16 bytes each), joined by shuffle beyond it.
@@ -98,7 +98,7 @@ def features(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     }
                 )
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, node long, bands array<long>")
+    return bounded_batches(docs).mapInPandas(run, "doc_id long, n_shingles long, node long, bands array<long>")
 
 
 def _full_sets(docs: DataFrame, feats: DataFrame, nodes: DataFrame, n: int) -> DataFrame:

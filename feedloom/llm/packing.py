@@ -18,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_by_key, text_chunks, written
+from .common import bounded_batches, join_by_key, text_chunks, written
 
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a worker remembers (about 150 bytes each); a full memory is emptied.
-WORD_MEMORY = 1_000_000
+WORD_MEMORY = 500_000
 _TAIL = b".,!?;:"
 
 
@@ -98,7 +98,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "part": part, "before": before + ends - sizes, "doc_tokens": sizes, "ids": narrow})
                 before += int(ends[-1])
 
-    return docs.mapInPandas(run, "doc_id long, part int, before long, doc_tokens long, ids binary")
+    return bounded_batches(docs).mapInPandas(run, "doc_id long, part int, before long, doc_tokens long, ids binary")
 
 
 def max_16(blob: bytes) -> bool:
@@ -142,4 +142,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return placed.mapInPandas(run, schema)
+    return bounded_batches(placed).mapInPandas(run, schema)

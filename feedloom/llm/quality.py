@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, crc_remainder, mix, text_chunks
+from .common import Words, bounded_batches, crc_remainder, mix, text_chunks
 
 BITS = 16
 #: At most so many labelled texts are fitted: those first in the order of a hash of their id.
@@ -94,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, held: int = 1, of: int = 3, max_la
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
-    rows = joined.mapInPandas(run, "doc_id long, quality int, at binary, value binary").orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id", "quality", "at").limit(max_labelled).collect()
+    rows = bounded_batches(joined).mapInPandas(run, "doc_id long, quality int, at binary, value binary").orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id", "quality", "at").limit(max_labelled).collect()
     return ftrl([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32).astype(np.float64), r["quality"]) for r in rows], bits)
 
 
@@ -121,5 +121,5 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 out.append(bias + float((w[f] / np.sqrt(count)).sum()) / np.sqrt(len(f)))
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -35, 35))))
 
-    scored = docs.withColumn("score", score(F.col("text").cast("string")))
+    scored = bounded_batches(docs).withColumn("score", score(F.col("text").cast("string")))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
