@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -21,6 +21,16 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x) if x is not None else None)
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with the columns added or replaced, each evaluated once.
+
+    Plain projections are merged by the optimizer, which repeats an expression wherever its column
+    is used; keys built from keys would grow without end. A generated row keeps them apart.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in {n.lower() for n in columns}]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def nfkc(c: Column, ascii_only: bool = False) -> Column:
     """Compatibility composition; ASCII text is left alone, and with ``ascii_only`` no Python is planned."""
     return c if ascii_only else F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(_nfkc(F.when(~c.rlike(r"^\p{ASCII}*$"), c)))

@@ -11,13 +11,14 @@ from ..functions import text as X
 def identity_keys(rows: DataFrame, ascii_only: bool = False) -> DataFrame:
     """Adds manufacturer_key, brand_key, mpn_key and fingerprint to (manufacturer, brand, mpn, description)."""
     strong = X.strong_description(F.col("description"), ascii_only)
-    return rows.withColumns(
+    return X.computed(
+        rows,
         {
             "manufacturer_key": X.name_key(F.col("manufacturer"), ascii_only),
             "brand_key": X.name_key(F.col("brand"), ascii_only),
             "mpn_key": X.mpn_key(F.col("mpn"), ascii_only),
             "fingerprint": F.when(strong, F.nullif(X.description_fingerprint(F.col("description"), ascii_only), F.lit(""))),
-        }
+        },
     )
 
 
@@ -32,7 +33,7 @@ def compute_identity(keyed: DataFrame) -> DataFrame:
     key, strength, basis = F.lit(None).cast("string"), F.lit("none"), F.lit("insufficient")
     for test, k, s, w in reversed(steps):
         key, strength, basis = F.when(test, k).otherwise(key), F.when(test, s).otherwise(strength), F.when(test, w).otherwise(basis)
-    return keyed.withColumns({"identity_key": key, "strength": strength, "basis": basis})
+    return X.computed(keyed, {"identity_key": key, "strength": strength, "basis": basis})
 
 
 def dedupe_identity(rows: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def long_cells(feed: DataFrame, ascii_only: bool = False) -> DataFrame:
         return feed.sparkSession.createDataFrame([], "row_idx long, pos int, column string, field string, raw string, value string")
     cell = lambda i, c: F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), F.lit(None if (f := resolve_header(c)) == "ambiguous" else f).cast("string").alias("field"), F.col(f"`{c}`").cast("string").alias("raw"))
     rows = feed.select("row_idx", F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)])))
-    return rows.withColumn("value", X.clean(F.col("raw"), ascii_only))
+    return X.computed(rows, {"value": X.clean(F.col("raw"), ascii_only)})
 
 
 def split_measure(cells: DataFrame) -> DataFrame:

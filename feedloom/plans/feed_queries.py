@@ -130,7 +130,8 @@ def profile_feed(t):
 def _identity_rows(t):
     """Identity inputs: cleaned cells of the feed."""
     cell = lambda c: X.clean(F.col(c), True)
-    return t.feed.select("row_idx", X.strip_vendor_code(cell("MFR")).alias("manufacturer"), cell("Brand_Name").alias("brand"), cell("MPN").alias("mpn"), cell("Part_Desc").alias("description"))
+    rows = X.computed(t.feed.select("row_idx", "MFR", "Brand_Name", "MPN", "Part_Desc"), {"maker": cell("MFR"), "brand": cell("Brand_Name"), "mpn": cell("MPN"), "description": cell("Part_Desc")})
+    return rows.select("row_idx", X.strip_vendor_code(F.col("maker")).alias("manufacturer"), "brand", "mpn", "description")
 
 
 def identities(t):
