@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..functions import text as X
 
-TIME_LIMIT = 3
 
 
 def evidence_requests(products: DataFrame) -> DataFrame:
@@ -231,3 +230,22 @@ def cache_lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
     found = requests.join(latest, "key", "left")
     state = F.when(F.col("e").isNull(), "none").when(F.col("e.output").isNull(), "negative").otherwise("hit")
     return found.withColumns({"cache": state, "output": F.col("e.output")}).drop("e")
+
+
+SPEC_EVIDENCE = ["upc", "ean", "gtin", "length", "width", "height", "weight", "warranty"]
+
+
+def apply_evidence(inputs: DataFrame, facts: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(product_id, kind, field, value, status): what products hold after facts from their pages are applied.
+
+    ``inputs`` has product_id, field, value; ``facts`` product_id, pos, field, value, confidence;
+    ``attributes`` item_id, label. Spec fields go through conflict resolution with the input value,
+    pages first; other facts become verified attributes if the product has no such label yet.
+    """
+    known = inputs.where(F.col("field").isin(SPEC_EVIDENCE)).select("product_id", "field", F.lit(0).cast("long").alias("pos"), "value", F.lit("input").alias("authority"), F.lit(0.99).alias("confidence"))
+    found = facts.where(F.col("field").isin(SPEC_EVIDENCE)).select("product_id", "field", F.col("pos").cast("long").alias("pos"), "value", F.lit("external").alias("authority"), "confidence")
+    specs = resolve_conflicts(known.unionByName(found)).select("product_id", F.lit("spec").alias("kind"), "field", "value", "status")
+    labels = attributes.select(F.col("item_id").alias("product_id"), F.lower(F.trim("label")).alias("field")).distinct()
+    other = facts.where(~F.col("field").isin(SPEC_EVIDENCE) & F.col("value").isNotNull()).groupBy("product_id", "field").agg(F.min_by("value", "pos").alias("value"))
+    other = other.join(labels, ["product_id", "field"], "left_anti").select("product_id", F.lit("attribute").alias("kind"), "field", "value", F.lit("verified").alias("status"))
+    return specs.unionByName(other)

@@ -181,3 +181,21 @@ def cache_lookup(t):
     entries = t.logs.where("step = 'external_evidence' and status = 'success'")
     entries = entries.select(F.col("item_id").alias("key"), F.when(F.col("needs") > 0, F.concat(F.lit("n"), F.col("needs").cast("string"))).alias("output"), "created_at", "log_id")
     return E.cache_lookup(t.items.select(F.col("id").alias("key")), entries).groupBy("cache").agg(F.count(F.lit(1)).alias("n"))
+
+
+_TEXT = "CASE WHEN value IS NOT NULL THEN value WHEN number = floor(number) THEN floor(number)::BIGINT::VARCHAR ELSE number::VARCHAR END"
+
+
+@query(f"""WITH {_EXTRACTED}, facts AS (SELECT product_id, rnk AS pos, field, {_TEXT} AS value FROM extracted),
+    c AS (SELECT item_id AS product_id, 'upc' AS field, 0 AS pos, upc AS value, 2 AS p FROM {{specs}} UNION ALL SELECT item_id, 'weight', 0, CASE WHEN weight = floor(weight) THEN floor(weight)::BIGINT::VARCHAR ELSE weight::VARCHAR END, 2 FROM {{specs}}
+      UNION ALL SELECT item_id, 'warranty', 0, warranty, 2 FROM {{specs}} UNION ALL SELECT product_id, field, pos, value, 3 FROM facts WHERE field IN ({O.quoted(E.SPEC_EVIDENCE)})),
+    k AS (SELECT *, {_COMP} AS c, row(-p, pos) AS k FROM c)
+    SELECT product_id, 'spec' AS kind, field, arg_min(value, k) FILTER (value IS NOT NULL) AS value, CASE WHEN count(value) = 0 THEN 'unresolved' WHEN count(DISTINCT c) = 1 THEN 'verified' ELSE 'conflicting' END AS status FROM k GROUP BY product_id, field
+    UNION ALL SELECT product_id, 'attribute', field, arg_min(value, pos), 'verified' FROM facts f WHERE field NOT IN ({O.quoted(E.SPEC_EVIDENCE)}) AND NOT EXISTS (SELECT 1 FROM {{attrs}} a WHERE a.item_id = f.product_id AND lower(trim(a.label)) = f.field) GROUP BY product_id, field""")
+def apply_evidence(t):
+    """Specs and attributes of every product after the facts of its pages."""
+    whole = lambda c: F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+    s = t.specs
+    inputs = s.select(F.col("item_id").alias("product_id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in (("upc", F.col("upc")), ("weight", whole(F.col("weight"))), ("warranty", F.col("warranty")))])))
+    facts = E.extract_fields(t.candidates, ["product_id", "rnk"]).select("product_id", F.col("rnk").alias("pos"), "field", F.coalesce("value", whole(F.col("number"))).alias("value"), "confidence")
+    return E.apply_evidence(inputs, facts, t.attrs)
