@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, html_text, language, licenses, mixing, quality, topk
+from . import chat, embedding_dedup, html_text, language, licenses, mixing, near_dedup, quality, topk
 from .common import crc_remainder
 from .embedding_dedup import embedding_near_duplicates
 from .mixing import mix_sources
@@ -92,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": topk.SQL, "op3_mix_sources": mixing.SQL, "op10_embedding_near_dedup": embedding_dedup.SQL}
+    return {"op1_exact_top_k": topk.SQL, "op8_minhash_near_dedup": near_dedup.SQL, "op3_mix_sources": mixing.SQL, "op10_embedding_near_dedup": embedding_dedup.SQL}
