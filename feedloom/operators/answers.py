@@ -9,8 +9,15 @@ from ..functions import lookups as L
 
 
 def build_requests(products: DataFrame, evidence: DataFrame, most: int = 2000) -> DataFrame:
-    """(product_id, fields, evidence): products (product_id, needs) with open needs and evidence lines (product_id, pos, field, text)."""
-    lines = evidence.groupBy("product_id").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "field", "text"))), lambda x: F.concat(x["field"], F.lit(": "), x["text"])), "; "), 1, most).alias("evidence"))
+    """(product_id, fields, evidence): products (product_id, needs) with open needs and evidence lines (product_id, pos, field, text).
+
+    A line has four characters at least with its colon and separator, so that no later one than the
+    ``most // 4 + 1``st can reach into the evidence; Spark keeps that many of a product before the shuffle.
+    """
+    line = F.concat("field", F.lit(": "), "text")
+    place = F.row_number().over(Window.partitionBy("product_id").orderBy(line.isNull(), "pos", "field", "text"))
+    first = evidence.select("product_id", "pos", "field", "text").withColumn("_n", place).where(F.col("_n") <= most // 4 + 1)
+    lines = first.groupBy("product_id").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "field", "text"))), lambda x: F.concat(x["field"], F.lit(": "), x["text"])), "; "), 1, most).alias("evidence"))
     return products.where(F.size("needs") > 0).join(lines, "product_id").select("product_id", F.array_join("needs", ", ").alias("fields"), "evidence")
 
 

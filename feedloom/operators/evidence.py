@@ -163,23 +163,30 @@ def pick_evidence(attempts: DataFrame) -> DataFrame:
     """One row per product of verified attempts (product_id, attempt, url, identity_*, reject_reason).
 
     The first attempt that matches wins. Otherwise the source follows the latest of the strongest
-    rejections, and the reason the latest of them that gives one.
+    rejections, and the reason the latest one that gave a reason while no stronger one came before.
+    Attempts are combined by confidence, of which there are few values, before they are shuffled;
+    only where a stronger rejection gave no reason are the weaker ones looked through again.
     """
     one = F.struct("attempt", "url", "identity_match", F.col("identity_confidence").alias("confidence"), "reject_reason")
-    rows = attempts.groupBy("product_id").agg(F.array_sort(F.collect_list(one)).alias("tries"))
-    won = F.get(F.filter("tries", lambda x: x["identity_match"]), F.lit(0))
-    start = F.struct(F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("reason"))
-    step = lambda a, x: F.when(
-        x["confidence"] >= a["confidence"], F.struct(x["confidence"].alias("confidence"), x["url"].alias("url"), F.coalesce(x["reject_reason"], a["reason"]).alias("reason"))
-    ).otherwise(a)
-    rows = rows.withColumns({"won": won, "lost": F.aggregate("tries", start, step)})
-    no_reason = F.concat(F.lit("no candidate matched after "), F.size("tries").cast("string"), F.lit(" retrieval(s)"))
-    return rows.select(
+    rated = F.col("identity_confidence") >= 0
+    levels = attempts.groupBy("product_id", "identity_confidence").agg(
+        F.min(F.when(F.col("identity_match"), one)).alias("won"), F.min(one).alias("first"), F.max(F.when(rated, one)).alias("last"), F.max(F.when(rated & F.col("reject_reason").isNotNull(), one)).alias("why"), F.count(F.lit(1)).alias("n")
+    )
+    by_level = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.confidence").alias("confidence"), F.col(c).alias("x"))))["x"]
+    level = F.struct(F.col("identity_confidence").alias("confidence"), "first")
+    rows = levels.groupBy("product_id").agg(F.min("won").alias("won"), by_level("last").alias("lost"), by_level("why").alias("why"), F.sum("n").alias("n"), F.collect_list(level).alias("levels"))
+    weaker = rows.where("won is null and why.confidence < lost.confidence").select("product_id", "levels")
+    given = attempts.where(rated & F.col("reject_reason").isNotNull()).select("product_id", one.alias("x")).join(weaker, "product_id")
+    stronger = F.exists("levels", lambda v: F.coalesce(v["confidence"] > F.col("x.confidence"), F.lit(False)) & (v["first"] < F.col("x")))
+    given = given.where(~stronger).groupBy("product_id").agg(F.max("x").alias("given"))
+    reason = F.when(F.expr("why.confidence < lost.confidence"), F.col("given.reject_reason")).otherwise(F.col("why.reject_reason"))
+    no_reason = F.concat(F.lit("no candidate matched after "), F.col("n").cast("string"), F.lit(" retrieval(s)"))
+    return rows.join(given, "product_id", "left").select(
         "product_id",
         F.col("won").isNotNull().alias("matched"),
         F.coalesce("won.url", "lost.url").alias("url"),
-        F.coalesce("won.confidence", "lost.confidence").alias("confidence"),
-        F.when(F.col("won").isNull(), F.coalesce("lost.reason", no_reason)).alias("reason"),
+        F.coalesce("won.confidence", "lost.confidence", F.lit(0.0)).alias("confidence"),
+        F.when(F.col("won").isNull(), F.coalesce(reason, no_reason)).alias("reason"),
     )
 
 

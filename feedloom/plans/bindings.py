@@ -113,7 +113,7 @@ VIEWS["candidates"] = """
              WHEN l_orderkey % 5 = 2 THEN 'MPN: P-' || lpad(cast(l_partkey as string), 6, '0') || ' from an unnamed maker. Pack of 10 screws. Warranty: 2 years limited.'
              WHEN l_orderkey % 5 = 3 THEN ''
              ELSE 'Part Number: P-' || lpad(cast(l_partkey as string), 6, '0') || ' ' || s_name || ' UPC: ' || lpad(cast(l_partkey as string), 12, '1') || ' Voltage Rating: 24 V Current: 2 A Power: 48 W Weight: ' || cast(p_size as string) || ' kg Temperature: 86 F' END AS page_text
-      FROM {lineitem} l JOIN {part} p ON p_partkey = l_partkey JOIN {supplier} s ON s_suppkey = l_suppkey) c WHERE rnk <= 8
+      FROM {lineitem} l JOIN {part} p ON p_partkey = l_partkey JOIN {supplier} s ON s_suppkey = l_suppkey) c
 """
 #: Candidate values of product fields by source, for conflict resolution.
 VIEWS["field_values"] = """

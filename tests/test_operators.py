@@ -166,3 +166,40 @@ def test_empty_feed(spark):
     feed = spark.createDataFrame([], "row_idx long, MPN string, Weight string")
     assert normalize.merge_contributions(normalize.contributions(feed)).count() == 0
     assert normalize.exact_duplicates(feed).count() == 0
+
+
+def test_candidates_are_whole(spark):
+    from feedloom.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert t.candidates.count() == t.lineitem.count()
+
+
+def test_pick_evidence_folds_all_attempts(spark):
+    import random
+
+    rng, rows = random.Random(4), []
+    for p in range(60):
+        for a in range(1, 1 + rng.randrange(1, 60)):
+            match = p % 3 == 0 and a > 9 and rng.random() < 0.2
+            rows.append((p, a, f"u{a}", match, rng.choice([0.6, 0.99]) if match else rng.choice([0.0, 0.0, 0.55, 0.6, None]), None if match or rng.random() < 0.4 else f"r{a}"))
+    want = {}
+    for p in range(60):
+        tries = [r for r in rows if r[0] == p]
+        won = next((r for r in tries if r[3]), None)
+        confidence, url, reason = 0.0, None, None
+        for r in tries:
+            if r[4] is not None and r[4] >= confidence:
+                confidence, url, reason = r[4], r[2], r[5] or reason
+        want[p] = (True, won[2], won[4], None) if won else (False, url, confidence, reason or f"no candidate matched after {len(tries)} retrieval(s)")
+    df = spark.createDataFrame(rows, "product_id int, attempt int, url string, identity_match boolean, identity_confidence double, reject_reason string").repartition(5)
+    got = evidence.pick_evidence(df)
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == want
+    assert "collect_list(struct(attempt" not in got._jdf.queryExecution().toString()
+
+
+def test_requests_keep_leading_lines_only(spark):
+    lines = spark.createDataFrame([(1, i, "", "" if i % 2 else None) for i in range(3000)] + [(2, 1, "a", None), (3, 2, "b", "y"), (3, 1, "a", "x")], "product_id int, pos int, field string, text string")
+    got = answers.build_requests(spark.createDataFrame([(1, ["f"]), (2, ["f"]), (3, ["f"])], "product_id int, needs array<string>"), lines)
+    assert {r["product_id"]: r["evidence"] for r in got.collect()} == {1: "; ".join([": "] * 1500)[:2000], 2: "", 3: "a: x; b: y"}
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
