@@ -1,9 +1,12 @@
 """Licence scan: TF-IDF cosine of header lines and licence files to templates, then directory inheritance.
 
-Terms are those of the templates; their document frequencies are counted over all files. A line
-can only reach the threshold if it holds one of the anchors: the heaviest terms of each template,
-chosen so that all its other terms together stay below the threshold (Cauchy-Schwarz). So files
-without an anchor are known to match nothing, and only the others are scored line by line.
+Scored are every line, and every run of as many terms as a template has, across lines too, so that
+other words on the line or a line break within the wording do not hide a licence. Either can only
+reach the threshold if it holds one of the anchors: the heaviest terms of each template, chosen so
+that all its other terms together stay below the threshold (Cauchy-Schwarz). So files without an
+anchor are known to match nothing. Of the others, the passages that reach the threshold by template
+terms alone are candidates; document frequencies, of template terms and of all others that
+candidates hold, are counted over all files and joined to them.
 Inheritance works on distinct directories: each is joined, by equality, with its ancestors.
 """
 
@@ -19,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, cut, join_by_key
 
 THRESHOLD = 0.55
 TERM = r"[a-z0-9]+"
@@ -53,32 +56,99 @@ class Matcher:
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[str, int], files: int, threshold: float):
         self.idf = {t: math.log((files + 1) / (frequency.get(t, 0) + 1)) + 0.05 for _, text in templates for t in terms(text)}
-        #: A term of no template counts like one that no file holds.
-        self.unknown = math.log(files + 1) + 0.05
+        self.files = files
         self.names = [name for name, _ in templates]
         self.threshold = threshold
         self.by_term: dict[str, list[tuple[int, float]]] = {}
-        anchors: set[str] = set()
+        #: The weights, number of terms and anchors of each template.
+        self.wording: list[tuple[dict[str, float], int, set[str]]] = []
         for i, (_, text) in enumerate(templates):
             weight = {t: n * self.idf[t] for t, n in Counter(terms(text)).items()}
             norm = math.sqrt(sum(w * w for w in weight.values()))
-            rest = 1.0
+            rest, own = 1.0, set()
             for t, w in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
                 if rest >= (threshold - 1e-9) ** 2:
-                    anchors.add(t)
+                    own.add(t)
                 rest -= (w / norm) ** 2
                 self.by_term.setdefault(t, []).append((i, w / norm))
-        self.anchors = sorted(anchors)
-
-    def best(self, line: str) -> tuple[str, float] | None:
-        """The closest template of one line at or above the threshold; ties go to the first template."""
+            self.wording.append(({t: w / norm for t, w in weight.items()}, len(terms(text)), own))
+        self.anchors = sorted(set().union(*[own for _, _, own in self.wording]))
+
+    def _runs(self, words: list[str], i: int) -> Iterator[tuple[int, float, bool]]:
+        """Starts of the runs of template i's length that hold an anchor of it: its share by template terms alone, and whether there are no others."""
+        weights, size, own = self.wording[i]
+        last = len(words) - size
+        starts = sorted({at for p, t in enumerate(words) if t in own for at in range(max(0, p - size + 1), min(p, last) + 1)})
+        held: Counter = Counter()
+        dot = square = 0.0
+        at, others = -size - 1, 0
+
+        def count(t: str, by: int) -> None:
+            nonlocal dot, square, others
+            w = self.idf.get(t)
+            if w is None:
+                others += by
+                return
+            n = held[t]
+            held[t] = n + by
+            square += ((n + by) ** 2 - n * n) * w * w
+            dot += by * w * weights.get(t, 0.0)
+
+        for start in starts:
+            if start == at + 1:
+                count(words[at], -1)
+                count(words[start + size - 1], 1)
+            else:
+                held.clear()
+                dot, square, others = 0.0, 0.0, 0
+                for t in words[start : start + size]:
+                    count(t, 1)
+            at = start
+            yield start, dot / math.sqrt(max(square, 1e-300)), not others
+
+    def candidates(self, text: str) -> list[str]:
+        """The lines and runs of a file that may match, in order, as terms joined by spaces; a whole template alone, as nothing is closer."""
+        lines = [terms(line) for line in text.splitlines()]
+        words = [t for line in lines for t in line]
+        held = set(words)
+        found: list[tuple[int, int, str]] = []
+        for i, (_, size, own) in enumerate(self.wording):
+            if held.isdisjoint(own):
+                continue
+            for start, share, closed in self._runs(words, i):
+                if share >= self.threshold - 1e-9:
+                    run = " ".join(words[start : start + size])
+                    if closed and share > 1 - 1e-9:
+                        found.append((-1, start, run))
+                    else:
+                        found.append((0, start, run))
+        if any(x[0] < 0 for x in found):
+            return [min(found)[2]]
+        at, known = 0, dict.fromkeys(self.anchors)
+        for line in lines:
+            if any(t in known for t in line):
+                n = Counter(t for t in line if t in self.idf)
+                dot: dict[int, float] = {}
+                for t, c in n.items():
+                    for i, v in self.by_term[t]:
+                        dot[i] = dot.get(i, 0.0) + c * self.idf[t] * v
+                if max(dot.values()) >= (self.threshold - 1e-9) * math.sqrt(sum((c * self.idf[t]) ** 2 for t, c in n.items())):
+                    found.append((0, at, " ".join(line)))
+            at += len(line)
+        return list(dict.fromkeys(x[2] for x in sorted(found, key=lambda x: x[1])))
+
+    def best(self, line: str, frequency: dict[str, int] | None = None) -> tuple[str, float] | None:
+        """The closest template of one passage at or above the threshold; ties go to the first template.
+
+        ``frequency`` has the number of files that hold each term of no template; no file is taken to hold others.
+        """
         found = Counter(terms(line))
         if not any(t in found for t in self.anchors):
             return None
         dot: dict[int, float] = {}
         norm = 0.0
         for t, n in found.items():
-            w = n * self.idf.get(t, self.unknown)
+            w = n * (self.idf[t] if t in self.idf else math.log((self.files + 1) / ((frequency or {}).get(t, 0) + 1)) + 0.05)
             norm += w * w
             for i, v in self.by_term.get(t, ()):
                 dot[i] = dot.get(i, 0.0) + w * v
@@ -86,12 +156,12 @@ class Matcher:
         score = min(1.0, score / math.sqrt(norm))
         return (self.names[i], score) if score >= self.threshold else None
 
-    def file(self, text: str) -> tuple[str, float] | None:
-        """The closest template of any line of a file; ties go to the first line."""
+    def closest(self, passages: list[str], frequency: dict[str, int]) -> tuple[str, float] | None:
+        """The closest template of any candidate of a file; ties go to the first passage."""
         best = None
-        for line in text.splitlines():
-            found = self.best(line)
-            if found and (best is None or found[1] > best[1]):
+        for passage in passages:
+            found = self.best(passage, frequency)
+            if found and (best is None or found[1] > best[1] + 1e-12):
                 best = found
         return best
 
@@ -100,26 +170,45 @@ def _holds(text: Column, words: list[str]) -> Column:
     return F.lower(text).rlike("(?<![a-z0-9])(" + "|".join(words) + ")(?![a-z0-9])")
 
 
+def _distinct_terms() -> Column:
+    return F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"))
+
+
 def matcher(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> Matcher:
     """Count the template terms over all files (text) and build the template vectors. Null texts count as empty files."""
     vocabulary = sorted({t for _, text in templates for t in terms(text)})
-    held = F.array_intersect(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), F.array(*map(F.lit, vocabulary)))
+    held = F.array_intersect(_distinct_terms(), F.array(*map(F.lit, vocabulary)))
     rows = files.select(F.explode(F.array_append(held, F.lit(""))).alias("term")).groupBy("term").count().collect()
     frequency = {r["term"]: r["count"] for r in rows}
     return Matcher(templates, frequency, frequency.pop("", 0), threshold)
 
 
 def scan(files: DataFrame, model: Matcher) -> DataFrame:
-    """Adds own_license and own_score (null where no line matches) to files with a text column."""
+    """Adds own_license and own_score (null where nothing matches) to files with a text column.
+
+    Files with the same candidates are scored once. Terms of no template are counted where a
+    candidate holds them; only counts and candidates are shuffled, never texts.
+    """
+
+    @F.pandas_udf("array<string>")
+    def passages(texts: pd.Series) -> pd.Series:
+        return pd.Series([(model.candidates(t) or None) if t is not None else None for t in texts], dtype=object)
 
     @F.pandas_udf("own_license string, own_score double")
-    def own(texts: pd.Series) -> pd.DataFrame:
-        found = [(model.file(t) if t is not None else None) or (None, np.nan) for t in texts]
-        return pd.DataFrame(found, columns=["own_license", "own_score"]).astype({"own_license": "object"})
+    def own(found: pd.Series, names: pd.Series, counts: pd.Series) -> pd.DataFrame:
+        known = [{} if n is None else dict(zip(n, c, strict=True)) for n, c in zip(names, counts, strict=True)]
+        best = [model.closest(list(x), k) or (None, np.nan) for x, k in zip(found, known, strict=True)]
+        return pd.DataFrame(best, columns=["own_license", "own_score"]).astype({"own_license": "object"})
 
     files = files.drop("own_license", "own_score")
-    possible = F.when(_holds(F.col("text"), model.anchors), F.col("text"))
-    out = bounded_batches(files).withColumn("_own", own(possible))
+    rows = bounded_batches(files).withColumn("_found", passages(F.when(_holds(F.col("text"), model.anchors), F.col("text"))))
+    found = cut(rows.select("_found").where("_found is not null").distinct())
+    words = F.array_distinct(F.flatten(F.transform("_found", lambda x: F.split(x, " "))))
+    needed = found.select("_found", F.explode(F.array_except(words, F.array(*map(F.lit, sorted(model.idf))))).alias("_term"))
+    counts = files.select(F.explode(_distinct_terms()).alias("_term")).join(needed.select("_term").distinct(), "_term", "left_semi").groupBy("_term").agg(F.count(F.lit(1)).alias("_n"))
+    known = needed.join(counts, "_term").groupBy("_found").agg(F.collect_list(F.struct("_term", "_n")).alias("_k"))
+    scored = cut(found.join(known, "_found", "left").select("_found", own("_found", F.col("_k._term"), F.col("_k._n")).alias("_own")))
+    out = join_by_key(rows, scored, "_found", "text", "left").drop("_found")
     return out.withColumns({"own_license": F.col("_own.own_license"), "own_score": F.when(F.col("_own.own_license").isNotNull(), F.col("_own.own_score"))}).drop("_own")
 
 
@@ -151,7 +240,7 @@ def inherit(files: DataFrame) -> DataFrame:
 def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Licences of files (path, text): own_license, own_score, directory, license, license_from are added.
 
-    Null or empty text: no own licence. Very long texts: every line is scored. Null path: own
+    Null or empty text: no own licence. Very long texts: every line and run is scored. Null path: own
     licence only. Repeated rows and ties: each row has its result. Clashing columns are replaced.
     Empty table: no rows.
     """

@@ -348,6 +348,26 @@ def test_licence_anchors_lose_nothing():
         assert model.best(line) == bare.best(line)
 
 
+def test_licence_among_other_words(spark):
+    apache = "Licensed under the Apache License, Version 2.0."
+    texts = {
+        "neighbours": "copyright zork quux Released under the MIT License. frobnicate all of it again and again", "lines": "zork zork\n * Licensed under the\n * Apache License, Version 2.0. zork zork zork zork zork",
+        "paragraph": "blah " * 400 + apache + " blib" * 400, "nothing": "a license to sail under the flag of version two", "twice": f"x {apache} y Released under the MIT License.",
+    }
+    for n in (20, 20_000):
+        files = spark.createDataFrame(list(texts.items()), "path string, text string").unionByName(spark.range(n).select(F.lit("z/").alias("path"), F.lit("plain words").alias("text")))
+        got = {r["path"]: r["own_license"] for r in licenses.scan_licenses(files).where("path <> 'z/'").collect()}
+        assert got == {"neighbours": "MIT", "lines": "Apache-2.0", "paragraph": "Apache-2.0", "nothing": None, "twice": "Apache-2.0"}
+
+
+def test_licence_scores_count_all_terms(spark):
+    rows = [("a", "Released today under the MIT License")] + [(f"t{i}", "today") for i in range(70)] + [(f"n{i}", "other") for i in range(30)]
+    got = {r["path"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}["a"]
+    model = licenses.Matcher(licenses.TEMPLATES, {t: 1 for t in ("released", "under", "the", "mit", "license")}, 101, licenses.THRESHOLD)
+    assert got["own_license"] == "MIT" and abs(got["own_score"] - model.best("released today under the mit license", {"today": 71})[1]) < 1e-9
+    assert model.candidates("x Released under the MIT License y") == ["released under the mit license"]
+
+
 # --- 5: chat
 
 
