@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from feedloom.llm import language, quality
 from feedloom.llm.common import written
 from feedloom.llm.mixing import mixed_documents
-from feedloom.llm.near_dedup import BROADCAST_NODES, near_duplicates
+from feedloom.llm.near_dedup import BROADCAST_NODES, grouped, with_node
 from feedloom.llm.packing import pack
 from feedloom.llm.queries import tokenizer_path
 
@@ -32,20 +32,26 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at a similarity of 0.8 over five-word shingles: that of the smallest doc_id.
 
-    Rows that repeat a doc_id are copies of one document only if their texts are near-duplicates;
-    of several kept rows with one doc_id and one group the first by text stays.
+    Of several rows of a group with that doc_id, or of a group without any doc_id, the first by text
+    stays. Rows of different groups stay, also if they share a null or repeated doc_id; so do
+    different texts without a word. Rows of a doc_id that occurs once are known by it, the others by
+    doc_id and set of shingles.
     """
-    groups = written(near_duplicates(docs.select("doc_id", "text"), n=5, percent=80))
-    twice = groups.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone = groups.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_gone"))
-    gone = F.broadcast(gone) if gone.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else gone
+    groups = written(grouped(docs.select("doc_id", "text"), n=5, percent=80))
+    ids = groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    small = lambda df: F.broadcast(df) if df.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else df
+    gone = small(ids.where("not kept").select(F.col("doc_id").alias("_gone")))
     left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    twice = ids.where("kept and n > 1").select(F.col("doc_id").alias("_t"))
     if twice.isEmpty():
         return left
-    again = left.join(twice.withColumnRenamed("doc_id", "_t"), F.col("doc_id").eqNullSafe(F.col("_t")), "left_semi")
-    single = left.join(twice.withColumnRenamed("doc_id", "_t"), F.col("doc_id").eqNullSafe(F.col("_t")), "left_anti")
-    first = again.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
-    return single.unionByName(first.select("doc_id", *[F.col(f"r.{c}").alias(c) for c in docs.columns if c != "doc_id"]))
+    twice, same = small(twice), F.col("doc_id").eqNullSafe(F.col("_t"))
+    kept = groups.where("kept and node is not null").join(twice, same, "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("grp").alias("_grp")).distinct()
+    again = with_node(left.join(twice, same, "left_semi").select(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("r"), "doc_id", "text"), 5)
+    placed = again.where("node is not null").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")))
+    one = F.min("r").alias("r")
+    first = placed.groupBy("doc_id", "_grp").agg(one).select("doc_id", "r").unionByName(again.where("node is null").groupBy("doc_id", "text").agg(one).select("doc_id", "r"))
+    return left.join(twice, same, "left_anti").unionByName(first.select("doc_id", *[F.col(f"r.{c}").alias(c) for c in docs.columns if c != "doc_id"]))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,6 +200,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     whole sequence is the one shingle. Null doc_id: linked like any other, never the smallest of a
     component that has a doc_id. Repeated rows: linked as copies; each gives a row. Empty table: no rows.
     """
+    return grouped(docs, n, percent, bands, rows).drop("node", "grp")
+
+
+def with_node(docs: DataFrame, n: int) -> DataFrame:
+    """Adds node, the hash of its whole set as in ``grouped``, to rows with a text; null for an empty set."""
+
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        out: list[int | None] = []
+        for _, some in text_chunks([0] * len(texts), list(texts), 1 << 21):
+            out += [set_node(s) if len(s) else None for s in _sets(some, n)]
+        return pd.Series(out, dtype="Int64")
+
+    return bounded_batches(docs).withColumn("node", node(F.col("text").cast("string")))
+
+
+def grouped(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``near_duplicates`` with node (the hash of the whole set) and grp (the same for all rows of a group); both null for an empty set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     feats = written(features(docs, n, bands, rows))
     nodes = feats.where("node is not null")
@@ -216,9 +234,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
         more = _block_links(rest, feats, sets, percent)
         groups = cut(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
     group = F.coalesce("component", "node")
-    known = feats.select("doc_id", "n_shingles", "node").join(groups, "node", "left").select("doc_id", "n_shingles", group.alias("grp"))
+    known = feats.select("doc_id", "n_shingles", "node").join(groups, "node", "left").select("doc_id", "n_shingles", "node", group.alias("grp"))
     least = known.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("least"))
-    out = known.join(least, "grp", "left").select("doc_id", "n_shingles", F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    out = known.join(least, "grp", "left").select("doc_id", "n_shingles", F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "node", "grp")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -34,3 +34,13 @@ def test_odd_documents(spark):
     left = P.near_deduplicated(spark, docs, FOLDER)
     assert left.columns == docs.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 7, 8]
     assert P.near_deduplicated(spark, docs.limit(0), FOLDER).count() == 0 and P.mixed(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_shared_ids_are_no_copies(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(None, "a"), (None, "b"), (None, "a"), (5, "c"), (5, "d"), (5, "d"), (1, "e"), (7, "e"), (7, "f"), (None, "f"), (9, "c")]
+    docs = [(d, text(k), "en", "s", 1) for d, k in rows] + [(None, "", "en", "s", 0), (None, "", "en", "s", 0), (None, " ", "en", "s", 1)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = P.near_deduplicated(spark, docs, FOLDER)
+    got = sorted((r["doc_id"] or 0, r["text"][:1]) for r in left.collect())
+    assert left.columns == docs.columns and got == [(0, ""), (0, " "), (0, "a"), (0, "b"), (1, "e"), (5, "c"), (5, "d"), (7, "f")]
