@@ -26,6 +26,8 @@ from .common import bounded_batches
 MAX_PAGES, MAX_CHARS, MAX_BLOCKS = 200, 200_000, 80
 PATH, WORDS, EXTRA, HIDDEN = 160, 32, 6, 24
 SIZE = PATH + WORDS + EXTRA
+#: The words of a long block are hashed in pieces of about so many characters.
+CHUNK = 1 << 16
 
 # Fixed values of HTML: elements inside a line, without content, and whose content is never text.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -127,16 +129,21 @@ def _slot(name: str, size: int) -> int:
 
 
 def block_vectors(page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
-    """One row per block: hashed path, hashed words, and lengths."""
+    """One row per block: hashed path, shares of all hashed words, and lengths."""
     x = np.zeros((len(page), SIZE), np.float32)
     for i, (path, text, linked) in enumerate(page):
         for name in path:
             x[i, _slot(name, PATH)] = 1
         if path:
             x[i, _slot(">" + path[-1], PATH)] += 1
-        words = text.split(" ", 24)[:24]
-        for w in words:
-            x[i, PATH + _slot(w, WORDS)] += 1 / len(words)
+        count, n_words, at = np.zeros(WORDS, np.int64), 0, 0
+        while at <= len(text):
+            end = text.find(" ", at + CHUNK)
+            end = len(text) if end < 0 else end
+            words = text[at:end].split(" ")
+            count += np.bincount([_slot(w, WORDS) for w in words], minlength=WORDS)
+            n_words, at = n_words + len(words), end + 1
+        x[i, PATH : PATH + WORDS] = count / n_words
         n = len(text)
         x[i, PATH + WORDS :] = (np.log1p(n) / 8, linked, i / len(page), text[-1] in ".!?\"", n < 40, n > 200)
     return x

@@ -319,6 +319,14 @@ def test_blocks():
     assert names == [("li", "A"), ("h1", "Title & more"), ("p", "First line."), ("p", "Second one <here>."), ("p", "me too"), ("footer", "© me")]
 
 
+def test_block_vectors_hold_all_words():
+    words = [f"w{i % 700}" for i in range(30_000)]
+    text = "same opening " * 12 + " ".join(words)
+    got = html_text.block_vectors([(("p",), text, 0.0), (("p",), "same opening " * 12 + "other", 0.0)])[:, html_text.PATH : html_text.PATH + html_text.WORDS]
+    want = np.bincount([zlib.crc32(w.encode()) % html_text.WORDS for w in text.split(" ")], minlength=html_text.WORDS) / len(text.split(" "))
+    assert np.allclose(got[0], want, atol=1e-6) and not np.allclose(got[0], got[1])
+
+
 # --- 2: licences
 
 
