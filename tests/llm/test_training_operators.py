@@ -315,16 +315,82 @@ def test_pages(spark):
 
 
 def test_blocks():
-    names = [(p[-1], t) for p, t, _ in html_text.blocks(PAGE)]
+    names = [(b.place.name, b.text) for b in html_text.blocks(PAGE)]
     assert names == [("li", "A"), ("h1", "Title & more"), ("p", "First line."), ("p", "Second one <here>."), ("p", "me too"), ("footer", "© me")]
 
 
-def test_block_vectors_hold_all_words():
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ('<p>one</p><svg class="i"/><p>two</p>', ["one", "two"]),
+        ("<p>one</p><iframe src=x/><p>two</p>", ["one", "two"]),
+        ("<p>one</p><button>x<p>two</p>", ["one", "x", "two"]),
+        ("<title-bar>one</title-bar><video-card/><p>two</p>", ["one", "two"]),
+        ("<p>a</p><math><mi>x</mi></math><object>kept</object>", ["a", "x", "kept"]),
+        ("<p>1 < 2 & 3 > 2</p>", ["1 < 2 & 3 > 2"]),
+        ("a <!-- x <p>b</p>", ["a b"]),
+        ("a<!-->b<!-- x --><!--->c", ["abc"]),
+        ("<p class='x>one</p><p>two</p>", ["one", "two"]),
+        ('<p title="a > b">one</p>', ["one"]),
+        ("<script/>one<script>x</SCRIPT >two<style>y", ["one two"]),
+        ("<template><p>x</p></template>y<title>t</title>", ["y"]),
+        ("<p", ["<p"]),
+        ("x</", ["x</"]),
+        ("<!DOCTYPE html>z<!", ["z<!"]),
+    ],
+)
+def test_odd_markup_loses_no_text(page, texts):
+    assert [b.text for b in html_text.blocks(page)] == texts
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>x" * 60_000, "<a b='" * 170_000, "<div>" * 80_000 + "</p>" * 80_000, "<div>" * 80_000 + "<li>x</li>" * 60_000, "<!--" * 250_000, "< " * 300_000])
+def test_hostile_pages_are_read_in_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.blocks(page)
+    assert time.process_time() - began < 5
+
+
+def test_long_pages_are_labelled_whole_and_alike():
+    rng = np.random.default_rng(1)
+    page = [html_text.Block(html_text.placed(("html", "div", ".content", "p")), "word " * int(rng.integers(1, 30)) + "end.", 0.0) for _ in range(html_text.STEPS + 700)]
+    model = html_text.BlockLabeller()
+    alone = model.probabilities([page])[0]
+    assert len(alone) == len(page)
+    together = model.probabilities([page, page[:50], [], page[:3]])
+    assert np.allclose(together[0], alone, atol=1e-5) and np.allclose(together[1], model.probabilities([page[:50]])[0], atol=1e-5) and len(together[2]) == 0
+    x, live = model._pad([html_text.block_vectors(page[:50])])
+    both = np.concatenate([model._run(x, live, "f", False)[0], model._run(x[::-1], live[::-1], "b", False)[0][::-1]], axis=2)
+    plain = 1 / (1 + np.exp(-(both @ model.p["o"] + model.p["ob"])[:, 0, 0]))
+    assert np.allclose(plain, together[1], atol=1e-5)
+
+
+def test_pages_that_name_no_part(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    rows = []
+    for i in range(20):
+        paragraphs = [" ".join(word() for _ in range(rng.randrange(40, 90))).capitalize() + "." for _ in range(rng.randrange(3, 7))]
+        page = "<html><body><table><tr><td><a href=1>Home</a><br><a href=2>News</a></td><td>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</td><td>Copyright 2020</td></tr></table></body></html>"
+        rows.append((i, "u", page, " ".join(paragraphs)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages, html_text.train(pages)).collect()}
+    kept = sum(all(p in got[i] for p in want.split(". ")) for i, _, _, want in rows)
+    assert kept >= 18 and sum("Home" in t for t in got.values()) <= 2
+    model = html_text.train(pages.limit(0))
+    assert html_text.extract_text(pages.limit(1), model).count() == 1
+
+
+def test_block_vectors_hold_all_words_and_names():
     words = [f"w{i % 700}" for i in range(30_000)]
     text = "same opening " * 12 + " ".join(words)
-    got = html_text.block_vectors([(("p",), text, 0.0), (("p",), "same opening " * 12 + "other", 0.0)])[:, html_text.PATH : html_text.PATH + html_text.WORDS]
+    place = html_text.placed(("p",))
+    got = html_text.block_vectors([html_text.Block(place, text, 0.0), html_text.Block(place, "same opening " * 12 + "other", 0.0)])[:, html_text.PATH : html_text.PATH + html_text.WORDS]
     want = np.bincount([zlib.crc32(w.encode()) % html_text.WORDS for w in text.split(" ")], minlength=html_text.WORDS) / len(text.split(" "))
     assert np.allclose(got[0], want, atol=1e-6) and not np.allclose(got[0], got[1])
+    long = "x" * 60
+    assert html_text.blocks(f"<p class='{long}'>t</p>")[0].place.bits >> (zlib.crc32(f".{long}".encode()) % html_text.PATH) & 1
 
 
 # --- 2: licences
