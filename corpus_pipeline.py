@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import language, quality
-from feedloom.llm.common import written
 from feedloom.llm.mixing import mixed_documents
-from feedloom.llm.near_dedup import BROADCAST_NODES, grouped, with_node
+from feedloom.llm.common import BROADCAST_IDS, cut, discard, small, written
+from feedloom.llm.near_dedup import grouped, with_check
 from feedloom.llm.packing import pack
 from feedloom.llm.queries import tokenizer_path
 
@@ -35,22 +35,23 @@ def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Of several rows of a group with that doc_id, or of a group without any doc_id, the first by text
     stays. Rows of different groups stay, also if they share a null or repeated doc_id; so do
     different texts without a word. Rows of a doc_id that occurs once are known by it, the others by
-    doc_id and set of shingles.
+    doc_id and set of shingles. Empty table: no rows.
     """
     groups = written(grouped(docs.select("doc_id", "text"), n=5, percent=80))
     ids = groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    small = lambda df: F.broadcast(df) if df.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else df
-    gone = small(ids.where("not kept").select(F.col("doc_id").alias("_gone")))
+    sized = lambda df: F.broadcast(df) if small(df, BROADCAST_IDS) else df
+    ids = cut(ids.where("not kept or n > 1"))
+    gone = sized(ids.where("not kept").select(F.col("doc_id").alias("_gone")))
     left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
     twice = ids.where("kept and n > 1").select(F.col("doc_id").alias("_t"))
     if twice.isEmpty():
         return left
-    twice, same = small(twice), F.col("doc_id").eqNullSafe(F.col("_t"))
-    kept = groups.where("kept and node is not null").join(twice, same, "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("grp").alias("_grp")).distinct()
-    again = with_node(left.join(twice, same, "left_semi").select(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("r"), "doc_id", "text"), 5)
-    placed = again.where("node is not null").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")))
+    twice, same = sized(twice), F.col("doc_id").eqNullSafe(F.col("_t"))
+    kept = groups.where("kept and check is not null").join(twice, same, "left_semi").select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"), F.col("grp").alias("_grp")).distinct()
+    again = with_check(left.join(twice, same, "left_semi").select(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("r"), "doc_id", "text"), 5)
+    placed = again.where("check is not null").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("check") == F.col("_check")))
     one = F.min("r").alias("r")
-    first = placed.groupBy("doc_id", "_grp").agg(one).select("doc_id", "r").unionByName(again.where("node is null").groupBy("doc_id", "text").agg(one).select("doc_id", "r"))
+    first = placed.groupBy("doc_id", "_grp").agg(one).select("doc_id", "r").unionByName(again.where("check is null").groupBy("doc_id", "text").agg(one).select("doc_id", "r"))
     return left.join(twice, same, "left_anti").unionByName(first.select("doc_id", *[F.col(f"r.{c}").alias(c) for c in docs.columns if c != "doc_id"]))
 
 
@@ -77,8 +78,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written as Parquet and read again."""
+    """Apply the stages to documents; each result is written as Parquet and read again, and removed once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

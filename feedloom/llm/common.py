@@ -7,19 +7,30 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables of at most this many rows may be broadcast after their rows have been counted.
 BROADCAST_ROWS = 20_000
+#: Tables of a few numbers a row may be broadcast up to this count (16 bytes a row); a partition of such rows.
+BROADCAST_IDS, ROWS_A_PART = 500_000, 100_000
+#: Rows of one key that a join keeps together at most, about.
+PER_SALT = 4096
 #: Word separators of every text operator here: space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a new local one where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` or the context's checkpoint folder.
+
+    Where neither is set, a local session gets a new temporary folder; on a cluster that is an error,
+    as executors of other machines could not read it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -38,7 +49,20 @@ def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back (columnar, for wide intermediates)."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of ``written`` that nothing will read again: what came of it must be written or checkpointed itself."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._table)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to hold at most ``rows`` rows of a few numbers, in at most one partition for every ``ROWS_A_PART`` of them."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_PART)))
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -50,17 +74,31 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def join_by_key(big: DataFrame, small: DataFrame, key: str, salt_by: str, how: str = "inner", salts: int = 16) -> DataFrame:
-    """Join on one null-safe key that may be skewed on the big side and is unique on the small side.
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``most`` rows, found by counting no more than that."""
+    return df.limit(most + 1).count() <= most
+
+
+def join_by_key(big: DataFrame, right: DataFrame, key: str, salt_by: str, how: str = "inner", most: int = BROADCAST_ROWS, rows: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Join (inner or left) on one null-safe key that may be skewed on the big side and is unique on the right side.
 
-    The small side is counted. Up to ``BROADCAST_ROWS`` rows are broadcast; beyond that the key is
-    salted on the big side by the hash of ``salt_by``, and the small side repeated once for each salt.
+    The right side is counted, unless it is known to have at most ``rows``. Up to ``most`` rows are broadcast. Beyond that, keys with more than
+    ``PER_SALT`` rows on the big side (counted here, or given as (key, n)) are dealt over one salt for
+    every ``PER_SALT`` rows by the hash of ``salt_by``, with the right side's row repeated for each. At most one
+    row in ``PER_SALT`` is such a key. Other keys are joined as they are.
     """
-    right = small.withColumnRenamed(key, "_key")
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    right = right.withColumnRenamed(key, "_key")
+    if rows <= most if rows is not None else small(right, most):
         return big.join(F.broadcast(right), big[key].eqNullSafe(right["_key"]), how).drop("_key")
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    right = right.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    heavy = cut(counts.where(F.col("n") > PER_SALT).select(F.col(key).alias("_heavy"), F.ceil(F.col("n") / PER_SALT).cast("int").alias("_salts")))
+    if heavy.isEmpty():
+        return big.join(right, big[key].eqNullSafe(right["_key"]), how).drop("_key")
+    heavy = F.broadcast(heavy) if small(heavy) else heavy
+    left = big.join(heavy, F.col(key).eqNullSafe(F.col("_heavy")), "left").drop("_heavy")
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    right = right.join(heavy, F.col("_key").eqNullSafe(F.col("_heavy")), "left").drop("_heavy")
+    right = right.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return left.join(right, left[key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_salt2"]), how).drop("_key", "_salt", "_salt2")
 
 
@@ -161,24 +199,71 @@ def text_chunks(ids: list, texts: list, limit: int = 1 << 20) -> Iterator[tuple[
         yield ids[start:], texts[start:]
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components of an edge table (a, b) by alternating large-star and small-star steps.
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) of each run of about ``ROWS_A_PART`` rows of a partition, replaced by (node, smallest node reachable in that run)."""
+    most = ROWS_A_PART
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if held and sum(map(len, held)) + len(batch) > most:
+                yield contracted(held)
+                held = []
+            held.append(batch)
+        if held:
+            yield contracted(held)
+
+    def contracted(held: list[pd.DataFrame]) -> pd.DataFrame:
+        nodes, ends = np.unique(pd.concat(held)[["u", "v"]].to_numpy(np.int64), return_inverse=True)
+        a, b = ends.reshape(-1, 2).T
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, label[a], low)
+            np.minimum.at(new, label[b], low)
+            while (new[new] != new).any():
+                new = new[new]
+            new = new[label]
+            if (new == label).all():
+                moved = label != np.arange(len(nodes))
+                return pd.DataFrame({"u": nodes[moved], "v": nodes[label[moved]]})
+            label = new
+
+    return edges.mapInPandas(run, "u long, v long")
+
+
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Connected components of an edge table (a, b) of long numbers, until nothing changes.
 
     Returns (node, component): the smallest node reachable, for every node of an edge whose
-    component is not itself. Each step is a keyed minimum (combined before the shuffle) and a join;
-    no component is ever gathered in one task. Equal, repeated and null edges are ignored.
+    component is not itself. Runs of edges are first contracted within partitions; then each round takes a
+    large-star and a small-star step: a keyed minimum (combined before the shuffle) and a join, with
+    heavy nodes salted. Equal, repeated and null edges are ignored. ``most``, if given, bounds the
+    number of edges. Edges of a single run are done when contracted.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    last = None
-    for _ in range(rounds):
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    if most is None:
+        edges = cut(edges)
+        most = edges.count()
+    edges = cut(forest(few(edges, most)))
+    if most <= ROWS_A_PART:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+    def state() -> tuple:
+        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    def lowest(rows: DataFrame) -> DataFrame:
+        low = few(rows.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * n)
+        return join_by_key(rows, low, "u", "v", most=BROADCAST_IDS, rows=2 * n)
+
+    last, found = None, state()
+    while found != last and found[0]:
+        n = found[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))))
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
-    return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+        large = lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        star = lowest(large)
+        star = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v")))
+        edges = cut(few(star.distinct(), 2 * n))
+        last, found = found, state()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, embedding_dedup, html_text, language, licenses, mixing, near_dedup, packing, quality, topk
+from feedloom.llm import chat, common, embedding_dedup, html_text, language, licenses, mixing, near_dedup, packing, quality, topk
 from feedloom.llm.common import Words, components, shingles
 from feedloom.llm.queries import oracle_sql, queries, tokenizer_path
 from tests.compare import duckdb_on, same
@@ -56,7 +56,10 @@ def test_words_and_shingles():
     assert len(shingles(w.hash[:3], 4)) == 1 and len(shingles(w.hash[:0], 4)) == 0 and len(shingles(w.hash[:3], 2)) == 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limits", [{}, {"ROWS_A_PART": 20}, {"ROWS_A_PART": 20, "BROADCAST_IDS": 3, "PER_SALT": 5}])
+def test_components(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(common, name, value)
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)]
     parent = {}
@@ -116,6 +119,55 @@ def test_near_duplicates_match_brute_force(spark, n):
     assert got == sorted(brute_groups(rows, n, 80))
 
 
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 16, "BROADCAST_IDS": 3, "PER_SALT": 5, "ROWS_A_PART": 7}])
+def test_bitmaps_blocks_and_salts_lose_no_link(spark, monkeypatch, limits):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(150)]
+    rows = near_corpus(4)
+    for i in range(120):  # a template: similar texts of which hardly any are linked
+        w = list(base)
+        at = rng.randrange(110)
+        w[at : at + 16] = [word() for _ in range(16 + rng.randrange(-3, 2))]
+        rows.append((1000 + i, " ".join(w)))
+    monkeypatch.setattr(near_dedup, "DIRECT_BYTES", 0)
+    for name, value in limits.items():
+        for module in (common, near_dedup):
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, value)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, n=4).collect())
+    assert got == sorted(brute_groups(rows, 4, 80))
+
+
+def test_bitmaps_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([pool[: rng.integers(1, 900)], rng.integers(0, 2**63, rng.integers(0, 60), dtype=np.uint64)])) for _ in range(90)]
+    n = np.array([len(x) for x in sets])
+    maps = near_dedup.Bitmaps([near_dedup.parity_bitmap(x).tobytes() for x in sets], n, 80)
+    every = np.arange(len(sets))
+    i, j = maps.narrowed(*maps.left(every, every))
+    left = set(zip(i.tolist(), j.tolist()))
+    linked = {(a, b) for a in range(90) for b in range(90) if near_dedup._linked(sets[a], sets[b], 80)}
+    assert linked <= left and len(left) < 1.3 * len(linked)
+    confirm = lambda a, b: (a, b) in linked
+    pairs = near_dedup.joining_pairs(every, every, True, every, maps, confirm)
+    assert set(pairs) <= linked
+    root = list(range(90))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a, b in linked)
+
+
+def test_sets_that_share_a_number_are_told_apart(spark):
+    feats = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 8, 5), (5, None, None)], "doc_id long, node long, check long")
+    clashes = near_dedup._clashes(feats)
+    got = {r["doc_id"]: r["node"] for r in near_dedup._told_apart(feats, clashes).collect()}
+    assert clashes.count() == 1 and got[1] == got[3] != got[2] and got[4] == 8 and got[5] is None
+
+
 def test_near_duplicates_of_odd_documents(spark):
     for docs in (odd_documents(spark), clashing(odd_documents(spark))):
         got = near_dedup.near_duplicates(docs, n=4).collect()
