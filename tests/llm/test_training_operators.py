@@ -497,40 +497,92 @@ def test_licence_scores_count_all_terms(spark):
 # --- 5: chat
 
 
-def brute_viterbi(seen, model):
+def brute_states(codes, model):
     import itertools
 
+    seen = chat.seen_scores(np.array(codes), 0, model)
     best = None
-    for path in itertools.product(range(len(chat.ROLES)), repeat=len(seen)):
+    for path in itertools.product(range(chat.STATES), repeat=len(codes)):
         score = model.start[path[0]] + sum(s[r] for s, r in zip(seen, path)) + sum(model.move[a, b] for a, b in zip(path, path[1:]))
         if best is None or score > best[0] + 1e-9:
             best = (score, path)
-    return [chat.ROLES[i] for i in best[1]]
+    return list(best[1])
 
 
-def test_roles_match_brute_force_over_segments(spark, monkeypatch):
-    monkeypatch.setattr(chat, "SEGMENT", 3)
-    turns = spark.read.parquet(f"{FOLDER}/conversations.parquet").where("turn < 7")
-    raw = chat.raw_messages(turns)
-    model = chat.train(raw)
-    found = {(r["conv_id"], r["turn"]): r["role_found"] for r in chat.recover_roles(raw, model).collect()}
-    seen = {}
-    for r in raw.select("conv_id", "turn", *[c.alias(k) for k, c in chat.observed().items()]).orderBy("conv_id", "turn").collect():
-        seen.setdefault(r["conv_id"], []).append((r["turn"], sum(model.see[k][:, r[k]] for k in chat.FEATURES)))
-    for conv, rows in seen.items():
-        assert [found[conv, t] for t, _ in rows] == brute_viterbi([s for _, s in rows], model)
-
-
-def test_chat_round_trip_and_odd_rows(spark):
+def test_viterbi_matches_brute_force(spark):
+    model = chat.train(chat.as_transcripts(spark.read.parquet(f"{FOLDER}/conversations.parquet")))
+    rng = np.random.default_rng(2)
+    codes = [rng.integers(0, chat.MARKERS * 12, n).tolist() for n in (1, 2, 3, 4, 4, 4, 5)]
+    none = np.zeros((len(codes), chat.STATES))
+    got = chat.viterbi([chat.seen_scores(np.array(c), 0, model) for c in codes], model.move, none + model.start, none)
+    assert [g.tolist() for g in got] == [brute_states(c, model) for c in codes]
+
+
+def whole_turns(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["conv_id"] is not None, r["conv_id"] or 0, r["turn_found"], r["piece"])):
+        out.setdefault(r["conv_id"], []).append(r)
+    return out
+
+
+@pytest.mark.parametrize("segment", [3, 64])
+def test_transcripts_are_parsed_alike_in_segments_and_nothing_is_lost(spark, monkeypatch, segment):
+    monkeypatch.setattr(chat, "SEGMENT", segment)
+    chunks = chat.as_transcripts(spark.read.parquet(f"{FOLDER}/conversations.parquet"))
+    model = chat.train(chunks)
+    found = whole_turns(chat.parse(chunks, model).collect())
+    given = {}
+    for r in chunks.select("conv_id", "turn", "text", chat.line_codes(F.col("text")).alias("codes")).orderBy("conv_id", "turn").collect():
+        given.setdefault(r["conv_id"], []).append(r)
+    for conv, rows in given.items():
+        assert "\n".join(r["text"] for r in rows) == "\n".join(r["marker"] + r["text"] + r["blank"] for r in found[conv])
+        codes = np.array([c for r in rows for c in r["codes"]])
+        none = np.zeros((1, chat.STATES))
+        states = chat.viterbi([chat.seen_scores(codes, 0, model)], model.move, none + model.start, none)[0]
+        begins = [chat.ROLES[s] for s in states if s < chat.R]
+        assert [r["role_found"] for r in found[conv] if r["piece"] == 0] == begins
+        assert [r["turn_found"] for r in found[conv] if r["piece"] == 0] == list(range(len(begins)))
+
+
+def test_roles_of_held_out_conversations(spark):
     folder = "/root/testdata/sf0.01"
-    turns = spark.read.parquet(f"{folder}/conversations.parquet")
-    rows = queries()["op5_chat_format"](spark, folder).join(turns, ["conv_id", "turn"]).collect()
-    assert np.mean([r["role"] == r["role_found"] for r in rows]) >= 0.97 and len(rows) == turns.count()
-    assert all(r["rendered"] == f"<|{r['role_found']}|>\n{r['text']}\n" for r in rows)
-    odd = spark.createDataFrame([(1, 0, None, None), (1, None, "user", "User: x"), (None, 3, "odd", ""), (1, 0, None, None), (2, 5, "bot", "### Assistant\nhi")], "conv_id long, turn long, role string, text string")
+    rows = whole_turns(queries()["op5_chat_format"](spark, folder).collect())
+    good = lines = 0
+    true = {}
+    for r in spark.read.parquet(f"{folder}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        true.setdefault(r["conv_id"], []).extend([r["role"]] * (r["text"].count("\n") + 1))
+    for conv, want in true.items():
+        assert rows[conv][0]["held_out"] == (zlib.crc32(str(conv).encode()) % 4 == 2)
+        if rows[conv][0]["held_out"]:
+            got = [r["role_found"] for r in rows[conv] for _ in r["text"].split("\n")]
+            good, lines = good + sum(a == b for a, b in zip(want, got, strict=True)), lines + len(want)
+    assert good >= 0.93 * lines > 0
+
+
+def test_markers_and_genuine_text(spark):
+    model = chat.train(chat.as_transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")))
+    texts = [
+        "User: hi\nAssistant: hello\nUser: bye",
+        "Q: what?\nA: that.\nQ: so?\nA: yes.\nAnswer: 42 is it",
+        "Tool: 7\nAssistant: it is <|user|> 7\nsee <\\|x|>",
+        "### User\nhello there\n\n### Assistant\nAnswer: hi",
+    ]
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string")
+    parsed = chat.parse(df, model)
+    got = {c: [(r["role_found"], r["text"]) for r in rows] for c, rows in whole_turns(parsed.collect()).items()}
+    assert got[0] == [("user", "hi"), ("assistant", "hello"), ("user", "bye")]
+    assert got[1] == [("user", "what?"), ("assistant", "that."), ("user", "so?"), ("assistant", "yes.\nAnswer: 42 is it")]
+    assert got[2] == [("tool", "7"), ("assistant", "it is <|user|> 7\nsee <\\|x|>")]
+    assert got[3] == [("user", "hello there"), ("assistant", "Answer: hi")]
+    text = chat.parse(df, model).where("conv_id = 2 and turn_found = 1").select("rendered", chat.unescaped(chat.escaped(F.col("text"))).alias("back"), "text").first()
+    assert text["rendered"] == "<|assistant|>\nit is <\\|user|> 7\nsee <\\\\|x|>\n" and text["back"] == text["text"]
+
+
+def test_odd_chunks(spark):
+    odd = spark.createDataFrame([(1, 0, None, None), (1, None, "user", "User: x"), (1, None, "user", "User: y"), (None, 3, "odd", ""), (1, 0, None, None), (2, 5, "bot", "### Assistant\nhi"), (4, 1, "user", "x" * 200_000 + "\n" * 3000)], "conv_id long, turn long, role string, text string")
     model = chat.train(odd)
-    got = chat.recover_roles(odd.withColumn("segment", F.lit(9)), model).collect()
-    assert len(got) == 5 and all(r["role_found"] in chat.ROLES for r in got)
-    assert chat.recover_roles(odd.limit(0), chat.train(odd.limit(0))).count() == 0
-    cut = chat.split_transcripts(spark.createDataFrame([(1, "User: hi\nthere\nAssistant: yes\n\nmore")], "conv_id long, transcript string")).collect()
-    assert [r["text"] for r in cut] == ["User: hi\nthere", "Assistant: yes", "more"]
+    got = whole_turns(chat.parse(odd.withColumn("segment", F.lit(9)), model).collect())
+    assert set(got) == {None, 1, 2, 4} and all(r["role_found"] in chat.ROLES for rows in got.values() for r in rows)
+    assert sum(len(r["text"]) + len(r["blank"]) for r in got[4]) + len(got[4]) - 1 == 203_000
+    assert sorted(r["text"] for r in got[1] if r["marker"]) == ["x", "y"] and got[2][0]["role_found"] == "assistant"
+    assert chat.parse(odd.limit(0), chat.train(odd.limit(0))).count() == 0
