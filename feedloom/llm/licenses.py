@@ -1,12 +1,13 @@
-"""Licence scan: TF-IDF cosine of header lines and licence files to templates, then directory inheritance.
-
-Scored are every line, and every run of as many terms as a template has, across lines too, so that
-other words on the line or a line break within the wording do not hide a licence. Either can only
-reach the threshold if it holds one of the anchors: the heaviest terms of each template, chosen so
-that all its other terms together stay below the threshold (Cauchy-Schwarz). So files without an
-anchor are known to match nothing. Of the others, the passages that reach the threshold by template
-terms alone are candidates; document frequencies, of template terms and of all others that
-candidates hold, are counted over all files and joined to them.
+"""Licence scan: TF-IDF cosine of headers and licence files to templates, then directory inheritance.
+
+Scored are every line, every run of as many terms as a template has, across lines too, and the file
+as a whole, so that other words on the line or a line break within the wording do not hide a
+licence. Any of them can only reach the threshold if it holds one of the anchors: the heaviest terms
+of each template, chosen so that all its other terms together stay below the threshold
+(Cauchy-Schwarz). So files without an anchor are known to match nothing. Of the others, the passages that reach the
+threshold by template terms alone are candidates; document frequencies, of template terms and of all others that
+candidates hold, are counted over all files and joined to them. A passage that its sentence
+denies ("not released under ...") is no candidate. A line ``SPDX-License-Identifier: ...`` is taken as it says.
 Inheritance works on distinct directories: each is joined, by equality, with its ancestors.
 """
 
@@ -23,28 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, join_by_key
+from .license_texts import TEMPLATES
 
 THRESHOLD = 0.55
 TERM = r"[a-z0-9]+"
-#: Header lines of well-known licences (SPDX identifier, wording).
-TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3 or any later version."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. Released under the BSD 3-Clause License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-]
+#: Terms that deny what follows in the sentence, if at most REACH terms before it.
+DENIALS, REACH = {"not", "no", "never", "neither", "nor", "without", "cannot", "isn", "aren", "wasn", "weren"}, 4
+SPDX = r"(?im)^[^\w\n]*SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+-]+)*)"
+_TOKEN = re.compile(rf"({TERM})|[.;!?](?=\s|$)")
 
 
 def terms(text: str) -> list[str]:
@@ -72,6 +59,8 @@ class Matcher:
                 rest -= (w / norm) ** 2
                 self.by_term.setdefault(t, []).append((i, w / norm))
             self.wording.append(({t: w / norm for t, w in weight.items()}, len(terms(text)), own))
+        #: Denying terms that each template holds itself.
+        self.denials = [sum(t in DENIALS for t in terms(text)) for _, text in templates]
         self.anchors = sorted(set().union(*[own for _, _, own in self.wording]))
 
     def _runs(self, words: list[str], i: int) -> Iterator[tuple[int, float, bool]]:
@@ -106,39 +95,65 @@ class Matcher:
             at = start
             yield start, dot / math.sqrt(max(square, 1e-300)), not others
 
+    def _share(self, n: Counter) -> float:
+        """The highest cosine of term counts to a template by template terms alone."""
+        dot: dict[int, float] = {}
+        square = 0.0
+        for t, c in n.items():
+            if t in self.idf:
+                w = c * self.idf[t]
+                square += w * w
+                for i, v in self.by_term[t]:
+                    dot[i] = dot.get(i, 0.0) + w * v
+        return max(dot.values(), default=0.0) / math.sqrt(max(square, 1e-300))
+
     def candidates(self, text: str) -> list[str]:
-        """The lines and runs of a file that may match, in order, as terms joined by spaces; a whole template alone, as nothing is closer."""
-        lines = [terms(line) for line in text.splitlines()]
-        words = [t for line in lines for t in line]
+        """The whole file, lines and runs that may match, in order; the longest whole template alone, as nothing is closer.
+
+        Each is the number of the template that a run is meant for (nothing for the others), a tab, and terms joined by spaces.
+        """
+        words, sentence, line_ends = [], [], []
+        sentences = 0
+        for line in text.lower().splitlines():
+            for m in _TOKEN.finditer(line):
+                if m[1]:
+                    words.append(m[1])
+                    sentence.append(sentences)
+                else:
+                    sentences += 1
+            line_ends.append(len(words))
+        denials = np.cumsum([0, *[t in DENIALS for t in words]])
+
+        def denied(start: int, end: int, own: int) -> bool:
+            before = start
+            while before > 0 and start - before < REACH and sentence[before - 1] == sentence[start]:
+                before -= 1
+            return denials[start] > denials[before] or denials[end] - denials[start] > own
+
         held = set(words)
         found: list[tuple[int, int, str]] = []
-        for i, (_, size, own) in enumerate(self.wording):
+        for i, (weights, size, own) in enumerate(self.wording):
             if held.isdisjoint(own):
                 continue
+            allowed = self.denials[i]
             for start, share, closed in self._runs(words, i):
-                if share >= self.threshold - 1e-9:
-                    run = " ".join(words[start : start + size])
-                    if closed and share > 1 - 1e-9:
-                        found.append((-1, start, run))
-                    else:
-                        found.append((0, start, run))
+                if share >= self.threshold - 1e-9 and not denied(start, start + size, allowed):
+                    run = f"{i}\t" + " ".join(words[start : start + size])
+                    found.append((-size if closed and share > 1 - 1e-9 else 0, start, run))
         if any(x[0] < 0 for x in found):
             return [min(found)[2]]
-        at, known = 0, dict.fromkeys(self.anchors)
-        for line in lines:
-            if any(t in known for t in line):
-                n = Counter(t for t in line if t in self.idf)
-                dot: dict[int, float] = {}
-                for t, c in n.items():
-                    for i, v in self.by_term[t]:
-                        dot[i] = dot.get(i, 0.0) + c * self.idf[t] * v
-                if max(dot.values()) >= (self.threshold - 1e-9) * math.sqrt(sum((c * self.idf[t]) ** 2 for t, c in n.items())):
-                    found.append((0, at, " ".join(line)))
-            at += len(line)
+        at, known, most = 0, dict.fromkeys(self.anchors), max(self.denials)
+        for end in line_ends:
+            line = words[at:end]
+            if any(t in known for t in line) and self._share(Counter(line)) >= self.threshold - 1e-9 and not denied(at, end, 0 if len(line) < 30 else most):
+                found.append((0, at, "\t" + " ".join(line)))
+            at = end
+        if self._share(Counter(words)) >= self.threshold - 1e-9 and len(words) >= 30:
+            found.append((0, -1, "\t" + " ".join(words)))
         return list(dict.fromkeys(x[2] for x in sorted(found, key=lambda x: x[1])))
 
-    def best(self, line: str, frequency: dict[str, int] | None = None) -> tuple[str, float] | None:
-        """The closest template of one passage at or above the threshold; ties go to the first template.
+    def best(self, line: str, frequency: dict[str, int] | None = None, only: int | None = None) -> tuple[str, float] | None:
+        """The closest template (or ``only`` that one) of one passage at or above the threshold; ties go to the first template.
 
         ``frequency`` has the number of files that hold each term of no template; no file is taken to hold others.
         """
@@ -151,7 +166,10 @@ class Matcher:
             w = n * (self.idf[t] if t in self.idf else math.log((self.files + 1) / ((frequency or {}).get(t, 0) + 1)) + 0.05)
             norm += w * w
             for i, v in self.by_term.get(t, ()):
-                dot[i] = dot.get(i, 0.0) + w * v
+                if only is None or i == only:
+                    dot[i] = dot.get(i, 0.0) + w * v
+        if not dot:
+            return None
         i, score = max(dot.items(), key=lambda x: (round(x[1] / math.sqrt(norm), 12), -x[0]))
         score = min(1.0, score / math.sqrt(norm))
         return (self.names[i], score) if score >= self.threshold else None
@@ -160,7 +178,8 @@ class Matcher:
         """The closest template of any candidate of a file; ties go to the first passage."""
         best = None
         for passage in passages:
-            found = self.best(passage, frequency)
+            only, _, line = passage.partition("\t")
+            found = self.best(line, frequency, int(only) if only else None)
             if found and (best is None or found[1] > best[1] + 1e-12):
                 best = found
         return best
@@ -200,16 +219,17 @@ def scan(files: DataFrame, model: Matcher) -> DataFrame:
         best = [model.closest(list(x), k) or (None, np.nan) for x, k in zip(found, known, strict=True)]
         return pd.DataFrame(best, columns=["own_license", "own_score"]).astype({"own_license": "object"})
 
-    files = files.drop("own_license", "own_score")
-    rows = bounded_batches(files).withColumn("_found", passages(F.when(_holds(F.col("text"), model.anchors), F.col("text"))))
+    files = files.drop("own_license", "own_score").withColumn("_spdx", F.nullif(F.regexp_extract("text", SPDX, 1), F.lit("")))
+    rows = bounded_batches(files).withColumn("_found", passages(F.when(F.col("_spdx").isNull() & _holds(F.col("text"), model.anchors), F.col("text"))))
     found = cut(rows.select("_found").where("_found is not null").distinct())
-    words = F.array_distinct(F.flatten(F.transform("_found", lambda x: F.split(x, " "))))
+    words = F.array_distinct(F.flatten(F.transform("_found", lambda x: F.split(F.substring_index(x, "\t", -1), " "))))
     needed = found.select("_found", F.explode(F.array_except(words, F.array(*map(F.lit, sorted(model.idf))))).alias("_term"))
     counts = files.select(F.explode(_distinct_terms()).alias("_term")).join(needed.select("_term").distinct(), "_term", "left_semi").groupBy("_term").agg(F.count(F.lit(1)).alias("_n"))
     known = needed.join(counts, "_term").groupBy("_found").agg(F.collect_list(F.struct("_term", "_n")).alias("_k"))
     scored = cut(found.join(known, "_found", "left").select("_found", own("_found", F.col("_k._term"), F.col("_k._n")).alias("_own")))
     out = join_by_key(rows, scored, "_found", "text", "left").drop("_found")
-    return out.withColumns({"own_license": F.col("_own.own_license"), "own_score": F.when(F.col("_own.own_license").isNotNull(), F.col("_own.own_score"))}).drop("_own")
+    score = F.when(F.col("_spdx").isNotNull(), F.lit(1.0)).when(F.col("_own.own_license").isNotNull(), F.col("_own.own_score"))
+    return out.withColumns({"own_license": F.coalesce("_spdx", "_own.own_license"), "own_score": score}).drop("_own", "_spdx")
 
 
 def inherit(files: DataFrame) -> DataFrame:
@@ -228,7 +248,7 @@ def inherit(files: DataFrame) -> DataFrame:
     up = F.expr("transform(sequence(0, size(parts)), n -> array_join(slice(parts, 1, n), '/'))")
     chain = files.select("directory").where("directory is not null").distinct().withColumn("parts", parts).select("directory", F.explode(F.array_distinct(up)).alias("above"))
     nearest = chain.join(granted, "above").groupBy("directory").agg(F.max_by(F.struct("above", "inherited"), F.length("above")).alias("n"))
-    out = files.join(nearest, "directory", "left")
+    out = join_by_key(files, nearest, "directory", "path", "left")
     return out.withColumns(
         {
             "license": F.coalesce("own_license", F.col("n.inherited")),
@@ -240,7 +260,7 @@ def inherit(files: DataFrame) -> DataFrame:
 def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Licences of files (path, text): own_license, own_score, directory, license, license_from are added.
 
-    Null or empty text: no own licence. Very long texts: every line and run is scored. Null path: own
+    Null or empty text: no own licence. Very long texts: every line and run, and the whole, is scored. Null path: own
     licence only. Repeated rows and ties: each row has its result. Clashing columns are replaced.
     Empty table: no rows.
     """

@@ -491,7 +491,76 @@ def test_licence_scores_count_all_terms(spark):
     got = {r["path"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}["a"]
     model = licenses.Matcher(licenses.TEMPLATES, {t: 1 for t in ("released", "under", "the", "mit", "license")}, 101, licenses.THRESHOLD)
     assert got["own_license"] == "MIT" and abs(got["own_score"] - model.best("released today under the mit license", {"today": 71})[1]) < 1e-9
-    assert model.candidates("x Released under the MIT License y") == ["released under the mit license"]
+    assert model.candidates("x Released under the MIT License y") == ["0\treleased under the mit license"]
+
+
+def test_real_licence_texts(spark):
+    import pathlib
+
+    t = dict((n, t) for n, t in licenses.TEMPLATES)
+    folder = pathlib.Path("/usr/share/common-licenses")
+    rows = [("m/LICENSE", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + t["Unlicense"].replace("unencumbered", "unencumbered")), ("n/LICENSE", "The MIT License (MIT)\n\nCopyright (c) 1999-2024 A. N. Other\n\n" + [x for n, x in licenses.TEMPLATES if n == "MIT"][-1])]
+    want = {"m/LICENSE": "Unlicense", "n/LICENSE": "MIT"}
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("BSD", "BSD-3-Clause"), ("MPL-2.0", "MPL-2.0")):
+        if (folder / file).exists():
+            rows.append((f"{file}/COPYING", (folder / file).read_text()))
+            want[f"{file}/COPYING"] = name
+    rows += [
+        ("spdx.c", "// SPDX-License-Identifier: MIT\nint x;"), ("spdx2.c", "# SPDX-License-Identifier: (Apache-2.0 OR MIT)\n"), ("not.txt", "This file is not released under the MIT License."), ("nor.txt", "Never licensed under the Apache License, Version 2.0."),
+        ("warranty.txt", "There is no warranty. Released under the MIT License."), ("isc.c", "/*\n * Copyright (c) 2001 X\n *\n * " + t["ISC"].replace(". ", ".\n * ") + "\n */\ncode"),
+    ]
+    want |= {"spdx.c": "MIT", "spdx2.c": "Apache-2.0 OR MIT", "not.txt": None, "nor.txt": None, "warranty.txt": "MIT", "isc.c": "ISC"}
+    files = spark.createDataFrame(rows, "path string, text string")
+    prose = spark.read.parquet(f"{FOLDER}/documents.parquet").select(F.concat(F.lit("z/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    got = {r["path"]: r["own_license"] for r in licenses.scan_licenses(files.unionByName(prose)).where("path not like 'z/%'").collect()}
+    assert got == want
+
+
+def test_scan_and_inheritance_match_brute_force(spark):
+    rng = random.Random(11)
+    short = [(n, x) for n, x in licenses.TEMPLATES if len(licenses.terms(x)) < 14]
+    pool = sorted({w for _, x in short for w in licenses.terms(x)} - licenses.DENIALS) + ["zork", "quux", "blah"] * 6
+    files = []
+    for i in range(60):
+        folder = "/".join(rng.choice("ab") for _ in range(rng.randrange(0, 4)))
+        name = rng.choice(["LICENSE", "COPYING.txt", "x.c", "y.c", "z.c"])
+        text = "\n".join(rng.choice(short)[1] if rng.random() < 0.2 else " ".join(rng.choice(pool) for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(0, 4)))
+        files.append((f"{folder}/{i}{name}".lstrip("/") if name[0] in "xyz" else f"{folder}/{name}{i}".lstrip("/"), text))
+    held = [set(licenses.terms(t)) for _, t in files]
+    idf = lambda t: np.log((len(files) + 1) / (sum(t in h for h in held) + 1)) + 0.05
+
+    def cosine(a, b):
+        a, b = ({t: n * idf(t) for t, n in licenses.Counter(x).items()} for x in (a, b))
+        length = lambda v: np.sqrt(sum(x * x for x in v.values()))
+        return sum(w * b.get(t, 0) for t, w in a.items()) / max(1e-300, length(a) * length(b))
+
+    def own(text):
+        words, best = licenses.terms(text), (0.0, None)
+        passages = [licenses.terms(x) for x in text.splitlines()] + ([words] if len(words) >= 30 else [])
+        for name, wording in short:
+            size = len(licenses.terms(wording))
+            runs = [words[at : at + size] for at in range(len(words) - size + 1)]
+            for p in passages + runs:
+                best = max(best, (cosine(p, licenses.terms(wording)) if p else 0.0, name), key=lambda x: round(x[0], 9))
+        return best[0] if best[0] >= licenses.THRESHOLD else None
+
+    want = {p: own(t) for p, t in files}
+    df = spark.createDataFrame(files, "path string, text string")
+    got = {r["path"]: r for r in licenses.scan_licenses(df, short).collect()}
+    for path, score in want.items():
+        assert (got[path]["own_score"] is None) == (score is None) and (score is None or abs(got[path]["own_score"] - score) < 1e-6), path
+    for path, r in got.items():
+        if r["own_license"] is None:
+            folder, nearest = path.rsplit("/", 1)[0] if "/" in path else "", None
+            while True:
+                above = [(-o["own_score"], p) for p, o in got.items() if (p.rsplit("/", 1)[0] if "/" in p else "") == folder and o["own_license"] and re.match("(?i)(un)?licen[sc]e|copying", p.rsplit("/", 1)[-1])]
+                if above:
+                    nearest = got[min(above)[1]]["own_license"]
+                    break
+                if not folder:
+                    break
+                folder = folder.rsplit("/", 1)[0] if "/" in folder else ""
+            assert r["license"] == nearest, path
 
 
 # --- 5: chat
