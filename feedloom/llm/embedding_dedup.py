@@ -1,6 +1,7 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
-Vectors are rotated so that leading dimensions hold most of the variance. Equal vectors collapse
+Vectors are rotated so that leading dimensions hold most of the variance (those of each of the most
+frequent lengths, by their own axes; others stay as they are, which only prunes less). Equal vectors collapse
 to one representative with a count. The leading two rotated coordinates of the unit vectors form
 cells as wide as the largest distance of a linked pair, so links only join neighbouring cells; the
 vectors of a cell are dealt to tiles of about ``TILE`` rows. A pair of tiles is one task's group:
@@ -20,9 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, written
+from .common import bounded_batches, components, cut, written
 
-TILE = 768
+#: Rows and numbers of a tile at most.
+TILE, TILE_NUMBERS = 1536, 1 << 21
+#: Axes are found for so many lengths of vectors, the most frequent up to so many dimensions.
+LENGTHS, MOST_DIMS = 8, 1024
 #: Leading dimensions after which a bound is taken.
 STEPS = (8, 16, 32, 64, 128, 256, 512, 1024)
 _SURVIVORS = 1 << 16
@@ -35,29 +39,41 @@ def usable(column: str):
     return F.coalesce(F.col(column).isNotNull() & finite & F.exists(v, lambda x: x != 0.0), F.lit(False))
 
 
-def principal_axes(vectors: DataFrame, dims: int) -> np.ndarray:
-    """Eigenvectors of the second moments of all unit vectors, largest first (dims x dims)."""
+def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """Eigenvectors, largest first, of the second moments of all unit vectors of each of the ``LENGTHS`` most frequent lengths (dims) up to ``MOST_DIMS``."""
+    common = vectors.where(F.col("dims") <= MOST_DIMS).groupBy("dims").count().orderBy(F.col("count").desc(), "dims").limit(LENGTHS).collect()
+    wanted = [r["dims"] for r in common]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((dims, dims))
+        total = {d: np.zeros((d, d)) for d in wanted}
         for batch in batches:
-            x = _unit(_matrix(batch.embedding, dims))[0]
-            total += x.T @ x
-        i, j = np.indices(total.shape)
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
+            for d, some in batch.groupby("dims").embedding:
+                x = _unit(_matrix(some))[0]
+                total[d] += x.T @ x
+        for d, t in total.items():
+            if t.any():
+                yield pd.DataFrame({"dims": d, "i": range(d), "s": [row.tobytes() for row in t]})
 
-    sums = vectors.select("embedding").mapInPandas(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
-    moments = np.zeros((dims, dims))
-    for r in sums:
-        moments[r.i, r.j] = r.s
-    return np.ascontiguousarray(np.linalg.eigh((moments + moments.T) / 2)[1][:, ::-1])
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x) for x in rows.s], axis=0)
+        return pd.DataFrame({"dims": rows.dims[:1], "i": rows.i[:1], "s": [total.tobytes()]})
 
+    axes = {}
+    if wanted:
+        sums = bounded_batches(vectors.where(F.col("dims").isin(wanted)).select("dims", "embedding")).mapInPandas(run, "dims int, i int, s binary").groupBy("dims", "i").applyInPandas(add, "dims int, i int, s binary").collect()
+        for d in {r["dims"] for r in sums}:
+            m = np.stack([np.frombuffer(r["s"]) for r in sorted((r for r in sums if r["dims"] == d), key=lambda r: r["i"])])
+            axes[d] = np.ascontiguousarray(np.linalg.eigh((m + m.T) / 2)[1][:, ::-1])
+    return axes
 
-def _matrix(rows: pd.Series, dims: int) -> np.ndarray:
-    out = np.zeros((len(rows), dims))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out
+
+def _matrix(rows: pd.Series) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    return np.stack([np.asarray(r, np.float64) for r in rows])
+
+
+def _rotated(unit: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
+    return unit @ axes[unit.shape[1]] if unit.shape[1] in axes else unit
 
 
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,10 +84,10 @@ def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return y / np.where(norm == 0, 1, norm), norm
 
 
-def _tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def _tile_links(a: np.ndarray, b: np.ndarray, axes: dict[int, np.ndarray], threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of a and b whose cosine reaches the threshold; only i < j in one tile."""
     ua, ub = _unit(a)[0], _unit(b)[0]
-    ra, rb = ua @ axes, ub @ axes
+    ra, rb = _rotated(ua, axes), _rotated(ub, axes)
     steps = [s for s in STEPS if s < ra.shape[1]] + [ra.shape[1]]
     suffix = lambda r: np.sqrt(np.maximum(1 - np.cumsum(r * r, axis=1), 0)) + 1e-9
     sa, sb = suffix(ra), suffix(rb)
@@ -81,8 +97,9 @@ def _tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float
         alive &= np.triu(np.ones_like(alive), 1)
     rows, cols = np.nonzero(alive)
     kept = []
-    for at in range(0, len(rows), _SURVIVORS):
-        i, j = rows[at : at + _SURVIVORS], cols[at : at + _SURVIVORS]
+    some = max(1, min(_SURVIVORS, 2 * TILE_NUMBERS // a.shape[1]))
+    for at in range(0, len(rows), some):
+        i, j = rows[at : at + some], cols[at : at + some]
         acc = dot[i, j]
         for low, high in zip(steps[:-1], steps[1:], strict=True):
             acc = acc + np.einsum("ij,ij->i", ra[i, low:high], rb[j, low:high])
@@ -131,18 +148,21 @@ def embedding_near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataF
     valid = one.where("embedding is not null")
     same = F.struct("label", "embedding")
     reps = written(valid.groupBy("label", "dims", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    dims = reps.agg(F.max("dims")).first()[0] or 1
-    axes = principal_axes(reps, dims)
+    axes = principal_axes(reps)
     width = math.sqrt(max(2 - 2 * threshold, 0)) + 1e-6
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lead = np.floor(_unit(_matrix(batch.embedding, dims))[0] @ axes[:, :2] / width).astype(np.int32)
-            yield batch.assign(c0=lead[:, 0], c1=lead[:, -1] if dims > 1 else 0)
+            for _, some in batch.groupby("dims"):
+                unit = _unit(_matrix(some.embedding))[0]
+                near = axes.get(unit.shape[1])
+                lead = np.floor((unit[:, :2] if near is None else unit @ near[:, :2]) / width).astype(np.int32)
+                yield some.assign(c0=lead[:, 0], c1=lead[:, 1] if lead.shape[1] > 1 else 0)
 
     cell = ["label", "dims", "c0", "c1"]
-    placed = written(reps.mapInPandas(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reps.schema) + ", c0 int, c1 int"))
-    sizes = placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    placed = written(bounded_batches(reps).mapInPandas(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reps.schema) + ", c0 int, c1 int"))
+    rows_a_tile = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_NUMBERS) / F.col("dims"))))
+    sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).select(*cell, F.ceil(F.col("n") / rows_a_tile).cast("int").alias("tiles"))
     tile = placed.join(sizes, cell).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     tile = cut(tile.select("rep", "copies", "embedding", F.xxhash64(*cell, "tile").alias("id"), *cell, "tile"))
     names = cut(tile.select("id", *cell, "tile").distinct())
@@ -160,7 +180,7 @@ def embedding_near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataF
         same = not len(b)
         b = a if same else b
         na, nb = a.rep.to_numpy(np.int64), b.rep.to_numpy(np.int64)
-        i, j = _tile_links(_matrix(a.embedding, dims), _matrix(b.embedding, dims), axes, threshold, same)
+        i, j = _tile_links(_matrix(a.embedding), _matrix(b.embedding), axes, threshold, same)
         if not len(i):
             return pd.DataFrame({"rep": [], "links": [], "to": []}).astype("int64")
         ca, cb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)

@@ -15,11 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, crc_remainder, mix, text_chunks
+from .common import Words, bounded_batches, crc_remainder, discard, mix, text_chunks, written
 
 BITS = 16
-#: At most so many labelled texts are fitted: those first in the order of a hash of their id.
-MAX_LABELLED = 4000
+#: At most so many labelled texts are fitted, with at most so many features in all: those first in the order of a hash of their id.
+MAX_LABELLED, MAX_FEATURES = 4000, 8_000_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,6 +35,7 @@ def hashed_features(texts: list[str | None], bits: int = BITS) -> list[np.ndarra
     if len(start):
         last, first = raw.data[end - 1].astype(np.uint64), (raw.data[start] >= 65) & (raw.data[start] <= 90)
         same = np.concatenate([[False], words.hash[1:] == words.hash[:-1]])
+        same[words.first[:-1][words.first[:-1] < len(start)]] = False
     else:
         last, first, same = np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
     case = np.where(2 * capitals > length, 2, first.astype(np.int64)).astype(np.uint64)
@@ -72,12 +73,13 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, p
     return weights(np.arange((1 << bits) + 1))
 
 
-def train(docs: DataFrame, labels: DataFrame, held: int = 1, of: int = 3, max_labelled: int = MAX_LABELLED, bits: int = BITS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, held: int = 1, of: int = 3, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, bits: int = BITS) -> np.ndarray:
     """Fit on labelled documents whose crc32(doc_id as text) modulo ``of`` is not ``held``.
 
-    The ``max_labelled`` of them that come first in the order of a hash of doc_id are used, so the
-    fit needs bounded memory on the driver. Rows of other or null labels are not used. Without
-    rows all weights are 0 and every score 0.5.
+    Those that come first in the order of a hash of doc_id are used, at most ``max_labelled`` whole texts with
+    together at most ``max_features`` distinct features a text (8 bytes each; the first text always counts), so the fit needs bounded memory
+    on the driver. Rows of other or null labels are not used. Repeated rows count each. Without rows
+    all weights are 0 and every score 0.5.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").where(crc_remainder("doc_id", of) != held)
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
@@ -94,8 +96,17 @@ def train(docs: DataFrame, labels: DataFrame, held: int = 1, of: int = 3, max_la
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
-    rows = bounded_batches(joined).mapInPandas(run, "doc_id long, quality int, at binary, value binary").orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id", "quality", "at").limit(max_labelled).collect()
-    return ftrl([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32).astype(np.float64), r["quality"]) for r in rows], bits)
+    order = F.struct(F.xxhash64(F.lit(17), "doc_id").alias("h"), "doc_id", "quality", F.xxhash64("at", "value").alias("x"))
+    rows = written(bounded_batches(joined).mapInPandas(run, "doc_id long, quality int, at binary, value binary").withColumn("place", order))
+    sizes = rows.select("place", (F.octet_length("at") / 4).cast("long").alias("n")).orderBy("place").limit(max_labelled).collect()
+    fits = int((np.cumsum([r["n"] for r in sizes]) <= max_features).sum())
+    if not sizes:
+        return ftrl([], bits)
+    last = sizes[max(fits, 1) - 1]["place"]
+    end = F.struct(*[F.lit(last[c]).cast(rows.schema["place"].dataType[c].dataType).alias(c) for c in ("h", "doc_id", "quality", "x")])
+    found = sorted(rows.where(F.col("place") <= end).orderBy("place").limit(max(fits, 1)).collect(), key=lambda r: tuple(r["place"]))
+    discard(rows)
+    return ftrl([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32).astype(np.float64), r["quality"]) for r in found], bits)
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:

@@ -5,8 +5,10 @@ as a posting (row and dimension, value), ordered by descending quantised impact
 value in ``LEVELS`` steps), with the borders of the segments. A group of queries meets a block in
 one task: segments are added to the accumulators from the highest impact down. After each segment
 the part of every vector not yet seen is bounded by its length times the query's length, so each
-score is known within a margin. Processing stops when few rows can still reach a query's k-th
-best lower bound, or at the end; those possible members are rescored exactly in integers.
+score is known within a margin, rounding included. Rows that cannot reach any query's k-th best
+lower bound are left, and their further postings are not read. Processing stops when few rows are
+possible, or at the end; those possible members are rescored exactly in integers. Every query first
+meets one block alone; its k-th best score there is a bound that all other blocks start from.
 """
 
 from __future__ import annotations
@@ -21,7 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BLOCK, QUERIES, LEVELS = 4096, 1024, 8
+BLOCK, LEVELS = 4096, 8
+#: Queries that meet a block in one task, and how many of them at a time.
+QUERIES, CHUNK = 16384, 512
+_EPS = 2.0**-52
 #: A block is left for rescoring when at most this many rows per query and result can still be members.
 SLACK = 4
 
@@ -69,39 +74,72 @@ def index(vectors: DataFrame) -> DataFrame:
     return vectors.mapInPandas(run, "block long, ids binary, rows int, dims int, places binary, values binary, borders array<int>")
 
 
-def _search(qid: np.ndarray, q: np.ndarray, block: pd.Series, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query row, vector id and exact score of every query's k best rows of one block."""
+def _search(qid: np.ndarray, q: np.ndarray, block: pd.Series, k: int, floor: np.ndarray | None = None, read: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, vector id and exact score of every query's k best rows of one block, without those surely below ``floor``.
+
+    ``read`` is given the number of postings that were added up for each level and chunk of queries.
+    """
     ids = np.frombuffer(block["ids"], np.int64)
     n, dims = int(block["rows"]), int(block["dims"])
     place = np.frombuffer(block["places"], np.int32)
     value = np.frombuffer(block["values"], np.int16 if len(block["values"]) == 2 * len(place) else np.int64).astype(np.int64)
     q = q[:, :dims] if q.shape[1] >= dims else np.pad(q, ((0, 0), (0, dims - q.shape[1])))
+    dense = np.zeros(n * dims, np.int64)
+    dense[place] = value
+    dense = dense.reshape(n, dims)
+    square = value.astype(np.float64) ** 2
+    whole = np.sqrt(np.bincount(place // dims, square, minlength=n))
+    found = []
+    for at in range(0, len(q), CHUNK):
+        s = slice(at, at + CHUNK)
+        row, vec, score = _walk(qid[s], q[s], None if floor is None else floor[s], ids, dense, place, value, square, whole, block["borders"], k, read)
+        found.append((row + at, vec, score))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _walk(qid: np.ndarray, q: np.ndarray, floor: np.ndarray | None, ids: np.ndarray, dense: np.ndarray, place: np.ndarray, value: np.ndarray, square: np.ndarray, whole: np.ndarray, borders: list[int], k: int, read: list[int] | None):
+    """``_search`` for one chunk of queries."""
+    n, dims = dense.shape
     qf = q.astype(np.float64)
     length = np.sqrt((qf * qf).sum(axis=1))[:, None]
+    #: Rounding of a sum of dims * LEVELS products is at most this share of the product of both lengths.
+    rounding = (2 * dims + 4 * LEVELS + 8) * _EPS
+    alive = np.arange(n)
     acc = np.zeros((len(q), n))
-    unseen = np.bincount(place // dims, value.astype(np.float64) ** 2, minlength=n)
+    unseen = whole * whole
+    owner, dim = place // dims, place % dims
+    row_at = np.arange(n)
     own = qid[:, None] == ids[None, :]
-    low, take = 0, min(k, n)
-    for high in block["borders"]:
+    low = 0
+    possible = ~own
+    for high in borders:
         if high == low and high < len(place):
             continue
-        segment = np.zeros(n * dims)
-        segment[place[low:high]] = value[low:high]
-        acc += qf @ segment.reshape(n, dims).T
-        unseen -= np.bincount(place[low:high] // dims, value[low:high].astype(np.float64) ** 2, minlength=n)
+        mine = row_at[owner[low:high]]
+        here = mine >= 0
+        segment = np.zeros((len(alive), dims))
+        segment[mine[here], dim[low:high][here]] = value[low:high][here]
+        if read is not None:
+            read.append(int(here.sum()))
+        acc += qf @ segment.T
+        unseen -= np.bincount(mine[here], square[low:high][here], minlength=len(alive))
         low = high
-        margin = length * np.sqrt(np.maximum(unseen, 0))[None, :] * (1 + 1e-9) + 1e-6
+        w = whole[alive]
+        margin = length * (np.sqrt(np.maximum(unseen, 0) + rounding * w * w) + rounding * w)[None, :] * (1 + 1e-9)
         least = np.where(own, -np.inf, acc - margin)
-        kth = np.partition(least, n - take, axis=1)[:, n - take]
-        possible = (acc + margin >= kth[:, None]) & ~own
+        take = min(k, len(alive))
+        kth = np.partition(least, len(alive) - take, axis=1)[:, len(alive) - take] if take == k else np.full(len(q), -np.inf)
+        bound = kth if floor is None else np.maximum(kth, floor)
+        possible = (acc + margin >= bound[:, None]) & ~own
         if low == len(place) or possible.sum() <= SLACK * k * len(q):
             break
-    else:
-        possible = ~own  # a block of zero vectors has no posting
+        keep = possible.any(axis=0)
+        if not keep.all():
+            alive, acc, unseen, own, possible = alive[keep], acc[:, keep], unseen[keep], own[:, keep], possible[:, keep]
+            row_at = np.full(n, -1)
+            row_at[alive] = np.arange(len(alive))
     row, col = np.nonzero(possible)
-    dense = np.zeros(n * dims, np.int64)
-    dense[place] = value
-    dense = dense.reshape(n, dims)
+    col = alive[col]
     score = np.empty(len(row), np.int64)
     for at in range(0, len(row), 1 << 16):
         s = slice(at, at + (1 << 16))
@@ -140,9 +178,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
 
     packed = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).groupBy("part")
     packed = written(packed.applyInPandas(gather, "part int, ids binary, q binary, dims int"))
-    meets = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    queries = meets.select("block", "part").join(packed, "part")
-    both = meets.unionByName(queries, allowMissingColumns=True).groupBy("block", "part")
+    first = blocks.agg(F.min("block")).first()[0]
+
+    def meet(some: DataFrame, packed: DataFrame) -> DataFrame:
+        meets = some.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        queries = meets.select("block", "part").join(packed, "part")
+        both = meets.unionByName(queries, allowMissingColumns=True).groupBy("block", "part")
+        return both.applyInPandas(search, "query_id long, vec_id long, score long")
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         q, blocks = rows[rows.q.notna()], rows[rows.q.isna()]
@@ -150,10 +192,26 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         qid = np.frombuffer(q.ids.iloc[0], np.int64)
         m = np.frombuffer(q.q.iloc[0], np.int64).reshape(len(qid), -1)
-        row, vec, score = _search(qid, m, blocks.iloc[0], k)
+        floor = None
+        if "floors" in q.columns and q.floors.iloc[0] is not None:
+            floor = np.frombuffer(q.floors.iloc[0], np.float64)
+        row, vec, score = _search(qid, m, blocks.iloc[0], k, floor)
         return pd.DataFrame({"query_id": qid[row], "vec_id": vec, "score": score})
 
-    found = both.applyInPandas(search, "query_id long, vec_id long, score long")
+    def bounds(rows: pd.DataFrame) -> pd.DataFrame:
+        """One group of queries with its floors: the k-th best score of each so far, less what rounding may hide."""
+        scored, one = rows[rows.q.isna()], rows[rows.q.notna()].iloc[0]
+        known = dict(zip(scored.query_id, scored.kth, strict=True))
+        floors = np.array([float(known.get(i, -np.inf)) for i in np.frombuffer(one.ids, np.int64)])
+        floors -= np.abs(np.where(np.isfinite(floors), floors, 0)) * 2 * _EPS
+        return pd.DataFrame([(int(one.part), one.ids, one.q, int(one.dims), floors.tobytes())], columns=["part", "ids", "q", "dims", "floors"])
+
+    found = written(meet(blocks.where(F.col("block") == F.lit(first)), packed))
+    kth = found.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    kth = kth.select("query_id", "kth", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"))
+    none = F.lit(0).cast("long")
+    bounded = packed.withColumns({"query_id": none, "kth": none}).unionByName(kth, allowMissingColumns=True).groupBy("part").applyInPandas(bounds, "part int, ids binary, q binary, dims int, floors binary")
+    found = found.unionByName(meet(blocks.where(F.col("block") != F.lit(first)), written(bounded)))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -211,6 +211,17 @@ def test_embedding_links_match_brute_force(spark):
     assert embedding_dedup.embedding_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_very_long_vector_among_others(spark):
+    rng = np.random.default_rng(8)
+    long = rng.normal(size=50_000)
+    rows = [(i, [float(v) for v in rng.normal(size=8)], 1) for i in range(50)] + [(100, [float(v) for v in long], 1), (101, [float(v) * 2 + 1e-3 for v in long], 1), (102, [1.0] * 1500, 1), (103, [1.0] * 1500, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_near_duplicates(df).collect()}
+    assert got[100] == (1, 100) and got[101] == (1, 100) and got[102] == (1, 102) and got[103] == (1, 102)
+    axes = embedding_dedup.principal_axes(df.withColumn("dims", F.size("embedding")))
+    assert set(axes) == {8} and np.allclose(axes[8].T @ axes[8], np.eye(8), atol=1e-9)
+
+
 # --- 1: top k
 
 
@@ -230,20 +241,47 @@ def test_top_k_matches_brute_force_with_ties(spark):
     assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.where("vec_id = 0")).count() == 0
 
 
-def test_search_stops_early_and_stays_exact():
-    rng = np.random.default_rng(6)
-    m = (rng.normal(size=(2000, 16)) ** 3 * 256).astype(np.int64)
-    ids = np.arange(2000)
+def posting_block(ids, m):
     flat = m.ravel()
     place = np.flatnonzero(flat)
     level = np.ceil(np.abs(flat[place]) * (topk.LEVELS / np.abs(flat).max())).astype(int)
     order = np.argsort(-level, kind="stable")
-    block = {"ids": ids.tobytes(), "rows": 2000, "dims": 16, "places": place[order].astype(np.int32).tobytes(), "values": flat[place[order]].astype(np.int64).tobytes(), "borders": np.searchsorted(-level[order], -np.arange(topk.LEVELS, 0, -1), "right").tolist()}
-    row, vec, score = topk._search(ids[:20], m[:20], block, 5)
-    full = m[:20] @ m.T
+    return {"ids": ids.tobytes(), "rows": len(m), "dims": m.shape[1], "places": place[order].astype(np.int32).tobytes(), "values": flat[place[order]].astype(np.int64).tobytes(), "borders": np.searchsorted(-level[order], -np.arange(topk.LEVELS, 0, -1), "right").tolist()}
+
+
+@pytest.mark.parametrize("scale", [256, 2**29])
+def test_search_stops_early_and_stays_exact(monkeypatch, scale):
+    monkeypatch.setattr(topk, "CHUNK", 7)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 16)) ** 3
+    m = (x / np.abs(x).max() * scale).astype(np.int64) if scale > 256 else (x * scale).astype(np.int64)
+    m[1000:1010] = m[:10] + 1  # near ties
+    ids = np.arange(2000)
+    read = []
+    row, vec, score = topk._search(ids[:20], m[:20], posting_block(ids, m), 5, None, read)
+    full = m[:20].astype(object) @ m.T.astype(object)
     for q in range(20):
         want = sorted((-int(full[q, j]), j) for j in range(2000) if j != q)[:5]
         assert [(-int(s), int(v)) for r, v, s in zip(row, vec, score) if r == q] == want
+    assert sum(read) < 0.8 * 3 * np.count_nonzero(m)
+    floor = np.array([float(sorted(-int(full[q, j]) for j in range(2000) if j != q)[4]) * -1 for q in range(20)])
+    less = []
+    again = topk._search(ids[:20], m[:20], posting_block(ids, m), 5, floor - np.abs(floor) * 2**-50, less)
+    assert [a.tolist() for a in again] == [row.tolist(), vec.tolist(), score.tolist()] and sum(less) <= sum(read)
+
+
+def test_top_k_of_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [3.0]), (2, [3.0, 0.0, 7.0]), (3, []), (4, [-1.0, -1.0]), (50, [2.0**20, 2.0**20]), (5, [2.0**21, 1.0]), (6, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = {}
+    for r in topk.top_k(df).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    wide = lambda v: [int(256 * x) for x in v] + [0] * (3 - len(v))
+    for q in (0, 50):
+        mine = wide(dict(rows)[q])
+        want = sorted((-sum(a * b for a, b in zip(mine, wide(v))), i) for i, v in rows if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
 
 
 # --- 3: mixing
@@ -337,6 +375,88 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_quality_matches_a_plain_version(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abC.") for _ in range(rng.randrange(1, 6)))
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(0, 40)))) for i in range(60)] + [(70, "x y " * 30_000), (71, None), (3, "again a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(75)] + [(3, 1, 0)], "doc_id long, quality int, toxic int")
+    known = [(r["doc_id"], r["text"], r["quality"]) for r in docs.join(labels.distinct(), "doc_id").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    values = {}
+    for d, t, y in known:
+        f = quality.hashed_features([t])[0].tolist()
+        values[d, t, y] = {i: np.float64(np.float32(np.sqrt(f.count(i) / max(1, len(f))))) for i in (sorted(set(f)) if len(f) < 9000 else np.unique(f).tolist())}
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id").alias("h")).distinct().collect()}
+    trained = quality.train(docs, labels)
+    ties = {k for k in values if sum(k[0] == o[0] for o in values) > 1}
+    order = sorted(values, key=lambda k: (hashes[k[0]], k[0], k[2]))
+    z, n = {}, {}
+    size = 1 << quality.BITS
+
+    def weight(i, l1=0.002, alpha=0.5):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - np.sign(zi) * l1) / ((1.0 + np.sqrt(n.get(i, 0.0))) / alpha)
+
+    for _ in range(5):
+        for k in order:
+            x = {**values[k], size: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - k[2]) * v
+                sigma = (np.sqrt(n.get(i, 0.0) + g * g) - np.sqrt(n.get(i, 0.0))) / 0.5
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    plain = np.array([weight(i) for i in range(size + 1)])
+    if not ties:
+        assert np.allclose(trained, plain, atol=1e-6)
+    for r in quality.score_quality(docs, trained).collect():
+        f = quality.hashed_features([r["text"]])[0]
+        at, c = np.unique(f, return_counts=True)
+        dot = trained[-1] + (trained[at] * np.sqrt(c / max(1, len(f)))).sum()
+        assert abs(r["score"] - 1 / (1 + np.exp(-dot))) < 1e-9
+    few = quality.train(docs, labels, max_features=300)
+    assert np.count_nonzero(few) < np.count_nonzero(trained) and np.count_nonzero(quality.train(docs, labels, max_features=0)) > 0
+
+
+def test_language_matches_a_plain_version_and_keeps_short_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs)
+    rows = docs.limit(40).collect()
+    got = {r["doc_id"]: r for r in language.identify(docs.where(F.col("doc_id").isin([r["doc_id"] for r in rows])), model).collect()}
+    for r in rows:
+        data = [c if c >= 128 or 97 <= c <= 122 else 32 for c in r["text"].lower().encode()]
+        grams = {}
+        for size, tag in ((1, 25), (2, 26), (3, None)):
+            for at in range(len(data) - size + 1):
+                g = data[at : at + size]
+                if any(c != 32 for c in g):
+                    v = int.from_bytes(bytes(g), "big") + (1 << tag if tag else 0)
+                    h = (v * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - language.BITS)
+                    grams[h] = grams.get(h, 0) + 1
+        v = {h: np.log1p(c) * model.idf[h] for h, c in grams.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        cosine = [sum(x * float(c[h]) for h, x in v.items()) / max(norm, 1e-12) for c in model.centroids]
+        best = int(np.argmax(cosine))
+        assert abs(got[r["doc_id"]]["score"] - min(1, max(0, cosine[best]))) < 1e-3
+        assert got[r["doc_id"]]["lang_pred"] == model.languages[best] or sorted(cosine)[-1] - sorted(cosine)[-2] < 1e-4
+    for size, most in ((5, 0.03), (10, 0.01), (40, 0.01)):
+        short = docs.where(F.length("text") >= size).select(F.substring("text", 1, size).alias("text")).where(F.col("text").rlike(r"\p{L}"))
+        found = language.identify(short, model)
+        assert found.where("rejected").count() <= most * short.count()
+    odd = ["The quick brown fox jumps over the lazy dog.", "Съешь же ещё этих мягких французских булок, да выпей чаю", "いろはにほへと ちりぬるを わかよたれそ", "xq zzkj wqx qqzx jjkq vvxz qxzj kqvx zzxq"]
+    rejected = [r["rejected"] for r in language.identify(spark.createDataFrame([(t,) for t in odd], "text string").coalesce(1), model).collect()]
+    assert rejected[0] is False and rejected[1] and rejected[2]
+
+
+def test_language_sample_of_repeated_rows(spark):
+    one = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(one, f"hello there number {i % 3} of the rows", "en") for i in range(3000)] + [(i, f"guten tag zusammen {i}", "de") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert set(model.languages) == {"de", "en"} and len([x for x in model.languages if x == "en"]) <= 3
+
+
 def test_language_of_odd_documents(spark):
     model = language.train(spark.read.parquet(f"{FOLDER}/documents.parquet"))
     got = {r["doc_id"]: r for r in language.identify(clashing(odd_documents(spark)), model).collect()}
