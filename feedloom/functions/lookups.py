@@ -42,9 +42,9 @@ MEASURES = ["length", "width", "height", "weight"]
 NUMERIC_FIELDS = ["list_price", "length", "width", "height", "weight", "selling_qty"]
 BARCODE_FIELDS = ["upc", "ean", "gtin"]
 
-# Cells that stand for no value (lower case), beside "-- unbranded --" and "-- no <name> brand --".
-PLACEHOLDERS = ["-", "--", "---", "n/a", "na", "n.a.", "none", "null", "nil", "tbd", "not applicable", "notavailable", "unknown", "", "#n/a", "#na"]
-PLACEHOLDER_BRAND = r"^-- (unbranded|no [a-z0-9]+ brand) --$"
+# Cells that stand for no value (lower case), the three brands among them.
+PLACEHOLDER_BRANDS = ["-- unbranded --", "-- no unilog brand --", "-- no dib brand --"]
+PLACEHOLDERS = PLACEHOLDER_BRANDS + ["-", "--", "---", "n/a", "na", "n.a.", "none", "null", "nil", "tbd", "not applicable", "notavailable", "unknown", "", "#n/a", "#na"]
 
 # Company suffixes left out of name keys.
 NAME_SUFFIXES = "inc incorporated llc ltd limited gmbh co corp corporation company ag bv plc kg ug".split()

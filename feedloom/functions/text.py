@@ -44,7 +44,7 @@ def clean(c: Column, ascii_only: bool = False) -> Column:
     """A cell without invisible characters and outer space; null for placeholders and empty cells."""
     s = trim(F.regexp_replace(F.regexp_replace(nfkc(c, ascii_only), _INVISIBLE, ""), "\r\n", "\n"))
     low = F.lower(s)
-    return F.when(low.isin(L.PLACEHOLDERS) | low.rlike(L.PLACEHOLDER_BRAND), F.lit(None).cast("string")).otherwise(s)
+    return F.when(low.isin(L.PLACEHOLDERS), F.lit(None).cast("string")).otherwise(s)
 
 
 def base_key(c: Column, ascii_only: bool = False) -> Column:

@@ -17,23 +17,23 @@ def _present(c: str | Column) -> Column:
     return c.isNotNull() & (F.trim(c.cast("string")) != "")
 
 
-def seed_products(resolved: DataFrame, fields: list[str]) -> DataFrame:
-    """One product per row_idx of resolved (row_idx, field, value, number, uom, status).
+def seed_products(resolved: DataFrame, fields: list[str], retrieved_at: str | None = None) -> DataFrame:
+    """One product per row of resolved (row_idx, fields), as ``normalize.resolve_rows`` gives them.
 
     Every field becomes a text column (null if invalid), measures get a ``_uom`` column, and two
-    maps hold the status of all fields and the provenance of present ones: source type input,
-    confidence 0.99 if verified and 0.5 otherwise. prop_65 is read as yes or no. Fields without a
-    cell are unresolved.
+    maps hold the status of all fields and the provenance of present ones: source_type input, no source_url or source_title, the
+    raw cells as evidence, confidence 0.99 if verified and 0.5 otherwise, and ``retrieved_at``. prop_65 is read as yes or no. Fields
+    without a cell are unresolved. All of it is local to the row.
     """
-    text = F.when(F.col("status") != "invalid", F.coalesce("value", F.col("number").cast("string")))
-    rows = resolved.where(F.col("field").isin(fields)).withColumn("_v", text)
-    pick = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
-    columns = [pick(f, "_v").alias(f) for f in fields] + [pick(f, "uom").alias(f"{f}_uom") for f in fields if f in L.MEASURES]
-    known = F.map_from_entries(F.collect_list(F.struct("field", "status")))
-    provenance = F.map_from_entries(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("field", F.struct(F.lit("input").alias("source_type"), F.when(F.col("status") == "verified", 0.99).otherwise(0.5).alias("confidence"))))))
-    out = rows.groupBy("row_idx").agg(*columns, known.alias("value_status"), provenance.alias("field_provenance"))
-    unset = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.lit("unresolved")] * len(fields)))
-    out = out.withColumn("value_status", F.map_zip_with(unset, "value_status", lambda k, a, b: F.coalesce(b, a)))
+    known = F.map_from_entries(F.transform(F.filter("fields", lambda f: f["field"].isin(fields)), lambda f: F.struct(f["field"].alias("key"), f.alias("value"))))
+    rows = resolved.withColumn("_f", known)
+    entry = lambda f: F.try_element_at("_f", F.lit(f))
+    text = lambda e: F.when(e["status"] != "invalid", F.coalesce(e["value"], e["number"].cast("string")))
+    columns = [text(entry(f)).alias(f) for f in fields] + [entry(f)["uom"].alias(f"{f}_uom") for f in fields if f in L.MEASURES]
+    status = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.coalesce(entry(f)["status"], F.lit("unresolved")) for f in fields]))
+    source = lambda e: F.struct(F.lit("input").alias("source_type"), F.lit(None).cast("string").alias("source_url"), F.lit(None).cast("string").alias("source_title"), F.array_join(F.transform(e["contributions"], lambda c: F.concat(c["column"], F.lit(": "), c["raw"])), "; ").alias("evidence"), F.when(e["status"] == "verified", 0.99).otherwise(0.5).alias("confidence"), F.lit(retrieved_at).cast("timestamp").alias("retrieved_at"))
+    provenance = F.transform_values(F.map_filter("_f", lambda k, e: text(e).isNotNull()), lambda k, e: source(e))
+    out = rows.select("row_idx", *columns, status.alias("value_status"), provenance.alias("field_provenance"))
     if "prop_65" in fields:
         p = F.lower(F.trim("prop_65"))
         out = out.withColumn("prop_65", F.when(p.isin("yes", "y", "true", "1"), "true").when(p.isin("no", "n", "false", "0"), "false"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The delivery headers in order; the runs of features and attributes follow a rule.
@@ -92,20 +92,22 @@ def brand_passthrough(delivery: DataFrame, feed: DataFrame, columns: dict[str, s
 def status_totals(products: DataFrame) -> DataFrame:
     """(field, status, cells) over all 252 headers of products with value_status, by field and, with a null field, in all.
 
-    Statuses are counted by field first; a field then counts once for each of its headers, so the
-    products are never multiplied by the layout.
+    Statuses are counted by field first, and so are the products themselves; a field then counts once for each of
+    its headers, so the products are never multiplied by the layout. What follows works on one row for each field and status.
     """
     spark = products.sparkSession
     shown: dict[str, int] = {}
     for f in HEADER_FIELD.values():
         shown[f] = shown.get(f, 0) + 1
-    headers = spark.createDataFrame(list(shown.items()), "field string, headers int")
-    n = products.count()
-    known = products.select(F.explode("value_status").alias("field", "status")).groupBy("field", "status").agg(F.count(F.lit(1)).alias("n"))
-    known = headers.join(known, "field", "left").select("field", "status", (F.coalesce("n", F.lit(0)) * F.col("headers")).alias("cells"), "headers")
-    unknown = known.groupBy("field", "headers").agg(F.sum("cells").alias("c")).select("field", F.lit("unresolved").alias("status"), (F.lit(n) * F.col("headers") - F.col("c")).alias("cells"))
-    fixed = spark.createDataFrame([("static_empty", n * (len(HEADERS) - len(HEADER_FIELD)))], "status string, cells long")
-    rows = known.where("status is not null").select("field", "status", "cells").unionByName(unknown).unionByName(fixed.select(F.lit("(none)").alias("field"), "status", "cells")).where("cells > 0")
+    entries = F.map_concat(F.map_from_arrays(F.array(F.lit("(none)")), F.array(F.lit("static_empty"))), "value_status")
+    counts = products.select(F.explode(entries).alias("field", "status")).groupBy("field", "status").agg(F.count(F.lit(1)).alias("n"))
+    fixed = [("(none)", len(HEADERS) - len(HEADER_FIELD))]
+    headers = spark.createDataFrame(list(shown.items()) + fixed, "field string, headers int")
+    known = headers.join(counts, "field", "left").select("field", "status", F.coalesce("n", F.lit(0)).alias("n"), "headers")
+    all_rows = F.max(F.when(F.col("field") == "(none)", F.col("n"))).over(Window.partitionBy(F.lit(0)))
+    known = known.withColumns({"all": F.coalesce(all_rows, F.lit(0)), "told": F.sum("n").over(Window.partitionBy("field"))})
+    unknown = known.select("field", F.lit("unresolved").alias("status"), ((F.col("all") - F.col("told")) * F.col("headers")).alias("cells")).distinct()
+    rows = known.where("status is not null").select("field", "status", (F.col("n") * F.col("headers")).alias("cells")).unionByName(unknown).where("cells > 0")
     return rows.groupingSets([[F.col("field"), F.col("status")], [F.col("status")]], "field", "status").agg(F.sum("cells").cast("long").alias("cells"))
 
 

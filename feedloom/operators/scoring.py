@@ -40,38 +40,70 @@ def compare_numbers(expected: Column, actual: Column) -> Column:
     return F.when(e.isNull() & a.isNull(), "exact_match").when(e.isNull(), "extra_in_output").when(a.isNull(), "missing_in_output").when(e == a, "exact_match").when(off <= 0.05, "close_match").otherwise("mismatch")
 
 
-def compare_attributes(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """(item_id, field_name, match_type) of attributes by lower-case label.
+def _attribute_scores(expected: Column, actual: Column) -> Column:
+    """(field_name, match_type) of arrays of (label, value, uom, seq) by lower-case label.
 
     The last actual value of a label counts; every expected one is scored. The unit's result
     replaces the value's where both units are given and differ in kind of match.
     """
-    key = F.lower(F.trim("label"))
-    last = actual.groupBy("item_id", key.alias("k")).agg(F.max_by(F.struct("value", "uom"), "seq").alias("a"))
-    wanted = expected.select("item_id", key.alias("k"), F.col("seq").alias("eseq"), F.struct("value", "uom").alias("e"))
-    both = wanted.join(last, ["item_id", "k"], "full")
-    value = compare_strings(F.col("e.value"), F.col("a.value"))
-    unit = compare_strings(F.col("e.uom"), F.col("a.uom"))
-    has_unit = (F.coalesce(F.col("e.uom"), F.lit("")) != "") | (F.coalesce(F.col("a.uom"), F.lit("")) != "")
-    match = F.when(F.col("a").isNull(), "missing_in_output").when(F.col("e").isNull(), "extra_in_output").when(has_unit & (unit != "exact_match"), unit).otherwise(value)
-    return both.select("item_id", F.concat(F.lit("attribute:"), "k").alias("field_name"), match.alias("match_type"))
+    key = lambda a: F.lower(F.trim(F.coalesce(a["label"], F.lit(""))))
+    score = lambda k, match: F.struct(F.concat(F.lit("attribute:"), k).alias("field_name"), match.alias("match_type"))
+    last = lambda k: F.element_at(F.filter(actual, lambda a: key(a) == k), -1)
+
+    def match(e: Column, a: Column) -> Column:
+        unit = compare_strings(e["uom"], a["uom"])
+        has_unit = (F.coalesce(e["uom"], F.lit("")) != "") | (F.coalesce(a["uom"], F.lit("")) != "")
+        return F.when(a.isNull(), "missing_in_output").when(has_unit & (unit != "exact_match"), unit).otherwise(compare_strings(e["value"], a["value"]))
+
+    labels = F.transform(actual, key)
+    wanted = F.transform(F.transform(expected, lambda e: F.struct(key(e).alias("k"), e.alias("e"), F.when(F.array_contains(labels, key(e)), last(key(e))).alias("a"))), lambda x: score(x["k"], match(x["e"], x["a"])))
+    extra = F.array_except(labels, F.transform(expected, key))
+    return F.concat(wanted, F.transform(extra, lambda k: score(k, F.lit("extra_in_output"))))
+
+
+_ATTRIBUTES = "array<struct<seq:int,label:string,value:string,uom:string>>"
+
+
+def _gathered(attributes: DataFrame) -> DataFrame:
+    """(item_id, attributes by seq) of an attribute table."""
+    one = F.struct(F.col("seq").cast("int").alias("seq"), F.col("label").cast("string").alias("label"), F.col("value").cast("string").alias("value"), F.col("uom").cast("string").alias("uom"))
+    return attributes.groupBy("item_id").agg(F.array_sort(F.collect_list(one)).alias("attributes"))
+
+
+def compare_attributes(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(item_id, field_name, match_type) of two attribute tables by item and lower-case label (see ``_attribute_scores``)."""
+    both = _gathered(expected).withColumnRenamed("attributes", "e").join(_gathered(actual).withColumnRenamed("attributes", "a"), "item_id", "full")
+    none = F.array().cast(_ATTRIBUTES)
+    return both.select("item_id", F.inline(_attribute_scores(F.coalesce("e", none), F.coalesce("a", none))))
 
 
 def field_scores(pairs: DataFrame, items: DataFrame, answers: DataFrame, descs: DataFrame, answer_descs: DataFrame, attrs: DataFrame, answer_attrs: DataFrame, specs: DataFrame, answer_specs: DataFrame) -> DataFrame:
-    """(item_id, field_name, match_type) of every field of every pair (item_id); both sides are unpivoted and compared by kind."""
-    ids = pairs.select("item_id").distinct()
-    both = items.select(F.col("id").alias("item_id"), *[F.col(c).alias(f"a_{c}") for c in ITEM_FIELDS]).join(answers.select("item_id", *[F.col(c).alias(f"e_{c}") for c in ITEM_FIELDS]), "item_id").join(ids, "item_id", "left_semi")
-    main = both.select("item_id", F.inline(F.array(*[F.struct(F.lit(c).alias("field_name"), compare_strings(F.col(f"e_{c}"), F.col(f"a_{c}")).alias("match_type")) for c in ITEM_FIELDS])))
-    wide = lambda d, p: d.where(F.col("field_name").isin(DESCRIPTION_FIELDS)).groupBy("item_id").agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f"{p}_{f}") for f in DESCRIPTION_FIELDS])
-    text = ids.join(wide(answer_descs, "e"), "item_id", "left").join(wide(descs, "a"), "item_id", "left")
-    text = text.select("item_id", F.inline(F.array(*[F.struct(F.lit(f"description:{c}").alias("field_name"), compare_strings(F.col(f"e_{c}"), F.col(f"a_{c}")).alias("match_type")) for c in DESCRIPTION_FIELDS])))
-    attributes = compare_attributes(answer_attrs.join(ids, "item_id", "left_semi"), attrs.join(ids, "item_id", "left_semi"))
+    """(item_id, field_name, match_type) of every field of every pair (item_id).
+
+    Each side's tables are gathered once by item, both sides are joined on the item, and all fields
+    are compared in one projection. A pair without any spec row on either side has no spec fields.
+    """
+    wide = lambda d: d.where(F.col("field_name").isin(DESCRIPTION_FIELDS)).groupBy("item_id").agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in DESCRIPTION_FIELDS])
     names = [c for c in SPEC_FIELDS if c in specs.columns or c in answer_specs.columns]
-    pick = lambda d, p: d.select("item_id", *[(F.col(c) if c in d.columns else F.lit(None)).cast("string").alias(f"{p}_{c}") for c in names])
-    spec = pick(answer_specs, "e").join(pick(specs, "a"), "item_id", "full").join(ids, "item_id", "left_semi")
-    compare = lambda c: compare_numbers(F.col(f"e_{c}"), F.col(f"a_{c}")) if c in NUMBER_SPECS else compare_strings(F.col(f"e_{c}"), F.col(f"a_{c}"))
-    spec = spec.select("item_id", F.inline(F.array(*[F.struct(F.lit(f"spec:{c}").alias("field_name"), compare(c).alias("match_type")) for c in names])))
-    return main.unionByName(text).unionByName(attributes).unionByName(spec)
+    spec = lambda d: d.select("item_id", *[(F.col(c) if c in d.columns else F.lit(None)).cast("string").alias(c) for c in names])
+    boxed = lambda d, name: d.select("item_id", F.struct(*[c for c in d.columns if c != "item_id"]).alias(name))
+
+    def side(p: str, main: DataFrame, d: DataFrame, a: DataFrame, s: DataFrame) -> list[DataFrame]:
+        return [boxed(main, f"{p}_main"), boxed(wide(d), f"{p}_desc"), _gathered(a).withColumnRenamed("attributes", f"{p}_attr"), boxed(spec(s), f"{p}_spec")]
+
+    rows = pairs.select("item_id").distinct()
+    for part in side("e", answers.select("item_id", *ITEM_FIELDS), answer_descs, answer_attrs, answer_specs) + side("a", items.select(F.col("id").alias("item_id"), *ITEM_FIELDS), descs, attrs, specs):
+        rows = rows.join(part, "item_id", "left")
+    score = lambda name, match: F.struct(F.lit(name).alias("field_name"), match.alias("match_type"))
+    kind = "array<struct<field_name:string,match_type:string>>"
+    none, empty = F.array().cast(kind), F.array().cast(_ATTRIBUTES)
+    pick = lambda part, c: (F.col(f"e_{part}.{c}"), F.col(f"a_{part}.{c}"))
+    main = F.array(*[score(c, compare_strings(*pick("main", c))) for c in ITEM_FIELDS]).cast(kind)
+    text = F.array(*[score(f"description:{c}", compare_strings(*pick("desc", c))) for c in DESCRIPTION_FIELDS]).cast(kind)
+    specific = F.array(*[score(f"spec:{c}", (compare_numbers if c in NUMBER_SPECS else compare_strings)(*pick("spec", c))) for c in names]).cast(kind)
+    has = lambda part, both: F.when((F.col(f"e_{part}").isNotNull() & F.col(f"a_{part}").isNotNull()) if both else (F.col(f"e_{part}").isNotNull() | F.col(f"a_{part}").isNotNull()), {"main": main, "spec": specific}[part]).otherwise(none)
+    attributes = _attribute_scores(F.coalesce("e_attr", empty), F.coalesce("a_attr", empty)).cast(kind)
+    return rows.select("item_id", F.inline(F.concat(has("main", True), text, attributes, has("spec", False))))
 
 
 def group_of(field: Column) -> Column:
@@ -158,6 +190,17 @@ def calibration(overall: DataFrame) -> DataFrame:
     return bins.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), percent(F.coalesce("ok", F.lit(0)), F.coalesce("n", F.lit(0)), 0).alias("correct_pct"))
 
 
-def batch_score(overall: DataFrame) -> DataFrame:
-    """(items_scored, avg_accuracy_pct) of a batch; the other parts are the functions above over the same scores."""
-    return overall.agg(F.count(F.lit(1)).alias("items_scored"), F.coalesce(_rounded(F.avg("accuracy_pct")), F.lit(0)).alias("avg_accuracy_pct"))
+def batch_score(scores: DataFrame, items: DataFrame, descriptions: DataFrame, attributes: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row for a batch: items_scored, avg_accuracy_pct, field_accuracy (map), length_compliance (map), value_compliance_pct, calibration (array of bins).
+
+    ``descriptions`` and ``attributes`` are those of the scored items. The parts are single rows and are joined as such.
+    """
+    overall = overall_score(scores, items)
+    fields = field_accuracy(scores).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "accuracy_pct")))).alias("field_accuracy"))
+    lengths = length_compliance(descriptions).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "compliant_pct")))).alias("length_compliance"))
+    values = value_compliance(attributes, answers).select(F.col("compliance_pct").alias("value_compliance_pct"))
+    bins = calibration(overall).agg(F.array_sort(F.collect_list(F.struct("bin", "n", "correct_pct"))).alias("calibration"))
+    total = overall.agg(F.count(F.lit(1)).alias("items_scored"), F.coalesce(_rounded(F.avg("accuracy_pct")), F.lit(0)).alias("avg_accuracy_pct"))
+    for part in (fields, lengths, values, bins):
+        total = total.join(F.broadcast(part))  # one row each
+    return total

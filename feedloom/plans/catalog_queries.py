@@ -23,7 +23,7 @@ NOW = 1704067200 + 200_000
       count(*) FILTER (status = 'verified') AS verified, 13 - count(*) FILTER (status <> 'unresolved') AS unresolved, round(sum(CASE WHEN v IS NOT NULL OR num IS NOT NULL THEN CASE WHEN status = 'verified' THEN 0.99 ELSE 0.5 END END), 4)::DOUBLE AS confidence FROM p GROUP BY row_idx""")
 def seed_products(t):
     """The product that each feed row starts as."""
-    seeds = C.seed_products(N.merge_contributions(N.contributions(t.feed, True)), FIELDS)
+    seeds = C.seed_products(N.resolve_rows(t.feed, True), FIELDS)
     count = lambda s: F.size(F.map_filter("value_status", lambda k, v: v == s)).cast("long")
     total = F.aggregate(F.map_values("field_provenance"), F.lit(0.0), lambda a, x: a + x["confidence"])
     return seeds.select("row_idx", F.col("mfg_part_num").alias("mpn"), F.col("manufacturer_name").alias("maker"), "upc", F.col("weight").cast("double").alias("weight"), "weight_uom", count("verified").alias("verified"), count("unresolved").alias("unresolved"), F.round(total, 4).alias("confidence"))

@@ -66,7 +66,7 @@ def brand_passthrough(t):
 
 
 def _seeds(t):
-    return C.seed_products(N.merge_contributions(N.contributions(t.feed, True)), FIELDS)
+    return C.seed_products(N.resolve_rows(t.feed, True), FIELDS)
 
 
 _HEADS = {f: sum(1 for x in D.HEADER_FIELD.values() if x == f) for f in D.HEADER_FIELD.values()}

@@ -51,7 +51,7 @@ def clean_cells(t):
 @query(f"WITH {_SPLIT} SELECT row_idx, col AS \"column\", amount, uom FROM split WHERE field IN ({_MEASURES})")
 def split_measure(t):
     """Measures as amount and unit."""
-    return N.split_measure(N.long_cells(t.feed, True)).where(F.col("field").isin(L.MEASURES)).select("row_idx", "column", "amount", "uom")
+    return N.contributions(t.feed, True).where(F.col("field").isin(L.MEASURES)).select("row_idx", "column", "amount", "uom")
 
 
 @query(f"SELECT {O.vendor('MFR')} AS manufacturer, count(*) AS n, count(DISTINCT MFR) AS spellings FROM {{feed}} GROUP BY 1")
@@ -63,7 +63,7 @@ def strip_vendor_code(t):
 @query(f"WITH {_SPLIT} SELECT field, count(amount) AS filled, count({O.number('amount')}) AS valid, round(sum({O.number('amount')}), 4) AS total FROM split WHERE field IN ({O.quoted(L.NUMERIC_FIELDS)}) GROUP BY field")
 def parse_numeric(t):
     """Filled and valid numbers of each numeric field."""
-    cells = N.split_measure(N.long_cells(t.feed, True)).where(F.col("field").isin(L.NUMERIC_FIELDS)).withColumn("n", X.parse_number(F.col("amount")))
+    cells = N.contributions(t.feed, True).where(F.col("field").isin(L.NUMERIC_FIELDS)).withColumn("n", X.parse_number(F.col("amount")))
     return cells.groupBy("field").agg(F.count("amount").alias("filled"), F.count("n").alias("valid"), F.round(F.sum("n"), 4).alias("total"))
 
 
@@ -77,14 +77,14 @@ def validate_barcodes(t):
 @query(f"WITH {_MERGED} SELECT * FROM merged")
 def merge_contributions(t):
     """One resolved value per row and field, with status and issue."""
-    rows = N.merge_contributions(N.contributions(t.feed, True))
+    rows = N.merge_contributions(t.feed, True)
     return rows.select("row_idx", "field", "value", "number", "uom", "status", "issue", F.size("contributions").alias("n"))
 
 
-@query(f"SELECT row_idx, lag(row_idx) OVER (PARTITION BY {O.clean('Brand_Name')}, {O.clean('Category')}, {O.clean('Dept')}, {O.clean('Model')} ORDER BY row_idx) AS duplicate_of FROM {{feed}}")
+@query(f"SELECT row_idx, lag(row_idx) OVER (PARTITION BY {', '.join(O.clean(c) for c in COLUMNS)} ORDER BY row_idx) AS duplicate_of FROM (SELECT * FROM {{feed}} UNION ALL SELECT row_idx + 1000000, * EXCLUDE (row_idx) FROM {{feed}} WHERE row_idx % 3 = 0) z")
 def exact_duplicates(t):
-    """The nearest earlier row with the same brand, category, department and model."""
-    return N.exact_duplicates(t.feed.select("row_idx", "Brand_Name", "Category", "Dept", "Model"), True)
+    """The nearest earlier row with the same cells, in the feed and a second delivery of every third row."""
+    return N.exact_duplicates(t.feed.unionByName(t.feed.where("row_idx % 3 = 0").withColumn("row_idx", F.col("row_idx") + 1_000_000)), True)
 
 
 @query(f"WITH {_CELLS} SELECT col AS \"column\", CASE WHEN col = 'Model' THEN 'ambiguous' ELSE 'unrecognized' END AS reason, count(value) AS filled FROM cells WHERE field IS NULL GROUP BY 1, 2")
@@ -103,23 +103,12 @@ def unmapped_columns(t):
 )
 def upload_summary(t):
     """One row of counts of an upload."""
-    rows = N.merge_contributions(N.contributions(t.feed, True))
-    pick = lambda f: F.max(F.when(F.col("field") == f, F.col("value"))).alias(f)
-    wide = rows.groupBy("row_idx").agg(pick("mfg_part_num"), pick("part_desc"), pick("brand_name"), pick("trade_name"), F.count("issue").alias("issues"))
-    mpn = F.col("mfg_part_num")
-    return wide.agg(
-        F.count(F.lit(1)).alias("rows_in"),
-        F.count_if(mpn.isNull()).alias("skipped"),
-        (F.count(mpn) - F.countDistinct(mpn)).alias("duplicates"),
-        F.count_if(F.col("issues") > 0).alias("issue_rows"),
-        F.count("part_desc").alias("described"),
-        F.count(F.coalesce("brand_name", "trade_name")).alias("branded"),
-    )
+    return N.upload_summary(t.feed, True)
 
 
 @query(
     f"""SELECT count(*) AS rows, count(DISTINCT nullif(trim(MPN), '')) AS unique_mpns, count(nullif(trim(MPN), '')) - count(DISTINCT nullif(trim(MPN), '')) AS duplicate_mpns,
-    count(*) FILTER (regexp_matches(lower(trim(Brand_Name)), '{L.PLACEHOLDER_BRAND}')) AS placeholder_brands, count(*) FILTER (coalesce(trim(Part_Desc), '') = '') AS empty_descriptions,
+    count(*) FILTER (lower(trim(Brand_Name)) IN ('-- unbranded --', '-- no unilog brand --', '-- no dib brand --')) AS placeholder_brands, count(*) FILTER (coalesce(trim(Part_Desc), '') = '') AS empty_descriptions,
     round(count(*) FILTER (regexp_matches(MFR, '\\([A-Z0-9]{{{{1,6}}}}\\)\\s*$')) / count(*), 6) AS vendor_code_share FROM {{feed}}""".replace("{{1,6}}", "{1,6}")
 )
 def profile_feed(t):

@@ -8,7 +8,7 @@ def quoted(values) -> str:
 
 
 def clean(x: str) -> str:
-    return f"CASE WHEN lower(trim({x})) IN ({quoted(L.PLACEHOLDERS)}) OR regexp_matches(lower(trim({x})), '{L.PLACEHOLDER_BRAND}') THEN NULL ELSE trim({x}) END"
+    return f"CASE WHEN lower(trim({x})) IN ({quoted(L.PLACEHOLDERS)}) THEN NULL ELSE trim({x}) END"
 
 
 def base_key(x: str) -> str:

@@ -18,15 +18,15 @@ def _num(e: str, a: str) -> str:
     return f"CASE WHEN {e} IS NULL AND {a} IS NULL THEN 'exact_match' WHEN {e} IS NULL THEN 'extra_in_output' WHEN {a} IS NULL THEN 'missing_in_output' WHEN {e} = {a} THEN 'exact_match' WHEN abs({e} - {a}) / greatest(abs({e}), abs({a})) <= 0.05::DOUBLE THEN 'close_match' ELSE 'mismatch' END"
 
 
-_PAIRS = "pairs AS (SELECT i.id AS item_id, a.answer_id FROM {items} i JOIN {answers} a ON a.mfg_part_num = i.mfg_part_num WHERE i.status IN ('enriched', 'review') AND i.id <> a.answer_id)"
-_ATTR = f"""att AS (SELECT coalesce(e.item_id, a.item_id) AS item_id, 'attribute:' || coalesce(e.k, a.k) AS field_name,
+_PAIRS = "pairs AS MATERIALIZED (SELECT i.id AS item_id, a.answer_id FROM {items} i JOIN {answers} a ON a.mfg_part_num = i.mfg_part_num WHERE i.status IN ('enriched', 'review') AND i.id <> a.answer_id)"
+_ATTR = f"""att AS MATERIALIZED (SELECT coalesce(e.item_id, a.item_id) AS item_id, 'attribute:' || coalesce(e.k, a.k) AS field_name,
   CASE WHEN a.k IS NULL THEN 'missing_in_output' WHEN e.k IS NULL THEN 'extra_in_output' WHEN (coalesce(e.uom, '') <> '' OR coalesce(a.uom, '') <> '') AND {_text('e.uom', 'a.uom')} <> 'exact_match' THEN {_text('e.uom', 'a.uom')} ELSE {_text('e.value', 'a.value')} END AS match_type
   FROM (SELECT item_id, lower(trim(label)) AS k, value, uom FROM {{answer_attrs}} WHERE item_id IN (SELECT item_id FROM pairs)) e
   FULL JOIN (SELECT item_id, k, value, uom FROM (SELECT item_id, lower(trim(label)) AS k, value, uom, row_number() OVER (PARTITION BY item_id, lower(trim(label)) ORDER BY seq DESC) AS n FROM {{attrs}} WHERE item_id IN (SELECT item_id FROM pairs)) z WHERE n = 1) a ON a.item_id = e.item_id AND a.k = e.k)"""
 _PARTS = [f"SELECT p.item_id, '{c}' AS field_name, {_text(f'a."{c}"', f'i."{c}"')} AS match_type FROM pairs p JOIN {{items}} i ON i.id = p.item_id JOIN {{answers}} a ON a.item_id = p.item_id" for c in S.ITEM_FIELDS]
 _PARTS += [f"SELECT p.item_id, 'description:{c}', {_text('e.value', 'd.value')} FROM pairs p LEFT JOIN {{answer_descs}} e ON e.item_id = p.item_id AND e.field_name = '{c}' LEFT JOIN {{descs}} d ON d.item_id = p.item_id AND d.field_name = '{c}'" for c in S.DESCRIPTION_FIELDS]
 _PARTS += [f"SELECT p.item_id, 'spec:{c}', {(_num if c in S.NUMBER_SPECS else _text)(f'e.{c}', f's.{c}')} FROM pairs p JOIN {{answer_specs}} e ON e.item_id = p.item_id JOIN {{specs}} s ON s.item_id = p.item_id" for c in ("upc", "ean", "list_price", "length", "weight", "warranty")]
-_SCORES = f"{_PAIRS}, {_ATTR}, scores AS ({' UNION ALL '.join(_PARTS)} UNION ALL SELECT * FROM att)"
+_SCORES = f"{_PAIRS}, {_ATTR}, scores AS MATERIALIZED ({' UNION ALL '.join(_PARTS)} UNION ALL SELECT * FROM att)"
 _OK = "count(*) FILTER (match_type IN ('exact_match', 'close_match'))"
 _GROUP = "CASE WHEN field_name IN ('manufacturer_name', 'brand_name') THEN 'identity' WHEN field_name IN ('dept', 'class', 'fine', 'classpath') THEN 'taxonomy' WHEN field_name LIKE 'description:%' THEN 'descriptions' WHEN field_name LIKE 'attribute:%' THEN 'attributes' ELSE 'specs' END"
 _PCT = lambda a, b, z: f"CASE WHEN {b} > 0 THEN floor(100 * {a} / {b} + 0.5) ELSE {z} END::BIGINT"
@@ -130,7 +130,17 @@ def calibration(t):
     return S.calibration(overall(t))
 
 
-@query(f"WITH {_OVERALL} SELECT count(*) AS items_scored, coalesce(floor(avg(accuracy_pct) + 0.5), 0)::BIGINT AS avg_accuracy_pct FROM overall")
+@query(f"""WITH {_OVERALL}, fa AS (SELECT field_name, {_PCT(_OK, 'count(*)', 0)} AS p FROM scores GROUP BY 1),
+    lc AS (SELECT l.f, CASE WHEN count(d.item_id) > 0 THEN floor(100 * count(*) FILTER (char_count <= most) / count(d.item_id) + 0.5) ELSE 100 END::BIGINT AS p FROM (VALUES {_LIMIT}) l(f, most) LEFT JOIN (SELECT * FROM {{descs}} WHERE item_id IN (SELECT item_id FROM pairs)) d ON d.field_name = l.f GROUP BY 1),
+    la AS (SELECT item_id, label, arg_max(value, seq) AS v FROM {{answer_attrs}} GROUP BY 1, 2), h AS (SELECT count(*) AS total, count(*) FILTER (la.v = a.value AND la.v <> '') AS matched FROM {{attrs}} a LEFT JOIN la ON la.item_id = a.item_id AND la.label = a.label WHERE a.item_id IN (SELECT item_id FROM pairs)),
+    b AS (SELECT CASE WHEN accuracy_pct <= 20 THEN '0-20' WHEN accuracy_pct <= 40 THEN '21-40' WHEN accuracy_pct <= 60 THEN '41-60' WHEN accuracy_pct <= 80 THEN '61-80' ELSE '81-100' END AS bin, count(*) AS n, count(*) FILTER (accuracy_pct >= 80) AS ok FROM overall GROUP BY 1),
+    c AS (SELECT v.bin, coalesce(n, 0) AS n, {_PCT('coalesce(ok, 0)', 'coalesce(n, 0)', 0)} AS p FROM (SELECT unnest(['0-20', '21-40', '41-60', '61-80', '81-100']) AS bin) v LEFT JOIN b ON b.bin = v.bin)
+    SELECT (SELECT count(*) FROM overall) AS items_scored, (SELECT coalesce(floor(avg(accuracy_pct) + 0.5), 0)::BIGINT FROM overall) AS avg_accuracy_pct, (SELECT string_agg(field_name || '=' || p::VARCHAR, ',' ORDER BY field_name) FROM fa) AS field_accuracy,
+      (SELECT string_agg(f || '=' || p::VARCHAR, ',' ORDER BY f) FROM lc) AS length_compliance, (SELECT {_PCT('matched', 'total', 100)} FROM h) AS value_compliance_pct, (SELECT string_agg(bin || ':' || n::VARCHAR || ':' || p::VARCHAR, ',' ORDER BY bin) FROM c) AS calibration""")
 def batch_score(t):
-    """One row for the batch."""
-    return S.batch_score(overall(t))
+    """One row for the batch, with all its parts."""
+    ids = S.pair_items(t.items, t.answers).select("item_id")
+    row = S.batch_score(scores(t), t.items, t.descs.join(ids, "item_id", "left_semi"), t.attrs.join(ids, "item_id", "left_semi"), t.answer_attrs)
+    text = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(m)
+    bins = F.array_join(F.transform("calibration", lambda b: F.concat(b["bin"], F.lit(":"), b["n"].cast("string"), F.lit(":"), b["correct_pct"].cast("string"))), ",")
+    return row.select("items_scored", "avg_accuracy_pct", text("field_accuracy"), text("length_compliance"), "value_compliance_pct", bins.alias("calibration"))

@@ -21,7 +21,7 @@ def test_headers(header, field):
     assert normalize.resolve_header(header) == field
 
 
-@pytest.mark.parametrize("raw,value", [("  Acme ", "Acme"), ("N/A", None), ("-- Unbranded --", None), ("-- No Some Brand --", None), ("", None), ("ＡＢＣ", "ABC"), ("﻿x​", "x"), ("TBD", None), ("a\r\nb", "a\nb"), (None, None)])
+@pytest.mark.parametrize("raw,value", [("  Acme ", "Acme"), ("N/A", None), ("-- Unbranded --", None), ("-- No Some Brand --", "-- No Some Brand --"), (" -- no DIB Brand --", None), ("", None), ("ＡＢＣ", "ABC"), ("﻿x​", "x"), ("TBD", None), ("a\r\nb", "a\nb"), (None, None)])
 def test_clean(spark, raw, value):
     assert one(spark, X.clean(F.col("c")), c=raw) == value
 
@@ -47,7 +47,7 @@ def test_keys(spark):
 
 def merged(spark, rows, columns):
     feed = spark.createDataFrame(rows, "row_idx long, " + ", ".join(f"`{c}` string" for c in columns))
-    return {(r["row_idx"], r["field"]): r for r in normalize.merge_contributions(normalize.contributions(feed)).collect()}
+    return {(r["row_idx"], r["field"]): r for r in normalize.merge_contributions(feed).collect()}
 
 
 def test_merge_contributions(spark):
@@ -65,6 +65,29 @@ def test_barcode_conflict_compares_text(spark):
     assert found[0, "upc"]["status"] == "conflicting" and found[0, "upc"]["value"] == "036000291452"
 
 
+def test_resolving_rows_shuffles_nothing(spark):
+    feed = spark.createDataFrame([(0, "a", "2 kg", "3 lb"), (1, None, "x", None)], "row_idx long, MPN string, Weight string, `Net Weight` string")
+    plan = normalize.merge_contributions(feed)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_exact_duplicates_across_runs(spark):
+    feed = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(0, 400, 2)] + [(999, "z")], "row_idx long, Brand string").repartition(3)
+    got = {r[0]: r[1] for r in normalize.exact_duplicates(feed, span=10).collect()}
+    last = {}
+    for i in sorted(got):
+        key = "z" if i == 999 else "abc"[i % 3]
+        assert got[i] == last.get(key)
+        last[key] = i
+
+
+def test_upload_summary_of_the_exact_layout_and_of_others(spark):
+    exact = spark.createDataFrame([(0, "A1", "d", "-- Unbranded --", None, None, "m"), (1, "A1", None, None, "B", None, "m"), (2, "N/A", "", None, None, None, "m")], "row_idx long, Mfg_Part_Num string, Part_Desc string, E1_Brand string, Unilog_Brand string, DIB_Brand string, Part_Manuf string")
+    assert tuple(normalize.upload_summary(exact).first()) == (3, 1, 1, 0, 1, 1)
+    other = spark.createDataFrame([(0, "A1", None, "inv", "T"), (1, "B", None, None, None)], "row_idx long, MPN string, Description string, Invoice_Desc string, Trade_Name string")
+    assert tuple(normalize.upload_summary(other).first()) == (2, 0, 0, 0, 1, 1)
+
+
 def test_exact_duplicates_point_to_the_nearest(spark):
     feed = spark.createDataFrame([(i, v, None) for i, v in enumerate(["a", "b", "a ", "a"])], "row_idx long, MPN string, Brand string")
     assert {r[0]: r[1] for r in normalize.exact_duplicates(feed).collect()} == {0: None, 1: None, 2: 0, 3: 2}
@@ -164,7 +187,7 @@ def test_upsert_keeps_ids(spark):
 
 def test_empty_feed(spark):
     feed = spark.createDataFrame([], "row_idx long, MPN string, Weight string")
-    assert normalize.merge_contributions(normalize.contributions(feed)).count() == 0
+    assert normalize.merge_contributions(feed).count() == 0
     assert normalize.exact_duplicates(feed).count() == 0
 
 
