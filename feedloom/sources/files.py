@@ -13,8 +13,12 @@ from ..operators.export import HEADER_FIELD, HEADERS
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share, or in a local one where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    """A new path in the folder that all executors share; a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     return f"{folder}/files-{uuid.uuid4().hex}"
 
 

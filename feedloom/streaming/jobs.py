@@ -15,50 +15,78 @@ def read_files(spark: SparkSession, path: str, files_per_batch: int = 64) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path + "*")
 
 
-def ingest(stream: DataFrame, target: str, key: str, order: str) -> str:
+def _last_version(spark: SparkSession, target: str) -> str | None:
+    """The highest version that was written whole under ``target``; None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v*/_SUCCESS")
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    numbers = [int(f.getPath().getParent().getName()[1:]) for f in found or []]
+    return f"{target}/v{max(numbers)}" if numbers else None
+
+
+def ingest(stream: DataFrame, target: str, key: str, order: str) -> str | None:
     """Upsert every micro-batch into a versioned Parquet table by key; returns the path of the last version.
 
     A version is written whole before the next batch starts, so a batch that is run again after a
-    failure reads the version before it and writes the same result.
+    failure reads the version before it and writes the same result. A restart without new files
+    returns the version that is there; None only if nothing ever came.
     """
     spark = stream.sparkSession
-    last = {"path": None}
 
     def batch(df: DataFrame, number: int) -> None:
-        before = f"{target}/v{number - 1}"
         rows = first_by(df, key, order).withColumn("id", F.concat(F.lit("new-"), F.col(order).cast("string")))
         if number:
-            old = spark.read.parquet(before)
+            old = spark.read.parquet(f"{target}/v{number - 1}")
             rows = upsert_items(old, df.withColumn("id", F.lit("")), key, order)
         rows.write.mode("overwrite").parquet(f"{target}/v{number}")
-        last["path"] = f"{target}/v{number}"
 
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return last["path"]
+    return _last_version(spark, target)
 
 
-def _complete(df: DataFrame) -> DataFrame:
-    """The final result of a streaming aggregation, as a table in the shared folder."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    last = {"path": f"{path}/0"}
+def _closed(events: DataFrame, aggregate, target: str | None = None, end: bool = True) -> DataFrame:
+    """What a windowed aggregation of a stream (with ts) gives in append mode, as a table in the shared folder.
 
-    def batch(rows: DataFrame, number: int) -> None:
-        last["path"] = f"{path}/{number}"
-        rows.write.mode("overwrite").parquet(last["path"])
+    Windows are emitted once the watermark has passed them, and their state is dropped; later rows
+    for them are not counted. With ``end`` a sentinel row of the far future follows all available
+    rows and closes the windows that are still open; without it a later call with the same ``target`` goes on.
+    """
+    spark = events.sparkSession
+    target = target or scratch(spark)
+    far = F.lit("9000-01-01 00:00:00").cast("timestamp")
+    blank = spark.range(1).select(*[(far if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+    blank.where(F.lit(False)).write.mode("append").parquet(f"{target}/sentinel")
+    ends = spark.readStream.schema(events.schema).parquet(f"{target}/sentinel")
 
-    query = df.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(last["path"])
+    def run() -> DataFrame:
+        rows = aggregate(events.unionByName(ends))
+        sink = lambda found, number: found.write.mode("overwrite").parquet(f"{target}/out/batch={number}")
+        query = rows.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return rows
+
+    rows = run()
+    if end:
+        blank.write.mode("append").parquet(f"{target}/sentinel")
+        run()
+    return spark.read.schema(rows.schema).parquet(f"{target}/out")
 
 
-def daily_usage(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """(day, attempts, errors) of a stream of events (ts, event_type), by tumbling windows of a day."""
-    rows = events.withWatermark("ts", delay).groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("event_type") == "error").alias("errors"))
-    return _complete(rows).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "attempts", "errors")
+def daily_usage(events: DataFrame, delay: str = "1 day", target: str | None = None, end: bool = True) -> DataFrame:
+    """(day, attempts, errors) of a stream of events (ts, event_type), by tumbling windows of a day; rows later than ``delay`` are dropped."""
 
+    def by_day(rows: DataFrame) -> DataFrame:
+        return rows.withWatermark("ts", delay).groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
-def stale_items(events: DataFrame, gap: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
+    found = _closed(events.select("ts", "event_type"), by_day, target, end)
+    return found.where("window.start < timestamp'8999-01-01'").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "attempts", "errors")
+
+
+def stale_items(events: DataFrame, gap: str = "10 minutes", delay: str = "1 hour", target: str | None = None, end: bool = True) -> DataFrame:
     """(user_id, started, events, last_type) of activity sessions of a stream of events, closed by ``gap`` without any."""
-    rows = events.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
-    return _complete(rows).select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "events", "last_type")
+
+    def by_session(rows: DataFrame) -> DataFrame:
+        return rows.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
+
+    found = _closed(events.select("user_id", "ts", "event_id", "event_type"), by_session, target, end)
+    return found.where("w.start < timestamp'8999-01-01'").select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "events", "last_type")

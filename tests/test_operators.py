@@ -226,3 +226,31 @@ def test_requests_keep_leading_lines_only(spark):
     got = answers.build_requests(spark.createDataFrame([(1, ["f"]), (2, ["f"]), (3, ["f"])], "product_id int, needs array<string>"), lines)
     assert {r["product_id"]: r["evidence"] for r in got.collect()} == {1: "; ".join([": "] * 1500)[:2000], 2: "", 3: "a: x; b: y"}
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streams_drop_late_rows_and_close_windows(spark, tmp_path):
+    from feedloom.streaming import jobs
+
+    def put(name, rows):
+        spark.createDataFrame(rows, "user_id long, ts string, event_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+
+    put("in", [(1, "2024-01-01 00:00:00", 1, "a"), (1, "2024-01-01 00:05:00", 2, "error"), (2, "2024-01-05 00:00:00", 3, "a")])
+    stream = lambda: jobs.read_files(spark, f"{tmp_path}/in/")
+    usage, sessions = f"{tmp_path}/usage", f"{tmp_path}/sessions"
+    assert [tuple(r) for r in jobs.daily_usage(stream(), target=usage, end=False).collect()] == [("2024-01-01", 2, 1)]
+    assert [r["events"] for r in jobs.stale_items(stream(), target=sessions, end=False).collect()] == [2]
+    put("in", [(1, "2024-01-01 00:06:00", 4, "late"), (2, "2024-01-05 00:09:00", 5, "b")])
+    got = sorted(tuple(r) for r in jobs.daily_usage(stream(), target=usage).collect())
+    assert got == [("2024-01-01", 2, 1), ("2024-01-05", 2, 0)]
+    got = sorted(tuple(r) for r in jobs.stale_items(stream(), target=sessions).collect())
+    assert got == [(1, "2024-01-01 00:00:00", 2, "error"), (2, "2024-01-05 00:00:00", 2, "b")]
+
+
+def test_ingest_restarts_without_new_files(spark, tmp_path):
+    from feedloom.streaming import jobs
+
+    spark.createDataFrame([("A", 1), ("A", 2), ("B", 3)], "mpn string, row_idx long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = lambda: jobs.read_files(spark, f"{tmp_path}/in/")
+    first = jobs.ingest(stream(), f"{tmp_path}/out", "mpn", "row_idx")
+    assert sorted((r["mpn"], r["row_idx"]) for r in spark.read.parquet(first).collect()) == [("A", 1), ("B", 3)]
+    assert jobs.ingest(stream(), f"{tmp_path}/out", "mpn", "row_idx") == first
