@@ -163,3 +163,16 @@ DEFAULT_LENGTH = 500
 STEPS = ["manufacturer", "classify", "external_evidence", "attributes", "descriptions", "specs"]
 STATUSES = ["raw", "enriching", "enriched", "review", "failed"]
 CRITICAL_FIELDS = ["manufacturer_name", "brand_name", "classpath"]
+
+# Reasons given for the fields that a product lacks or has.
+RATIONALE = {
+    "mpn_anchored": "MPN missing but manufacturer + strong description/category exists",
+    "mpn_alone": "MPN missing without sufficient identity anchors - leave unresolved",
+    "code": " missing - will attempt external retrieval if evidence available",
+    "weight": "weight missing - common field, worth external lookup",
+    "warranty": "warranty missing - critical field, always prioritize",
+    "dimensions": "dimensions missing - common for products",
+    "present": " already present",
+    "voltage": "Voltage Rating - electronics category",
+    "horsepower": "Horsepower/RPM - industrial category",
+}

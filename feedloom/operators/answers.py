@@ -21,6 +21,12 @@ def build_requests(products: DataFrame, evidence: DataFrame, most: int = 2000) -
     return products.where(F.size("needs") > 0).join(lines, "product_id").select("product_id", F.array_join("needs", ", ").alias("fields"), "evidence")
 
 
+def request_totals(products: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row: matched products (with evidence) that a model is asked about (requests), and those without open needs (avoided)."""
+    matched = products.join(evidence.select("product_id").distinct(), "product_id", "left_semi")
+    return matched.agg(F.count_if(F.size("needs") > 0).alias("requests"), F.count_if(F.size("needs") == 0).alias("avoided"))
+
+
 def parse_responses(raw: DataFrame, schema: str) -> DataFrame:
     """Adds parsed (of the DDL schema) and parse_error to (response): code fences are stripped, bad JSON is an error, confidence defaults to 0.8."""
     bare = F.trim(F.regexp_replace(F.regexp_replace("response", r"(?s)^\s*```[a-zA-Z]*\s*", ""), r"(?s)\s*```\s*$", ""))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 
+#: Fields of an item that its table states, identity and taxonomy.
+STATED = ["mfg_part_num", "manufacturer_name", "brand_name", "dept", "class", "fine", "classpath"]
 SPEC_FIELDS = ["upc", "ean", "list_price", "length", "weight", "warranty"]
 
 
@@ -40,14 +42,27 @@ def seed_products(resolved: DataFrame, fields: list[str], retrieved_at: str | No
     return out
 
 
-def assemble(items: DataFrame, descriptions: DataFrame, attributes: DataFrame, specs: DataFrame) -> DataFrame:
-    """Items with their descriptions as a map, attributes as an array by seq, and specs as a struct."""
+def assemble(items: DataFrame, descriptions: DataFrame, attributes: DataFrame, specs: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """Items with their descriptions as a map, attributes as an array by seq, specs as a struct, assets as an array, and value_status.
+
+    Assets (item_id, asset_type, url, sort_order) keep those with a URL, by canonical type. Present identity and taxonomy
+    fields are verified, present descriptions and specs inferred, all others unresolved.
+    """
     d = descriptions.groupBy(F.col("item_id").alias("id")).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("field_name", "value")))).alias("descriptions"))
     a = attributes.groupBy(F.col("item_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("seq", "label", "value", "uom"))).alias("attributes"))
     s = specs.select(F.col("item_id").alias("id"), F.struct(*[c for c in specs.columns if c != "item_id"]).alias("specs"))
     out = items.join(d, "id", "left").join(a, "id", "left").join(s, "id", "left")
     none = F.array().cast("array<struct<seq:int,label:string,value:string,uom:string>>")
-    return out.withColumn("attributes", F.coalesce("attributes", none))
+    out = out.withColumn("attributes", F.coalesce("attributes", none))
+    kind = "array<struct<sort_order:int,asset_type:string,url:string>>"
+    if assets is not None:
+        one = F.struct(F.col("sort_order").cast("int").alias("sort_order"), "asset_type", F.trim("url").alias("url"))
+        out = out.join(normalize_assets(assets).groupBy(F.col("item_id").alias("id")).agg(F.array_sort(F.collect_list(one)).alias("assets")), "id", "left")
+    out = out.withColumn("assets", F.coalesce("assets", F.array().cast(kind)) if assets is not None else F.array().cast(kind))
+    told = [(f, _present(f), "verified") for f in STATED if f in items.columns]
+    told += [(f, F.coalesce(_present(F.try_element_at("descriptions", F.lit(f))), F.lit(False)), "inferred") for f in L.MAX_LENGTHS]
+    told += [(f, _present(F.col(f"specs.{f}")), "inferred") for f in specs.columns if f != "item_id"]
+    return out.withColumn("value_status", F.create_map(*[x for f, test, status in told for x in (F.lit(f), F.when(test, status).otherwise("unresolved"))]))
 
 
 def default_status(products: DataFrame, fields: list[str]) -> DataFrame:
@@ -73,10 +88,14 @@ def normalize_assets(assets: DataFrame) -> DataFrame:
 
 
 def clean_nested(products: DataFrame) -> DataFrame:
-    """Trims members of features and attributes; unnamed features are called Feature."""
+    """Trims members of features, attributes and assets; unnamed features are called Feature, assets without a type are reference URLs, confidence becomes a number."""
     feature = lambda f: F.struct(F.coalesce(F.nullif(F.trim(f["name"]), F.lit("")), F.lit("Feature")).alias("name"), F.trim(f["value"]).alias("value"))
     attribute = lambda a: F.struct(a["seq"].alias("seq"), F.trim(a["label"]).alias("label"), F.trim(a["value"]).alias("value"), F.trim(a["uom"]).alias("uom"))
-    return products.withColumns({"features": F.transform("features", feature), "attributes": F.transform("attributes", attribute)})
+    asset = lambda a: F.struct(a["sort_order"].alias("sort_order"), F.coalesce(F.nullif(F.trim(a["asset_type"]), F.lit("")), F.lit("reference_url")).alias("asset_type"), F.trim(a["url"]).alias("url"))
+    out = products.withColumns({"features": F.transform("features", feature), "attributes": F.transform("attributes", attribute)})
+    if "assets" in products.columns:
+        out = out.withColumn("assets", F.transform("assets", asset))
+    return out.withColumn("confidence_score", F.col("confidence_score").cast("string").try_cast("double")) if "confidence_score" in products.columns else out
 
 
 def category_attributes(attributes: DataFrame, items: DataFrame) -> DataFrame:
@@ -102,7 +121,7 @@ def category_attributes(attributes: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def missing_fields(products: DataFrame) -> DataFrame:
-    """Adds needed (in fixed order) and skip to assembled products; zero counts as missing."""
+    """Adds needed (in fixed order), skip, and rationale (a reason for each decision, in order) to assembled products; zero counts as missing."""
     absent = lambda f: ~F.coalesce(_present(F.col(f"specs.{f}")) & (F.col(f"specs.{f}").cast("string").try_cast("double").isNull() | (F.col(f"specs.{f}").cast("string").try_cast("double") != 0)), F.lit(False))
     has = set(products.schema["specs"].dataType.names)
     gone = lambda f: absent(f) if f in has else F.lit(True)
@@ -114,4 +133,8 @@ def missing_fields(products: DataFrame) -> DataFrame:
     needed = [F.when(mpn & anchors, "mfg_part_num"), *[F.when(gone(f), f) for f in ("upc", "ean", "gtin", "weight", "warranty")], F.when(dims, "dimensions")]
     needed += [F.when((dept == "electronics") & ~labelled("voltage"), "voltage"), F.when((dept == "industrial") & ~labelled("horsepower|rpm"), "horsepower")]
     skip = [F.when(mpn & ~anchors, "mfg_part_num"), F.when(~gone("weight"), "weight"), F.when(~gone("warranty"), "warranty"), F.when(~dims, "dimensions")]
-    return products.withColumns({"needed": F.array_compact(F.array(*needed)), "skip": F.array_compact(F.array(*skip))})
+    why = L.RATIONALE
+    reasons = [F.when(mpn, F.when(anchors, why["mpn_anchored"]).otherwise(why["mpn_alone"])), *[F.when(gone(f), f.upper() + why["code"]) for f in ("upc", "ean", "gtin")]]
+    reasons += [F.when(test, why[f]).otherwise(f + why["present"]) for f, test in (("weight", gone("weight")), ("warranty", gone("warranty")), ("dimensions", dims))]
+    reasons += [F.when((dept == "electronics") & ~labelled("voltage"), why["voltage"]), F.when((dept == "industrial") & ~labelled("horsepower|rpm"), why["horsepower"])]
+    return products.withColumns({"needed": F.array_compact(F.array(*needed)), "skip": F.array_compact(F.array(*skip)), "rationale": F.array_compact(F.array(*reasons))})

@@ -28,7 +28,6 @@ HEADER_FIELD = (
     | {"Actual Image (Yes/No)": "actual_image_flag"}
 )
 DESCRIPTIONS = ["mobile_desc", "invoice_desc", "short_desc", "long_desc1", "retail_desc", "marketing_description"]
-ASSETS = {"product_image": "Product Image", "specification_sheet": "Specification Sheet", "instruction_manual": "Instruction/Installation Manual", "manufacturer_url": "MFR URL", "reference_url": "Ref URL 1", "MTR": "MTR", "SDS": "SDS"}
 
 
 def plain_number(c: Column) -> Column:
@@ -45,14 +44,21 @@ def _common(columns: list[str]) -> dict[str, Column]:
     return {h: F.col(f) for h, f in HEADER_FIELD.items() if f in columns}
 
 
-def delivery_from_tables(items: DataFrame, descriptions: DataFrame, attributes: DataFrame, specs: DataFrame) -> DataFrame:
-    """One row of 252 texts per item; features 1 to 20 repeat attribute values 1 to 20. Children are gathered as maps, once each."""
+def delivery_from_tables(items: DataFrame, descriptions: DataFrame, attributes: DataFrame, specs: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """One row of 252 texts per item; features 1 to 20 repeat attribute values 1 to 20. Children are gathered as maps, once each.
+
+    The image flag is Yes for items with a product image that has a URL, else No.
+    """
     d = descriptions.where(F.col("field_name").isin(DESCRIPTIONS)).groupBy(F.col("item_id").alias("id")).agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in DESCRIPTIONS])
     a = attributes.where("seq between 1 and 50").groupBy(F.col("item_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("seq", F.struct("label", "value", "uom")))).alias("_a"))
     numbers = [c for c in ("list_price", "length", "width", "height", "weight") if c in specs.columns]
     s = specs.withColumns({c: plain_number(c) for c in numbers}).withColumnRenamed("item_id", "id")
     rows = items.join(d, "id", "left").join(a, "id", "left").join(s, "id", "left")
+    if assets is not None:
+        image = (F.col("asset_type") == "product_image") & (F.coalesce("url", F.lit("")) != "")
+        rows = rows.join(assets.groupBy(F.col("item_id").alias("id")).agg(F.max(F.coalesce(image, F.lit(False))).alias("_image")), "id", "left")
     cells = _common(rows.columns)
+    cells["Actual Image (Yes/No)"] = F.when(F.col("_image"), "Yes").otherwise("No") if assets is not None else F.lit("No")
     at = lambda i, k: F.try_element_at("_a", F.lit(i))[k]
     cells |= {f"ATTRIBUTE_{k.upper()} {i}": at(i, k) for i in range(1, 51) for k in ("label", "value", "uom")}
     cells |= {f"ITEM_FEATURES_{i}": at(i, "value") for i in range(1, 21)}
@@ -69,6 +75,8 @@ def delivery_from_canonical(products: DataFrame, key: str = "id") -> DataFrame:
         elif f in DESCRIPTIONS and "descriptions" in products.columns:
             cells[h] = F.try_element_at("descriptions", F.lit(f))
     cells |= {f"ATTRIBUTE_{k.upper()} {i}": F.get("attributes", F.lit(i - 1))[k] for i in range(1, 51) for k in ("label", "value", "uom")}
+    image = F.exists("assets", lambda a: (a["asset_type"] == "product_image") & (F.coalesce(a["url"], F.lit("")) != "")) if "assets" in products.columns else F.lit(False)
+    cells["Actual Image (Yes/No)"] = F.when(image, "Yes").otherwise("No")
     if "features" in products.columns:
         cells |= {f"ITEM_FEATURES_{i}": F.get("features", F.lit(i - 1))["value"] for i in range(1, 21)}
     return _layout(products, key, cells)
@@ -134,11 +142,30 @@ def run_outcomes(rows: DataFrame, failed: DataFrame) -> DataFrame:
     return out.select("row_idx", outcome.alias("outcome"), "primary_row", "stage")
 
 
-def run_metrics(outcomes: DataFrame, identities: DataFrame) -> DataFrame:
-    """One row of totals of a run; rows without identity count as processed and as skipped searches."""
-    rows = outcomes.join(identities.select("row_idx", "strength"), "row_idx")
+def external_fields(products: DataFrame) -> DataFrame:
+    """(field, n): present fields whose value came from an external source."""
+    return fields_by_source(products).where("source_type = 'external'").select("field", "n")
+
+
+def run_metrics(outcomes: DataFrame, identities: DataFrame, evidence: DataFrame, products: DataFrame) -> DataFrame:
+    """One row of the totals of a run.
+
+    ``evidence`` has one row for each product that was searched: row_idx, retrieved, matched, fields (extracted without a
+    model), needs (left for one), asked (a model was), cached. ``products`` has row_idx and value_status. Only primary rows are worked on, so a
+    duplicate adds nothing but itself; rows without identity are processed and not searched. Totals are of one
+    grouping and single-row joins: there are no counters.
+    """
+    rows = outcomes.join(identities.select("row_idx", "strength"), "row_idx").join(evidence, "row_idx", "left")
+    states = products.select("row_idx", *[F.size(F.map_filter("value_status", lambda k, v: v == s)).alias(f"_{s}") for s in ("conflicting", "unresolved", "invalid")])
+    rows = rows.join(states, "row_idx", "left")
     is_ = lambda o: F.count_if(F.col("outcome") == o)
+    work = F.col("primary_row") == F.col("row_idx")
+    searched = work & (F.col("strength") != "none")
+    total = lambda test, c: F.coalesce(F.sum(F.when(test, F.col(c))), F.lit(0)).cast("long")
+    count = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
     return rows.agg(
-        F.count(F.lit(1)).alias("rows_in"), is_("processed").alias("processed"), is_("duplicate").alias("duplicates"), is_("failed").alias("failed"), F.count_if((F.col("strength") == "none") & (F.col("outcome") == "processed")).alias("no_identity"),
-        F.count_if((F.col("strength") != "none") & (F.col("outcome") == "processed")).alias("searches"),
+        F.count(F.lit(1)).alias("rows_in"), is_("processed").alias("processed"), is_("failed").alias("failed"), is_("duplicate").alias("duplicates"), count(work & (F.col("strength") == "none")).alias("no_identity"), count(searched & F.col("matched")).alias("with_evidence"),
+        count(searched & ~F.coalesce("cached", F.lit(False))).alias("searches"), count(searched & F.col("retrieved") & ~F.col("cached")).alias("retrievals"), total(searched & F.col("matched"), "fields").alias("deterministic_fields"),
+        count(searched & F.col("asked")).alias("model_calls"), count(searched & F.col("matched") & (F.col("needs") == 0)).alias("model_calls_avoided"), count(searched & F.col("cached")).alias("cache_hits"), count(searched & ~F.coalesce("cached", F.lit(False))).alias("cache_misses"),
+        total(work, "_conflicting").alias("conflicts"), total(work, "_unresolved").alias("unresolved_fields"), total(work, "_invalid").alias("invalid_fields"),
     )

@@ -60,6 +60,22 @@ def identity_audit(rows: DataFrame) -> DataFrame:
     return by_strength.unionByName(found.where("primary_row <> row_idx").groupBy(F.lit("repeats").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
 
 
+def identity_issues(products: DataFrame, errors: DataFrame) -> DataFrame:
+    """(row_idx, mpn, kind, detail): what an audit of finished products (row_idx, mpn, manufacturer, raw_manufacturer) finds.
+
+    duplicate_mpn: the number was seen in an earlier row, which the detail names. manufacturer_derived_differs: the
+    manufacturer is another than the raw one without its vendor code. error_<stage>: an error (row_idx, stage, message) of the evidence stages.
+    """
+    seen = products.where("mpn is not null").groupBy("mpn").agg(F.min("row_idx").alias("first"))
+    again = products.join(seen, "mpn").where("row_idx > first").select("row_idx", "mpn", F.lit("duplicate_mpn").alias("kind"), F.concat(F.lit("MPN already seen at row "), F.col("first").cast("string")).alias("detail"))
+    raw = X.strip_vendor_code(X.trim(F.col("raw_manufacturer")))
+    other = products.where((F.coalesce("raw_manufacturer", F.lit("")) != "") & F.col("manufacturer").isNotNull() & (F.lower(raw) != F.lower("manufacturer")))
+    other = other.select("row_idx", "mpn", F.lit("manufacturer_derived_differs").alias("kind"), F.concat(F.lit('input "'), raw, F.lit('" vs output "'), "manufacturer", F.lit('"')).alias("detail"))
+    failed = errors.where(F.col("stage").isin("external_evidence", "apply_evidence")).join(products.select("row_idx", "mpn"), "row_idx", "left")
+    failed = failed.select("row_idx", "mpn", F.concat(F.lit("error_"), "stage").alias("kind"), F.col("message").alias("detail"))
+    return again.unionByName(other).unionByName(failed)
+
+
 def duplicate_mpns(rows: DataFrame) -> DataFrame:
     """(mpn, n) of part numbers that stand in several rows."""
     return rows.where("mpn is not null").groupBy("mpn").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

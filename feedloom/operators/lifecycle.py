@@ -95,14 +95,23 @@ def reconcile_states(items: DataFrame, logs: DataFrame, now: int, stale_seconds:
     return rows.select("id", "class", F.when(F.col("class") == "STALE", "failed").when(F.col("class") == "INVALID", "review").otherwise(F.col("status")).alias("new_status"), F.when(F.col("class") == "STALE", step).alias("failed_step"))
 
 
-def list_items(items: DataFrame, search: str | None = None, status: str | None = None, batch=None, page: int = 1, size: int = 50) -> DataFrame:
-    """One page of items, newest first: filtered by status, batch and a part of number, description or manufacturer."""
+def list_page(items: DataFrame, page: int = 1, size: int = 50, **filters) -> DataFrame:
+    """The rows of ``list_items`` with total (of all items that the filters leave) and total_pages."""
+    total = list_items(items, page=1, size=None, **filters).agg(F.count(F.lit(1)).alias("total"))
+    rows = list_items(items, page=page, size=size, **filters).join(F.broadcast(total))  # one row
+    return rows.withColumn("total_pages", F.ceil(F.col("total") / size).cast("long"))
+
+
+def list_items(items: DataFrame, search: str | None = None, status: str | None = None, batch=None, page: int = 1, size: int | None = 50) -> DataFrame:
+    """One page of items (all of them, unordered, without a size), newest first: filtered by status, batch and a part of number, description or manufacturer."""
     if status is not None:
         items = items.where(F.col("status") == status)
     if batch is not None:
         items = items.where(F.col("batch_id") == batch)
     if search:
         items = items.where(F.contains(F.lower("mfg_part_num"), F.lit(search.lower())) | F.contains(F.lower("part_desc"), F.lit(search.lower())) | F.contains(F.lower("manufacturer_name"), F.lit(search.lower())))
+    if size is None:
+        return items
     return items.orderBy(F.col("updated_at").desc(), "id").offset((page - 1) * size).limit(size)
 
 

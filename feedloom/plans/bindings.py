@@ -81,6 +81,11 @@ VIEWS["specs"] = """
       CASE WHEN row_idx % 4 = 1 THEN cast(0 as double) ELSE cast(p_size as double) END AS weight, CASE WHEN row_idx % 8 = 0 THEN '2 years limited' ELSE NULL END AS warranty
     FROM {source_rows} t
 """
+VIEWS["assets"] = """
+    SELECT id AS item_id, CASE WHEN id % 3 = 0 THEN 'product_image' WHEN id % 3 = 1 THEN 'spec_sheet' ELSE 'brochure' END AS asset_type,
+      CASE WHEN id % 12 = 0 THEN '' WHEN id % 10 = 7 THEN NULL ELSE 'http://files.example/' || cast(id as string) END AS url, cast(1 as int) AS sort_order FROM {items} i WHERE id % 5 <> 4
+    UNION ALL SELECT id, 'Manual', ' http://files.example/m' || cast(id as string) || ' ', cast(2 as int) FROM {items} i WHERE id % 2 = 0
+"""
 #: The answer key of every item that is not itself part of it, with deterministic edits.
 VIEWS["answers"] = """
     SELECT id AS item_id, 100000000 + id AS answer_id, mfg_part_num, CASE WHEN id % 7 = 0 THEN manufacturer_name || 'x' WHEN id % 7 = 1 THEN 'Other Works' ELSE upper(manufacturer_name) END AS manufacturer_name,

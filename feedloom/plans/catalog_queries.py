@@ -30,17 +30,24 @@ def seed_products(t):
 
 
 def _products(t):
-    return C.assemble(t.items, t.descs, t.attrs, t.specs)
+    return C.assemble(t.items, t.descs, t.attrs, t.specs, t.assets)
 
 
 _A = "a AS (SELECT item_id, count(*) AS n, string_agg(label || '=' || value, ',' ORDER BY seq) AS text FROM {attrs} GROUP BY item_id)"
 
 
-@query(f"WITH {_A} SELECT i.id, coalesce(a.n, 0) AS n_attributes, a.text AS attributes, d.value AS short_desc, s.list_price, s.warranty FROM {{items}} i LEFT JOIN a ON a.item_id = i.id LEFT JOIN {{descs}} d ON d.item_id = i.id AND d.field_name = 'short_desc' LEFT JOIN {{specs}} s ON s.item_id = i.id")
+_KNOWN = " + ".join(f"(coalesce(trim({c}), '') <> '')::INTEGER" for c in ("i.mfg_part_num", "i.manufacturer_name", "i.brand_name", "i.dept", "i.class", "i.fine", "i.classpath"))
+_GUESSED = " + ".join(f"({c} IS NOT NULL)::INTEGER" for c in ("s.upc", "s.ean", "s.list_price", "s.length", "s.weight", "s.warranty"))
+_ASSETS = "x AS (SELECT item_id, string_agg(CASE asset_type WHEN 'product_image' THEN 'product_image' WHEN 'spec_sheet' THEN 'specification_sheet' WHEN 'Manual' THEN 'instruction_manual' ELSE 'reference_url' END || '=' || trim(url), ',' ORDER BY sort_order) AS text FROM {assets} WHERE trim(url) <> '' GROUP BY item_id), dn AS (SELECT item_id, count(*) AS n FROM {descs} WHERE trim(value) <> '' AND field_name <> 'item_features' GROUP BY item_id)"
+
+
+@query(f"WITH {_A}, {_ASSETS} SELECT i.id, coalesce(a.n, 0) AS n_attributes, a.text AS attributes, d.value AS short_desc, s.list_price, s.warranty, x.text AS assets, ({_KNOWN})::BIGINT AS verified, ({_GUESSED} + coalesce(dn.n, 0))::BIGINT AS inferred FROM {{items}} i LEFT JOIN x ON x.item_id = i.id LEFT JOIN dn ON dn.item_id = i.id LEFT JOIN a ON a.item_id = i.id LEFT JOIN {{descs}} d ON d.item_id = i.id AND d.field_name = 'short_desc' LEFT JOIN {{specs}} s ON s.item_id = i.id")
 def assemble_canonical(t):
-    """Every item with its descriptions, attributes and specs."""
+    """Every item with its descriptions, attributes, specs and assets, and how many fields are verified and inferred."""
+    count = lambda s: F.size(F.map_filter("value_status", lambda k, v: v == s)).cast("long").alias(s)
+    assets = F.nullif(F.array_join(F.transform("assets", lambda a: F.concat(a["asset_type"], F.lit("="), a["url"])), ","), F.lit(""))
     text = F.array_join(F.transform("attributes", lambda a: F.concat(a["label"], F.lit("="), a["value"])), ",")
-    return _products(t).select("id", F.size("attributes").cast("long").alias("n_attributes"), F.nullif(text, F.lit("")).alias("attributes"), F.try_element_at("descriptions", F.lit("short_desc")).alias("short_desc"), "specs.list_price", "specs.warranty")
+    return _products(t).select("id", F.size("attributes").cast("long").alias("n_attributes"), F.nullif(text, F.lit("")).alias("attributes"), F.try_element_at("descriptions", F.lit("short_desc")).alias("short_desc"), "specs.list_price", "specs.warranty", assets.alias("assets"), count("verified"), count("inferred"))
 
 
 @query("""SELECT field, status, count(*) AS n FROM (SELECT unnest(['manufacturer_name', 'brand_name', 'dept']) AS field, unnest([CASE WHEN id % 4 = 0 THEN 'verified' WHEN manufacturer_name IS NULL THEN 'unresolved' ELSE 'inferred' END,
@@ -91,19 +98,23 @@ def category_attributes(t):
 @query("""WITH v AS (SELECT DISTINCT item_id FROM {attrs} WHERE contains(lower(label), 'voltage')), h AS (SELECT DISTINCT item_id FROM {attrs} WHERE contains(lower(label), 'horsepower') OR contains(lower(label), 'rpm'))
     SELECT i.id, array_to_string([x for x in [CASE WHEN upc IS NULL THEN 'upc' END, CASE WHEN ean IS NULL THEN 'ean' END, 'gtin', CASE WHEN coalesce(weight, 0) = 0 THEN 'weight' END, CASE WHEN warranty IS NULL THEN 'warranty' END, CASE WHEN coalesce(length, 0) = 0 THEN 'dimensions' END,
       CASE WHEN dept = 'electronics' AND v.item_id IS NULL THEN 'voltage' END, CASE WHEN dept = 'industrial' AND h.item_id IS NULL THEN 'horsepower' END] if x IS NOT NULL], ',') AS needed,
-      array_to_string([x for x in [CASE WHEN coalesce(weight, 0) <> 0 THEN 'weight' END, CASE WHEN warranty IS NOT NULL THEN 'warranty' END, CASE WHEN coalesce(length, 0) <> 0 THEN 'dimensions' END] if x IS NOT NULL], ',') AS skip
+      array_to_string([x for x in [CASE WHEN coalesce(weight, 0) <> 0 THEN 'weight' END, CASE WHEN warranty IS NOT NULL THEN 'warranty' END, CASE WHEN coalesce(length, 0) <> 0 THEN 'dimensions' END] if x IS NOT NULL], ',') AS skip,
+      array_to_string([x for x in [CASE WHEN upc IS NULL THEN 'UPC missing - will attempt external retrieval if evidence available' END, CASE WHEN ean IS NULL THEN 'EAN missing - will attempt external retrieval if evidence available' END, 'GTIN missing - will attempt external retrieval if evidence available',
+        CASE WHEN coalesce(weight, 0) = 0 THEN 'weight missing - common field, worth external lookup' ELSE 'weight already present' END, CASE WHEN warranty IS NULL THEN 'warranty missing - critical field, always prioritize' ELSE 'warranty already present' END,
+        CASE WHEN coalesce(length, 0) = 0 THEN 'dimensions missing - common for products' ELSE 'dimensions already present' END, CASE WHEN dept = 'electronics' AND v.item_id IS NULL THEN 'Voltage Rating - electronics category' END,
+        CASE WHEN dept = 'industrial' AND h.item_id IS NULL THEN 'Horsepower/RPM - industrial category' END] if x IS NOT NULL], '; ') AS rationale
     FROM {items} i JOIN {specs} s ON s.item_id = i.id LEFT JOIN v ON v.item_id = i.id LEFT JOIN h ON h.item_id = i.id""")
 def missing_fields(t):
     """What every item lacks, in order."""
-    return C.missing_fields(_products(t)).select("id", F.array_join("needed", ",").alias("needed"), F.array_join("skip", ",").alias("skip"))
+    return C.missing_fields(_products(t)).select("id", F.array_join("needed", ",").alias("needed"), F.array_join("skip", ",").alias("skip"), F.array_join("rationale", "; ").alias("rationale"))
 
 
-@query(f"WITH {_FEATURES}, x AS (SELECT item_id, string_agg(trim(label) || '=' || trim(value), ',' ORDER BY seq) AS text FROM {{attrs}} GROUP BY item_id) SELECT f.id, array_to_string([trim(v) for v in vs], '|') AS features, x.text AS attributes FROM features f LEFT JOIN x ON x.item_id = f.id")
+@query(f"WITH {_FEATURES}, y AS (SELECT item_id, string_agg(trim(label) || '=' || trim(value), ',' ORDER BY seq) AS text FROM {{attrs}} GROUP BY item_id), {_ASSETS} SELECT f.id, array_to_string([trim(v) for v in vs], '|') AS features, y.text AS attributes, x.text AS assets, CASE WHEN f.id % 7 <> 0 THEN i.confidence_score END AS confidence_score FROM features f JOIN {{items}} i ON i.id = f.id LEFT JOIN y ON y.item_id = f.id LEFT JOIN x ON x.item_id = f.id")
 def clean_nested(t):
     """Trimmed features and attributes of every item."""
-    rows = C.clean_nested(C.derive_features(_products(t)))
+    rows = C.clean_nested(C.derive_features(_products(t)).withColumn("confidence_score", F.concat(F.col("confidence_score").cast("string"), F.when(F.col("id") % 7 == 0, "x").otherwise(""))))
     joined = lambda c, g, s: F.when(F.size(c) > 0, F.array_join(F.transform(c, g), s))
-    return rows.select("id", joined("features", lambda f: f["value"], "|").alias("features"), joined("attributes", lambda a: F.concat(a["label"], F.lit("="), a["value"]), ",").alias("attributes"))
+    return rows.select("id", joined("features", lambda f: f["value"], "|").alias("features"), joined("attributes", lambda a: F.concat(a["label"], F.lit("="), a["value"]), ",").alias("attributes"), joined("assets", lambda a: F.concat(a["asset_type"], F.lit("="), a["url"]), ",").alias("assets"), "confidence_score")
 
 
 @query("""WITH e AS (SELECT product_id, substr(string_agg('source: ' || page_text, '; ' ORDER BY rnk), 1, 2000) AS evidence FROM {candidates} GROUP BY 1)
@@ -115,6 +126,13 @@ def build_requests(t):
     return A.build_requests(t.items.select(F.col("id").alias("product_id"), needs.alias("needs")), lines)
 
 
+@query("""SELECT count(*) FILTER (brand_name IS NULL OR fine IS NULL) AS requests, count(*) FILTER (brand_name IS NOT NULL AND fine IS NOT NULL) AS avoided FROM {items} WHERE id IN (SELECT product_id FROM {candidates})""")
+def build_requests_totals(t):
+    """How many matched items a model is asked about, and how many need none."""
+    needs = F.array_compact(F.array(F.when(F.col("brand_name").isNull(), "brand"), F.when(F.col("fine").isNull(), "fine")))
+    return A.request_totals(t.items.select(F.col("id").alias("product_id"), needs.alias("needs")), t.candidates)
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 5 = 4 THEN NULL ELSE 0.8::DOUBLE END AS confidence, event_id % 5 = 4 AS failed FROM {events}""")
 def parse_responses(t):
     """Event properties as model responses: bare, fenced, and broken JSON."""
@@ -238,10 +256,10 @@ def reconcile_states(t):
     return Q.reconcile_states(t.items, t.logs, NOW)
 
 
-@query("SELECT id, mfg_part_num, status, updated_at FROM {items} WHERE contains(lower(part_desc), 'bolt') ORDER BY updated_at DESC, id LIMIT 20 OFFSET 20")
+@query("SELECT id, mfg_part_num, status, updated_at, (SELECT count(*) FROM {items} WHERE contains(lower(part_desc), 'bolt')) AS total, (SELECT ceil(count(*) / 20.0) FROM {items} WHERE contains(lower(part_desc), 'bolt'))::BIGINT AS total_pages FROM {items} WHERE contains(lower(part_desc), 'bolt') ORDER BY updated_at DESC, id LIMIT 20 OFFSET 20")
 def list_items(t):
     """Q08: the second page of items that speak of bolts."""
-    return Q.list_items(t.items, search="Bolt", page=2, size=20).select("id", "mfg_part_num", "status", "updated_at")
+    return Q.list_page(t.items, search="Bolt", page=2, size=20).select("id", "mfg_part_num", "status", "updated_at", "total", "total_pages")
 
 
 @query(f"SELECT s.status, upper(s.status[1]) || s.status[2:] AS label, count(i.id) AS n FROM (SELECT unnest([{O.quoted([*L.STATUSES, 'unknown'])}]) AS status) s LEFT JOIN {{items}} i ON s.status = CASE WHEN i.status IN ({O.quoted(L.STATUSES)}) THEN i.status ELSE 'unknown' END GROUP BY 1, 2")

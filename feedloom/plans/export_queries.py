@@ -14,10 +14,10 @@ from ..sources import store as W
 from ..streaming import jobs as J
 from . import oracle as O
 from .catalog_queries import _FEATURES, FIELDS
-from .feed_queries import _MERGED, IDENTITY_SQL, identities
+from .feed_queries import _MERGED, COLUMNS, IDENTITY_SQL, identities
 from .registry import query
 
-_SHOWN = {"PART_NUMBER": "part_number", "Dept": "dept", "Class": "klass", "Part_Desc": "part_desc", "MANUFACTURER_NAME": "maker", "SHORT_DESC": "short_desc", "ITEM_FEATURES_1": "feature_1", "ITEM_FEATURES_2": "feature_2", "ATTRIBUTE_LABEL 1": "label_1", "ATTRIBUTE_VALUE 2": "value_2", "ATTRIBUTE_UOM 3": "uom_3", "UPC": "upc", "List Price": "price", "WEIGHT": "weight", "VOLUME": "volume"}
+_SHOWN = {"PART_NUMBER": "part_number", "Dept": "dept", "Class": "klass", "Part_Desc": "part_desc", "MANUFACTURER_NAME": "maker", "SHORT_DESC": "short_desc", "ITEM_FEATURES_1": "feature_1", "ITEM_FEATURES_2": "feature_2", "ATTRIBUTE_LABEL 1": "label_1", "ATTRIBUTE_VALUE 2": "value_2", "ATTRIBUTE_UOM 3": "uom_3", "UPC": "upc", "List Price": "price", "WEIGHT": "weight", "VOLUME": "volume", "Actual Image (Yes/No)": "image"}
 
 
 def _digest(df, key="id"):
@@ -32,26 +32,29 @@ _DES = "des AS (SELECT item_id, max(value) FILTER (field_name = 'short_desc') AS
 _E = lambda x: f"coalesce({x}, '')"
 
 
-def _layout_sql(f1: str, f2: str, feats: str, extra: str = "", joins: str = "") -> str:
-    base = "4 * (i.mfg_part_num <> '')::INTEGER + " + " + ".join(f"({_E(c)} <> '')::INTEGER" for c in ("i.dept", "i.class", "i.fine", "i.part_desc", "i.manufacturer_name", "i.brand_name", "i.classpath", "s.upc", "s.ean", "s.warranty", "s.list_price::VARCHAR", "s.length::VARCHAR", "s.weight::VARCHAR"))
+_IMAGE = "CASE WHEN EXISTS (SELECT 1 FROM {assets} z WHERE z.item_id = i.id AND z.asset_type = 'product_image' AND coalesce(z.url, '') <> '') THEN 'Yes' ELSE 'No' END"
+
+
+def _layout_sql(f1: str, f2: str, feats: str, extra: str = "", joins: str = "", image: str = _IMAGE) -> str:
+    base = "1 + 4 * (i.mfg_part_num <> '')::INTEGER + " + " + ".join(f"({_E(c)} <> '')::INTEGER" for c in ("i.dept", "i.class", "i.fine", "i.part_desc", "i.manufacturer_name", "i.brand_name", "i.classpath", "s.upc", "s.ean", "s.warranty", "s.list_price::VARCHAR", "s.length::VARCHAR", "s.weight::VARCHAR"))
     return f"""WITH {_ATT}, {_DES}{extra} SELECT i.id, i.mfg_part_num AS part_number, {_E('i.dept')} AS dept, {_E('i.class')} AS klass, i.part_desc, {_E('i.manufacturer_name')} AS maker, {_E('short')} AS short_desc, {f1} AS feature_1, {f2} AS feature_2, {_E('l1')} AS label_1, {_E('v2')} AS value_2, {_E('u3')} AS uom_3,
-      {_E('s.upc')} AS upc, {_E(_NUM('s.list_price'))} AS price, {_E(_NUM('s.weight'))} AS weight, '' AS volume, ({base} + coalesce(att.filled, 0) + coalesce(des.filled, 0) + {feats})::BIGINT AS filled
+      {_E('s.upc')} AS upc, {_E(_NUM('s.list_price'))} AS price, {_E(_NUM('s.weight'))} AS weight, '' AS volume, {image} AS image, ({base} + coalesce(att.filled, 0) + coalesce(des.filled, 0) + {feats})::BIGINT AS filled
       FROM {{items}} i LEFT JOIN att ON att.item_id = i.id LEFT JOIN des ON des.item_id = i.id LEFT JOIN {{specs}} s ON s.item_id = i.id {joins}"""
 
 
 @query(_layout_sql(_E("v1"), _E("v2"), "coalesce(att.feats, 0)"))
 def delivery_from_tables(t):
     """The delivery of every item, from its tables."""
-    return _digest(D.delivery_from_tables(t.items, t.descs, t.attrs, t.specs))
+    return _digest(D.delivery_from_tables(t.items, t.descs, t.attrs, t.specs, t.assets))
 
 
 @query(_layout_sql(_E("f.vs[1]"), _E("f.vs[2]"), "coalesce(len([v for v in f.vs[1:20] if v <> '']), 0)", f", {_FEATURES}", "LEFT JOIN features f ON f.id = i.id"))
 def delivery_from_canonical(t):
     """The delivery of every item, from its canonical product."""
-    return _digest(D.delivery_from_canonical(C.derive_features(C.assemble(t.items, t.descs, t.attrs, t.specs))))
+    return _digest(D.delivery_from_canonical(C.derive_features(C.assemble(t.items, t.descs, t.attrs, t.specs, t.assets))))
 
 
-@query(_layout_sql(_E("p.vs[1]"), _E("p.vs[2]"), "coalesce(len(p.vs[1:20]), 0)", ", p AS (SELECT item_id, [trim(x) for x in string_split(value, ';') if trim(x) <> ''] AS vs FROM {descs} WHERE field_name = 'item_features')", "LEFT JOIN p ON p.item_id = i.id"))
+@query(_layout_sql(_E("p.vs[1]"), _E("p.vs[2]"), "coalesce(len(p.vs[1:20]), 0)", ", p AS (SELECT item_id, [trim(x) for x in string_split(value, ';') if trim(x) <> ''] AS vs FROM {descs} WHERE field_name = 'item_features')", "LEFT JOIN p ON p.item_id = i.id", "'No'"))
 def delivery_features_from_text(t):
     """The delivery with features from text."""
     text = t.descs.where("field_name = 'item_features'").select(F.col("item_id").alias("id"), F.col("value").alias("text"))
@@ -95,8 +98,18 @@ def unprovenanced_values(t):
     return D.unprovenanced(rows, FIELDS)
 
 
-@query(f"WITH {_MERGED} SELECT field, 'input' AS source_type, count(*) AS n FROM merged WHERE status <> 'invalid' AND (value IS NOT NULL OR number IS NOT NULL) AND field IN ({O.quoted(FIELDS)}) GROUP BY 1")
+_ABROAD = "field IN ('weight', 'warranty', 'upc')"
+
+
+@query(f"WITH {_MERGED} SELECT field, count(*) AS n FROM merged WHERE status <> 'invalid' AND (value IS NOT NULL OR number IS NOT NULL) AND {_ABROAD} AND row_idx % 4 = 0 GROUP BY 1")
 def external_fields(t):
+    """Present fields from an external source: of every fourth product, three were confirmed by a page."""
+    abroad = lambda k, p: F.when(k.isin("weight", "warranty", "upc") & (F.col("row_idx") % 4 == 0), p.withField("source_type", F.lit("external"))).otherwise(p)
+    return D.external_fields(_seeds(t).withColumn("field_provenance", F.transform_values("field_provenance", abroad)))
+
+
+@query(f"WITH {_MERGED} SELECT field, 'input' AS source_type, count(*) AS n FROM merged WHERE status <> 'invalid' AND (value IS NOT NULL OR number IS NOT NULL) AND field IN ({O.quoted(FIELDS)}) GROUP BY 1")
+def fields_by_source(t):
     """Present fields by the source of their value."""
     return D.fields_by_source(_seeds(t))
 
@@ -109,10 +122,19 @@ def _outcomes(t):
 _OUT = f"""{IDENTITY_SQL}, outs AS (SELECT row_idx, primary_row, strength, CASE WHEN primary_row % 17 = 3 THEN 'failed' WHEN row_idx <> primary_row THEN 'duplicate' ELSE 'processed' END AS outcome, CASE WHEN primary_row % 17 = 3 THEN 'evidence' END AS stage FROM merged_ids)"""
 
 
-@query(f"WITH {_OUT} SELECT count(*) AS rows_in, count(*) FILTER (outcome = 'processed') AS processed, count(*) FILTER (outcome = 'duplicate') AS duplicates, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (strength = 'none' AND outcome = 'processed') AS no_identity, count(*) FILTER (strength <> 'none' AND outcome = 'processed') AS searches FROM outs")
+_EVIDENCE = "ev AS (SELECT product_id, count(*) FILTER (tier = 1) AS fields, count(*) % 3 AS needs, product_id % 4 = 0 AS cached FROM {candidates} GROUP BY product_id)"
+
+
+@query(f"""WITH {_OUT}, {_EVIDENCE}, {_MERGED.replace('keyed', 'keyed_cells')}, o AS (SELECT outs.*, row_idx = primary_row AS work, row_idx = primary_row AND strength <> 'none' AS searched, coalesce(fields > 0, false) AS matched, fields, needs, coalesce(cached, false) AS cached, product_id IS NOT NULL AS retrieved FROM outs LEFT JOIN ev ON product_id = row_idx),
+    st AS (SELECT count(*) FILTER (status = 'conflicting') AS conflicts, count(*) FILTER (status = 'unresolved') AS unresolved_fields, count(*) FILTER (status = 'invalid') AS invalid_fields FROM merged JOIN outs USING (row_idx) WHERE row_idx = primary_row AND field IN ({O.quoted(FIELDS)}))
+    SELECT count(*) AS rows_in, count(*) FILTER (outcome = 'processed') AS processed, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'duplicate') AS duplicates, count(*) FILTER (work AND strength = 'none') AS no_identity, count(*) FILTER (searched AND matched) AS with_evidence,
+      count(*) FILTER (searched AND NOT cached) AS searches, count(*) FILTER (searched AND retrieved AND NOT cached) AS retrievals, coalesce(sum(fields) FILTER (searched AND matched), 0)::BIGINT AS deterministic_fields, count(*) FILTER (searched AND matched AND needs > 0) AS model_calls,
+      count(*) FILTER (searched AND matched AND needs = 0) AS model_calls_avoided, count(*) FILTER (searched AND cached) AS cache_hits, count(*) FILTER (searched AND NOT cached) AS cache_misses, (SELECT conflicts FROM st) AS conflicts, (SELECT unresolved_fields FROM st) AS unresolved_fields, (SELECT invalid_fields FROM st) AS invalid_fields FROM o""")
 def run_metrics(t):
-    """Totals of a run over the feed, in which every 17th product fails."""
-    return D.run_metrics(*_outcomes(t))
+    """All totals of a run over the feed, in which every 17th product fails and every fourth is in the cache."""
+    found = t.candidates.groupBy(F.col("product_id").alias("row_idx")).agg(F.count_if(F.col("tier") == 1).alias("fields"), (F.count(F.lit(1)) % 3).alias("needs"))
+    found = found.select("row_idx", F.lit(True).alias("retrieved"), (F.col("fields") > 0).alias("matched"), "fields", "needs", ((F.col("fields") > 0) & (F.col("needs") > 0)).alias("asked"), (F.col("row_idx") % 4 == 0).alias("cached"))
+    return D.run_metrics(*_outcomes(t), found, _seeds(t))
 
 
 @query(f"WITH {_OUT} SELECT row_idx, outcome, primary_row, stage FROM outs")
@@ -141,26 +163,26 @@ def extract_products_from_text(t):
     return rows.select("doc_id", "pos", "mfg_part_num", "manufacturer", "dept")
 
 
-@query("SELECT item_id AS id, 'attribute' AS kind, count(*) AS n, sum(length(value))::BIGINT AS chars FROM {attrs} WHERE trim(value) <> '' OR trim(label) <> '' GROUP BY 1 UNION ALL SELECT item_id, 'description', count(*), sum(length(value))::BIGINT FROM {descs} WHERE field_name IN ('mobile_desc', 'short_desc') GROUP BY 1 UNION ALL SELECT item_id, 'spec', count(*), sum(length(v))::BIGINT FROM (SELECT item_id, upc AS v FROM {specs} UNION ALL SELECT item_id, warranty FROM {specs}) z WHERE v IS NOT NULL GROUP BY 1")
-def melt_answer_key(t):
-    """The delivery as an answer key in long form, counted by item and kind."""
-    rows = W.melt_answer_key(D.delivery_from_tables(t.items, t.descs, t.attrs, t.specs), "id", {"MOBILE_DESC": "mobile_desc", "SHORT_DESC": "short_desc"}, 50, {"UPC": "upc", "Warranty": "warranty"})
-    return rows.groupBy("id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value").cast("long")).alias("chars"))
+_MELTED = " UNION ALL ".join(f"SELECT item_id, {v} AS v FROM {{specs}}" for v in ("upc", "ean", "warranty", *map(_NUM, ("list_price", "length", "weight"))))
 
 
-_DELIVERED = "part_number maker short_desc".split()
+@query(f"""SELECT item_id AS id, 'attribute' AS kind, count(*) AS n, sum(length(value))::BIGINT AS chars FROM {{attrs}} WHERE trim(value) <> '' OR trim(label) <> '' GROUP BY 1
+    UNION ALL SELECT item_id, 'description', count(*), sum(length(value))::BIGINT FROM (SELECT item_id, value FROM {{descs}} WHERE field_name IN ('mobile_desc', 'short_desc', 'invoice_desc', 'long_desc1') UNION ALL SELECT id, part_desc FROM {{items}}) d WHERE trim(value) <> '' GROUP BY 1
+    UNION ALL SELECT item_id, 'spec', count(*), sum(length(v))::BIGINT FROM ({_MELTED}) z WHERE v IS NOT NULL GROUP BY 1 UNION ALL SELECT id, 'asset', count(*), sum(length(v))::BIGINT FROM (SELECT id, 'http://m/' || id::VARCHAR AS v FROM {{items}} WHERE id % 3 = 0 UNION ALL SELECT id, 'http://r' FROM {{items}} WHERE id % 2 = 0) z GROUP BY 1""")
+def melt_answer_key(t):
+    """The delivery with some URLs as an answer key in long form, counted by item and kind."""
+    wide = D.delivery_from_tables(t.items, t.descs, t.attrs, t.specs).withColumns({"MFR URL": F.when(F.col("id") % 3 == 0, F.concat(F.lit("http://m/"), F.col("id").cast("string"))), "Ref URL 2": F.when(F.col("id") % 2 == 0, "http://r")})
+    return W.melt_answer_key(wide, "id").groupBy("id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value").cast("long")).alias("chars"))
 
 
-@query("SELECT 'c' || v.i::VARCHAR AS header, count(*) AS cells FROM {items} z CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS i) v GROUP BY 1")
+@query(f"SELECT h AS header, count(*) AS cells FROM {{items}} z CROSS JOIN (SELECT unnest([{O.quoted(D.HEADERS)}]) AS h) v GROUP BY 1")
 def write_delivery_csv(t):
-    """Delivery columns written as CSV and read back: cells by column (all of them survive)."""
-    shown = [("id", "id"), *[(h, a) for h, a in _SHOWN.items() if a in _DELIVERED]]
-    rows = D.delivery_from_tables(t.items, t.descs, t.attrs, t.specs).select(*[F.col(f"`{h}`").cast("string").alias(f"c{i}") for i, (h, _) in enumerate(shown)], F.lit('a "quoted", cell').alias("c4"))
+    """The delivery written as CSV and read back: cells of each of the 252 columns (all of them survive)."""
+    rows = D.delivery_from_tables(t.items, t.descs, t.attrs, t.specs, t.assets).withColumns({"id": F.col("id").cast("string"), "Includes": F.lit('a "quoted", cell\nof two lines')})
     path = R.scratch(t.spark)
     R.write_csv(rows, path)
     back = R.read_feed(t.spark, path).drop("row_idx")
-    same = R.export_parity(rows, back, "c0").where("different + only_left + only_right = 0").select("header", "cells")
-    return same.unionByName(back.agg(F.count("c0").alias("cells")).select(F.lit("c0").alias("header"), "cells"))
+    return R.export_parity(rows, back, "id").where("different + only_left + only_right = 0").select("header", "cells")
 
 
 @query("SELECT unnest(['readable', 'header_count', 'header_order', 'missing_headers', 'extra_headers', 'reordered_headers', 'row_width', 'unicode', 'static_headers']) AS \"check\", count(*) > 0 AS ok FROM {items}")
@@ -171,13 +193,15 @@ def validate_delivery(t):
     return R.validate_delivery(t.spark, path).select("check", "ok")
 
 
-@query("SELECT col AS header, count(*) AS cells, 0::BIGINT AS different, 0::BIGINT AS only_left, 0::BIGINT AS only_right FROM {feed} CROSS JOIN (SELECT unnest(['MPN', 'MFR', 'Part_Desc', 'UPC_Code', 'Weight']) AS col) c GROUP BY 1")
+@query(f"SELECT col AS header, count(*) AS cells, count(*) FILTER (col = 'Weight' AND row_idx % 7 = 0 AND row_idx % 50 <> 1) AS different, count(*) FILTER (row_idx % 50 = 1) AS only_left, 0::BIGINT AS only_right FROM {{feed}} CROSS JOIN (SELECT unnest([{O.quoted(COLUMNS)}]) AS col) c GROUP BY 1")
 def export_parity(t):
-    """The feed written as CSV and as Parquet, compared cell by cell."""
-    rows = t.feed.select(F.col("row_idx").cast("string").alias("k"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("MPN", "MFR", "Part_Desc", "UPC_Code", "Weight")])
+    """The whole feed written as CSV and, with some cells changed and some rows left out, as Parquet, compared cell by cell."""
+    rows = t.feed.select(F.col("row_idx").cast("string").alias("k"), *[F.coalesce(c, F.lit("")).alias(c) for c in COLUMNS])
     one, two = R.scratch(t.spark), R.scratch(t.spark)
     R.write_csv(rows, one)
-    rows.write.parquet(two)
+    number = F.col("k").cast("long")
+    other = rows.where(number % 50 != 1).withColumn("Weight", F.when(number % 7 == 0, F.concat("Weight", F.lit("!"))).otherwise(F.col("Weight")))
+    other.write.parquet(two)
     return R.export_parity(R.read_feed(t.spark, one).drop("row_idx"), t.spark.read.parquet(two), "k")
 
 
@@ -191,10 +215,19 @@ def upsert_items(t):
     return W.upsert_items(t.items.where("id % 2 = 0").select("id", "mfg_part_num", "part_desc"), feed)
 
 
-@query("SELECT item_id, field_name, value FROM {descs} WHERE item_id % 10 = 3 UNION ALL SELECT item_id, field_name, value FROM {answer_descs} a WHERE NOT EXISTS (SELECT 1 FROM {descs} d WHERE d.item_id = a.item_id AND d.field_name = a.field_name AND d.item_id % 10 = 3)")
+@query("""SELECT 'items' AS copy, id AS item_id, count(*) AS n, max(mfg_part_num) AS top FROM {items} WHERE id % 10 = 3 GROUP BY id UNION ALL SELECT 'items', item_id, count(*), max(mfg_part_num) FROM {answers} GROUP BY item_id
+    UNION ALL SELECT 'descriptions', item_id, count(*), max(value) FROM (SELECT item_id, value FROM {descs} WHERE item_id % 10 = 3 UNION ALL SELECT item_id, value FROM {answer_descs} WHERE item_id % 10 <> 3) z GROUP BY item_id
+    UNION ALL SELECT 'attributes', item_id, count(*), max(label) FROM (SELECT item_id, label FROM {attrs} WHERE item_id % 10 = 3 UNION ALL SELECT item_id, label FROM {answer_attrs} WHERE item_id % 10 <> 3) z GROUP BY item_id
+    UNION ALL SELECT 'specs', item_id, count(*), max(upc) FROM (SELECT item_id, upc FROM {specs} WHERE item_id % 10 = 3 UNION ALL SELECT item_id, upc FROM {answer_specs} WHERE item_id % 10 <> 3) z GROUP BY item_id
+    UNION ALL SELECT 'assets', item_id, count(*), max(CASE WHEN item_id % 10 = 3 THEN url ELSE 'old' END) FROM {assets} GROUP BY item_id""")
 def snapshot_answer_key(t):
-    """Described answers after the flagged items are copied over them."""
-    return W.snapshot_answer_key(t.answer_descs, t.items, t.descs.select("item_id", "field_name", "value"), ["item_id", "field_name"])
+    """All five answer tables after the flagged items are copied over them; rows of each item and its last value."""
+    before = {"items": t.answers.select(F.col("item_id").alias("id"), "mfg_part_num"), "descriptions": t.answer_descs.select("item_id", "field_name", "value"), "attributes": t.answer_attrs, "specs": t.answer_specs.select("item_id", "upc"), "assets": t.assets.withColumn("url", F.lit("old"))}
+    children = {"descriptions": (t.descs, ["item_id", "field_name"]), "attributes": (t.attrs, ["item_id", "seq"]), "specs": (t.specs, ["item_id"]), "assets": (t.assets, ["item_id", "asset_type", "sort_order"])}
+    after = W.snapshot_all(before, t.items, children)
+    shown = {"items": ("id", "mfg_part_num"), "descriptions": ("item_id", "value"), "attributes": ("item_id", "label"), "specs": ("item_id", "upc"), "assets": ("item_id", "url")}
+    parts = [after[k].groupBy(F.lit(k).alias("copy"), F.col(i).alias("item_id")).agg(F.count(F.lit(1)).alias("n"), F.max(v).alias("top")) for k, (i, v) in shown.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
 
 
 @query("SELECT id, CASE WHEN status IN ('enriched', 'review', 'enriching') THEN 'raw' ELSE status END AS status, CASE WHEN status IN ('enriched', 'review', 'enriching') THEN NULL ELSE dept END AS dept, (SELECT count(*) FROM {attrs} a WHERE a.item_id = i.id AND i.status NOT IN ('enriched', 'review', 'enriching')) AS attributes FROM {items} i")
@@ -211,6 +244,12 @@ def replace_children(t):
     return rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("first_label"))
 
 
+@query("SELECT coalesce(s.item_id, a.item_id) AS item_id, coalesce(a.upc, s.upc) AS upc, coalesce(a.list_price, s.list_price) AS list_price, s.length, s.warranty FROM {specs} s FULL JOIN {answer_specs} a ON a.item_id = s.item_id")
+def merge_specs(t):
+    """One row of specs an item, in which supplied codes and prices win."""
+    return W.merge_specs(t.specs, t.answer_specs.select("item_id", "upc", "list_price")).select("item_id", "upc", "list_price", "length", "warranty")
+
+
 @query("SELECT user_id, event_id AS first_event, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM {events}) z WHERE n = 1")
 def stream_ingest(t):
     """A stream of events as feed files: the first of every user stays."""

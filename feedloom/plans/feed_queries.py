@@ -182,10 +182,17 @@ def evidence_cache_key(t):
     return I.evidence_cache_key(identities(t)).select("row_idx", "cache_key")
 
 
-@query(f"WITH {IDENTITY_SQL} SELECT 'strength_' || strength AS kind, count(*) AS n FROM ident GROUP BY 1 UNION ALL SELECT 'repeats', count(*) FROM merged_ids WHERE primary_row <> row_idx HAVING count(*) > 0")
+@query(f"""WITH {IDENTITY_SQL}, f AS (SELECT mpn, min(row_idx) AS first FROM ident WHERE mpn IS NOT NULL GROUP BY mpn) SELECT 'strength_' || strength AS kind, count(*) AS n FROM ident GROUP BY 1 UNION ALL SELECT 'repeats', count(*) FROM merged_ids WHERE primary_row <> row_idx HAVING count(*) > 0
+    UNION ALL SELECT 'duplicate_mpn', count(*) FROM ident JOIN f USING (mpn) WHERE row_idx > first HAVING count(*) > 0 UNION ALL SELECT 'manufacturer_derived_differs', count(*) FROM ident WHERE manufacturer IS NOT NULL AND row_idx % 29 = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'error_external_evidence', count(*) FROM ident WHERE row_idx % 17 = 3 HAVING count(*) > 0""")
 def identity_audit(t):
-    """Rows by identity strength, and repeats."""
-    return I.identity_audit(identities(t))
+    """Rows by identity strength, repeats, and findings by kind (every 29th manufacturer was derived otherwise, every 17th search failed)."""
+    rows = identities(t)
+    made = F.when(F.col("row_idx") % 29 == 0, F.concat("manufacturer", F.lit(" Group"))).otherwise(F.col("manufacturer"))
+    products = rows.select("row_idx", "mpn", made.alias("manufacturer")).join(t.feed.select("row_idx", F.col("MFR").alias("raw_manufacturer")), "row_idx")
+    errors = t.feed.where("row_idx % 17 = 3").select("row_idx", F.lit("external_evidence").alias("stage"), F.lit("timeout").alias("message"))
+    found = I.identity_issues(products, errors).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return I.identity_audit(rows).unionByName(found)
 
 
 @query(f"WITH {_INPUT} SELECT mpn, count(*) AS n FROM input WHERE mpn IS NOT NULL GROUP BY 1 HAVING count(*) > 1")

@@ -21,13 +21,20 @@ def extract_products_from_text(texts: DataFrame, key: str, chunk: int = 2000) ->
     return rows.where("mfg_part_num is not null")
 
 
-def melt_answer_key(wide: DataFrame, key: str, descriptions: dict[str, str], attributes: int, specs: dict[str, str]) -> DataFrame:
-    """(key, kind, seq, name, value, uom) of a wide answer file: descriptions, attributes (with a label or value) and specs that are not empty."""
+#: Columns of an answer file that hold descriptions, assets and specs.
+ANSWER_DESCRIPTIONS = {"Part_Desc": "part_desc", **{h: h.lower() for h in ("INVOICE_DESC", "MOBILE_DESC", "SHORT_DESC", "LONG_DESC1", "RETAIL_DESC", "MARKETING_DESCRIPTION")}}
+ANSWER_ASSETS = {"MFR URL": "mfr_url", **{f"Ref URL {i}": "ref_url" for i in range(1, 6)}}
+ANSWER_SPECS = {h: h.lower().replace(" ", "_") for h in ["UPC", "EAN", "GTIN", "UNSPSC", "List Price", "LENGTH", "LENGTH_UOM", "WIDTH", "WIDTH_UOM", "HEIGHT", "HEIGHT_UOM", "WEIGHT", "WEIGHT_UOM", "Country Of Origin", "Warranty"]}
+
+
+def melt_answer_key(wide: DataFrame, key: str, descriptions: dict[str, str] = ANSWER_DESCRIPTIONS, attributes: int = 50, specs: dict[str, str] = ANSWER_SPECS, assets: dict[str, str] = ANSWER_ASSETS) -> DataFrame:
+    """(key, kind, seq, name, value, uom) of a wide answer file: descriptions, attributes (with a label or value), specs and assets that are not empty."""
     cell = lambda kind, seq, name, value, uom: F.struct(F.lit(kind).alias("kind"), F.lit(seq).alias("seq"), name.cast("string").alias("name"), value.cast("string").alias("value"), uom.cast("string").alias("uom"))
     none = F.lit(None)
     cells = [cell("description", 0, F.lit(f), F.col(f"`{h}`"), none) for h, f in descriptions.items()]
     cells += [cell("attribute", i, F.col(f"`ATTRIBUTE_LABEL {i}`"), F.col(f"`ATTRIBUTE_VALUE {i}`"), F.col(f"`ATTRIBUTE_UOM {i}`")) for i in range(1, attributes + 1)]
     cells += [cell("spec", 0, F.lit(f), F.col(f"`{h}`"), none) for h, f in specs.items()]
+    cells += [cell("asset", i, F.lit(f), F.col(f"`{h}`"), none) for i, (h, f) in enumerate(assets.items(), 1) if h in wide.columns]
     full = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
     return wide.select(key, F.inline(F.array(*cells))).where(full(F.col("value")) | ((F.col("kind") == "attribute") & full(F.col("name"))))
 
@@ -52,6 +59,15 @@ def snapshot_answer_key(snapshot: DataFrame, items: DataFrame, children: DataFra
     return snapshot.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 
+def snapshot_all(snapshots: dict[str, DataFrame], items: DataFrame, children: dict[str, tuple[DataFrame, list[str]]], flag: str = "is_ground_truth") -> dict[str, DataFrame]:
+    """All snapshots after flagged items and their children ({table: (rows, keys)}) are copied again; ``items`` is a table of them, by id."""
+    fresh = items.where(flag)
+    out = {"items": snapshots["items"].join(fresh.select("id"), "id", "left_anti").unionByName(fresh.select(*snapshots["items"].columns))}
+    for name, (rows, keys) in children.items():
+        out[name] = snapshot_answer_key(snapshots[name], items, rows.select(*snapshots[name].columns), keys, flag)
+    return out
+
+
 def reset_items(items: DataFrame, cleared: list[str], statuses: tuple[str, ...] = ("enriched", "review", "enriching")) -> DataFrame:
     """Items of the given states become raw and lose the cleared fields."""
     hit = F.col("status").isin(*statuses)
