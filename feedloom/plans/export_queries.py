@@ -126,10 +126,10 @@ _EVIDENCE = "ev AS (SELECT product_id, count(*) FILTER (tier = 1) AS fields, cou
 
 
 @query(f"""WITH {_OUT}, {_EVIDENCE}, {_MERGED.replace('keyed', 'keyed_cells')}, o AS (SELECT outs.*, row_idx = primary_row AS work, row_idx = primary_row AND strength <> 'none' AS searched, coalesce(fields > 0, false) AS matched, fields, needs, coalesce(cached, false) AS cached, product_id IS NOT NULL AS retrieved FROM outs LEFT JOIN ev ON product_id = row_idx),
-    st AS (SELECT count(*) FILTER (status = 'conflicting') AS conflicts, count(*) FILTER (status = 'unresolved') AS unresolved_fields, count(*) FILTER (status = 'invalid') AS invalid_fields FROM merged JOIN outs USING (row_idx) WHERE row_idx = primary_row AND field IN ({O.quoted(FIELDS)}))
+    totals AS (SELECT count(*) FILTER (status = 'conflicting') AS conflicts, count(*) FILTER (status = 'unresolved') AS unresolved_fields, count(*) FILTER (status = 'invalid') AS invalid_fields FROM merged JOIN outs USING (row_idx) WHERE row_idx = primary_row AND field IN ({O.quoted(FIELDS)}))
     SELECT count(*) AS rows_in, count(*) FILTER (outcome = 'processed') AS processed, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'duplicate') AS duplicates, count(*) FILTER (work AND strength = 'none') AS no_identity, count(*) FILTER (searched AND matched) AS with_evidence,
       count(*) FILTER (searched AND NOT cached) AS searches, count(*) FILTER (searched AND retrieved AND NOT cached) AS retrievals, coalesce(sum(fields) FILTER (searched AND matched), 0)::BIGINT AS deterministic_fields, count(*) FILTER (searched AND matched AND needs > 0) AS model_calls,
-      count(*) FILTER (searched AND matched AND needs = 0) AS model_calls_avoided, count(*) FILTER (searched AND cached) AS cache_hits, count(*) FILTER (searched AND NOT cached) AS cache_misses, (SELECT conflicts FROM st) AS conflicts, (SELECT unresolved_fields FROM st) AS unresolved_fields, (SELECT invalid_fields FROM st) AS invalid_fields FROM o""")
+      count(*) FILTER (searched AND matched AND needs = 0) AS model_calls_avoided, count(*) FILTER (searched AND cached) AS cache_hits, count(*) FILTER (searched AND NOT cached) AS cache_misses, (SELECT conflicts FROM totals) AS conflicts, (SELECT unresolved_fields FROM totals) AS unresolved_fields, (SELECT invalid_fields FROM totals) AS invalid_fields FROM o""")
 def run_metrics(t):
     """All totals of a run over the feed, in which every 17th product fails and every fourth is in the cache."""
     found = t.candidates.groupBy(F.col("product_id").alias("row_idx")).agg(F.count_if(F.col("tier") == 1).alias("fields"), (F.count(F.lit(1)) % 3).alias("needs"))
