@@ -19,13 +19,19 @@ from feedloom.llm.queries import tokenizer_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject (score of at least 0.5), learned from their labels."""
+    """Documents that the quality classifier does not reject (score of at least 0.5), learned from their labels.
+
+    Null, empty or wordless text: scored by the bias alone. Null doc_id and repeated rows: each is scored. Empty table: no rows.
+    """
     weights = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score_quality(docs, weights).where("predicted = 1").select(*docs.columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is near to a learned one; the others, and texts without a letter, go."""
+    """Documents whose language is near to a learned one; the others, and texts that are null or hold no letter, go.
+
+    Null doc_id, null lang and repeated rows: each is read by its text. Without any known language all go. Empty table: no rows.
+    """
     return language.identify(docs, language.train(docs)).where("not rejected").select(*docs.columns)
 
 
@@ -56,12 +62,18 @@ def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The 3:1:2 mixture of one and a half times the words left; a document stands there as often as it is taken."""
+    """The 3:1:2 mixture of one and a half times the words left; a document stands there as often as it is taken.
+
+    Null or wordless text: never taken. Null source: a source of its own. Rows of one doc_id share its place in the order. Empty table: no rows.
+    """
     return mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents of the mixture in sequences of 4096 tokens."""
+    """Pieces of all documents of the mixture in sequences of 4096 tokens.
+
+    Null or empty text: its end token. Null doc_id and repeated rows: packed like any others. Empty table: no rows.
+    """
     return pack(docs, tokenizer_path())
 
 

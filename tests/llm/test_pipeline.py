@@ -44,3 +44,26 @@ def test_shared_ids_are_no_copies(spark):
     left = P.near_deduplicated(spark, docs, FOLDER)
     got = sorted((r["doc_id"] or 0, r["text"][:1]) for r in left.collect())
     assert left.columns == docs.columns and got == [(0, ""), (0, " "), (0, "a"), (0, "b"), (1, "e"), (5, "c"), (5, "d"), (7, "f")]
+
+
+def test_stages_on_odd_documents(spark):
+    docs = odd_documents(spark)
+    for name, stage in P.STAGES[:-1]:
+        left = P.written(stage(spark, docs, FOLDER))
+        assert left.columns == docs.columns and left.count() <= 3 * docs.count(), name
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0, name
+    pieces = P.STAGES[-1][1](spark, docs, FOLDER)
+    assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert P.STAGES[-1][1](spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_a_document_taken_in_part_keeps_its_line_breaks(spark):
+    text = " one\ttwo\n\nthree  four\x0bfive \n six" * 9
+    docs = spark.createDataFrame([(i, text, "en", s, len(text)) for i in range(7) for s in ("a", "b", "c")], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = P.mixed(spark, docs, FOLDER).collect()
+    assert all(text.startswith(r["text"]) and r["n_chars"] == len(r["text"]) for r in rows) and any(r["text"] != text for r in rows)
+
+
+def test_run_writes_each_stage_and_leaves_the_last_to_read(spark):
+    pieces = P.run(spark, FOLDER).collect()
+    assert pieces and all(r["length"] <= 4096 for r in pieces)

@@ -650,7 +650,7 @@ def test_scan_and_inheritance_match_brute_force(spark):
     idf = lambda t: np.log((len(files) + 1) / (sum(t in h for h in held) + 1)) + 0.05
 
     def cosine(a, b):
-        a, b = ({t: n * idf(t) for t, n in licenses.Counter(x).items()} for x in (a, b))
+        a, b = ({t: (1 + np.log(n)) * idf(t) for t, n in licenses.Counter(x).items()} for x in (a, b))
         length = lambda v: np.sqrt(sum(x * x for x in v.values()))
         return sum(w * b.get(t, 0) for t, w in a.items()) / max(1e-300, length(a) * length(b))
 
