@@ -31,7 +31,6 @@ but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY o
 
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
-    ("MIT", "The MIT License (MIT)"),
     (
         "MIT",
         """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),

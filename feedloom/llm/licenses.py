@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, join_by_key
+from .common import bounded_batches, cut, join_by_key, small
 from .license_texts import TEMPLATES
 
 THRESHOLD = 0.55
@@ -34,6 +34,11 @@ SPDX = r"(?im)^[^\w\n]*SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?:[ \t]
 _TOKEN = re.compile(rf"({TERM})|[.;!?](?=\s|$)")
 
 
+def damped(n: int) -> float:
+    """The weight of a term that occurs n times, before its inverse document frequency."""
+    return 1 + math.log(n) if n > 0 else 0.0
+
+
 def terms(text: str) -> list[str]:
     return re.findall(TERM, text.lower())
 
@@ -50,7 +55,7 @@ class Matcher:
         #: The weights, number of terms and anchors of each template.
         self.wording: list[tuple[dict[str, float], int, set[str]]] = []
         for i, (_, text) in enumerate(templates):
-            weight = {t: n * self.idf[t] for t, n in Counter(terms(text)).items()}
+            weight = {t: damped(n) * self.idf[t] for t, n in Counter(terms(text)).items()}
             norm = math.sqrt(sum(w * w for w in weight.values()))
             rest, own = 1.0, set()
             for t, w in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
@@ -69,19 +74,21 @@ class Matcher:
         last = len(words) - size
         starts = sorted({at for p, t in enumerate(words) if t in own for at in range(max(0, p - size + 1), min(p, last) + 1)})
         held: Counter = Counter()
-        dot = square = 0.0
-        at, others = -size - 1, 0
+        dot = square = mass = 0.0
+        at, others, least = -size - 1, 0, (self.threshold - 1e-9) ** 2
 
         def count(t: str, by: int) -> None:
-            nonlocal dot, square, others
+            nonlocal dot, square, mass, others
             w = self.idf.get(t)
             if w is None:
                 others += by
                 return
-            n = held[t]
-            held[t] = n + by
-            square += ((n + by) ** 2 - n * n) * w * w
-            dot += by * w * weights.get(t, 0.0)
+            old, new = damped(held[t]), damped(held[t] + by)
+            held[t] += by
+            square += (new * new - old * old) * w * w
+            v = weights.get(t, 0.0)
+            dot += (new - old) * w * v
+            mass += ((new > 0) - (old > 0)) * v * v
 
         for start in starts:
             if start == at + 1:
@@ -89,22 +96,35 @@ class Matcher:
                 count(words[start + size - 1], 1)
             else:
                 held.clear()
-                dot, square, others = 0.0, 0.0, 0
+                dot, square, mass, others = 0.0, 0.0, 0.0, 0
                 for t in words[start : start + size]:
                     count(t, 1)
             at = start
-            yield start, dot / math.sqrt(max(square, 1e-300)), not others
+            if mass >= least:  # a passage is no closer than the terms it holds allow
+                yield start, dot / math.sqrt(max(square, 1e-300)), not others
+
+    def _within_reach(self, held: set[str]) -> list[int]:
+        """Templates of which a passage with these terms may reach the threshold: the square of a cosine is at most the weight of the terms held."""
+        mass: dict[int, float] = {}
+        for t in held:
+            for i, v in self.by_term.get(t, ()):
+                mass[i] = mass.get(i, 0.0) + v * v
+        return sorted(i for i, m in mass.items() if m >= (self.threshold - 1e-9) ** 2)
 
     def _share(self, n: Counter) -> float:
-        """The highest cosine of term counts to a template by template terms alone."""
+        """The highest cosine of term counts to a template within reach, by template terms alone."""
+        reach = set(self._within_reach(set(n)))
+        if not reach:
+            return 0.0
         dot: dict[int, float] = {}
         square = 0.0
         for t, c in n.items():
             if t in self.idf:
-                w = c * self.idf[t]
+                w = damped(c) * self.idf[t]
                 square += w * w
                 for i, v in self.by_term[t]:
-                    dot[i] = dot.get(i, 0.0) + w * v
+                    if i in reach:
+                        dot[i] = dot.get(i, 0.0) + w * v
         return max(dot.values(), default=0.0) / math.sqrt(max(square, 1e-300))
 
     def candidates(self, text: str) -> list[str]:
@@ -112,6 +132,9 @@ class Matcher:
 
         Each is the number of the template that a run is meant for (nothing for the others), a tab, and terms joined by spaces.
         """
+        reach = self._within_reach(set(terms(text)))
+        if not reach:
+            return []
         words, sentence, line_ends = [], [], []
         sentences = 0
         for line in text.lower().splitlines():
@@ -130,12 +153,9 @@ class Matcher:
                 before -= 1
             return denials[start] > denials[before] or denials[end] - denials[start] > own
 
-        held = set(words)
         found: list[tuple[int, int, str]] = []
-        for i, (weights, size, own) in enumerate(self.wording):
-            if held.isdisjoint(own):
-                continue
-            allowed = self.denials[i]
+        for i in reach:
+            size, allowed = self.wording[i][1], self.denials[i]
             for start, share, closed in self._runs(words, i):
                 if share >= self.threshold - 1e-9 and not denied(start, start + size, allowed):
                     run = f"{i}\t" + " ".join(words[start : start + size])
@@ -163,7 +183,7 @@ class Matcher:
         dot: dict[int, float] = {}
         norm = 0.0
         for t, n in found.items():
-            w = n * (self.idf[t] if t in self.idf else math.log((self.files + 1) / ((frequency or {}).get(t, 0) + 1)) + 0.05)
+            w = damped(n) * (self.idf[t] if t in self.idf else math.log((self.files + 1) / ((frequency or {}).get(t, 0) + 1)) + 0.05)
             norm += w * w
             for i, v in self.by_term.get(t, ()):
                 if only is None or i == only:
@@ -185,14 +205,14 @@ class Matcher:
         return best
 
 
-def _holds(text: Column, words: list[str]) -> Column:
-    return F.lower(text).rlike("(?<![a-z0-9])(" + "|".join(words) + ")(?![a-z0-9])")
-
-
 def _distinct_terms() -> Column:
     return F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"))
 
 
+def _constant(words: list[str]) -> Column:
+    return F.split(F.lit(" ".join(words)), " ")
+
+
 def matcher(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> Matcher:
     """Count the template terms over all files (text) and build the template vectors. Null texts count as empty files."""
     vocabulary = sorted({t for _, text in templates for t in terms(text)})
@@ -219,12 +239,15 @@ def scan(files: DataFrame, model: Matcher) -> DataFrame:
         best = [model.closest(list(x), k) or (None, np.nan) for x, k in zip(found, known, strict=True)]
         return pd.DataFrame(best, columns=["own_license", "own_score"]).astype({"own_license": "object"})
 
-    files = files.drop("own_license", "own_score").withColumn("_spdx", F.nullif(F.regexp_extract("text", SPDX, 1), F.lit("")))
-    rows = bounded_batches(files).withColumn("_found", passages(F.when(F.col("_spdx").isNull() & _holds(F.col("text"), model.anchors), F.col("text"))))
+    named = F.lower("text").contains("spdx-license-identifier:")
+    files = files.drop("own_license", "own_score").withColumn("_spdx", F.when(named, F.nullif(F.regexp_extract("text", SPDX, 1), F.lit(""))))
+    rows = bounded_batches(files).withColumn("_found", passages(F.when(F.col("_spdx").isNull() & F.arrays_overlap(_distinct_terms(), _constant(model.anchors)), F.col("text"))))
     found = cut(rows.select("_found").where("_found is not null").distinct())
     words = F.array_distinct(F.flatten(F.transform("_found", lambda x: F.split(F.substring_index(x, "\t", -1), " "))))
     needed = found.select("_found", F.explode(F.array_except(words, F.array(*map(F.lit, sorted(model.idf))))).alias("_term"))
-    counts = files.select(F.explode(_distinct_terms()).alias("_term")).join(needed.select("_term").distinct(), "_term", "left_semi").groupBy("_term").agg(F.count(F.lit(1)).alias("_n"))
+    asked = cut(needed.select("_term").distinct())
+    asked = F.broadcast(asked) if small(asked) else asked
+    counts = files.select(F.explode(_distinct_terms()).alias("_term")).join(asked, "_term", "left_semi").groupBy("_term").agg(F.count(F.lit(1)).alias("_n"))
     known = needed.join(counts, "_term").groupBy("_found").agg(F.collect_list(F.struct("_term", "_n")).alias("_k"))
     scored = cut(found.join(known, "_found", "left").select("_found", own("_found", F.col("_k._term"), F.col("_k._n")).alias("_own")))
     out = join_by_key(rows, scored, "_found", "text", "left").drop("_found")
