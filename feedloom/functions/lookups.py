@@ -176,3 +176,9 @@ RATIONALE = {
     "voltage": "Voltage Rating - electronics category",
     "horsepower": "Horsepower/RPM - industrial category",
 }
+
+# Hosts and address ranges that are never fetched, elements that hold no page text, and how a page names its part number.
+BLOCKED_HOSTS = ["localhost", "127.0.0.1", "::1", "metadata.google.internal", "metadata.oraclecloud.com", "metadata", "instance-data"]
+BLOCKED_IP = r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[0-1])\.|169\.254\.|0\.|127\.|100\.100\.100\.|192\.0\.[02]\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|2(4|5)[0-9]\.)"
+DROPPED_TAGS = ["script", "style", "noscript", "iframe", "svg", "nav", "form", "footer", "header", "aside"]
+NAMED_MPN = r"(?:mpn|part\s*number|manufacturer\s*part\s*number|model)\s*[:#]?\s*([\p{L}\p{N}][\p{L}\p{N}_\-/.]{2,30})"

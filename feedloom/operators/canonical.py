@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
+from ..functions.text import computed
 
 #: Fields of an item that its table states, identity and taxonomy.
 STATED = ["mfg_part_num", "manufacturer_name", "brand_name", "dept", "class", "fine", "classpath"]
@@ -28,7 +29,7 @@ def seed_products(resolved: DataFrame, fields: list[str], retrieved_at: str | No
     without a cell are unresolved. All of it is local to the row.
     """
     known = F.map_from_entries(F.transform(F.filter("fields", lambda f: f["field"].isin(fields)), lambda f: F.struct(f["field"].alias("key"), f.alias("value"))))
-    rows = resolved.withColumn("_f", known)
+    rows = computed(resolved, {"_f": known})
     entry = lambda f: F.try_element_at("_f", F.lit(f))
     text = lambda e: F.when(e["status"] != "invalid", F.coalesce(e["value"], e["number"].cast("string")))
     columns = [text(entry(f)).alias(f) for f in fields] + [entry(f)["uom"].alias(f"{f}_uom") for f in fields if f in L.MEASURES]

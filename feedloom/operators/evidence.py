@@ -9,7 +9,6 @@ from ..functions import lookups as L
 from ..functions import text as X
 
 
-
 def evidence_requests(products: DataFrame) -> DataFrame:
     """(product_id, tier, query): up to three searches per product, in order; none where identity is too weak."""
     have = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
@@ -45,28 +44,24 @@ def classify_sources(pages: DataFrame, domains: dict[str, str] = L.SOURCE_DOMAIN
     return out.withColumns({"source_type": F.coalesce("_b._type", F.lit("unknown")), "authority_tier": F.coalesce("_b._tier", F.lit(4))}).drop("_b")
 
 
-BLOCKED_HOSTS = ["localhost", "127.0.0.1", "::1", "metadata.google.internal", "metadata.oraclecloud.com", "metadata", "instance-data"]
-BLOCKED_IP = r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[0-1])\.|169\.254\.|0\.|127\.|100\.100\.100\.|192\.0\.[02]\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|2(4|5)[0-9]\.)"
-
 
 def safe_urls(pages: DataFrame) -> DataFrame:
     """Adds ok and reason: only http(s) to hosts that are neither local, private nor metadata services."""
     scheme = F.coalesce(F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit(""))
     host = F.regexp_replace(F.coalesce(host_of(F.col("url")), F.lit("")), "%.*$", "")
     local6 = host.contains(":") & host.rlike(r"^(::1?$|f[cd]|fe[89ab])")
-    blocked = (host == "") | host.isin(BLOCKED_HOSTS) | (host.rlike(BLOCKED_IP) & host.rlike(r"^[0-9.]+$")) | host.rlike(r"^(10|192\.168|172\.(1[6-9]|2[0-9]|3[0-1])|169\.254|0|100\.100\.100)\.") | local6
+    blocked = (host == "") | host.isin(L.BLOCKED_HOSTS) | (host.rlike(L.BLOCKED_IP) & host.rlike(r"^[0-9.]+$")) | host.rlike(r"^(10|192\.168|172\.(1[6-9]|2[0-9]|3[0-1])|169\.254|0|100\.100\.100)\.") | local6
     reason = F.when(~scheme.isin("http", "https"), F.concat(F.lit("Scheme not allowed: "), scheme)).when(blocked, F.concat(F.lit("Blocked host: "), host)).otherwise("")
     return pages.withColumn("reason", reason).withColumn("ok", F.col("reason") == "")
 
 
-DROPPED = ["script", "style", "noscript", "iframe", "svg", "nav", "form", "footer", "header", "aside"]
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
 
 def sanitize(html: Column) -> Column:
     """Text of a page without scripts, navigation, forms and frames around it; white space collapsed."""
     s = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " ")
-    for tag in DROPPED:
+    for tag in L.DROPPED_TAGS:
         s = F.regexp_replace(s, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
     s = F.regexp_replace(s, r"(?s)<[^>]*>", " ")
     for name, char in ENTITIES:
@@ -89,8 +84,6 @@ def _fold(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
 
 
-NAMED_MPN = r"(?:mpn|part\s*number|manufacturer\s*part\s*number|model)\s*[:#]?\s*([\p{L}\p{N}][\p{L}\p{N}_\-/.]{2,30})"
-
 
 def verify_identity(pages: DataFrame) -> DataFrame:
     """Adds identity_match, identity_confidence, reject_reason to (manufacturer, mpn, brand, page_text).
@@ -103,7 +96,7 @@ def verify_identity(pages: DataFrame) -> DataFrame:
     rows = pages.withColumns(
         {
             "_t": squash(F.coalesce("mpn", F.lit(""))),
-            "_named": F.transform(F.regexp_extract_all(F.lower(text), F.lit(NAMED_MPN), 1), squash),
+            "_named": F.transform(F.regexp_extract_all(F.lower(text), F.lit(L.NAMED_MPN), 1), squash),
             "_loose": F.upper(F.regexp_replace(text, r"[\s\-_/\\.]+", " ")),
             "_page": _fold(text),
         }

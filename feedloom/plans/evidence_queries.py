@@ -38,7 +38,7 @@ def classify_sources(t):
 
 
 @query(f"""WITH u AS (SELECT url, regexp_extract(url, '^([A-Za-z]+):', 1) AS s, {_HOST('url')} AS h FROM {{candidates}} UNION ALL SELECT url, regexp_extract(url, '^([A-Za-z]+):', 1), {_HOST('url')} FROM {{pages}})
-    SELECT reason = '' AS ok, reason, count(*) AS n FROM (SELECT CASE WHEN s NOT IN ('http', 'https') THEN 'Scheme not allowed: ' || s WHEN h IN ({O.quoted(E.BLOCKED_HOSTS)}) OR regexp_matches(h, '^10\\.') THEN 'Blocked host: ' || h ELSE '' END AS reason FROM u) r GROUP BY 2""")
+    SELECT reason = '' AS ok, reason, count(*) AS n FROM (SELECT CASE WHEN s NOT IN ('http', 'https') THEN 'Scheme not allowed: ' || s WHEN h IN ('localhost', '127.0.0.1', '::1', 'metadata.google.internal', 'metadata.oraclecloud.com', 'metadata', 'instance-data') OR regexp_matches(h, '^10\\.') THEN 'Blocked host: ' || h ELSE '' END AS reason FROM u) r GROUP BY 2""")
 def safe_urls(t):
     """URLs of candidates and pages by verdict."""
     return E.safe_urls(t.candidates.select("url").unionByName(t.pages.select("url"))).groupBy("ok", "reason").agg(F.count(F.lit(1)).alias("n"))
@@ -46,7 +46,7 @@ def safe_urls(t):
 
 def _sanitized(x: str) -> str:
     s = f"regexp_replace(coalesce({x}, ''), '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in E.DROPPED:
+    for tag in ("script", "style", "noscript", "iframe", "svg", "nav", "form", "footer", "header", "aside"):
         s = f"regexp_replace({s}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
     s = f"regexp_replace({s}, '(?s)<[^>]*>', ' ', 'g')"
     for name, char in E.ENTITIES:

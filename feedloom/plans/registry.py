@@ -25,6 +25,8 @@ class Tables:
             df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         elif name in VIEWS:
             df = self.sql(VIEWS[name])
+            if name == "feed":  # made from one small file; a delivered feed comes in many parts
+                df = df.repartition(self.spark.sparkContext.defaultParallelism, "row_idx")
         else:
             raise AttributeError(name)
         self.__dict__[name] = df
