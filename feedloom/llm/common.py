@@ -142,13 +142,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of a batch of texts: hash, byte start and end, and the text of each; ``first`` bounds each text's words."""
+    """The words of a batch of texts: hash, byte start and end, and the text of each; ``first`` bounds each text's words.
 
-    def __init__(self, texts: list[str | None], lower: bool = True):
+    ``separators`` tells for each byte whether it stands between words; the space must be one.
+    """
+
+    def __init__(self, texts: list[str | None], lower: bool = True, separators: np.ndarray = _SEPARATOR):
         blobs = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         data = np.frombuffer(b" ".join(blobs) + b" ", np.uint8)
         self.data = _LOWER[data] if lower else data
-        separator = _SEPARATOR[data]
+        separator = separators[data]
         edge = np.flatnonzero(np.diff(separator.view(np.int8), prepend=np.int8(1)))
         self.start, self.end = edge[::2], edge[1::2]
         if len(self.end) < len(self.start):
@@ -187,6 +190,12 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(mix(total))
 
 
+def frame(rows: list[tuple], names: list[str], whole: list[str]) -> pd.DataFrame:
+    """A pandas frame of rows, whose columns ``whole`` hold 64-bit numbers or null without a detour by floating point."""
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pd.DataFrame({n: pd.array(c, "Int64") if n in whole else list(c) for n, c in zip(names, columns, strict=True)})
+
+
 def text_chunks(ids: list, texts: list, limit: int = 1 << 20) -> Iterator[tuple[list, list]]:
     """Cut a batch into runs of about ``limit`` characters, so that memory follows the longest text, not the batch."""
     start, held = 0, 0

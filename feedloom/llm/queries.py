@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, html_text, language, licenses, mixing, near_dedup, quality, topk
+from . import alignment, chat, decontamination, embedding_dedup, html_text, language, licenses, mixing, near_dedup, quality, topk, whitening
 from .common import crc_remainder
 from .embedding_dedup import embedding_near_duplicates
 from .mixing import mix_sources
@@ -88,9 +88,25 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
 
 
+def op11_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of every vector, fitted on all vectors."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level tokens of every document aligned with its sentencepiece tokens."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in ten-word windows of benchmark items."""
+    return decontamination.contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": topk.SQL, "op8_minhash_near_dedup": near_dedup.SQL, "op3_mix_sources": mixing.SQL, "op10_embedding_near_dedup": embedding_dedup.SQL}
+    return {"op1_exact_top_k": topk.SQL, "op8_minhash_near_dedup": near_dedup.SQL, "op3_mix_sources": mixing.SQL, "op10_embedding_near_dedup": embedding_dedup.SQL, "op13_benchmark_decontamination": decontamination.SQL}
