@@ -44,6 +44,8 @@ BARCODE_FIELDS = ["upc", "ean", "gtin"]
 
 # Cells that stand for no value (lower case), the three brands among them.
 PLACEHOLDER_BRANDS = ["-- unbranded --", "-- no unilog brand --", "-- no dib brand --"]
+# Cells of an upload that stand for no value, as they are written.
+UPLOAD_PLACEHOLDERS = ["-- Unbranded --", "-- No Unilog Brand --", "-- No DIB Brand --"]
 PLACEHOLDERS = PLACEHOLDER_BRANDS + ["-", "--", "---", "n/a", "na", "n.a.", "none", "null", "nil", "tbd", "not applicable", "notavailable", "unknown", "", "#n/a", "#na"]
 
 # Company suffixes left out of name keys.
@@ -180,5 +182,10 @@ RATIONALE = {
 # Hosts and address ranges that are never fetched, elements that hold no page text, and how a page names its part number.
 BLOCKED_HOSTS = ["localhost", "127.0.0.1", "::1", "metadata.google.internal", "metadata.oraclecloud.com", "metadata", "instance-data"]
 BLOCKED_IP = r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[0-1])\.|169\.254\.|0\.|127\.|100\.100\.100\.|192\.0\.[02]\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|2(4|5)[0-9]\.)"
+# Elements of raw text, without content, and whose text is no text of the page; and how much an end tag may close (100 where not named).
+RAW_TAGS = ["script", "style"]
+VOID_TAGS = ["area", "base", "basefont", "br", "col", "embed", "frame", "hr", "img", "input", "isindex", "link", "meta", "param"]
+SILENT_TAGS = ["template", "rt", "rp"]
+END_PRIORITY = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190, "head": 200, "body": 200, "html": 220}
 DROPPED_TAGS = ["script", "style", "noscript", "iframe", "svg", "nav", "form", "footer", "header", "aside"]
 NAMED_MPN = r"(?:mpn|part\s*number|manufacturer\s*part\s*number|model)\s*[:#]?\s*([\p{L}\p{N}][\p{L}\p{N}_\-/.]{2,30})"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import text as X
+from ..functions.html import sanitize as sanitize
 
 
 def evidence_requests(products: DataFrame) -> DataFrame:
@@ -44,7 +45,6 @@ def classify_sources(pages: DataFrame, domains: dict[str, str] = L.SOURCE_DOMAIN
     return out.withColumns({"source_type": F.coalesce("_b._type", F.lit("unknown")), "authority_tier": F.coalesce("_b._tier", F.lit(4))}).drop("_b")
 
 
-
 def safe_urls(pages: DataFrame) -> DataFrame:
     """Adds ok and reason: only http(s) to hosts that are neither local, private nor metadata services."""
     scheme = F.coalesce(F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit(""))
@@ -55,20 +55,6 @@ def safe_urls(pages: DataFrame) -> DataFrame:
     return pages.withColumn("reason", reason).withColumn("ok", F.col("reason") == "")
 
 
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-
-
-def sanitize(html: Column) -> Column:
-    """Text of a page without scripts, navigation, forms and frames around it; white space collapsed."""
-    s = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " ")
-    for tag in L.DROPPED_TAGS:
-        s = F.regexp_replace(s, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    s = F.regexp_replace(s, r"(?s)<[^>]*>", " ")
-    for name, char in ENTITIES:
-        s = F.replace(s, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
-
-
 def product_sentences(text: Column, most: int = 6000) -> Column:
     """Sentences with a product word, until ``most`` characters are gathered; the start of the text if there is none."""
     text = F.coalesce(text, F.lit(""))

@@ -49,7 +49,7 @@ def _sanitized(x: str) -> str:
     for tag in ("script", "style", "noscript", "iframe", "svg", "nav", "form", "footer", "header", "aside"):
         s = f"regexp_replace({s}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
     s = f"regexp_replace({s}, '(?s)<[^>]*>', ' ', 'g')"
-    for name, char in E.ENTITIES:
+    for name, char in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
         s = f"replace({s}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
 

@@ -143,24 +143,43 @@ def run_outcomes(t):
     return _outcomes(t)[0]
 
 
-@query("SELECT row_idx AS idx, coalesce(MPN, '') AS mpn, coalesce(Brand_Name, '') AS brand, coalesce(Part_Desc, '') AS part_desc FROM {feed}")
-def read_feed(t):
-    """The feed, written as CSV and read back as a supplier file."""
+# a tenth of the descriptions hold a line break, a quote and a comma
+_BROKEN = "CASE WHEN row_idx % 10 = 3 THEN concat(coalesce(Part_Desc, ''), chr(10), '5\" x, ', chr(10), '\"q\"') ELSE coalesce(Part_Desc, '') END"
+
+
+def _feed_files(t) -> str:
     path = R.scratch(t.spark)
-    R.write_csv(t.feed.withColumnRenamed("row_idx", "idx"), path)
-    rows = R.read_feed(t.spark, path)
+    R.write_csv(t.feed.withColumn("Part_Desc", F.expr(_BROKEN.replace("chr(", "char("))).withColumnRenamed("row_idx", "idx"), path)
+    return path
+
+
+@query(f"SELECT row_idx AS idx, coalesce(MPN, '') AS mpn, coalesce(Brand_Name, '') AS brand, {_BROKEN} AS part_desc FROM {{feed}}")
+def read_feed(t):
+    """The feed, some cells with line breaks, written as CSV and read back as a supplier file by byte ranges."""
+    rows = R.read_feed(t.spark, _feed_files(t))
     return rows.select(F.col("idx").cast("long").alias("idx"), F.col("MPN").alias("mpn"), F.col("Brand_Name").alias("brand"), F.col("Part_Desc").alias("part_desc"))
 
 
-_TEXT_SQL = "SELECT doc_id, 0 AS pos, 'P-' || doc_id::VARCHAR AS mfg_part_num, source AS manufacturer, lang AS dept FROM {documents} UNION ALL SELECT doc_id, 1, 'Q' || doc_id::VARCHAR, NULL, NULL FROM {documents} WHERE doc_id % 3 = 0"
+@query("SELECT count(*) AS rows, 0::BIGINT AS malformed_rows, 0::BIGINT AS ragged_rows, 0::BIGINT AS blank_lines FROM {feed}")
+def feed_report(t):
+    """Counts of the feed's records that are read, malformed, ragged and blank."""
+    return R.feed_report(t.spark, _feed_files(t))
+
+
+# three blocks after every text: one in full, one in another spelling, one without fields of its own that sees those of the next
+_BLOCKS = """concat(coalesce(text, ''), chr(10), 'Mfg Part Num: P-', doc_id, ' rev', chr(10), 'Part_Manuf: ', coalesce(source, ''), chr(10), 'E1 Brand: -- Unbranded --', chr(10), 'Part Desc:  item ', doc_id, chr(10),
+    CASE WHEN doc_id % 3 = 0 THEN concat('mfg_part_num:', chr(10), 'q', doc_id, chr(10), 'unilog brand ', coalesce(lang, ''), chr(10), 'MfgPartNum z-9, ', repeat('.', 1990), chr(10), 'DIB_Brand: far') ELSE '' END)"""
+_FIRST = "(?i)Mfg[_\\s]*Part[_\\s]*Num[:\\s]+([A-Z0-9\\-]+)"
+_LABELLED = ", ".join(f"nullif(nullif(trim(regexp_extract(c, '(?i){a}[_\\s]*{b}[:\\s]+([^\\n]+)', 1)), ''), '-- Unbranded --') AS {n}" for n, a, b in [("part_desc", "Part", "Desc"), ("e1_brand", "E1", "Brand"), ("unilog_brand", "Unilog", "Brand"), ("dib_brand", "DIB", "Brand"), ("part_manuf", "Part", "Manuf")])
 
 
-@query(_TEXT_SQL)
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, {_BLOCKS} AS x FROM {{documents}}),
+    m AS (SELECT doc_id, -1 AS pos, 0::BIGINT AS start, x, x AS rest FROM t
+      UNION ALL SELECT doc_id, pos + 1, start + instr(rest, regexp_extract(rest, '{_FIRST}', 0)), x, substr(rest, instr(rest, regexp_extract(rest, '{_FIRST}', 0)) + 1) FROM m WHERE regexp_matches(rest, '{_FIRST}'))
+    SELECT doc_id, pos, regexp_extract(c, '{_FIRST}', 1) AS mfg_part_num, {_LABELLED} FROM (SELECT doc_id, pos, substr(x, start, 2000) AS c FROM m WHERE pos >= 0) z""")
 def extract_products_from_text(t):
-    """Labelled product blocks that follow the text of every document."""
-    block = F.concat(F.coalesce("text", F.lit("")), F.lit("\nMfg Part Num: P-"), F.col("doc_id").cast("string"), F.lit("\nManufacturer: "), F.coalesce("source", F.lit("")), F.lit("\nBrand: -\nDept: "), F.coalesce("lang", F.lit("")), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\nMfg Part Num: Q"), F.col("doc_id").cast("string"), F.lit("\nDept: n/a"))).otherwise(F.lit("")))
-    rows = W.extract_products_from_text(t.documents.select("doc_id", block.alias("text")), "doc_id")
-    return rows.select("doc_id", "pos", "mfg_part_num", "manufacturer", "dept")
+    """Labelled products in the text of every document, with some blocks added."""
+    return W.extract_products_from_text(t.documents.select("doc_id", F.expr(_BLOCKS.replace("chr(", "char(")).alias("text")), "doc_id")
 
 
 _MELTED = " UNION ALL ".join(f"SELECT item_id, {v} AS v FROM {{specs}}" for v in ("upc", "ean", "warranty", *map(_NUM, ("list_price", "length", "weight"))))

@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lookups as L
 from ..functions import text as X
 
-LABELS = {"mfg_part_num": "Mfg Part Num", "manufacturer": "Manufacturer", "brand": "Brand", "part_desc": "Part Desc", "dept": "Dept"}
+#: Labels that an upload's text gives its fields, in any case.
+PART_NUMBER = rf"(?i)Mfg(?:_|{X.SPACE})*Part(?:_|{X.SPACE})*Num(?::|{X.SPACE})+([A-Z0-9\-]+)"
+LABELS = {"part_desc": ("Part", "Desc"), "e1_brand": ("E1", "Brand"), "unilog_brand": ("Unilog", "Brand"), "dib_brand": ("DIB", "Brand"), "part_manuf": ("Part", "Manuf")}
+#: The shortest text with a part number: so many of them at most begin within a chunk.
+_SHORTEST = len("MfgPartNum:x")
 
 
-def extract_products_from_text(texts: DataFrame, key: str, chunk: int = 2000) -> DataFrame:
-    """(key, pos, part number and four labelled fields) of every ``Mfg Part Num: X`` in a text column, within ``chunk`` characters."""
-    mark = "Mfg Part Num:"
-    pieces = F.slice(F.split("text", mark), 2, 1_000_000_000)
-    rows = texts.select(key, F.posexplode(pieces).alias("pos", "_p"))
-    rows = rows.withColumn("_c", F.substring(F.concat(F.lit(mark), "_p"), 1, chunk))
-    pick = lambda label: X.clean(F.nullif(F.regexp_extract("_c", rf"{label}:[ \t]*([^\n]*)", 1), F.lit("")), True)
-    rows = rows.select(key, "pos", *[pick(v).alias(k) for k, v in LABELS.items()])
-    return rows.where("mfg_part_num is not null")
+def extract_products_from_text(texts: DataFrame, key: str, text: str = "text", chunk: int = 2000) -> DataFrame:
+    """(key, pos, mfg_part_num and five labelled fields) of every labelled part number in a text column.
+
+    A product's fields are looked for in the ``chunk`` characters from its label on, also where other products
+    begin in them; a field ends with its line. Fields without a value, or with a placeholder of uploads, are null.
+    """
+    whole = texts.select(key, F.regexp_extract_all(text, F.lit(PART_NUMBER), 0).alias("_marks"), F.split(text, PART_NUMBER, -1).alias("_between"))
+    # marks and what follows each, in turn; a chunk is put together from as many as can begin within it
+    flat = F.flatten(F.zip_with("_marks", F.slice("_between", F.lit(2), F.size("_marks")), lambda m, b: F.array(m, F.left(b, F.lit(chunk)))))
+    rows = whole.where(F.size("_marks") > 0).withColumn("_flat", flat).select(key, "_flat", F.posexplode("_marks").alias("pos", "_mark"))
+    rows = rows.select(key, "pos", "_mark", F.left(F.array_join(F.slice("_flat", 2 * F.col("pos") + 1, F.lit(2 * (chunk // _SHORTEST + 1))), ""), F.lit(chunk)).alias("_chunk"))
+
+    def field(first: str, second: str) -> Column:
+        value = X.trim(F.regexp_extract("_chunk", rf"(?i){first}(?:_|{X.SPACE})*{second}(?::|{X.SPACE})+([^\n]+)", 1))
+        return F.when((value != "") & ~value.isin(L.UPLOAD_PLACEHOLDERS), value)
+
+    return rows.select(key, "pos", F.regexp_extract("_mark", PART_NUMBER, 1).alias("mfg_part_num"), *[field(*v).alias(k) for k, v in LABELS.items()])
 
 
 #: Columns of an answer file that hold descriptions, assets and specs.
