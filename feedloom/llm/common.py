@@ -61,7 +61,11 @@ def discard(df: DataFrame) -> None:
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, known to hold at most ``rows`` rows of a few numbers, in at most one partition for every ``ROWS_A_PART`` of them."""
+    """``df``, known to hold at most ``rows`` rows of a few numbers, in at most one partition for every ``ROWS_A_PART`` of them.
+
+    Nothing is shuffled, so what ``df`` is made from since its last shuffle runs in those partitions too: ``rows`` must bound
+    that as well. It is not for the few rows that a filter leaves of a large aggregation.
+    """
     return df.coalesce(max(1, -(-rows // ROWS_A_PART)))
 
 

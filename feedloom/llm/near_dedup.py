@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, ROWS_A_PART, Words, bounded_batches, components, cut, discard, few, join_by_key, mix, shingles, small, text_chunks, written
+from .common import BROADCAST_IDS, Words, bounded_batches, components, cut, discard, join_by_key, mix, shingles, small, text_chunks, written
 
 BANDS, ROWS = 32, 4
 #: A block holds at most so many rows and bytes of sets or bitmaps, a task about so many bytes.
@@ -125,7 +125,7 @@ def features(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 def _clashes(feats: DataFrame) -> DataFrame:
     """(node): numbers that several different sets share by chance, told by ``check``; hardly ever any."""
     seen = feats.where("node is not null").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b"))
-    return cut(few(seen.where("a <> b").select("node", F.lit(True).alias("clash")), 1))
+    return cut(seen.where("a <> b").select("node", F.lit(True).alias("clash")))
 
 
 def _told_apart(rows: DataFrame, clashes: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _verified(pairs: DataFrame, count: int, sets: DataFrame, mean: float, percen
     """The ``count`` pairs (a, b) whose full sets are linked. A set is sent once for each pair of its ``b``, and once for every ``BLOCK`` pairs of its ``a``."""
     items = sets.select("node", "items")
     heavy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BLOCK).select(F.col("a").alias("_a"), F.ceil(F.col("c") / BLOCK).cast("int").alias("salts"))
-    heavy = cut(few(heavy, count // BLOCK)) if count > BLOCK else None
+    heavy = cut(heavy) if count > BLOCK else None
 
     def salted(df: DataFrame) -> DataFrame:
         if heavy is None:
@@ -321,7 +321,7 @@ def _block_pairs(members: DataFrame, sets: DataFrame, percent: int, exact: bool,
     if most == 1:
         rows = rows.withColumns({"i": F.lit(0), "j": F.lit(0), "block": F.lit(0)})
     else:
-        several = cut(few(blocks.where("blocks > 1"), ROWS_A_PART))
+        several = cut(blocks.where("blocks > 1"))
         rows = join_by_key(rows, several, "key", "node", "left", BROADCAST_IDS).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.withColumns({"i": F.least("block", "x"), "j": F.greatest("block", "x")}).drop("x", "blocks")
