@@ -242,11 +242,11 @@ def test_top_k_matches_brute_force_with_ties(spark):
 
 
 def posting_block(ids, m):
-    flat = m.ravel()
-    place = np.flatnonzero(flat)
-    level = np.ceil(np.abs(flat[place]) * (topk.LEVELS / np.abs(flat).max())).astype(int)
-    order = np.argsort(-level, kind="stable")
-    return {"ids": ids.tobytes(), "rows": len(m), "dims": m.shape[1], "places": place[order].astype(np.int32).tobytes(), "values": flat[place[order]].astype(np.int64).tobytes(), "borders": np.searchsorted(-level[order], -np.arange(topk.LEVELS, 0, -1), "right").tolist()}
+    return dict(zip(topk.BLOCK_COLUMNS, topk.posting_block(0, list(ids), [list(v) for v in m])))
+
+
+def packet(ids, m, floor=None):
+    return topk.Queries(ids, *topk._sparse([list(v) for v in m]), floor)
 
 
 @pytest.mark.parametrize("scale", [256, 2**29])
@@ -258,20 +258,41 @@ def test_search_stops_early_and_stays_exact(monkeypatch, scale):
     m[1000:1010] = m[:10] + 1  # near ties
     ids = np.arange(2000)
     read = []
-    row, vec, score = topk._search(ids[:20], m[:20], posting_block(ids, m), 5, None, read)
+    row, vec, score = topk.search(packet(ids[:20], m[:20]), posting_block(ids, m), 5, read)
     full = m[:20].astype(object) @ m.T.astype(object)
     for q in range(20):
         want = sorted((-int(full[q, j]), j) for j in range(2000) if j != q)[:5]
         assert [(-int(s), int(v)) for r, v, s in zip(row, vec, score) if r == q] == want
-    assert sum(read) < 0.8 * 3 * np.count_nonzero(m)
+    assert sum(read) < 0.8 * 20 * np.count_nonzero(m)  # multiplications: fewer than those of one full product
     floor = np.array([float(sorted(-int(full[q, j]) for j in range(2000) if j != q)[4]) * -1 for q in range(20)])
     less = []
-    again = topk._search(ids[:20], m[:20], posting_block(ids, m), 5, floor - np.abs(floor) * 2**-50, less)
+    again = topk.search(packet(ids[:20], m[:20], floor - np.abs(floor) * 2**-50), posting_block(ids, m), 5, less)
     assert [a.tolist() for a in again] == [row.tolist(), vec.tolist(), score.tolist()] and sum(less) <= sum(read)
 
 
+def test_one_long_vector_inflates_nothing():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    vs = [list(v) for v in rng.integers(-200, 200, (4000, 16))] + [list(rng.integers(-200, 200, 50_000))]
+    tracemalloc.start()
+    block = dict(zip(topk.BLOCK_COLUMNS, topk.posting_block(0, list(range(4001)), vs)))
+    row, vec, score = topk.search(topk.Queries(np.arange(3900, 4001), *topk._sparse(vs[3900:])), block, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20 and len(row) == 101 * 5
+    wide = np.zeros((4001, 50_000), np.int16)
+    for i, v in enumerate(vs):
+        wide[i, : len(v)] = v
+    for q in (0, 57, 100):
+        s = wide[:, : len(vs[3900 + q])].astype(np.int64) @ wide[3900 + q, : len(vs[3900 + q])].astype(np.int64)
+        want = sorted((-int(s[j]), j) for j in range(4001) if j != 3900 + q)[:5]
+        assert [(-int(x), int(v)) for r, v, x in zip(row, vec, score) if r == q] == want
+
+
 def test_top_k_of_odd_vectors(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 4)
+    for name, value in {"BLOCK": 4, "POSTINGS": 5, "TOGETHER": 2, "QUERIES": 1}.items():
+        monkeypatch.setattr(topk, name, value)
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [3.0]), (2, [3.0, 0.0, 7.0]), (3, []), (4, [-1.0, -1.0]), (50, [2.0**20, 2.0**20]), (5, [2.0**21, 1.0]), (6, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
     got = {}
