@@ -37,6 +37,12 @@ _NAMES = "|".join([*CLEAR.values(), *DOUBTFUL.values()])
 #: A marker that opens a line: <|im_start|>user or ### User (alone), <|user|>, [user]: or **User:**, and User: (any case).
 MARKER = rf"(?i)^[ \t]*(?:(?:<\|im_start\|>|#+)[ \t]*({_NAMES}):?[ \t]*$|(?:<\||\[|\*\*)({_NAMES})(?:\|>|\]:?|:?\*\*:?)[ \t]*|({_NAMES})[ \t]*:[ \t]*)"
 _MARKER = re.compile(MARKER)
+# Marks that end a turn; they are kept apart from its text, with the blank lines after it.
+END_MARKS = ("<|im_end|>", "<|endoftext|>", "<|eot_id|>", "<|end|>", "</s>")
+#: How much less likely a turn of the system or of a tool is where no marker names it: it takes more than a short line to open one.
+UNNAMED = 0.02
+#: How much less likely a turn begins with a blank line.
+BLANK_OPENING = 1e-3
 #: Values of each feature: no marker, clear ones, doubtful ones; asks; length class (0: blank); after a blank line.
 MARKERS, FEATURES = 2 * R + 1, (2 * R + 1, 2, 6, 2)
 
@@ -57,6 +63,7 @@ def line_codes(text: Column) -> Column:
         name = F.lower(F.concat(*[F.regexp_extract(line, MARKER, i) for i in (1, 2, 3)]))
         marker = F.when(line.rlike(MARKER), F.coalesce(_role_number(name, [CLEAR, DOUBTFUL]) + 1, F.lit(0))).otherwise(F.lit(0))
         size = F.length(F.trim(line))
+        size = F.when(F.trim(line).isin(*END_MARKS), 0).otherwise(size)
         length = F.when(size == 0, 0).when(size < 20, 1).when(size < 80, 2).when(size < 300, 3).when(size < 1200, 4).otherwise(5)
         return ((marker * 2 + F.rtrim(line).endswith("?").cast("int")) * 6 + length).cast("int")
 
@@ -101,6 +108,8 @@ def _emissions(counts: np.ndarray) -> np.ndarray:
         p = 0.95 * seen / max(1.0, seen.sum()) + 0.05 * meaning[kind] / meaning[kind].sum()
         for s in states:
             see[s] += np.log((p / p.sum() / share)[group[s % R]])[:, None, None, None]
+    see[[0, 3], 0] += np.log(UNNAMED)
+    see[:R, 0, :, 0] += np.log(BLANK_OPENING)
     return see.reshape(STATES, -1, 2)
 
 
@@ -115,8 +124,13 @@ def train(chunks: DataFrame) -> RoleModel:
     known = chunks.select("conv_id", F.coalesce("turn", F.lit(-1)).alias("turn"), role.alias("_role"), codes.alias("_codes")).where("_role is not null")
     blank = lambda c: (c % 6 == 0).cast("int")
     known = cut(known.withColumn("_ends", blank(F.element_at("_codes", -1))))
-    follows = known.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("_role").alias("_before"), F.col("_ends").alias("_after"))
-    first = known.join(follows, ["conv_id", "turn"], "left").groupBy("_before", "_role", F.get("_codes", F.lit(0)).alias("code"), F.coalesce("_after", F.lit(0)).alias("after"), (F.col("turn") <= 0).alias("opens")).count()
+    # counted by place first, so that repeated chunks of one place never meet one by one; several chunks before one share its weight
+    at = F.struct(F.col("_role").alias("before"), F.col("_ends").alias("after"))
+    follows = known.groupBy("conv_id", (F.col("turn") + 1).alias("turn"), at.alias("p")).count().groupBy("conv_id", "turn").agg(F.collect_list(F.struct("p", "count")).alias("places"), F.sum("count").alias("all"))
+    opening = known.groupBy("conv_id", "turn", "_role", F.get("_codes", F.lit(0)).alias("code")).count()
+    first = opening.join(follows, ["conv_id", "turn"], "left").select("turn", "_role", "code", "count", "all", F.explode_outer("places").alias("f"))
+    share = F.sum(F.col("count") * F.coalesce(F.col("f.count") / F.col("all"), F.lit(1.0)))
+    first = first.groupBy(F.col("f.p.before").alias("_before"), "_role", "code", F.coalesce("f.p.after", F.lit(0)).alias("after"), (F.col("turn") <= 0).alias("opens")).agg(F.round(share, 6).alias("count"))
     pairs = F.explode(F.transform(F.slice("_codes", 2, 1 << 30), lambda c, i: F.struct(c.alias("code"), blank(F.element_at("_codes", i + 1)).alias("after"))))
     later = known.where(F.size("_codes") > 1).select("_role", pairs.alias("c")).groupBy("_role", "c.code", "c.after").count()
     lengths = known.groupBy("_role").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.size("_codes") > 1).alias("several"), F.sum(F.size("_codes") - 1).alias("going"))
@@ -183,7 +197,7 @@ def seen_scores(codes: np.ndarray, before: int, model: RoleModel) -> np.ndarray:
 
 
 def _turns(chunks: list[str], codes: list[np.ndarray], states: np.ndarray) -> Iterator[tuple[int, int, str, str, int]]:
-    """(turns begun so far, role, marker, text, blank lines that end it) of each turn, or part of a turn, of a segment."""
+    """(turns begun so far, role, marker, text, end marks and blank lines after it) of each turn, or part of a turn, of a segment."""
     lines = [line for c in chunks for line in c.split("\n")]
     marks = np.concatenate(codes) // 12
     begun, start = 0, 0
@@ -201,8 +215,10 @@ def _turns(chunks: list[str], codes: list[np.ndarray], states: np.ndarray) -> It
         size = len(part)
         while size > 1 and not part[size - 1].strip(" \t\r"):
             size -= 1
-        blank = "\n".join(part[size:])
-        yield begun, state % R, marker, "\n".join(part[:size]), ("\n" + blank) if size < len(part) else ""
+        whole, text = "\n".join(part), "\n".join(part[:size])
+        while (bare := text.rstrip(" \t\r\n")).endswith(END_MARKS):
+            text = bare[: -len(next(m for m in END_MARKS if bare.endswith(m)))].rstrip(" \t\r\n")
+        yield begun, state % R, marker, text, whole[len(text) :]
 
 
 def escaped(text: Column) -> Column:
@@ -219,7 +235,7 @@ def parse(chunks: DataFrame, model: RoleModel) -> DataFrame:
     """Turns recovered from transcripts (conv_id, turn, text), whose chunks are ordered by turn and may hold any number of lines.
 
     Returns conv_id, turn_found (from 0), piece (a turn that crosses segments has several, to be
-    joined in order), role_found, marker, text, blank (blank lines after it), rendered. Markers, texts and blanks in
+    joined in order), role_found, marker, text, blank (end marks and blank lines after it), rendered. Markers, texts and blanks in
     order, joined by line breaks, are the transcript again. rendered is ``<|role|>``, a line break, the escaped text and
     a line break; later pieces have no header.
 

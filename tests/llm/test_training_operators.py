@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -776,6 +777,8 @@ def test_markers_and_genuine_text(spark):
         "Q: what?\nA: that.\nQ: so?\nA: yes.\nAnswer: 42 is it",
         "Tool: 7\nAssistant: it is <|user|> 7\nsee <\\|x|>",
         "### User\nhello there\n\n### Assistant\nAnswer: hi",
+        "<|im_start|>user\nhi <|im_end|> there<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>\n",
+        "hi there\nhow are you?\nfine thanks",
     ]
     df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string")
     parsed = chat.parse(df, model)
@@ -784,10 +787,23 @@ def test_markers_and_genuine_text(spark):
     assert got[1] == [("user", "what?"), ("assistant", "that."), ("user", "so?"), ("assistant", "yes.\nAnswer: 42 is it")]
     assert got[2] == [("tool", "7"), ("assistant", "it is <|user|> 7\nsee <\\|x|>")]
     assert got[3] == [("user", "hello there"), ("assistant", "Answer: hi")]
+    assert got[4] == [("user", "hi <|im_end|> there"), ("assistant", "yes")]
+    assert got[5][0][0] == "user"
+    for i, rows in whole_turns(parsed.collect()).items():
+        assert "\n".join(r["marker"] + r["text"] + r["blank"] for r in rows) == texts[i]
     text = chat.parse(df, model).where("conv_id = 2 and turn_found = 1").select("rendered", chat.unescaped(chat.escaped(F.col("text"))).alias("back"), "text").first()
     assert text["rendered"] == "<|assistant|>\nit is <\\|user|> 7\nsee <\\\\|x|>\n" and text["back"] == text["text"]
 
 
+def test_repeated_chunks_of_a_place_never_meet_one_by_one(spark):
+    turns = spark.range(200_000).select(F.lit(1).alias("conv_id"), (F.col("id") % 2).alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("some text").alias("text"))
+    began = time.time()
+    many = chat.train(turns)
+    assert time.time() - began < 30
+    few = chat.train(turns.where("id < 2"))
+    assert np.allclose(np.exp(many.move[0, :4]).argmax(), np.exp(few.move[0, :4]).argmax()) and np.exp(many.move[0, 2]) > 0.9
+
+
 def test_odd_chunks(spark):
     odd = spark.createDataFrame([(1, 0, None, None), (1, None, "user", "User: x"), (1, None, "user", "User: y"), (None, 3, "odd", ""), (1, 0, None, None), (2, 5, "bot", "### Assistant\nhi"), (4, 1, "user", "x" * 200_000 + "\n" * 3000)], "conv_id long, turn long, role string, text string")
     model = chat.train(odd)
