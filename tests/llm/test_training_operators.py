@@ -801,7 +801,9 @@ def test_repeated_chunks_of_a_place_never_meet_one_by_one(spark):
     many = chat.train(turns)
     assert time.time() - began < 30
     few = chat.train(turns.where("id < 2"))
-    assert np.allclose(np.exp(many.move[0, :4]).argmax(), np.exp(few.move[0, :4]).argmax()) and np.exp(many.move[0, 2]) > 0.9
+    for model, least in ((many, 0.99), (few, 0.3)):  # a user's turn is followed by the assistant's
+        after = np.exp(model.move[chat.ROLES.index("user"), : chat.R])
+        assert after.argmax() == chat.ROLES.index("assistant") and after.max() >= least * after.sum()
 
 
 def test_odd_chunks(spark):
