@@ -1,12 +1,13 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
-Vectors are rotated so that leading dimensions hold most of the variance (those of each of the most
-frequent lengths, by their own axes; others stay as they are, which only prunes less). Equal vectors collapse
+Vectors are projected on the leading ``AXES`` axes of all vectors of their length, whatever it is; lengths whose vectors
+all fit in one tile need none. Equal vectors collapse
 to one representative with a count. The leading two rotated coordinates of the unit vectors form
 cells as wide as the largest distance of a linked pair, so links only join neighbouring cells; the
 vectors of a cell are dealt to tiles of about ``TILE`` rows. A pair of tiles is one task's group:
 leading dimensions are multiplied first, the rest is bounded by the product of suffix norms, and a
-pair is left as soon as its cosine cannot reach the threshold. Pairs that remain are decided by the
+pair is left as soon as its cosine cannot reach the threshold; what lies outside the axes counts as a last
+block of dimensions. Pairs that remain are decided by the
 cosine of the original vectors in double precision. A task returns counts and a spanning edge for
 each row, never the pairs.
 """
@@ -21,14 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, cut, written
+from .common import BROADCAST_ROWS, bounded_batches, components, cut, join_by_key, written
 
 #: Rows and numbers of a tile at most.
 TILE, TILE_NUMBERS = 1536, 1 << 21
-#: Axes are found for so many lengths of vectors, the most frequent up to so many dimensions.
-LENGTHS, MOST_DIMS = 8, 1024
+#: Leading axes that are found; up to so many dimensions from all second moments, beyond by so many block power iterations.
+AXES, DIRECT_DIMS, ITERATIONS = 64, 256, 3
 #: Leading dimensions after which a bound is taken.
-STEPS = (8, 16, 32, 64, 128, 256, 512, 1024)
+STEPS = (8, 16, 32)
+#: Bytes of vectors that are broadcast at most.
+BROADCAST_BYTES = 32 << 20
 _SURVIVORS = 1 << 16
 
 
@@ -39,31 +42,47 @@ def usable(column: str):
     return F.coalesce(F.col(column).isNotNull() & finite & F.exists(v, lambda x: x != 0.0), F.lit(False))
 
 
-def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Eigenvectors, largest first, of the second moments of all unit vectors of each of the ``LENGTHS`` most frequent lengths (dims) up to ``MOST_DIMS``."""
-    common = vectors.where(F.col("dims") <= MOST_DIMS).groupBy("dims").count().orderBy(F.col("count").desc(), "dims").limit(LENGTHS).collect()
-    wanted = [r["dims"] for r in common]
+def _summed(vectors: DataFrame, held: dict[int, np.ndarray | None]) -> dict[int, np.ndarray]:
+    """For each length of vectors in ``held``: the sum over all unit vectors x of x times (x' block), or of x x' where there is no block."""
+    blocks = vectors.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {d: np.zeros((d, d)) for d in wanted}
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             for d, some in batch.groupby("dims").embedding:
-                x = _unit(_matrix(some))[0]
-                total[d] += x.T @ x
+                x, block = _unit(_matrix(some))[0], blocks.value[d]
+                total[d] = total.get(d, 0) + x.T @ (x if block is None else x @ block)
         for d, t in total.items():
-            if t.any():
-                yield pd.DataFrame({"dims": d, "i": range(d), "s": [row.tobytes() for row in t]})
+            yield pd.DataFrame({"dims": d, "i": range(d), "s": [row.tobytes() for row in t]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(x) for x in rows.s], axis=0)
         return pd.DataFrame({"dims": rows.dims[:1], "i": rows.i[:1], "s": [total.tobytes()]})
 
-    axes = {}
-    if wanted:
-        sums = bounded_batches(vectors.where(F.col("dims").isin(wanted)).select("dims", "embedding")).mapInPandas(run, "dims int, i int, s binary").groupBy("dims", "i").applyInPandas(add, "dims int, i int, s binary").collect()
-        for d in {r["dims"] for r in sums}:
-            m = np.stack([np.frombuffer(r["s"]) for r in sorted((r for r in sums if r["dims"] == d), key=lambda r: r["i"])])
-            axes[d] = np.ascontiguousarray(np.linalg.eigh((m + m.T) / 2)[1][:, ::-1])
+    some = vectors.where(F.col("dims").isin(list(held))).select("dims", "embedding")
+    rows = bounded_batches(some).mapInPandas(run, "dims int, i int, s binary").groupBy("dims", "i").applyInPandas(add, "dims int, i int, s binary").toPandas()
+    return {int(d): np.stack([np.frombuffer(x) for x in some.sort_values("i").s]) for d, some in rows.groupby("dims")}
+
+
+def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """Orthonormal leading axes (dims x ``AXES`` at most), largest first, of all unit vectors of each length that has more than a tile of them.
+
+    Short vectors: eigenvectors of their second moments. Long ones: block power iteration, each step a pass over
+    the vectors that sums dims x ``AXES`` numbers. The driver holds those of each length.
+    """
+    found = vectors.groupBy("dims").count().where(F.col("count") > TILE).collect()
+    lengths = sorted(r["dims"] for r in found)
+    axes = {d: None for d in lengths if d <= DIRECT_DIMS}
+    if axes:
+        for d, m in _summed(vectors, axes).items():
+            axes[d] = np.ascontiguousarray(np.linalg.eigh((m + m.T) / 2)[1][:, ::-1][:, :AXES])
+    long_ones = {d: np.linalg.qr(np.random.default_rng(d).normal(size=(d, AXES + 8)))[0] for d in lengths if d > DIRECT_DIMS}
+    for _ in range(ITERATIONS if long_ones else 0):
+        long_ones = {d: np.linalg.qr(y)[0] for d, y in _summed(vectors, long_ones).items()}
+    if long_ones:  # of the block's own directions, those with the largest moments first
+        for d, y in _summed(vectors, long_ones).items():
+            small = long_ones[d].T @ y
+            axes[d] = np.ascontiguousarray((long_ones[d] @ np.linalg.eigh((small + small.T) / 2)[1][:, ::-1])[:, :AXES])
     return axes
 
 
@@ -72,8 +91,9 @@ def _matrix(rows: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(r, np.float64) for r in rows])
 
 
-def _rotated(unit: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
-    return unit @ axes[unit.shape[1]] if unit.shape[1] in axes else unit
+def _leading(unit: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
+    """The coordinates of unit vectors on the leading axes of their length; the first ones as they are where there are none."""
+    return unit @ axes[unit.shape[1]] if unit.shape[1] in axes else unit[:, :AXES]
 
 
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +104,10 @@ def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return y / np.where(norm == 0, 1, norm), norm
 
 
-def _tile_links(a: np.ndarray, b: np.ndarray, axes: dict[int, np.ndarray], threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of a and b whose cosine reaches the threshold; only i < j in one tile."""
+def _tile_links(a: np.ndarray, b: np.ndarray, axes: dict[int, np.ndarray], threshold: float, same: bool, full: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of a and b whose cosine reaches the threshold; only i < j in one tile. ``full`` is given the number of pairs multiplied in full."""
     ua, ub = _unit(a)[0], _unit(b)[0]
-    ra, rb = _rotated(ua, axes), _rotated(ub, axes)
+    ra, rb = _leading(ua, axes), _leading(ub, axes)
     steps = [s for s in STEPS if s < ra.shape[1]] + [ra.shape[1]]
     suffix = lambda r: np.sqrt(np.maximum(1 - np.cumsum(r * r, axis=1), 0)) + 1e-9
     sa, sb = suffix(ra), suffix(rb)
@@ -105,6 +125,8 @@ def _tile_links(a: np.ndarray, b: np.ndarray, axes: dict[int, np.ndarray], thres
             acc = acc + np.einsum("ij,ij->i", ra[i, low:high], rb[j, low:high])
             ok = acc + sa[i, high - 1] * sb[j, high - 1] >= threshold - 1e-9
             i, j, acc = i[ok], j[ok], acc[ok]
+        if full is not None:
+            full.append(len(i))
         ok = _cosine(a[i], b[j]) >= threshold
         kept.append((i[ok], j[ok]))
     none = np.zeros(0, np.int64)
@@ -143,28 +165,30 @@ def embedding_near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataF
     one = rows.where("vec_id is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id"))
     one = one.agg(F.min(F.struct(F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))).alias("v")).select("vec_id", "v.label", "v.embedding")
     one = one.withColumn("ok", usable("embedding") & F.col("label").isNotNull())
+    # equal numbers may be written in two ways
     plain = F.transform("embedding", lambda x: F.when(x == 0.0, F.lit(0.0)).otherwise(x))
     one = written(one.select("vec_id", "label", F.when(F.col("ok"), plain).alias("embedding"), F.size("embedding").alias("dims")))
     valid = one.where("embedding is not null")
     same = F.struct("label", "embedding")
     reps = written(valid.groupBy("label", "dims", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    axes = principal_axes(reps)
+    bound = rows.sparkSession.sparkContext.broadcast(principal_axes(reps))
     width = math.sqrt(max(2 - 2 * threshold, 0)) + 1e-6
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, some in batch.groupby("dims"):
                 unit = _unit(_matrix(some.embedding))[0]
-                near = axes.get(unit.shape[1])
+                near = bound.value.get(unit.shape[1])
                 lead = np.floor((unit[:, :2] if near is None else unit @ near[:, :2]) / width).astype(np.int32)
                 yield some.assign(c0=lead[:, 0], c1=lead[:, 1] if lead.shape[1] > 1 else 0)
 
     cell = ["label", "dims", "c0", "c1"]
     placed = written(bounded_batches(reps).mapInPandas(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reps.schema) + ", c0 int, c1 int"))
     rows_a_tile = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_NUMBERS) / F.col("dims"))))
-    sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).select(*cell, F.ceil(F.col("n") / rows_a_tile).cast("int").alias("tiles"))
-    tile = placed.join(sizes, cell).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    tile = cut(tile.select("rep", "copies", "embedding", F.xxhash64(*cell, "tile").alias("id"), *cell, "tile"))
+    placed = placed.withColumn("cell", F.xxhash64(*cell))
+    sizes = cut(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(1 / rows_a_tile).alias("each")).select("cell", "n", F.ceil(F.col("n") * F.col("each") - 1e-9).cast("int").alias("tiles")))
+    tile = join_by_key(placed, sizes.select("cell", "tiles"), "cell", "rep", counts=sizes.select("cell", "n")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    tile = written(tile.select("rep", "copies", "embedding", F.xxhash64(*cell, "tile").alias("id"), *cell, "tile"))
     names = cut(tile.select("id", *cell, "tile").distinct())
     around = F.explode(F.expr("transform(sequence(0, 8), k -> struct(c0 + k div 3 - 1 as n0, c1 + k % 3 - 1 as n1))"))
     near = names.select(F.col("id").alias("left"), "label", "dims", around.alias("n")).select("left", "label", "dims", F.col("n.n0").alias("c0"), F.col("n.n1").alias("c1"))
@@ -180,7 +204,7 @@ def embedding_near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataF
         same = not len(b)
         b = a if same else b
         na, nb = a.rep.to_numpy(np.int64), b.rep.to_numpy(np.int64)
-        i, j = _tile_links(_matrix(a.embedding), _matrix(b.embedding), axes, threshold, same)
+        i, j = _tile_links(_matrix(a.embedding), _matrix(b.embedding), bound.value, threshold, same)
         if not len(i):
             return pd.DataFrame({"rep": [], "links": [], "to": []}).astype("int64")
         ca, cb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
@@ -197,8 +221,11 @@ def embedding_near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataF
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = reps.select("rep", "copies", same.alias("same")).join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
     known = known.select("same", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = one.withColumn("same", F.when(F.col("embedding").isNotNull(), same)).join(known, "same", "left")
-    out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    size = reps.agg(F.count(F.lit(1)), F.max("dims")).first()
+    fits = size[0] if size[0] <= BROADCAST_ROWS and size[0] * 8 * (size[1] or 0) <= BROADCAST_BYTES else BROADCAST_ROWS + 1
+    linked = join_by_key(valid.withColumn("same", same), known, "same", "vec_id", "left", rows=fits, counts=reps.select(same.alias("same"), F.col("copies").alias("n")))
+    out = linked.select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("c").alias("component_id"))
+    out = out.unionByName(one.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 

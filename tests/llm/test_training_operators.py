@@ -219,11 +219,41 @@ def test_one_very_long_vector_among_others(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_near_duplicates(df).collect()}
     assert got[100] == (1, 100) and got[101] == (1, 100) and got[102] == (1, 102) and got[103] == (1, 102)
+    assert embedding_dedup.principal_axes(df.withColumn("dims", F.size("embedding"))) == {}  # of no length is there more than a tile
+
+
+@pytest.mark.parametrize("dims", [40, 300, 1536])
+def test_leading_axes_of_any_length_prune_most_pairs(spark, monkeypatch, dims):
+    monkeypatch.setattr(embedding_dedup, "TILE", 300)
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(1200, dims)) * np.where(np.arange(dims) < dims // 10, 1.0, 0.05) @ np.linalg.qr(rng.normal(size=(dims, dims)))[0]
+    x[600:640] = x[:40] + rng.normal(scale=0.002, size=(40, dims))
+    df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
     axes = embedding_dedup.principal_axes(df.withColumn("dims", F.size("embedding")))
-    assert set(axes) == {8} and np.allclose(axes[8].T @ axes[8], np.eye(8), atol=1e-9)
+    q = axes[dims]
+    assert q.shape == (dims, min(dims, embedding_dedup.AXES)) and np.abs(q.T @ q - np.eye(q.shape[1])).max() < 1e-10
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = np.sort(np.linalg.eigvalsh(unit.T @ unit))[::-1][: q.shape[1]].sum()
+    assert ((unit @ q) ** 2).sum() >= 0.9 * best
+    link = unit @ unit.T >= 0.98
+    np.fill_diagonal(link, False)
+    full = []
+    i, j = embedding_dedup._tile_links(x[:600], x[600:], axes, 0.98, False, full)
+    assert sorted(zip(i.tolist(), j.tolist())) == list(zip(*(k.tolist() for k in np.nonzero(link[:600, 600:]))))
+    assert sum(full) < 600 * 600 / 10 + len(i)
+    comp = np.arange(len(x))
+    for _ in range(60):
+        comp = np.minimum(comp, np.where(link, comp[None, :], len(x)).min(axis=1))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_near_duplicates(df).collect()}
+    assert got == {k: (link[k].sum(), comp[k]) for k in range(1200)} and link.any()
 
 
-# --- 1: top k
+def test_one_vector_copied_often(spark, monkeypatch):
+    monkeypatch.setattr(common, "PER_SALT", 50)
+    monkeypatch.setattr(embedding_dedup, "BROADCAST_BYTES", 0)
+    df = spark.range(3000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(2.0))).when(F.col("id") % 3 == 1, F.array(F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.lit(-1.0), F.col("id").cast("double"))).alias("embedding"), F.lit(1).alias("label"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_near_duplicates(df).collect()}
+    assert all(got[i] == (999, 0) for i in range(0, 3000, 3)) and all(got[i] == (0, i) for i in range(1, 3000, 3)) and got[2][0] < 999 and len(got) == 3000
 
 
 def test_top_k_matches_brute_force_with_ties(spark):
