@@ -72,6 +72,41 @@ def default_status(products: DataFrame, fields: list[str]) -> DataFrame:
     return products.withColumn("value_status", F.map_zip_with(implied, F.coalesce("value_status", F.create_map().cast("map<string,string>")), lambda k, a, b: F.coalesce(b, a)))
 
 
+#: Where a value comes from.
+PROVENANCE = "struct<source_type:string,source_url:string,source_title:string,evidence:string,confidence:double,retrieved_at:timestamp>"
+#: Members of the items of each nested array of a product.
+NESTED = {"features": {"name": "string", "value": "string"}, "attributes": {"seq": "int", "label": "string", "value": "string", "uom": "string"}, "assets": {"sort_order": "int", "asset_type": "string", "url": "string"}}
+
+
+def append_nested(products: DataFrame, column: str, additions: DataFrame, order: str, key: str = "id") -> DataFrame:
+    """Products with features, attributes or assets (``column``) appended, in the order of ``order``, each with its provenance.
+
+    ``additions`` has the key, the order, the members of an item and, if they come from somewhere, provenance (``PROVENANCE``). Items that
+    are there have none unless they hold one. Additions of unknown products are left out; other columns of them are ignored.
+    """
+    members = NESTED[column]
+    none = F.lit(None).cast(PROVENANCE)
+    held = products.schema[column].dataType.elementType.names
+    given = {c: (F.col(c) if c in additions.columns else F.lit(None)).cast(kind) for c, kind in (members | {"provenance": PROVENANCE}).items()}
+    item = F.struct(*[c.alias(n) for n, c in given.items()])
+    more = additions.groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("item")))).alias("_more"))
+    old = F.transform(column, lambda x: F.struct(*[(x[n] if n in held else F.lit(None)).cast(kind).alias(n) for n, kind in members.items()], (x["provenance"].cast(PROVENANCE) if "provenance" in held else none).alias("provenance")))
+    empty = F.array().cast(f"array<struct<{','.join(f'{n}:{k}' for n, k in members.items())},provenance:{PROVENANCE}>>")
+    out = products.join(more, products[key] == F.col("_k"), "left")
+    return out.withColumn(column, F.concat(F.coalesce(old, empty), F.coalesce(F.transform("_more", lambda m: m["item"]), empty))).drop("_k", "_more")
+
+
+def add_provenance(products: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
+    """Products whose fields got a source: ``records`` (key, field, provenance, pos) set field_provenance, and value_status to inferred; of one field, the last by pos counts."""
+    last = records.groupBy(F.col(key).alias("_k"), "field").agg(F.max_by(F.col("provenance").cast(PROVENANCE), "pos").alias("p"))
+    new = last.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("field", "p"))).alias("_new"))
+    out = products.join(new, products[key] == F.col("_k"), "left")
+    none = F.create_map().cast(f"map<string,{PROVENANCE}>")
+    merged = F.map_zip_with(F.coalesce(F.col("field_provenance").cast(f"map<string,{PROVENANCE}>"), none), F.coalesce("_new", none), lambda k, a, b: F.coalesce(b, a))
+    status = F.map_zip_with(F.coalesce("value_status", F.create_map().cast("map<string,string>")), F.coalesce("_new", none), lambda k, a, b: F.when(b.isNotNull(), "inferred").otherwise(a))
+    return out.withColumns({"field_provenance": merged, "value_status": status}).drop("_k", "_new")
+
+
 def derive_features(products: DataFrame, most: int = 50) -> DataFrame:
     """Adds features: attributes whose label names a feature, else the item_features description split at semicolons."""
     named = F.filter("attributes", lambda a: F.lower(a["label"]).contains("feature"))

@@ -87,7 +87,10 @@ def verify_identity(pages: DataFrame) -> DataFrame:
             "_page": _fold(text),
         }
     )
-    bare = F.expr(r"_loose rlike concat('(?<![A-Za-z0-9])\\Q', _t, '\\E(?![A-Za-z0-9])')")
+    # a number of ASCII letters and digits stands alone exactly if it is one of the page's tokens; only other numbers need a pattern of their own
+    token = F.array_contains(F.split("_loose", "[^A-Za-z0-9]+"), F.col("_t"))
+    odd = F.col("_t").rlike("[^A-Za-z0-9]")
+    bare = F.when(~odd, token).otherwise(F.contains("_loose", F.col("_t")) & F.expr(r"_loose rlike concat('(?<![A-Za-z0-9])\\Q', if(_t rlike '[^A-Za-z0-9]', _t, ''), '\\E(?![A-Za-z0-9])')"))
     target = F.col("_t") != ""
     hit = target & (F.array_contains("_named", F.col("_t")) | bare)
     wrong = target & ~hit & (F.size("_named") > 0)
@@ -183,25 +186,61 @@ def comparable(value: Column) -> Column:
     return F.when(s.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), F.concat(F.lit("n:"), s.cast("double").cast("string"))).otherwise(F.concat(F.lit("s:"), s))
 
 
-def resolve_conflicts(candidates: DataFrame, keys: tuple[str, ...] = ("product_id", "field")) -> DataFrame:
-    """One row per product and field of (keys, pos, value, authority, confidence): value, authority, status, candidates.
+#: What a candidate value says of itself; columns that a table lacks are null.
+CANDIDATE = {"value": "string", "authority": "string", "source_type": "string", "source_url": "string", "evidence": "string", "confidence": "double"}
 
-    The most authoritative value is shown, the first of equals. All agree: verified; else
-    conflicting; no value: unresolved. Agreement only needs the least and greatest comparable
-    form, so that a field with any number of candidates is combined before it is shuffled.
-    """
+
+def _with_order(candidates: DataFrame) -> DataFrame:
+    """Candidates with all columns of ``CANDIDATE`` and _r, less for more authority."""
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in L.AUTHORITY.items() for x in kv]), "authority"), F.lit(0))
-    order = F.when(F.col("value").isNotNull(), F.struct((-rank).alias("r"), "pos"))
-    grouped = candidates.groupBy(*keys).agg(
-        F.min_by(F.struct("value", "authority", "confidence"), order).alias("w"), F.min(comparable(F.col("value"))).alias("low"), F.max(comparable(F.col("value"))).alias("high"), F.count("value").alias("candidates")
-    )
+    typed = {c: (F.col(c) if c in candidates.columns else F.lit(None)).cast(kind) for c, kind in CANDIDATE.items()}
+    return candidates.withColumns(typed).withColumn("_r", -rank)
+
+
+def conflict_state(candidates: DataFrame, keys: tuple[str, ...] = ("product_id", "field")) -> DataFrame:
+    """(keys, winner, low, high, candidates): all that has to be kept of candidates (keys, pos and ``CANDIDATE``) to resolve them with later ones.
+
+    The winner is the candidate of the most authority, the first of equals; low and high are the least and greatest comparable form of a value.
+    Each is a minimum, a maximum or a count, so states merge in any order, and a field with any number of candidates is combined before it is shuffled.
+    """
+    rows = _with_order(candidates)
+    best = F.min(F.when(F.col("value").isNotNull(), F.struct("_r", "pos", *CANDIDATE)))
+    form = comparable(F.col("value"))
+    return rows.groupBy(*keys).agg(best.alias("winner"), F.min(form).alias("low"), F.max(form).alias("high"), F.count("value").alias("candidates"))
+
+
+def merge_states(states: list[DataFrame], keys: tuple[str, ...] = ("product_id", "field")) -> DataFrame:
+    """The state of all candidates of some states; the candidates themselves are not read again."""
+    rows = states[0]
+    for other in states[1:]:
+        rows = rows.unionByName(other)
+    return rows.groupBy(*keys).agg(F.min("winner").alias("winner"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("candidates").alias("candidates"))
+
+
+def resolved_state(states: DataFrame, keys: tuple[str, ...] = ("product_id", "field")) -> DataFrame:
+    """(keys, value, authority, source_type, source_url, evidence, confidence, status, candidates): what a state comes to.
+
+    All values agree: verified; else conflicting; no value: unresolved.
+    """
     status = F.when(F.col("candidates") == 0, "unresolved").when(F.col("low") == F.col("high"), "verified").otherwise("conflicting")
-    return grouped.select(*keys, F.col("w.value").alias("value"), F.col("w.authority").alias("authority"), F.col("w.confidence").alias("confidence"), status.alias("status"), "candidates")
+    return states.select(*keys, *[F.col(f"winner.{c}").alias(c) for c in CANDIDATE], status.alias("status"), "candidates")
+
+
+def resolve_conflicts(candidates: DataFrame, keys: tuple[str, ...] = ("product_id", "field")) -> DataFrame:
+    """One row per product and field of candidates (keys, pos, value, authority, ...): the value shown, its source, status, and the number of candidates."""
+    return resolved_state(conflict_state(candidates, keys), keys)
+
+
+def kept_candidates(candidates: DataFrame, states: DataFrame, keys: tuple[str, ...] = ("product_id", "field")) -> DataFrame:
+    """Every candidate with a value of the conflicting fields, with its place (from 1: the most authority first, then by pos)."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_r", "pos", *CANDIDATE))
+    rows = _with_order(candidates).where("value is not null").join(states.where("low <> high").select(*keys), list(keys), "left_semi")
+    return rows.withColumn("place", place).drop("_r")
 
 
-def merge_candidate(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Resolve again after candidates arrive; the same as resolving all at once."""
-    return resolve_conflicts(existing.unionByName(incoming))
+def merge_candidate(state: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = ("product_id", "field")) -> DataFrame:
+    """The state after candidates arrive: the same as that of all at once, from the stored state and the new candidates alone."""
+    return merge_states([state, conflict_state(incoming, keys)], keys)
 
 
 def outcome_status(rows: DataFrame) -> DataFrame:
@@ -222,16 +261,24 @@ SPEC_EVIDENCE = ["upc", "ean", "gtin", "length", "width", "height", "weight", "w
 
 
 def apply_evidence(inputs: DataFrame, facts: DataFrame, attributes: DataFrame) -> DataFrame:
-    """(product_id, kind, field, value, status): what products hold after facts from their pages are applied.
+    """(product_id, kind, field, value, uom, status, source_type, source_url, evidence, confidence): what products hold after facts from their pages are applied.
 
-    ``inputs`` has product_id, field, value; ``facts`` product_id, pos, field, value, confidence;
-    ``attributes`` item_id, label. Spec fields go through conflict resolution with the input value,
-    pages first; other facts become verified attributes if the product has no such label yet.
+    ``inputs`` has product_id, field, value, uom; ``facts`` product_id, pos, field, value, uom, source_url, evidence, confidence;
+    ``attributes`` item_id, label. Spec fields, and the unit of the weight as a field weight_uom, go through conflict resolution with the input,
+    pages first; the winner gives the provenance. Other facts become verified attributes, with the unit and provenance of the first page that states them, if the
+    product has no such label yet.
     """
-    known = inputs.where(F.col("field").isin(SPEC_EVIDENCE)).select("product_id", "field", F.lit(0).cast("long").alias("pos"), "value", F.lit("input").alias("authority"), F.lit(0.99).alias("confidence"))
-    found = facts.where(F.col("field").isin(SPEC_EVIDENCE)).select("product_id", "field", F.col("pos").cast("long").alias("pos"), "value", F.lit("external").alias("authority"), "confidence")
-    specs = resolve_conflicts(known.unionByName(found)).select("product_id", F.lit("spec").alias("kind"), "field", "value", "status")
-    labels = attributes.select(F.col("item_id").alias("product_id"), F.lower(F.trim("label")).alias("field")).distinct()
-    other = facts.where(~F.col("field").isin(SPEC_EVIDENCE) & F.col("value").isNotNull()).groupBy("product_id", "field").agg(F.min_by("value", "pos").alias("value"))
-    other = other.join(labels, ["product_id", "field"], "left_anti").select("product_id", F.lit("attribute").alias("kind"), "field", "value", F.lit("verified").alias("status"))
-    return specs.unionByName(other)
+    place = lambda source: [F.lit(source).alias("authority"), F.lit(source).alias("source_type")]
+    known = inputs.select("product_id", "field", F.lit(0).cast("long").alias("pos"), "value", "uom", *place("input"))
+    found = facts.select("product_id", "field", F.col("pos").cast("long").alias("pos"), "value", "uom", *place("external"), "source_url", "evidence", "confidence")
+    both = known.unionByName(found, allowMissingColumns=True)
+    stated = F.col("value").isNotNull() | (F.col("authority") == "input")
+    units = both.where((F.col("field") == "weight") & stated & (F.coalesce("uom", F.lit("")) != "")).withColumns({"field": F.lit("weight_uom"), "value": F.col("uom")})
+    specs = resolve_conflicts(both.where(F.col("field").isin(SPEC_EVIDENCE)).unionByName(units))
+    shown = ["source_type", "source_url", "evidence", "confidence"]
+    specs = specs.select("product_id", F.lit("spec").alias("kind"), "field", "value", F.lit(None).cast("string").alias("uom"), "status", *shown)
+    labels = attributes.select(F.col("item_id").alias("product_id"), F.lower("label").alias("field")).distinct()
+    first = F.min(F.struct("pos", "value", "uom", *shown)).alias("f")
+    other = found.where(~F.col("field").isin(SPEC_EVIDENCE) & F.col("value").isNotNull()).groupBy("product_id", "field").agg(first)
+    other = other.join(labels, ["product_id", "field"], "left_anti")
+    return specs.unionByName(other.select("product_id", F.lit("attribute").alias("kind"), "field", "f.value", F.nullif("f.uom", F.lit("")).alias("uom"), F.lit("verified").alias("status"), *[f"f.{c}" for c in shown]))

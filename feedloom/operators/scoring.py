@@ -22,11 +22,21 @@ def matched(c: str = "match_type") -> Column:
     return F.col(c).isin("exact_match", "close_match")
 
 
+CLOSE = 0.85
+
+
 def compare_strings(expected: Column, actual: Column) -> Column:
-    """Match type of two texts up to case and outer space; close from a Levenshtein similarity of 0.85."""
+    """Match type of two texts up to case and outer space; close from a Levenshtein similarity of 0.85.
+
+    Only a distance of at most 0.15 of the longer text is of interest: texts whose lengths differ by more are not compared, and
+    the others only within a band of that width about the diagonal, so long texts cost their length times the band.
+    """
     e, a = (F.lower(F.trim(F.coalesce(x.cast("string"), F.lit("")))) for x in (expected, actual))
-    similar = 1 - F.levenshtein(e, a) / F.greatest(F.length(e), F.length(a))
-    return F.when(e == a, "exact_match").when(e == "", "extra_in_output").when(a == "", "missing_in_output").when(similar >= 0.85, "close_match").otherwise("mismatch")
+    longer = F.greatest(F.length(e), F.length(a))
+    most = F.floor(longer * (1 - CLOSE) + 1e-9).cast("int")
+    distance = F.when(F.abs(F.length(e) - F.length(a)) <= most, F.call_function("levenshtein", e, a, most)).otherwise(-1)
+    close = (distance >= 0) & (1 - distance / longer >= CLOSE)
+    return F.when(e == a, "exact_match").when(e == "", "extra_in_output").when(a == "", "missing_in_output").when(close, "close_match").otherwise("mismatch")
 
 
 def leading_number(c: Column) -> Column:

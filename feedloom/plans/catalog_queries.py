@@ -59,6 +59,20 @@ def default_status(t):
     return rows.select(F.explode("value_status").alias("field", "status")).groupBy("field", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT id, count(seq) + (id % 3)::BIGINT AS n, CASE WHEN id % 3 = 0 THEN NULL ELSE 'added ' || (id % 3)::VARCHAR END AS last_value, CASE WHEN id % 3 = 0 THEN NULL ELSE 'http://s/' || id::VARCHAR END AS last_url, CASE WHEN id % 3 = 0 THEN 'none' ELSE 'inferred' END AS class_status
+    FROM {items} i LEFT JOIN {attrs} a ON a.item_id = i.id GROUP BY id""")
+def append_nested(t):
+    """Attributes appended to two items in three, with where they come from, and a source for their class."""
+    some = t.items.where("id % 3 > 0").select("id", F.expr("explode(sequence(1, int(id % 3)))").alias("pos"))
+    source = F.struct(F.lit("external").alias("source_type"), F.concat(F.lit("http://s/"), F.col("id").cast("string")).alias("source_url"), F.lit(None).cast("string").alias("source_title"), F.lit("text").alias("evidence"), F.lit(0.9).alias("confidence"), F.lit(None).cast("timestamp").alias("retrieved_at"))
+    more = some.select("id", "pos", F.lit("Added").alias("label"), F.concat(F.lit("added "), F.col("pos").cast("string")).alias("value"), source.alias("provenance"))
+    rows = C.append_nested(_products(t), "attributes", more, "pos").withColumns({"field_provenance": F.create_map().cast(f"map<string,{C.PROVENANCE}>"), "value_status": F.create_map().cast("map<string,string>")})
+    rows = C.add_provenance(rows, more.select("id", "pos", F.lit("class").alias("field"), "provenance"))
+    last = F.try_element_at("attributes", F.lit(-1))
+    added = lambda c: F.when(last["provenance"].isNotNull(), c)
+    return rows.select("id", F.size("attributes").cast("long").alias("n"), added(last["value"]).alias("last_value"), added(last["provenance"]["source_url"]).alias("last_url"), F.coalesce(F.try_element_at("value_status", F.lit("class")), F.lit("none")).alias("class_status"))
+
+
 _FEATURES = """named AS (SELECT item_id, list(value ORDER BY seq)[1:50] AS vs, list(label ORDER BY seq)[1:50] AS ns FROM {attrs} WHERE contains(lower(label), 'feature') GROUP BY item_id),
   parts AS (SELECT item_id, [trim(x) for x in string_split(value, ';') if trim(x) <> ''] AS vs FROM {descs} WHERE field_name = 'item_features'),
   features AS (SELECT i.id, CASE WHEN named.vs IS NOT NULL THEN named.ns ELSE ['Feature ' || x::VARCHAR for x in range(1, len(parts.vs) + 1)] END AS names, coalesce(named.vs, parts.vs) AS vs FROM {items} i LEFT JOIN named ON named.item_id = i.id LEFT JOIN parts ON parts.item_id = i.id)"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..operators import evidence as E
+from ..sources.files import scratch
 from . import oracle as O
 from .registry import query
 
@@ -161,9 +162,18 @@ def resolve_conflicts(t):
 
 @query(_RESOLVE)
 def merge_candidate(t):
-    """The same after the inferred candidates arrive late."""
-    late = F.col("authority") == "inferred"
-    return E.merge_candidate(t.field_values.where(~late), t.field_values.where(late)).select("product_id", "field", "value", "authority", "status", "candidates")
+    """The same from the stored state of all but the inferred candidates, which arrive late."""
+    late, path = F.col("authority") == "inferred", scratch(t.spark)
+    E.conflict_state(t.field_values.where(~late)).write.parquet(path)
+    merged = E.merge_candidate(t.spark.read.parquet(path), t.field_values.where(late))
+    return E.resolved_state(merged).select("product_id", "field", "value", "authority", "status", "candidates")
+
+
+@query(f"""WITH z AS (SELECT *, {_COMP} AS c, {_PRIO} AS p FROM {{field_values}} WHERE value IS NOT NULL), k AS (SELECT product_id, field FROM z GROUP BY 1, 2 HAVING count(DISTINCT c) > 1)
+    SELECT product_id, field, value, authority, confidence, row_number() OVER (PARTITION BY product_id, field ORDER BY p DESC, pos, value, confidence) AS place FROM z SEMI JOIN k USING (product_id, field)""")
+def kept_candidates(t):
+    """All candidates of the fields whose sources disagree, in order."""
+    return E.kept_candidates(t.field_values, E.conflict_state(t.field_values)).select("product_id", "field", "value", "authority", "confidence", "place")
 
 
 @query("""SELECT CASE WHEN value IS NULL THEN 'unresolved' WHEN pos % 5 = 0 THEN 'invalid' WHEN pos % 7 = 0 THEN 'conflicting' WHEN authority = 'inferred' THEN 'inferred' WHEN authority = 'external' THEN 'verified' ELSE 'unresolved' END AS status, count(*) AS n FROM {field_values} GROUP BY 1""")
@@ -186,16 +196,21 @@ def cache_lookup(t):
 _TEXT = "CASE WHEN value IS NOT NULL THEN value WHEN number = floor(number) THEN floor(number)::BIGINT::VARCHAR ELSE number::VARCHAR END"
 
 
-@query(f"""WITH {_EXTRACTED}, facts AS (SELECT product_id, rnk AS pos, field, {_TEXT} AS value FROM extracted),
-    c AS (SELECT item_id AS product_id, 'upc' AS field, 0 AS pos, upc AS value, 2 AS p FROM {{specs}} UNION ALL SELECT item_id, 'weight', 0, CASE WHEN weight = floor(weight) THEN floor(weight)::BIGINT::VARCHAR ELSE weight::VARCHAR END, 2 FROM {{specs}}
-      UNION ALL SELECT item_id, 'warranty', 0, warranty, 2 FROM {{specs}} UNION ALL SELECT product_id, field, pos, value, 3 FROM facts WHERE field IN ({O.quoted(E.SPEC_EVIDENCE)})),
-    k AS (SELECT *, {_COMP} AS c, row(-p, pos) AS k FROM c)
-    SELECT product_id, 'spec' AS kind, field, arg_min(value, k) FILTER (value IS NOT NULL) AS value, CASE WHEN count(value) = 0 THEN 'unresolved' WHEN count(DISTINCT c) = 1 THEN 'verified' ELSE 'conflicting' END AS status FROM k GROUP BY product_id, field
-    UNION ALL SELECT product_id, 'attribute', field, arg_min(value, pos), 'verified' FROM facts f WHERE field NOT IN ({O.quoted(E.SPEC_EVIDENCE)}) AND NOT EXISTS (SELECT 1 FROM {{attrs}} a WHERE a.item_id = f.product_id AND lower(trim(a.label)) = f.field) GROUP BY product_id, field""")
+@query(f"""WITH {_EXTRACTED}, facts AS (SELECT e.product_id, e.rnk AS pos, field, {_TEXT} AS value, uom, 'external' AS source_type, url AS source_url, evidence, e.confidence FROM extracted e JOIN {{candidates}} c ON c.product_id = e.product_id AND c.rnk = e.rnk),
+    i AS (SELECT item_id AS product_id, 'upc' AS field, 0 AS pos, upc AS value, NULL AS uom FROM {{specs}} UNION ALL SELECT item_id, 'weight', 0, CASE WHEN weight = floor(weight) THEN floor(weight)::BIGINT::VARCHAR ELSE weight::VARCHAR END, CASE WHEN item_id % 2 = 0 THEN 'kg' ELSE NULL END FROM {{specs}}
+      UNION ALL SELECT item_id, 'warranty', 0, warranty, NULL FROM {{specs}}),
+    a AS (SELECT *, 'input' AS source_type, NULL AS source_url, NULL AS evidence, NULL::DOUBLE AS confidence, 2 AS p FROM i UNION ALL SELECT product_id, field, pos, value, uom, source_type, source_url, evidence, confidence, 3 FROM facts),
+    c AS (SELECT product_id, field, pos, value, source_type, source_url, evidence, confidence, p FROM a WHERE field IN ({O.quoted(E.SPEC_EVIDENCE)}) UNION ALL SELECT product_id, 'weight_uom', pos, uom, source_type, source_url, evidence, confidence, p FROM a WHERE field = 'weight' AND (value IS NOT NULL OR source_type = 'input') AND uom <> ''),
+    k AS (SELECT *, {_COMP} AS c, row_number() OVER (PARTITION BY product_id, field ORDER BY value IS NULL, p DESC, pos) AS n FROM c),
+    s AS (SELECT product_id, field, CASE WHEN count(value) = 0 THEN 'unresolved' WHEN count(DISTINCT c) = 1 THEN 'verified' ELSE 'conflicting' END AS status FROM k GROUP BY product_id, field)
+    SELECT k.product_id, 'spec' AS kind, k.field, value, NULL AS uom, status, CASE WHEN value IS NOT NULL THEN source_type END AS source_type, source_url, evidence, confidence FROM k JOIN s ON s.product_id = k.product_id AND s.field = k.field WHERE n = 1
+    UNION ALL SELECT product_id, 'attribute', field, value, nullif(uom, ''), 'verified', source_type, source_url, evidence, confidence FROM (SELECT *, row_number() OVER (PARTITION BY product_id, field ORDER BY pos) AS n FROM facts) f
+      WHERE n = 1 AND field NOT IN ({O.quoted(E.SPEC_EVIDENCE)}) AND NOT EXISTS (SELECT 1 FROM {{attrs}} a WHERE a.item_id = f.product_id AND lower(a.label) = f.field)""")
 def apply_evidence(t):
-    """Specs and attributes of every product after the facts of its pages."""
+    """Specs and attributes of every product after the facts of its pages, with units and where each comes from."""
     whole = lambda c: F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
-    s = t.specs
-    inputs = s.select(F.col("item_id").alias("product_id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in (("upc", F.col("upc")), ("weight", whole(F.col("weight"))), ("warranty", F.col("warranty")))])))
-    facts = E.extract_fields(t.candidates, ["product_id", "rnk"]).select("product_id", F.col("rnk").alias("pos"), "field", F.coalesce("value", whole(F.col("number"))).alias("value"), "confidence")
-    return E.apply_evidence(inputs, facts, t.attrs)
+    unit = F.when((F.col("field") == "weight") & (F.col("product_id") % 2 == 0), "kg")
+    inputs = t.specs.select(F.col("item_id").alias("product_id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in (("upc", F.col("upc")), ("weight", whole(F.col("weight"))), ("warranty", F.col("warranty")))])))
+    facts = E.extract_fields(t.candidates, ["product_id", "rnk", "url"])
+    facts = facts.select("product_id", F.col("rnk").alias("pos"), "field", F.coalesce("value", whole(F.col("number"))).alias("value"), "uom", F.col("url").alias("source_url"), "evidence", "confidence")
+    return E.apply_evidence(inputs.withColumn("uom", unit), facts, t.attrs)

@@ -284,7 +284,7 @@ def stream_daily_usage(t):
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS opens FROM {events}), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
-    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS events, arg_max(event_type, row(ts, event_id)) AS last_type FROM s GROUP BY user_id, k""")
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS events, arg_max(event_type, row(ts, event_id)) AS last_type FROM s GROUP BY user_id, k HAVING last_type <> 'purchase'""")
 def stream_stale_items(t):
-    """Sessions of every user, closed by ten minutes without an event, from a stream."""
+    """Users left without a purchase, ten minutes after their last event, from a stream."""
     return J.stale_items(J.read_files(t.spark, f"{t.folder}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))

@@ -49,13 +49,16 @@ def _closed(events: DataFrame, aggregate, target: str | None = None, end: bool =
 
     Windows are emitted once the watermark has passed them, and their state is dropped; later rows
     for them are not counted. With ``end`` a sentinel row of the far future follows all available
-    rows and closes the windows that are still open; without it a later call with the same ``target`` goes on.
+    rows and closes the windows that are still open; without it a later call with the same ``target`` goes on. Once ended,
+    a target takes no more calls, as every later row would be late.
     """
     spark = events.sparkSession
     target = target or scratch(spark)
     far = F.lit("9000-01-01 00:00:00").cast("timestamp")
     blank = spark.range(1).select(*[(far if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
     blank.where(F.lit(False)).write.mode("append").parquet(f"{target}/sentinel")
+    if not spark.read.schema(events.schema).parquet(f"{target}/sentinel").isEmpty():
+        raise ValueError(f"{target} was ended: later rows would all be late")
     ends = spark.readStream.schema(events.schema).parquet(f"{target}/sentinel")
 
     def run() -> DataFrame:
@@ -82,11 +85,16 @@ def daily_usage(events: DataFrame, delay: str = "1 day", target: str | None = No
     return found.where("window.start < timestamp'8999-01-01'").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "attempts", "errors")
 
 
-def stale_items(events: DataFrame, gap: str = "10 minutes", delay: str = "1 hour", target: str | None = None, end: bool = True) -> DataFrame:
-    """(user_id, started, events, last_type) of activity sessions of a stream of events, closed by ``gap`` without any."""
+def stale_items(events: DataFrame, gap: str = "10 minutes", delay: str = "1 hour", finished: tuple[str, ...] = ("purchase",), target: str | None = None, end: bool = True) -> DataFrame:
+    """(user_id, started, events, last_type) of items left unfinished: no event for ``gap`` after one that does not finish the item.
+
+    Each run of activity of an item is a session; it is emitted once, when the watermark has passed its end, and its state goes. A session whose
+    last event is one of ``finished`` is never emitted.
+    """
 
     def by_session(rows: DataFrame) -> DataFrame:
-        return rows.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
+        found = rows.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
+        return found.where(F.col("last_type").isNull() | ~F.col("last_type").isin(*finished))
 
     found = _closed(events.select("user_id", "ts", "event_id", "event_type"), by_session, target, end)
     return found.where("w.start < timestamp'8999-01-01'").select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "events", "last_type")

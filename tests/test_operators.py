@@ -254,3 +254,100 @@ def test_ingest_restarts_without_new_files(spark, tmp_path):
     first = jobs.ingest(stream(), f"{tmp_path}/out", "mpn", "row_idx")
     assert sorted((r["mpn"], r["row_idx"]) for r in spark.read.parquet(first).collect()) == [("A", 1), ("B", 3)]
     assert jobs.ingest(stream(), f"{tmp_path}/out", "mpn", "row_idx") == first
+
+
+def test_an_ended_stream_takes_no_more_rows(spark, tmp_path):
+    from feedloom.streaming import jobs
+
+    path = str(tmp_path / "in")
+    rows = [(1, "2024-01-01 10:00:00", 1, "view"), (1, "2024-01-01 10:05:00", 2, "click"), (2, "2024-01-01 10:00:00", 3, "view"), (2, "2024-01-01 10:02:00", 4, "purchase"), (1, "2024-01-01 12:00:00", 5, "purchase"), (3, "2024-01-01 11:00:00", 6, None)]
+    spark.createDataFrame(rows, "user_id long, t string, event_id long, event_type string").select("user_id", F.to_timestamp("t").alias("ts"), "event_id", "event_type").write.parquet(path)
+    stream = lambda: jobs.read_files(spark, path)
+    target = str(tmp_path / "out")
+    got = sorted((r["user_id"], r["started"], r["events"], r["last_type"]) for r in jobs.stale_items(stream(), target=target).collect())
+    assert got == [(1, "2024-01-01 10:00:00", 2, "click"), (3, "2024-01-01 11:00:00", 1, None)]  # finished items never
+    with pytest.raises(ValueError, match="ended"):
+        jobs.stale_items(stream(), target=target)
+
+
+def test_conflict_states_merge_in_any_order(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    kinds = ["input", "external", "inferred", "other"]
+    rows = [(rng.randrange(6), rng.choice("ab"), i, rng.choice([None, "1.0", "1", "x", " X ", "y"]), rng.choice(kinds), f"u{i}", float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "product_id int, field string, pos int, value string, authority string, source_url string, confidence double")
+    whole = sorted(map(str, evidence.resolve_conflicts(df).collect()))
+    parts = [evidence.conflict_state(df.where(f"pos % 3 = {k}")) for k in range(3)]
+    for order in itertools.permutations(range(3)):
+        assert sorted(map(str, evidence.resolved_state(evidence.merge_states([parts[k] for k in order])).collect())) == whole
+    nested = evidence.merge_candidate(evidence.merge_candidate(parts[2], df.where("pos % 3 = 0")), df.where("pos % 3 = 1"))
+    assert sorted(map(str, evidence.resolved_state(nested).collect())) == whole
+    kept = evidence.kept_candidates(df, evidence.conflict_state(df)).collect()
+    open_ = {(r["product_id"], r["field"]) for r in evidence.resolve_conflicts(df).collect() if r["status"] == "conflicting"}
+    rank = {"external": 0, "input": 1, "inferred": 2, "other": 3}
+    for key in open_:
+        want = [r[2] for r in sorted((r for r in rows if r[:2] == key and r[3] is not None), key=lambda r: (rank[r[4]], r[2]))]
+        assert [r["pos"] for r in sorted((r for r in kept if (r["product_id"], r["field"]) == key), key=lambda r: r["place"])] == want
+    assert len(kept) == sum(1 for r in rows if r[:2] in open_ and r[3] is not None)
+
+
+def test_evidence_gives_unit_and_provenance(spark):
+    inputs = spark.createDataFrame([(1, "weight", "2.0", "kg"), (2, "weight", None, "kg"), (3, "upc", "5", None)], "product_id int, field string, value string, uom string")
+    facts = spark.createDataFrame([(1, 1, "weight", "2", "lb", "http://a", "Weight: 2 lb", 0.92), (2, 2, "weight", "7", "oz", "http://b", "w", 0.9), (2, 1, "voltage", "12", "V", "http://c", "v", 0.93), (2, 3, "voltage", "24", "V", "http://d", "v2", 0.93), (3, 1, "current", "2", "A", "http://e", "c", 0.9)], "product_id int, pos int, field string, value string, uom string, source_url string, evidence string, confidence double")
+    labels = spark.createDataFrame([(3, "Current")], "item_id int, label string")
+    got = {(r["product_id"], r["field"]): r for r in evidence.apply_evidence(inputs, facts, labels).collect()}
+    assert set(got) == {(1, "weight"), (1, "weight_uom"), (2, "weight"), (2, "weight_uom"), (2, "voltage"), (3, "upc")}
+    r = got[1, "weight"]
+    assert (r["value"], r["status"], r["source_type"], r["source_url"], r["evidence"], r["confidence"]) == ("2", "verified", "external", "http://a", "Weight: 2 lb", 0.92)
+    assert (got[1, "weight_uom"]["value"], got[1, "weight_uom"]["status"]) == ("lb", "conflicting")
+    assert (got[2, "weight_uom"]["value"], got[2, "weight_uom"]["status"]) == ("oz", "conflicting")  # the input states a unit, also without a value
+    assert (got[2, "voltage"]["value"], got[2, "voltage"]["uom"], got[2, "voltage"]["source_url"]) == ("12", "V", "http://c")
+    assert got[3, "upc"]["source_type"] == "input" and got[3, "upc"]["confidence"] is None
+
+
+def test_appending_nested_items(spark):
+    products = spark.createDataFrame([(1, [(1, "A", "x", None)], {"class": "unresolved"}), (2, None, None), (3, [], None)], "id int, attributes array<struct<seq:int,label:string,value:string,uom:string>>, value_status map<string,string>")
+    more = spark.createDataFrame([(1, 2, "C", "z"), (1, 1, "B", "y"), (2, 1, "D", "w"), (9, 1, "E", "v")], "id int, pos int, label string, value string")
+    source = F.struct(*[(F.lit("external") if c == "source_type" else F.lit(None)).cast(k).alias(c) for c, k in (x.split(":") for x in canonical.PROVENANCE[7:-1].split(","))])
+    out = {r["id"]: r for r in canonical.append_nested(products, "attributes", more.withColumn("provenance", source), "pos").collect()}
+    assert [a["label"] for a in out[1]["attributes"]] == ["A", "B", "C"] and out[1]["attributes"][0]["provenance"] is None and out[1]["attributes"][2]["provenance"]["source_type"] == "external"
+    assert [a["value"] for a in out[2]["attributes"]] == ["w"] and out[3]["attributes"] == [] and set(out) == {1, 2, 3}
+    held = products.withColumn("field_provenance", F.lit(None).cast(f"map<string,{canonical.PROVENANCE}>"))
+    told = canonical.add_provenance(held, more.select("id", "pos", F.lit("class").alias("field"), source.alias("provenance"))).where("id = 1").first()
+    assert told["value_status"] == {"class": "inferred"} and told["field_provenance"]["class"]["source_type"] == "external"
+
+
+def test_close_texts_within_a_band(spark):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(a) + 1))
+        for j, y in enumerate(b, 1):
+            last, row[0] = row[0], j
+            for i, x in enumerate(a, 1):
+                last, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choice("abc ") for _ in range(rng.randrange(1, 45))).strip() or "a"
+        b = list(a)
+        for _ in range(rng.randrange(0, 9)):
+            b[rng.randrange(len(b)) : rng.randrange(len(b)) + 1] = rng.choice(["", "x", "yz"])
+            b = b or ["q"]
+        pairs.append((a, "".join(b)))
+    got = spark.createDataFrame(pairs, "e string, a string").select("e", "a", scoring.compare_strings(F.col("e"), F.col("a")).alias("m")).collect()
+    for r in got:
+        e, a = r["e"].strip().lower(), r["a"].strip().lower()
+        want = "exact_match" if e == a else "missing_in_output" if not a else "close_match" if 1 - distance(e, a) / max(len(e), len(a)) >= 0.85 else "mismatch"
+        assert r["m"] == want, (e, a)
+
+
+def test_part_number_tokens(spark):
+    pages = [("AB-12", "see AB12 here", True), ("AB-12", "see XAB12 here", False), ("AB-12", "ab_12.", False), ("AB12", "(ab12)", True), ("MÜ1", "MÜ1 x", True), ("MÜ1", "XMÜ1 x", False), ("A+B", "q A+B q", True), ("A+B", "qA+B q", False)]
+    df = spark.createDataFrame([(None, m, None, t, ok) for m, t, ok in pages], "manufacturer string, mpn string, brand string, page_text string, ok boolean")
+    for r in evidence.verify_identity(df).collect():
+        assert r["identity_match"] == r["ok"], (r["mpn"], r["page_text"])
