@@ -663,7 +663,7 @@ def test_licence_scores_count_all_terms(spark):
     got = {r["path"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}["a"]
     model = licenses.Matcher(licenses.TEMPLATES, {t: 1 for t in ("released", "under", "the", "mit", "license")}, 101, licenses.THRESHOLD)
     assert got["own_license"] == "MIT" and abs(got["own_score"] - model.best("released today under the mit license", {"today": 71})[1]) < 1e-9
-    assert model.candidates("x Released under the MIT License y") == ["0\treleased under the mit license"]
+    assert model.passages("x Released under the MIT License y")[2][:3] == (1, 6, 0)
 
 
 def test_real_licence_texts(spark):
@@ -688,6 +688,37 @@ def test_real_licence_texts(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("n", [10, 3000])
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_versions_choices_and_bygone_licences(spark, monkeypatch, n, most):
+    monkeypatch.setattr(licenses, "BROADCAST_TERMS", most)
+    texts = {
+        "gpl": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nCopyright", "old": "Licensed under the Apache License, Version 1.1.", "gone": "We left it. Released under the MIT License before, now proprietary.",
+        "two": "Released under the MIT License. Also zork quux blah. Licensed under the Apache License, Version 2.0.", "null": None,
+    }
+    files = spark.createDataFrame(list(texts.items()), "path string, text string").unionByName(spark.range(n).select(F.lit("z/").alias("path"), F.lit("plain words").alias("text")))
+    got = {r["path"]: r for r in licenses.scan_licenses(files).where("path <> 'z/'").collect()}
+    assert got["gpl"]["own_license"] in ("GPL-3.0", None) and got["old"]["own_license"] != "Apache-2.0" and got["gone"]["own_license"] is None and got["null"]["own_licenses"] is None
+    assert got["two"]["own_licenses"] == ["MIT", "Apache-2.0"]
+
+
+def test_files_of_many_licences_and_repeated_anchors():
+    model = licenses.Matcher(licenses.TEMPLATES, {}, 1000, licenses.THRESHOLD)
+    mit = [x for n, x in licenses.TEMPLATES if n == "MIT"][-1]
+    rng = random.Random(5)
+    bundle = "\n\n".join(f"Copyright {i} {rng.random()} Holder{i}\n" + " ".join(w for w in mit.split() if rng.random() > 0.1) for i in range(200))
+    began = time.process_time()
+    wanted = model.wanted(bundle)
+    assert sum(len(w) for w in wanted) < len(bundle) / 2
+    name, score, names = model.judged(bundle, dict.fromkeys(wanted, 1))
+    assert name == "MIT" and score < 1 and names[0] == "MIT"
+    assert time.process_time() - began < 60
+    for word in ("a", "license", "the"):
+        began = time.process_time()
+        model.wanted(mit + ("\n" + word) * (1_000_000 // (len(word) + 1)))
+        assert time.process_time() - began < 15
+
+
 def test_scan_and_inheritance_match_brute_force(spark):
     rng = random.Random(11)
     short = [(n, x) for n, x in licenses.TEMPLATES if len(licenses.terms(x)) < 14]
@@ -712,7 +743,15 @@ def test_scan_and_inheritance_match_brute_force(spark):
         for name, wording in short:
             size = len(licenses.terms(wording))
             runs = [words[at : at + size] for at in range(len(words) - size + 1)]
-            for p in passages + runs:
+            said = lambda w: {w[k + 1] for k in range(len(w) - 1) if w[k] == "version" and w[k + 1].isdigit()}
+            mine = said(licenses.terms(wording))
+            bounds = [(at, at + size) for at in range(len(words) - size + 1)]
+            ends = np.cumsum([0, *[len(licenses.terms(x)) for x in text.splitlines()]])
+            bounds = [*zip(ends[:-1], ends[1:]), *([(0, len(words))] if len(words) >= 30 else []), *bounds]
+            for p, (start, end) in zip(passages + runs, bounds, strict=True):
+                other = said(words[start : end + 3])  # stated in the passage, or by the two words after it
+                if mine and other and not other & mine:
+                    continue
                 best = max(best, (cosine(p, licenses.terms(wording)) if p else 0.0, name), key=lambda x: round(x[0], 9))
         return best[0] if best[0] >= licenses.THRESHOLD else None
 
