@@ -29,8 +29,8 @@ from .common import discard, written
 BLOCK, POSTINGS, LEVELS = 4096, 1 << 20, 8
 #: Queries of a packet, those that are searched at a time at most, and the numbers of their vectors and accumulators at a time.
 QUERIES, CHUNK, NUMBERS = 16384, 512, 1 << 20
-#: Blocks that a packet meets in one task.
-TOGETHER = 8
+#: Blocks that a packet meets in one task, about.
+TOGETHER = 2
 _EPS = 2.0**-52
 #: A block is left for rescoring when at most this many rows per query and result can still be members.
 SLACK = 4
@@ -236,7 +236,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
 
     def meet(some: DataFrame, packed: DataFrame) -> DataFrame:
         """Every packet with every block of ``some``: blocks are dealt to groups of about ``TOGETHER``, and a packet is sent once to a group."""
-        groups = max(1, some.count() // TOGETHER)
+        groups = max(1, -(-some.count() // TOGETHER))
         meets = some.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         sent = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         return meets.unionByName(sent, allowMissingColumns=True).groupBy("group", "part").applyInPandas(searched, "query_id long, vec_id long, score long")
