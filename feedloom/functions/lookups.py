@@ -2,42 +2,42 @@
 
 # Header keys of each input field.
 HEADER_ALIASES = {
-    "mfg_part_num": "mfgpartnum mfgrpartnum manufacturerpartnumber manufacturerpartno manufacturerpartnum manufpartnum mpn partnumber partno pn partnum mfrpartnumber mfgpartno catalognumber itemnumber skupart",
-    "manufacturer_name": "manufacturer manufacturermfr mfr mfg mfrname mfgname manufacturername manufname vendormanufacturer maker partmanuf",
-    "brand_name": "brand brandname",
-    "trade_name": "tradename",
-    "sku": "sku skucode internalsku",
-    "alternate_part_number": "alternatepartnumber altmpn alternatempn altpartnumber substitutepartnumber equivpartnumber",
-    "product_name": "productname itemname",
-    "dept": "dept department",
-    "class": "class subclass",
-    "fine": "fine finetaxonomy",
-    "classpath": "classpath categorypath taxonomy hierarchy category producttype productcategory commodity",
-    "part_desc": "partdesc description desc productdescription itemdescription longdescription shortdescription title",
-    "invoice_desc": "invoicedesc invoicedescription",
-    "mobile_desc": "mobiledesc mobiledescription",
-    "short_desc": "shortdesc2 shortdescription2",
-    "long_desc1": "longdesc1 longdescription1",
-    "retail_desc": "retaildesc retaildescription",
-    "marketing_description": "marketingdescription marketing",
-    "upc": "upc upccode upca",
-    "ean": "ean eancode ean13",
-    "gtin": "gtin gtincode gtin13 gtin14 gtin8",
-    "unspsc": "unspsc unspsccode commoditycode",
-    "list_price": "listprice price msrp unitprice",
-    "length": "length len",
-    "width": "width wd",
-    "height": "height ht",
-    "weight": "weight netweight shippingweight grossweight wt",
-    "country_of_origin": "countryoforigin origin country countryofmanufacture coo",
-    "warranty": "warranty warrantytinformation warrantyterms",
-    "selling_qty": "sellingqty packquantity qtyperpack unitsperpack",
-    "standards_approvals": "standardsapprovals standardapprovals certifications certification approvals",
-    "prop_65": "prop65 proposition65 prop65warning",
-    "application": "application applications usecase suitablefor",
-    "includes": "includes includeditems whatsincluded kitcontents",
+    "mfg_part_num": ["mfgpartnum", "mfgrpartnum", "manufacturerpartnumber", "manufacturerpartno", "manufacturerpartnum", "manufpartnum", "mpn", "partnumber", "partno", "pn", "partnum", "mfrpartnumber", "mfgpartno", "catalognumber", "itemnumber", "skupart"],
+    "manufacturer_name": ["manufacturer", "manufacturermfr", "mfr", "mfg", "mfrname", "mfgname", "manufacturername", "manufname", "vendormanufacturer", "maker", "partmanuf"],
+    "brand_name": ["brand", "brandname"],
+    "trade_name": ["tradename"],
+    "sku": ["sku", "skucode", "internalsku"],
+    "alternate_part_number": ["alternatepartnumber", "altmpn", "alternatempn", "altpartnumber", "substitutepartnumber", "equivpartnumber"],
+    "product_name": ["productname", "itemname"],
+    "dept": ["dept", "department"],
+    "class": ["class", "subclass"],
+    "fine": ["fine", "finetaxonomy"],
+    "classpath": ["classpath", "categorypath", "taxonomy", "hierarchy", "category", "producttype", "productcategory", "commodity"],
+    "part_desc": ["partdesc", "description", "desc", "productdescription", "itemdescription", "longdescription", "shortdescription", "title"],
+    "invoice_desc": ["invoicedesc", "invoicedescription"],
+    "mobile_desc": ["mobiledesc", "mobiledescription"],
+    "short_desc": ["shortdesc2", "shortdescription2"],
+    "long_desc1": ["longdesc1", "longdescription1"],
+    "retail_desc": ["retaildesc", "retaildescription"],
+    "marketing_description": ["marketingdescription", "marketing"],
+    "upc": ["upc", "upccode", "upca"],
+    "ean": ["ean", "eancode", "ean13"],
+    "gtin": ["gtin", "gtincode", "gtin13", "gtin14", "gtin8"],
+    "unspsc": ["unspsc", "unspsccode", "commoditycode"],
+    "list_price": ["listprice", "price", "msrp", "unitprice"],
+    "length": ["length", "len"],
+    "width": ["width", "wd"],
+    "height": ["height", "ht"],
+    "weight": ["weight", "netweight", "shippingweight", "grossweight", "wt"],
+    "country_of_origin": ["countryoforigin", "origin", "country", "countryofmanufacture", "coo"],
+    "warranty": ["warranty", "warrantytinformation", "warrantyterms"],
+    "selling_qty": ["sellingqty", "packquantity", "qtyperpack", "unitsperpack"],
+    "standards_approvals": ["standardsapprovals", "standardapprovals", "certifications", "certification", "approvals"],
+    "prop_65": ["prop65", "proposition65", "prop65warning"],
+    "application": ["application", "applications", "usecase", "suitablefor"],
+    "includes": ["includes", "includeditems", "whatsincluded", "kitcontents"],
 }
-AMBIGUOUS_HEADERS = "model part size type code name value unit uom".split()
+AMBIGUOUS_HEADERS = ["model", "part", "size", "type", "code", "name", "value", "unit", "uom"]
 MEASURES = ["length", "width", "height", "weight"]
 NUMERIC_FIELDS = ["list_price", "length", "width", "height", "weight", "selling_qty"]
 BARCODE_FIELDS = ["upc", "ean", "gtin"]
@@ -49,7 +49,7 @@ UPLOAD_PLACEHOLDERS = ["-- Unbranded --", "-- No Unilog Brand --", "-- No DIB Br
 PLACEHOLDERS = PLACEHOLDER_BRANDS + ["-", "--", "---", "n/a", "na", "n.a.", "none", "null", "nil", "tbd", "not applicable", "notavailable", "unknown", "", "#n/a", "#na"]
 
 # Company suffixes left out of name keys.
-NAME_SUFFIXES = "inc incorporated llc ltd limited gmbh co corp corporation company ag bv plc kg ug".split()
+NAME_SUFFIXES = ["inc", "incorporated", "llc", "ltd", "limited", "gmbh", "co", "corp", "corporation", "company", "ag", "bv", "plc", "kg", "ug"]
 
 # Attribute labels of one meaning, and the attributes that matter in known categories.
 SYNONYMS = {
@@ -68,12 +68,12 @@ SYNONYMS = {
     "temp rating": "temperature",
 }
 RELEVANT = {
-    "industrial": "voltage current power_rating resistance temperature frequency phase horsepower rpm efficiency protection_rating material dimensions weight mounting_type",
-    "electronics": "voltage current power_rating frequency phase temperature capacitance inductance resistance efficiency connection_type housing_material dimensions weight",
-    "automotive": "voltage current power_rating resistance temperature frequency phase mounting_type connector_type material dimensions weight ip_rating",
-    "construction": "dimensions weight material load_capacity temperature corrosion_rating certification mounting_type",
-    "consumer": "voltage current power_rating frequency dimensions weight material connection_type",
-    "medical": "voltage current power_rating dimensions weight material sterilization_compatible regulatory_approval",
+    "industrial": ["voltage", "current", "power_rating", "resistance", "temperature", "frequency", "phase", "horsepower", "rpm", "efficiency", "protection_rating", "material", "dimensions", "weight", "mounting_type"],
+    "electronics": ["voltage", "current", "power_rating", "frequency", "phase", "temperature", "capacitance", "inductance", "resistance", "efficiency", "connection_type", "housing_material", "dimensions", "weight"],
+    "automotive": ["voltage", "current", "power_rating", "resistance", "temperature", "frequency", "phase", "mounting_type", "connector_type", "material", "dimensions", "weight", "ip_rating"],
+    "construction": ["dimensions", "weight", "material", "load_capacity", "temperature", "corrosion_rating", "certification", "mounting_type"],
+    "consumer": ["voltage", "current", "power_rating", "frequency", "dimensions", "weight", "material", "connection_type"],
+    "medical": ["voltage", "current", "power_rating", "dimensions", "weight", "material", "sterilization_compatible", "regulatory_approval"],
 }
 FAKE_VALUE = r"^(--|n/a|not.applicable|tbd|pending|unknown|na|null|no information|to be determined)$"
 
@@ -106,18 +106,15 @@ ASSET_TYPES = {
 
 # Domains by kind of source, and the order of their authority.
 SOURCE_DOMAINS = {
-    "manufacturer": "milwaukeetool.com dewalt.com boschtools.com makitatools.com metabo.com hilti.com 3m.com stanleyblackanddecker.com",
-    "distributor": "grainger.com mcmaster.com zoro.com digikey.com mouser.com newark.com frys.com",
-    "secondary": "wikipedia.org ansi.org iso.org astm.org ul.com osha.gov",
+    "manufacturer": ["milwaukeetool.com", "dewalt.com", "boschtools.com", "makitatools.com", "metabo.com", "hilti.com", "3m.com", "stanleyblackanddecker.com"],
+    "distributor": ["grainger.com", "mcmaster.com", "zoro.com", "digikey.com", "mouser.com", "newark.com", "frys.com"],
+    "secondary": ["wikipedia.org", "ansi.org", "iso.org", "astm.org", "ul.com", "osha.gov"],
 }
 SOURCE_TIERS = {"manufacturer": 1, "distributor": 2, "secondary": 3, "unknown": 4}
 AUTHORITY = {"external": 3, "input": 2, "inferred": 1}
 
 # Words that mark a sentence about a product.
-PRODUCT_WORDS = (
-    "manufacturer|brand|mpn|part number|model|upc|ean|gtin|sku|weight|dimension|length|width|height|depth|warranty|voltage|current|wattage|power|amperage|"
-    "rpm|temperature|pressure|psi|capacity|material|finish|color|pack|quantity|application|specification|features|description"
-)
+PRODUCT_WORDS = ["manufacturer", "brand", "mpn", "part number", "model", "upc", "ean", "gtin", "sku", "weight", "dimension", "length", "width", "height", "depth", "warranty", "voltage", "current", "wattage", "power", "amperage", "rpm", "temperature", "pressure", "psi", "capacity", "material", "finish", "color", "pack", "quantity", "application", "specification", "features", "description"]
 
 # Fields found in page text: pattern (value in group 1, unit in group 2), whether it has a unit, confidence.
 _NUMBER, _LENGTH = r"([0-9]+(?:\.[0-9]+)?)", r"(mm|millimeter|cm|centimeter|m|meter|in|inch(?:es)?|ft|feet)\b\.?"

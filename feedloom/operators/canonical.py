@@ -143,7 +143,7 @@ def category_attributes(attributes: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark = attributes.sparkSession
     synonyms = F.broadcast(spark.createDataFrame(list(L.SYNONYMS.items()), "_label string, _canonical string"))
-    relevant = F.broadcast(spark.createDataFrame([(c, a) for c, names in L.RELEVANT.items() for a in names.split()], "_category string, _relevant string"))
+    relevant = F.broadcast(spark.createDataFrame([(c, a) for c, names in L.RELEVANT.items() for a in names], "_category string, _relevant string"))
     category = F.coalesce(F.nullif("dept", F.lit("")), F.nullif(F.split("classpath", "/")[0], F.lit("")), F.lit("other"))
     rows = attributes.withColumn("_l", F.lower(F.trim("label"))).where(F.col("_l") != "")
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("item_id", "_l").orderBy("seq"))).where("_n = 1")

@@ -33,10 +33,10 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.regexp_replace(host, r"^\[|\]$", ""), F.lit(""))
 
 
-def classify_sources(pages: DataFrame, domains: dict[str, str] = L.SOURCE_DOMAINS) -> DataFrame:
+def classify_sources(pages: DataFrame, domains: dict[str, list[str]] = L.SOURCE_DOMAINS) -> DataFrame:
     """Adds source_type and authority_tier by the host of url: a known domain or a subdomain of one, by equality of host endings."""
     spark = pages.sparkSession
-    known = spark.createDataFrame([(d, k, L.SOURCE_TIERS[k]) for k, ds in domains.items() for d in ds.split()], "_domain string, _type string, _tier int")
+    known = spark.createDataFrame([(d, k, L.SOURCE_TIERS[k]) for k, ds in domains.items() for d in ds], "_domain string, _type string, _tier int")
     host = F.regexp_replace(host_of(F.col("url")), r"\.$", "")
     hosts = pages.select("url").distinct().withColumn("_host", host).withColumn("_parts", F.split("_host", r"\."))
     ends = hosts.select("url", F.explode(F.expr("transform(sequence(1, size(_parts)), i -> array_join(slice(_parts, i, size(_parts)), '.'))")).alias("_domain"))
@@ -59,7 +59,7 @@ def product_sentences(text: Column, most: int = 6000) -> Column:
     """Sentences with a product word, until ``most`` characters are gathered; the start of the text if there is none."""
     text = F.coalesce(text, F.lit(""))
     parts = F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s))
-    relevant = F.filter(parts, lambda s: (s != "") & F.lower(s).rlike(L.PRODUCT_WORDS))
+    relevant = F.filter(parts, lambda s: (s != "") & F.lower(s).rlike("|".join(L.PRODUCT_WORDS)))
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n"))
     step = lambda a, s: F.when(a["n"] < most, F.struct(F.concat(a["kept"], F.array(s)).alias("kept"), (a["n"] + F.length(s)).alias("n"))).otherwise(a)
     joined = F.array_join(F.aggregate(relevant, start, step)["kept"], " ")

@@ -6,27 +6,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The delivery headers in order; the runs of features and attributes follow a rule.
-_HEAD = (
-    "MFR URL|Ref URL 1|Ref URL 2|Ref URL 3|Ref URL 4|Ref URL 5|PART_NUMBER|Dept|Class|Fine|SKU - MY_PART_NUMBER|Mfg_Part_Num|Part_Desc|E1_Brand|Unilog_Brand|DIB_Brand|Part_Manuf|MANUFACTURER_NAME|BRAND_NAME|"
-    "TRADE_NAME|MANUFACTURER_PART_NUMBER|ALTERNATE_PART_NUMBER|Classpath|MOBILE_DESC|INVOICE_DESC|SHORT_DESC|LONG_DESC1|RETAIL_DESC|MARKETING_DESCRIPTION"
-).split("|")
-_MIDDLE = "With|Standard/Approvals|Prop 65|Application|Includes|Product Name".split("|")
-_TAIL = (
-    "UPC|EAN|GTIN|UNSPSC|Warranty|List Price|Selling Qty|Selling UOM|Standard Packaging Information|LENGTH|LENGTH_UOM|HEIGHT|HEIGHT_UOM|WIDTH|WIDTH_UOM|WEIGHT|WEIGHT_UOM|VOLUME|VOLUME_UOM|Product Image|Alternate Image 1|"
-    "Alternate Image 2|Alternate Image 3|Alternate Image 4|SDS|SDS_1|Warranty Information|Catalog|Specification Sheet|Instruction/Installation Manual|Service Manual|Owners/User Manual|Line Drawing|MTR|RoHS|Full Engineering Drawing|"
-    "Energy Star Guide|Technical Bulletin|Submittal|Compatibility Chart|Size Chart|Product Label/Insert|Video Link|Video Link 1|Country Of Origin|Discontinued|Actual Image (Yes/No)"
-).split("|")
+_HEAD = [
+    "MFR URL", "Ref URL 1", "Ref URL 2", "Ref URL 3", "Ref URL 4", "Ref URL 5", "PART_NUMBER", "Dept", "Class", "Fine", "SKU - MY_PART_NUMBER",
+    "Mfg_Part_Num", "Part_Desc", "E1_Brand", "Unilog_Brand", "DIB_Brand", "Part_Manuf", "MANUFACTURER_NAME", "BRAND_NAME", "TRADE_NAME",
+    "MANUFACTURER_PART_NUMBER", "ALTERNATE_PART_NUMBER", "Classpath", "MOBILE_DESC", "INVOICE_DESC", "SHORT_DESC", "LONG_DESC1", "RETAIL_DESC",
+    "MARKETING_DESCRIPTION",
+]
+_MIDDLE = [
+    "With", "Standard/Approvals", "Prop 65", "Application", "Includes", "Product Name",
+]
+_TAIL = [
+    "UPC", "EAN", "GTIN", "UNSPSC", "Warranty", "List Price", "Selling Qty", "Selling UOM", "Standard Packaging Information", "LENGTH", "LENGTH_UOM",
+    "HEIGHT", "HEIGHT_UOM", "WIDTH", "WIDTH_UOM", "WEIGHT", "WEIGHT_UOM", "VOLUME", "VOLUME_UOM", "Product Image", "Alternate Image 1",
+    "Alternate Image 2", "Alternate Image 3", "Alternate Image 4", "SDS", "SDS_1", "Warranty Information", "Catalog", "Specification Sheet",
+    "Instruction/Installation Manual", "Service Manual", "Owners/User Manual", "Line Drawing", "MTR", "RoHS", "Full Engineering Drawing",
+    "Energy Star Guide", "Technical Bulletin", "Submittal", "Compatibility Chart", "Size Chart", "Product Label/Insert", "Video Link", "Video Link 1",
+    "Country Of Origin", "Discontinued", "Actual Image (Yes/No)",
+]
 FEATURES = [f"ITEM_FEATURES_{i}" for i in range(1, 21)]
 ATTRIBUTES = [f"ATTRIBUTE_{k} {i}" for i in range(1, 51) for k in ("LABEL", "VALUE", "UOM")]
 HEADERS = _HEAD + FEATURES + _MIDDLE + ATTRIBUTES + _TAIL
 
 #: Internal field of each header that has a source; the others are always empty.
-HEADER_FIELD = (
-    dict.fromkeys(["PART_NUMBER", "SKU - MY_PART_NUMBER", "Mfg_Part_Num", "MANUFACTURER_PART_NUMBER"], "mfg_part_num")
-    | {h: h.lower() for h in ["Dept", "Class", "Fine", "Part_Desc", *_HEAD[13:20], "ALTERNATE_PART_NUMBER", "Classpath", *_HEAD[23:29], *FEATURES]}
-    | {h: h.lower().replace(" ", "_") for h in [*ATTRIBUTES, "UPC", "EAN", "GTIN", "UNSPSC", "Warranty", "List Price", "LENGTH", "LENGTH_UOM", "HEIGHT", "HEIGHT_UOM", "WIDTH", "WIDTH_UOM", "WEIGHT", "WEIGHT_UOM", "Country Of Origin"]}
-    | {"Actual Image (Yes/No)": "actual_image_flag"}
-)
+HEADER_FIELD = {
+    "PART_NUMBER": "mfg_part_num",
+    "SKU - MY_PART_NUMBER": "mfg_part_num",
+    "Mfg_Part_Num": "mfg_part_num",
+    "MANUFACTURER_PART_NUMBER": "mfg_part_num",
+    "Dept": "dept",
+    "Class": "class",
+    "Fine": "fine",
+    "Part_Desc": "part_desc",
+    "E1_Brand": "e1_brand",
+    "Unilog_Brand": "unilog_brand",
+    "DIB_Brand": "dib_brand",
+    "Part_Manuf": "part_manuf",
+    "MANUFACTURER_NAME": "manufacturer_name",
+    "BRAND_NAME": "brand_name",
+    "TRADE_NAME": "trade_name",
+    "ALTERNATE_PART_NUMBER": "alternate_part_number",
+    "Classpath": "classpath",
+    "MOBILE_DESC": "mobile_desc",
+    "INVOICE_DESC": "invoice_desc",
+    "SHORT_DESC": "short_desc",
+    "LONG_DESC1": "long_desc1",
+    "RETAIL_DESC": "retail_desc",
+    "MARKETING_DESCRIPTION": "marketing_description",
+    "UPC": "upc",
+    "EAN": "ean",
+    "GTIN": "gtin",
+    "UNSPSC": "unspsc",
+    "Warranty": "warranty",
+    "List Price": "list_price",
+    "LENGTH": "length",
+    "LENGTH_UOM": "length_uom",
+    "HEIGHT": "height",
+    "HEIGHT_UOM": "height_uom",
+    "WIDTH": "width",
+    "WIDTH_UOM": "width_uom",
+    "WEIGHT": "weight",
+    "WEIGHT_UOM": "weight_uom",
+    "Country Of Origin": "country_of_origin",
+    "Actual Image (Yes/No)": "actual_image_flag",
+} | {h: h.lower() for h in FEATURES} | {h: h.lower().replace(" ", "_") for h in ATTRIBUTES}
 DESCRIPTIONS = ["mobile_desc", "invoice_desc", "short_desc", "long_desc1", "retail_desc", "marketing_description"]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..functions import text as X
 
-_FIELD_OF = {a: f for f, aliases in L.HEADER_ALIASES.items() for a in aliases.split()}
+_FIELD_OF = {a: f for f, aliases in L.HEADER_ALIASES.items() for a in aliases}
 
 
 def header_key(header: str) -> str:

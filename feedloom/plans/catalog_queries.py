@@ -98,7 +98,7 @@ def normalize_assets(t):
 
 
 _SYN = "CASE l " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.SYNONYMS.items()) + " ELSE l END"
-_REL = " OR ".join(f"(cat = '{c}' AND (l IN ({O.quoted(names.split())}) OR canon IN ({O.quoted(names.split())})))" for c, names in L.RELEVANT.items())
+_REL = " OR ".join(f"(cat = '{c}' AND (l IN ({O.quoted(names)}) OR canon IN ({O.quoted(names)})))" for c, names in L.RELEVANT.items())
 
 
 @query(f"""WITH r AS (SELECT *, lower(trim(label)) AS l, row_number() OVER (PARTITION BY item_id, lower(trim(label)) ORDER BY seq) AS n FROM {{attrs}}),

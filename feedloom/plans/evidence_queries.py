@@ -11,7 +11,7 @@ from . import oracle as O
 from .registry import query
 
 _HOST = lambda u: f"nullif(regexp_replace(lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]]*\\]|[^:/?#]*)', 1)), '^\\[|\\]$', '', 'g'), '')"
-_TYPES = [(d, k, L.SOURCE_TIERS[k]) for k, ds in L.SOURCE_DOMAINS.items() for d in ds.split()]
+_TYPES = [(d, k, L.SOURCE_TIERS[k]) for k, ds in L.SOURCE_DOMAINS.items() for d in ds]
 _KNOWN = "known AS (SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{k}', {n})" for d, k, n in _TYPES) + ") v(domain, kind, tier))"
 _SOURCES = f"{_KNOWN}, sources AS (SELECT url, coalesce(min(tier), 4) AS authority_tier, coalesce(arg_min(kind, tier), 'unknown') AS source_type FROM (SELECT DISTINCT url, {_HOST('url')} AS host FROM {{candidates}}) u LEFT JOIN known ON host = domain OR ends_with(host, '.' || domain) GROUP BY url)"
 
@@ -62,7 +62,7 @@ def sanitize_pages(t):
 
 
 @query(f"""WITH s AS (SELECT item_id, text, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), 1) AS pos FROM d),
-    r AS (SELECT item_id, trim(s) AS s, pos, sum(length(trim(s))) OVER (PARTITION BY item_id ORDER BY pos) - length(trim(s)) AS before FROM s WHERE trim(s) <> '' AND regexp_matches(lower(s), '{L.PRODUCT_WORDS}')),
+    r AS (SELECT item_id, trim(s) AS s, pos, sum(length(trim(s))) OVER (PARTITION BY item_id ORDER BY pos) - length(trim(s)) AS before FROM s WHERE trim(s) <> '' AND regexp_matches(lower(s), '{'|'.join(L.PRODUCT_WORDS)}')),
     j AS (SELECT item_id, string_agg(s, ' ' ORDER BY pos) AS s FROM r WHERE before < 6000 GROUP BY item_id)
     SELECT d.item_id, substr(coalesce(nullif(j.s, ''), text), 1, 6000) AS text FROM d LEFT JOIN j ON j.item_id = d.item_id""".replace("WITH s AS", "WITH d AS (SELECT doc_id AS item_id, coalesce(text, '') AS text FROM {documents}), s AS"))
 def product_sentences(t):
