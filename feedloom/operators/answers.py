@@ -1,7 +1,11 @@
-"""Model answers as tables: requests out, responses in, logs and caches; no model is called here."""
+"""Model answers as tables: requests out, responses in, logs and caches. A model is only called through a function that the user gives."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +49,56 @@ def apply_responses(answers: DataFrame, needs: DataFrame) -> DataFrame:
     return rows.select("product_id", "field", F.trim("value").alias("value"), number.alias("number"), "confidence", F.lit("inferred").alias("status"))
 
 
+#: Partitions of requests whose shares of the quota are kept on the driver at most.
+_PARTS = 100_000
+
+
+def ask_model(requests: DataFrame, call: Callable[[str], str], quota: int | None = None, attempts: int = 3, key: str = "product_id", prompt: str = "prompt") -> DataFrame:
+    """(key, response, status, error, attempts) of a user's model, one row per request (key, prompt); null prompts are not asked.
+
+    ``call`` takes a prompt and returns a text or raises; a request that raises is asked again, ``attempts`` times at most, and ends as a row of
+    status error for ``classify_errors``. Every call counts against ``quota``. It is handed out before anything is asked: each
+    partition gets a call for each of its requests, in order of partitions, and what is left is shared as further attempts.
+    A request without a call left is an error of its own. ``requests`` must give the same partitions when it is read again, as a written table does; a task that is
+    run again after a lost executor asks again.
+    """
+    here = requests.where(F.col(prompt).isNotNull()).select(F.col(key).alias(key), F.col(prompt).cast("string").alias("_prompt"))
+    shares: dict[int, tuple[int, int]] = {}
+    if quota is not None:
+        sizes = here.groupBy(F.spark_partition_id().alias("part")).count().orderBy("part").limit(_PARTS + 1).collect()
+        if len(sizes) > _PARTS:
+            raise ValueError(f"requests in more than {_PARTS} partitions: coalesce them first")
+        left = quota
+        for r in sizes:
+            shares[r["part"]] = (r["count"], min(left, r["count"]))
+            left -= shares[r["part"]][1]
+        for part, (n, share) in shares.items():
+            more = min(left, n * (attempts - 1))
+            shares[part], left = (n, share + more), left - more
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, calls = shares.get(TaskContext.get().partitionId(), (0, None)) if quota is not None else (0, None)
+        for batch in batches:
+            out = []
+            for text in batch["_prompt"]:
+                waiting -= 1
+                response, error, n = None, "quota exhausted", 0
+                # a further attempt only takes a call that no waiting request needs
+                while n < attempts and (calls is None or calls > (0 if n == 0 else max(0, waiting))):
+                    n += 1
+                    calls = None if calls is None else calls - 1
+                    try:
+                        response, error = call(text), None
+                        break
+                    except Exception as e:  # noqa: BLE001  a failing request is a row, not the end of the job
+                        error = str(e)
+                out.append((response, "success" if error is None else "error", error, n))
+            yield batch[[key]].assign(**{c: [x[i] for x in out] for i, c in enumerate(("response", "status", "error", "attempts"))})
+
+    kind = requests.schema[key].dataType.simpleString()
+    return here.mapInPandas(ask, f"`{key}` {kind}, response string, status string, error string, attempts int")
+
+
 def classify_errors(logs: DataFrame) -> DataFrame:
     """Adds code, message and safe_message to log rows (status, error, attempts)."""
     e = F.col("error")

@@ -9,6 +9,7 @@ from ..operators import answers as A
 from ..operators import canonical as C
 from ..operators import lifecycle as Q
 from ..operators import normalize as N
+from ..sources.files import scratch
 from . import oracle as O
 from .feed_queries import _MERGED
 from .registry import query
@@ -169,6 +170,22 @@ _CODE = """CASE WHEN regexp_matches(error, 'status [0-9]{3}') THEN regexp_extrac
     WHEN contains(error, 'timeout') THEN 'TIMEOUT' WHEN contains(error, 'JSON parse error') THEN 'JSON_PARSE' ELSE 'UNKNOWN' END"""
 
 
+def _mock_model(prompt: str) -> str:
+    """Stands for a user's model: fails for every seventh product, and answers in capitals."""
+    if int(prompt.split(" ", 1)[0]) % 7 == 0:
+        raise RuntimeError("got 429 from the model")
+    return prompt.upper()
+
+
+@query("SELECT id AS product_id, CASE WHEN id % 7 = 0 THEN NULL ELSE upper(id::VARCHAR || ' ' || part_desc) END AS response, CASE WHEN id % 7 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN id % 7 = 0 THEN '429' END AS code, CASE WHEN id % 7 = 0 THEN 3 ELSE 1 END AS attempts FROM {items} WHERE part_desc IS NOT NULL")
+def ask_model(t):
+    """The hook for a user's model, with a quota that is enough: a made-up model asked about every item; its failures as error codes."""
+    path = scratch(t.spark)
+    t.items.where("part_desc is not null").select(F.col("id").alias("product_id"), F.concat(F.col("id").cast("string"), F.lit(" "), "part_desc").alias("prompt")).write.parquet(path)
+    requests = t.spark.read.parquet(path)
+    return A.classify_errors(A.ask_model(requests, _mock_model, quota=3 * requests.count())).select("product_id", "response", "status", "code", "attempts")
+
+
 @query(f"""SELECT code, safe_message, count(*) AS n, min('[' || code || '] Error after ' || attempts::VARCHAR || ' attempt(s): ' || error) AS first_message FROM (SELECT *, {_CODE} AS code, CASE WHEN contains(error, '429') THEN 'AI service rate limit reached.'
     WHEN contains(error, 'timeout') OR contains(error, 'network') THEN 'AI service network timeout.' ELSE 'Step failed.' END AS safe_message FROM {{logs}} WHERE status = 'error') z GROUP BY 1, 2""")
 def classify_errors(t):

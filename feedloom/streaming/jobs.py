@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import scratch
-from ..sources.store import first_by, upsert_items
+from ..sources.store import first_by
 
 
 def read_files(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
@@ -15,33 +15,63 @@ def read_files(spark: SparkSession, path: str, files_per_batch: int = 64) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path + "*")
 
 
-def _last_version(spark: SparkSession, target: str) -> str | None:
-    """The highest version that was written whole under ``target``; None if there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v*/_SUCCESS")
+def _written(spark: SparkSession, pattern: str) -> dict[int, str]:
+    """Folders of a pattern that were written whole, by the number that ends their names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
     found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
-    numbers = [int(f.getPath().getParent().getName()[1:]) for f in found or []]
-    return f"{target}/v{max(numbers)}" if numbers else None
+    folders = [f.getPath().getParent() for f in found or []]
+    return {int("".join(c for c in f.getName() if c.isdigit())): f.toString() for f in folders}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def merged(spark: SparkSession, target: str, key: str) -> DataFrame | None:
+    """The table of ``ingest`` as it stands: the last version and the deltas after it, merged as they are read; None if nothing ever came.
+
+    Of a key, the row of the last batch counts, with the id of the first.
+    """
+    versions, deltas = _written(spark, f"{target}/v*"), _written(spark, f"{target}/delta/batch*")
+    last = max(versions, default=-1)
+    parts = [(last, versions[last])] if versions else []
+    parts += [(n, path) for n, path in sorted(deltas.items()) if n > last]
+    rows = None
+    for n, path in parts:
+        some = spark.read.parquet(path).withColumn("_batch", F.lit(n))
+        rows = some if rows is None else rows.unionByName(some, allowMissingColumns=True)
+    if rows is None or len(parts) == 1 and versions:
+        return rows.drop("_batch") if rows is not None else None
+    columns = [c for c in rows.columns if c not in (key, "id", "_batch")]
+    one = rows.groupBy(key).agg(F.max_by(F.struct(*columns), "_batch").alias("r"), F.min_by("id", "_batch").alias("id"))
+    return one.select(key, "r.*", "id")
 
 
 def ingest(stream: DataFrame, target: str, key: str, order: str) -> str | None:
-    """Upsert every micro-batch into a versioned Parquet table by key; returns the path of the last version.
+    """Upsert every micro-batch into a table by key; returns the path of its last version.
 
-    A version is written whole before the next batch starts, so a batch that is run again after a
-    failure reads the version before it and writes the same result. A restart without new files
-    returns the version that is there; None only if nothing ever came.
+    A micro-batch writes the first of its rows for each key as a delta, in proportion to itself; run again after a failure it writes the same delta.
+    The deltas are merged as they are read (``merged``), and once all available files are in, into a new version of the
+    table, which replaces them. A restart without new files returns the version that is there; None only if nothing ever came.
     """
     spark = stream.sparkSession
 
     def batch(df: DataFrame, number: int) -> None:
         rows = first_by(df, key, order).withColumn("id", F.concat(F.lit("new-"), F.col(order).cast("string")))
-        if number:
-            old = spark.read.parquet(f"{target}/v{number - 1}")
-            rows = upsert_items(old, df.withColumn("id", F.lit("")), key, order)
-        rows.write.mode("overwrite").parquet(f"{target}/v{number}")
+        rows.write.mode("overwrite").parquet(f"{target}/delta/batch{number}")
 
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return _last_version(spark, target)
+    versions, deltas = _written(spark, f"{target}/v*"), _written(spark, f"{target}/delta/batch*")
+    last = max(versions, default=-1)
+    if max(deltas, default=-1) > last:
+        last = max(deltas)
+        merged(spark, target, key).write.mode("overwrite").parquet(f"{target}/v{last}")
+        for n, path in deltas.items():
+            if n <= last:
+                _remove(spark, path)
+    return f"{target}/v{last}" if last >= 0 else None
 
 
 def _closed(events: DataFrame, aggregate, target: str | None = None, end: bool = True) -> DataFrame:

@@ -351,3 +351,51 @@ def test_part_number_tokens(spark):
     df = spark.createDataFrame([(None, m, None, t, ok) for m, t, ok in pages], "manufacturer string, mpn string, brand string, page_text string, ok boolean")
     for r in evidence.verify_identity(df).collect():
         assert r["identity_match"] == r["ok"], (r["mpn"], r["page_text"])
+
+
+def _calls(folder):
+    return len(list(folder.glob("*")))
+
+
+@pytest.mark.parametrize("quota,answered", [(None, 20), (90, 20), (30, 20), (12, None), (0, 0)])
+def test_model_hook_keeps_its_quota(spark, tmp_path, quota, answered):
+    import uuid
+
+    def call(prompt):
+        (tmp_path / uuid.uuid4().hex).touch()
+        if prompt.endswith("0"):
+            raise RuntimeError("network down")
+        return prompt + "!"
+
+    requests = spark.createDataFrame([(i, None if i == 99 else f"{i}") for i in [*range(10, 32), 99]], "product_id int, prompt string").repartition(3)
+    requests.write.parquet(str(tmp_path / "requests"))
+    (tmp_path / "calls").mkdir()
+    folder, tmp_path = tmp_path, tmp_path / "calls"
+    rows = answers.ask_model(spark.read.parquet(str(folder / "requests")), call, quota).collect()
+    assert len(rows) == 22 and sum(r["attempts"] for r in rows) == _calls(tmp_path) <= (66 if quota is None else quota)
+    good = [r for r in rows if r["status"] == "success"]
+    assert all(r["response"] == f"{r['product_id']}!" and r["error"] is None for r in good) and (answered is None or len(good) == min(answered, 19))
+    bad = [r for r in rows if r["status"] == "error"]
+    assert all(r["error"] in ("network down", "quota exhausted") and r["response"] is None for r in bad)
+    if quota in (None, 90):
+        assert {(r["product_id"], r["attempts"]) for r in bad} == {(10, 3), (20, 3), (30, 3)}
+
+
+def test_ingest_merges_deltas(spark, tmp_path):
+    from feedloom.streaming import jobs
+
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    put = lambda rows: spark.createDataFrame(rows, "mpn string, row_idx long, d string").coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: jobs.read_files(spark, source, 1).select("mpn", "row_idx", "d")
+    put([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z")])
+    first = jobs.ingest(stream(), target, "mpn", "row_idx")
+    assert {tuple(r[c] for c in ("mpn", "d", "id")) for r in spark.read.parquet(first).collect()} == {("a", "x", "new-1"), ("b", "z", "new-3")}
+    put([("a", 7, "newer")])
+    put([("c", 9, "w")])
+    last = jobs.ingest(stream(), target, "mpn", "row_idx")
+    want = {("a", "newer", "new-1"), ("b", "z", "new-3"), ("c", "w", "new-9")}
+    assert last != first and {tuple(r[c] for c in ("mpn", "d", "id")) for r in spark.read.parquet(last).collect()} == want
+    assert not list((tmp_path / "out" / "delta").glob("batch*"))  # merged into the version
+    spark.createDataFrame([("b", 11, "late")], "mpn string, row_idx long, d string").withColumn("id", F.lit("new-11")).write.parquet(f"{target}/delta/batch7")
+    assert {r["d"] for r in jobs.merged(spark, target, "mpn").collect()} == {"newer", "late", "w"}
+    assert jobs.merged(spark, str(tmp_path / "none"), "mpn") is None
