@@ -171,7 +171,7 @@ class Matcher:
         return max(((dot[i] / norm, -i) for i in allowed if i in dot), key=lambda x: (round(x[0], 12), x[1]), default=(0.0, 0))
 
     def passages(self, text: str, counts: dict[str, int] | None = None) -> tuple[list[str], list[tuple[int, int, int, float]], tuple[int, int, int, float] | None]:
-        """The words of a file; (start, end, template, cosine) of its passages that may match, runs, lines and the whole (start -1), in order of start; and the longest whole template, as nothing is closer.
+        """The words of a file; (start, end, template, cosine) of its passages that may match, runs, lines and the whole (start -1), in order of start; and the longest whole template. Where there are whole templates nothing is closer, and they alone are given.
 
         Without ``counts`` (files that hold each term of
         no template) cosines are by template terms alone, so none is lower than with them, and the same passages come out.
@@ -221,6 +221,8 @@ class Matcher:
                     continue
                 if counts is not None or (share >= floor and not denied(start, start + size, allowed, self.bygone[i]) and not other_version(i, start, start + size)):
                     (closed_ones if closed and share > 1 - 1e-9 else found).append((start, start + size, i, share))
+        if closed_ones:
+            return words, sorted(closed_ones), min(closed_ones, key=lambda x: (x[0] - x[1], x[0]))
         at, known, most = 0, dict.fromkeys(self.anchors), max(self.denials)
         ends = [*line_ends, len(words)]
         for k, end in enumerate(ends):
@@ -233,8 +235,7 @@ class Matcher:
                     score, i = self._share(n, free, counts)
                     found.append((at if k < len(line_ends) else -1, end, -i, score))
             at = end
-        whole = min(closed_ones, key=lambda x: (x[0] - x[1], x[0]), default=None)
-        return words, sorted(found + closed_ones, key=lambda x: x[0]), whole
+        return words, sorted(found, key=lambda x: x[0]), None
 
     def wanted(self, text: str) -> list[str] | None:
         """The terms of no template that a file's passages hold; None where there are no passages."""
