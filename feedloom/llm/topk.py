@@ -28,7 +28,7 @@ from .common import discard, written
 
 BLOCK, POSTINGS, LEVELS = 4096, 1 << 20, 8
 #: Queries of a packet, those that are searched at a time at most, and the numbers of their vectors and accumulators at a time.
-QUERIES, CHUNK, NUMBERS = 16384, 512, 1 << 20
+QUERIES, CHUNK, NUMBERS = 16384, 512, 1 << 18
 #: Blocks that a packet meets in one task, about.
 TOGETHER = 2
 _EPS = 2.0**-52
@@ -177,7 +177,9 @@ def _possible(qid, q, floor, ids, owner, dim, value, square, whole, borders, mos
         for at in range(0, len(here), max(1, NUMBERS // len(q))):
             some = slice(at, at + max(1, NUMBERS // len(q)))
             rows, first = np.unique(mine[some], return_index=True)
-            acc[rows] += np.add.reduceat(qt[dim[here[some]]] * value[here[some], None], first, axis=0)
+            products = qt[dim[here[some]]]
+            products *= value[here[some], None]
+            acc[rows] += np.add.reduceat(products, first, axis=0)
         if read is not None:
             read.append(len(here) * len(q))
         unseen -= np.bincount(mine, square[here], minlength=len(alive))
