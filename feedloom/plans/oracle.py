@@ -1,6 +1,10 @@
-"""Pieces of DuckDB SQL that the oracles share."""
+"""Pieces of DuckDB SQL that the oracles share, with fixed values of their own."""
 
-from ..functions import lookups as L
+# Cells that stand for no value, and company suffixes left out of name keys.
+PLACEHOLDERS = [
+    "-- unbranded --", "-- no unilog brand --", "-- no dib brand --", "-", "--", "---", "n/a", "na", "n.a.", "none", "null", "nil", "tbd", "not applicable", "notavailable", "unknown", "", "#n/a", "#na",
+]
+NAME_SUFFIXES = ["inc", "incorporated", "llc", "ltd", "limited", "gmbh", "co", "corp", "corporation", "company", "ag", "bv", "plc", "kg", "ug"]
 
 
 def quoted(values) -> str:
@@ -8,7 +12,7 @@ def quoted(values) -> str:
 
 
 def clean(x: str) -> str:
-    return f"CASE WHEN lower(trim({x})) IN ({quoted(L.PLACEHOLDERS)}) THEN NULL ELSE trim({x}) END"
+    return f"CASE WHEN lower(trim({x})) IN ({quoted(PLACEHOLDERS)}) THEN NULL ELSE trim({x}) END"
 
 
 def base_key(x: str) -> str:
@@ -16,7 +20,7 @@ def base_key(x: str) -> str:
 
 
 def name_key(x: str) -> str:
-    bare = f"regexp_replace(regexp_replace({base_key(x)}, '[,.\\-()]', ' ', 'g'), '\\b({'|'.join(L.NAME_SUFFIXES)})\\b', '', 'g')"
+    bare = f"regexp_replace(regexp_replace({base_key(x)}, '[,.\\-()]', ' ', 'g'), '\\b({'|'.join(NAME_SUFFIXES)})\\b', '', 'g')"
     return f"coalesce(nullif(trim(regexp_replace({bare}, '\\s+', ' ', 'g')), ''), {base_key(x)})"
 
 
