@@ -3,6 +3,7 @@
 import pytest
 
 from feedloom import plans
+from feedloom.plans import evidence_queries
 from tests.compare import TABLES, duckdb_on, same
 
 FOLDER = "/root/testdata/sf0.001"
@@ -40,6 +41,20 @@ def test_items_with_several_answers(spark, long_keys, name):
     assert ours == theirs
 
 
+def test_unclosed_references(spark):
+    """A title that is cut inside a reference keeps what is left of it."""
+    import duckdb
+
+    html = ["<h1>a&amp;&amp b</h1>", "x &amp", "&amp;amp &lt;&copy; &copy &quot", "&#39;&nbsp;&amplify; &notit;", "a & b &", None]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT unnest($1::VARCHAR[]) AS html, unnest(range(6)) AS page_id", [html])
+    theirs = sorted(con.sql(plans.oracles()["sanitize_pages"]).fetchall())
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id int, html string")
+    tables = type("T", (), {"pages": pages})()
+    ours = evidence_queries.sanitize_pages(tables).collect()
+    assert sorted((r["page_id"], r["text"]) for r in ours) == theirs
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
