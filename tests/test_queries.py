@@ -55,6 +55,13 @@ def test_unclosed_references(spark):
     assert sorted((r["page_id"], r["text"]) for r in ours) == theirs
 
 
+@pytest.mark.parametrize("name,pattern,times", [("pick_evidence", "docs.iso.org", 0), ("apply_evidence", "docs.iso.org", 1), ("safe_urls", "://(?:", 2)])
+def test_pages_are_read_once(spark, name, pattern, times):
+    """Candidates, known by a host in their URLs, stand in a plan once at most; each of the two inputs of safe_urls finds hosts once."""
+    plan = plans.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(pattern) <= times
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
