@@ -198,7 +198,7 @@ def melt_answer_key(t):
 def write_delivery_csv(t):
     """The delivery written as CSV and read back: cells of each of the 252 columns (all of them survive)."""
     rows = D.delivery_from_tables(t.items, t.descs, t.attrs, t.specs, t.assets).withColumns({"id": F.col("id").cast("string"), "Includes": F.lit('a "quoted", cell\nof two lines')})
-    path = R.scratch(t.spark)
+    rows, path = R.kept(rows), R.scratch(t.spark)
     R.write_csv(rows, path)
     back = R.read_feed(t.spark, path).drop("row_idx")
     return R.export_parity(rows, back, "id").where("different + only_left + only_right = 0").select("header", "cells")

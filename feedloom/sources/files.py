@@ -55,7 +55,7 @@ def _composed(rows: DataFrame, ends: str, by) -> DataFrame:
     return rows.withColumns({"put": F.col("_l.put"), "turned": F.coalesce((F.col("_t") - F.coalesce("_l.t", F.lit(0))) % 2 == 1, F.lit(False))}).drop("_t", "_l")
 
 
-def _kept(rows: DataFrame) -> DataFrame:
+def kept(rows: DataFrame) -> DataFrame:
     """``rows`` computed once, as a table in the shared folder."""
     path = scratch(rows.sparkSession)
     rows.write.parquet(path)
@@ -81,7 +81,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     upto, over = ranges.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
     split = lines.groupBy("file", "block").agg(F.min("id").alias("low"), F.max(_quoted_after(F.col("line"), False)).alias("opens"))
-    split = _kept(split.withColumn("number", F.row_number().over(Window.orderBy("file", "block")) - 1))
+    split = kept(split.withColumn("number", F.row_number().over(Window.orderBy("file", "block")) - 1))
     n, moved = split.agg(F.count(F.lit(1)), F.max("opens")).first()
     if moved:
         moves = _composed(lines.select("file", "block", "id", ends.alias("ends")).where("ends.out or not ends.in"), "ends", upto)
@@ -90,7 +90,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         split = split.join(effects, ["file", "block"], "left").withColumn("ends", F.struct(after(F.lit(False)).alias("out"), after(F.lit(True)).alias("in")))
         split = _composed(split, "ends", over).withColumn("starts", F.coalesce("put", F.lit(False)) != F.col("turned"))
         unclosed = F.last(after(F.col("starts"))).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        split = _kept(split.select("file", "block", "low", "number", "starts", unclosed.alias("unclosed")))
+        split = kept(split.select("file", "block", "low", "number", "starts", unclosed.alias("unclosed")))
 
     placed = lines.join(F.broadcast(split) if n <= _MANY_SPLITS else split, ["file", "block"])
     placed = placed.withColumns({"row_idx": F.shiftleft(F.col("number").cast("long"), 33) + F.col("id") - F.col("low"), "first": (F.col("block") == 0) & (F.col("id") == F.col("low"))})
@@ -189,18 +189,21 @@ _GROUP = 16
 def export_parity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(header, cells, different, only_left, only_right) of two exports, cell by cell over the whole table.
 
-    Keys are unique on either side. Each row is shuffled as its key and digests, one for each group of columns; equal digests settle their
-    cells. Only cells of groups that differ are looked at, so two equal exports move a few numbers a row. Cells are compared as text, null as empty.
+    Keys are unique on either side. Each row is shuffled as its key and digests of 128 bits, one for each group of columns; equal digests settle their
+    cells. Only cells of groups that differ are looked at, so two equal exports move a few numbers a row and are read once. Cells are compared as text, null as empty.
     """
     columns = [c for c in left.columns if c != key]
     groups = [columns[i : i + _GROUP] for i in range(0, len(columns), _GROUP)]
     cell = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    joined = lambda g: F.concat_ws("\x1f", *[F.concat(F.length(cell(c)), F.lit(":"), cell(c)) for c in g])
-    digests = lambda d, n: d.select(F.col(key).alias("_k"), F.array(*[F.unhex(F.md5(joined(g))) for g in groups]).alias(n))
+    digest = lambda g: F.struct(*[F.xxhash64(F.lit(i), *[cell(c) for c in g]).alias(f"h{i}") for i in range(2)])
+    digests = lambda d, n: d.select(F.col(key).alias("_k"), F.array(*[digest(g) for g in groups]).alias(n))
     both = digests(left, "l").join(digests(right, "r"), "_k", "full")
-    rows = _kept(both.select("_k", F.col("r").isNull().alias("only_left"), F.col("l").isNull().alias("only_right"), F.filter(F.sequence(F.lit(0), F.lit(len(groups) - 1)), lambda i: F.get("l", i) != F.get("r", i)).alias("groups")))
+    rows = kept(both.select("_k", F.col("r").isNull().alias("only_left"), F.col("l").isNull().alias("only_right"), F.filter(F.sequence(F.lit(0), F.lit(len(groups) - 1)), lambda i: F.get("l", i) != F.get("r", i)).alias("groups")))
     total = rows.agg(F.count(F.lit(1)).alias("cells"), F.count_if("only_left").alias("only_left"), F.count_if("only_right").alias("only_right"))
     open_ = rows.where("not only_left and not only_right and size(groups) > 0").select("_k", F.explode("groups").alias("g"))
+    names = left.sparkSession.createDataFrame(list(enumerate(columns)), "n int, header string")
+    if open_.isEmpty():
+        return names.crossJoin(F.broadcast(total)).select("header", "cells", F.lit(0).cast("long").alias("different"), "only_left", "only_right")
 
     def cells(d: DataFrame, n: str) -> DataFrame:
         some = d.join(open_.select("_k").distinct(), d[key] == F.col("_k"), "left_semi")
@@ -208,5 +211,4 @@ def export_parity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
     pairs = cells(left, "l").join(cells(right, "r"), ["_k", "g"]).select("g", F.posexplode(F.zip_with("l", "r", lambda a, b: a != b)).alias("i", "d"))
     different = pairs.where("d").groupBy((F.col("g") * _GROUP + F.col("i")).cast("int").alias("n")).agg(F.count(F.lit(1)).alias("different"))
-    names = left.sparkSession.createDataFrame(list(enumerate(columns)), "n int, header string")
     return names.join(different, "n", "left").crossJoin(F.broadcast(total)).select("header", "cells", F.coalesce("different", F.lit(0)).alias("different"), "only_left", "only_right")

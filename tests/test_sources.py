@@ -130,3 +130,20 @@ def test_export_parity_by_digests(spark):
         assert r["different"] == (5 if i == 2 else 0 if i != 39 or 39 % 3 == 0 else 5), i
     shifted = files.export_parity(spark.createDataFrame([("1", "ab", "c")], "k string, a string, b string"), spark.createDataFrame([("1", "a", "bc")], "k string, a string, b string"), "k")
     assert [r["different"] for r in shifted.collect()] == [1, 1]
+
+
+# --- R06
+
+
+def test_equal_exports_are_read_once(spark, tmp_path):
+    """Cells are looked up again only where digests differ; cells that move between columns, and empty ones, count."""
+    names = [f"c{i}" for i in range(40)]
+    rows = spark.range(200).select(F.col("id").cast("string").alias("k"), *[F.concat(F.lit(n), F.col("id").cast("string")).alias(n) for n in names])
+    rows.write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    same = files.export_parity(one, one, "k")
+    assert not [f for f in same.inputFiles() if str(tmp_path) in f]
+    assert {tuple(r) for r in same.collect()} == {(n, 200, 0, 0, 0) for n in names}
+    moved = one.withColumns({"c0": F.when(F.col("k") == "7", "").otherwise(F.col("c0")), "c1": F.when(F.col("k") == "7", F.concat("c0", "c1")).otherwise(F.col("c1")), "c39": F.when(F.col("k") == "9", None).otherwise(F.col("c39"))})
+    assert {r["header"]: r["different"] for r in files.export_parity(one, moved, "k").collect() if r["different"]} == {"c0": 1, "c1": 1, "c39": 1}
+    assert files.export_parity(one, moved, "k").schema.simpleString() == same.schema.simpleString()
