@@ -409,3 +409,22 @@ def test_long_texts_cost_the_part_in_which_they_differ(spark):
     began = time.time()
     assert [tuple(r) for r in rows.groupBy(scoring.compare_strings(F.col("a"), F.col("b"))).count().collect()] == [("close_match", 800)]
     assert time.time() - began < 20
+
+
+@pytest.fixture(scope="module")
+def two_answers(spark):
+    """(items, field scores): item 1 has two answers, eleven unmet attributes, and a spec row in the answers alone; item 2 has one answer and another brand."""
+    table = lambda rows, columns: spark.createDataFrame(rows, columns)
+    fields = ", ".join(f"{c} string" for c in scoring.ITEM_FIELDS)
+    items = table([(1, 50.0, *"xxxxxx"), (2, 50.0, *"xyxxxx")], f"id long, confidence_score double, {fields}")
+    answer = table([(1, *"xxxxxx"), (2, *"xxxxxx")], f"item_id long, {fields}")
+    text, attribute, spec = "item_id long, field_name string, value string", "item_id long, seq int, label string, value string, uom string", "item_id long, upc string, weight double"
+    wanted = [(1, n, f"L{n}", "v", None) for n in range(11)]
+    pairs = table([(1, 11), (1, 12), (2, 22)], "item_id long, answer_id long")
+    return items, scoring.field_scores(pairs, items, answer, table([], text), table([], text), table([], attribute), table(wanted, attribute), table([], spec), table([(1, "u", 2.0)], spec))
+
+
+def test_calibration_counts_every_answer(two_answers):
+    items, scores = two_answers
+    rows = scoring.calibration(scoring.overall_score(scores, items)).collect()
+    assert sorted(tuple(r) for r in rows) == [("0-20", 0, 0), ("21-40", 0, 0), ("41-60", 0, 0), ("61-80", 1, 0), ("81-100", 1, 100)]  # 22 of 33 and 10 of 11
