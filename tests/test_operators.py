@@ -428,3 +428,9 @@ def test_calibration_counts_every_answer(two_answers):
     items, scores = two_answers
     rows = scoring.calibration(scoring.overall_score(scores, items)).collect()
     assert sorted(tuple(r) for r in rows) == [("0-20", 0, 0), ("21-40", 0, 0), ("41-60", 0, 0), ("61-80", 1, 0), ("81-100", 1, 100)]  # 22 of 33 and 10 of 11
+
+
+def test_field_accuracy_counts_every_answer(two_answers):
+    rows = {r["field_name"]: (r["accuracy_pct"], r["n"]) for r in scoring.field_accuracy(two_answers[1]).collect()}
+    assert rows["brand_name"] == (67, 3) and rows["dept"] == rows["description:short_desc"] == (100, 3) and rows["attribute:l3"] == (0, 1)
+    assert len(rows) == 6 + 5 + 11  # no specs: they stand on one side only
