@@ -434,3 +434,9 @@ def test_field_accuracy_counts_every_answer(two_answers):
     rows = {r["field_name"]: (r["accuracy_pct"], r["n"]) for r in scoring.field_accuracy(two_answers[1]).collect()}
     assert rows["brand_name"] == (67, 3) and rows["dept"] == rows["description:short_desc"] == (100, 3) and rows["attribute:l3"] == (0, 1)
     assert len(rows) == 6 + 5 + 11  # no specs: they stand on one side only
+
+
+def test_group_scores_count_every_answer(two_answers):
+    rows = {tuple(r) for r in scoring.group_scores(two_answers[1]).collect()}
+    first = {(1, "identity", 4, 4, 100), (1, "taxonomy", 8, 8, 100), (1, "descriptions", 10, 10, 100), (1, "attributes", 0, 11, 0), (1, "specs", 0, 0, 100)}
+    assert rows == first | {(2, "identity", 1, 2, 50), (2, "taxonomy", 4, 4, 100), (2, "descriptions", 5, 5, 100), (2, "attributes", 0, 0, 100), (2, "specs", 0, 0, 100)}
