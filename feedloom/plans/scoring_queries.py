@@ -127,7 +127,7 @@ def value_compliance(t):
     SELECT v.bin, coalesce(n, 0) AS n, {_PCT('coalesce(ok, 0)', 'coalesce(n, 0)', 0)} AS correct_pct FROM (SELECT unnest([{O.quoted(S.BINS)}]) AS bin) v LEFT JOIN b ON b.bin = v.bin""")
 def calibration(t):
     """Items by accuracy."""
-    return S.calibration(overall(t))
+    return S.calibration(S.accuracy(scores(t)))
 
 
 @query(f"""WITH {_OVERALL}, fa AS (SELECT field_name, {_PCT(_OK, 'count(*)', 0)} AS p FROM scores GROUP BY 1),

@@ -41,6 +41,27 @@ def test_items_with_several_answers(spark, long_keys, name):
     assert ours == theirs
 
 
+@pytest.fixture(scope="module")
+def shared_keys(tmp_path_factory):
+    """The smallest tables twice, with keys of the copy moved on by the largest: the last supplier and the first of the copy share theirs, so that items stand twice."""
+    folder = tmp_path_factory.mktemp("shared_keys")
+    con = duckdb_on(FOLDER)
+    most = lambda t, key: con.sql(f"SELECT max({key}) FROM {t}").fetchall()[0][0]
+    part, order, supplier = most("part", "p_partkey"), most("lineitem", "l_orderkey"), most("supplier", "s_suppkey")
+    for t in TABLES:
+        moved = {"part": f"p_partkey + c * {part} AS p_partkey", "lineitem": f"l_partkey + c * {part} AS l_partkey, l_orderkey + c * {order} AS l_orderkey, l_suppkey + c * {supplier} AS l_suppkey", "supplier": f"s_suppkey + c * {supplier} AS s_suppkey"}.get(t)
+        rows = f"SELECT * EXCLUDE (c) REPLACE ({moved}) FROM {t} CROSS JOIN range(2) r(c)" if moved else f"SELECT * FROM {t}"
+        con.sql(f"COPY ({rows}) TO '{folder}/{t}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["calibration"])
+def test_items_of_one_key(spark, shared_keys, name):
+    ours, theirs = same(plans.queries()[name](spark, shared_keys), duckdb_on(shared_keys), plans.oracles()[name])
+    assert len(theirs[1]) > 0
+    assert ours == theirs
+
+
 def test_unclosed_references(spark):
     """A title that is cut inside a reference keeps what is left of it."""
     import duckdb
