@@ -55,7 +55,7 @@ def shared_keys(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["calibration", "field_accuracy"])
+@pytest.mark.parametrize("name", ["calibration", "field_accuracy", "group_scores"])
 def test_items_of_one_key(spark, shared_keys, name):
     ours, theirs = same(plans.queries()[name](spark, shared_keys), duckdb_on(shared_keys), plans.oracles()[name])
     assert len(theirs[1]) > 0
