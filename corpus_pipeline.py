@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm import language, quality
 from feedloom.llm.mixing import mixed_documents
-from feedloom.llm.common import BROADCAST_IDS, cut, discard, small, written
+from feedloom.llm.common import BROADCAST_IDS, cut, discard, join_by_key, small, written
 from feedloom.llm.near_dedup import grouped, with_check
 from feedloom.llm.packing import pack
 from feedloom.llm.queries import tokenizer_path
@@ -47,8 +47,8 @@ def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ids = groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     sized = lambda df: F.broadcast(df) if small(df, BROADCAST_IDS) else df
     ids = cut(ids.where("not kept or n > 1"))
-    gone = sized(ids.where("not kept").select(F.col("doc_id").alias("_gone")))
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = ids.where("not kept").select("doc_id", F.lit(True).alias("_gone"))
+    left = join_by_key(docs, gone, "doc_id", "text", "left", BROADCAST_IDS).where("_gone is null").drop("_gone")
     twice = ids.where("kept and n > 1").select(F.col("doc_id").alias("_t"))
     if twice.isEmpty():
         return left

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Tables of at most this many rows may be broadcast after their rows have been counted.
 BROADCAST_ROWS = 20_000
-#: Tables of a few numbers a row may be broadcast up to this count (16 bytes a row); a partition of such rows.
-BROADCAST_IDS, ROWS_A_PART = 500_000, 100_000
+#: Tables of a few numbers a row may be broadcast up to this count (about 4 MB on the driver, whatever the input); a partition of such rows.
+BROADCAST_IDS, ROWS_A_PART = 50_000, 100_000
 #: Rows of one key that a join keeps together at most, about.
 PER_SALT = 4096
 #: Word separators of every text operator here: space and the ASCII controls tab to carriage return.

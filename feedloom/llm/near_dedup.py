@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Words, bounded_batches, components, cut, discard, join_by_key, mix, shingles, small, text_chunks, written
+from .common import BROADCAST_IDS, Words, bounded_batches, components, cut, discard, join_by_key, mix, shingles, text_chunks, written
 
 BANDS, ROWS = 32, 4
 #: A block holds at most so many rows and bytes of sets or bitmaps, a task about so many bytes.
@@ -139,7 +139,6 @@ def _full_sets(docs: DataFrame, feats: DataFrame, clashes: DataFrame, nodes: Dat
     """The full sets and bitmaps (node, n, items, bits) of the given nodes, made again from one text of each, and the table that holds them."""
     ids = feats.select("node", "doc_id").where("node is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     ids = cut(ids.select("doc_id").distinct())
-    ids = F.broadcast(ids) if small(ids, BROADCAST_IDS) else ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = TaskContext.get().partitionId() << 33
@@ -151,7 +150,7 @@ def _full_sets(docs: DataFrame, feats: DataFrame, clashes: DataFrame, nodes: Dat
                 yield pd.DataFrame({"row": range(at, at + len(sets)), "node": [a for a, _ in numbers], "check": [b for _, b in numbers], "n": [len(s) for s in sets], "items": [s.tobytes() for s in sets], "bits": bits})
                 at += len(sets)
 
-    chosen = docs.join(ids.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    chosen = join_by_key(docs, ids, "doc_id", "text", "inner", BROADCAST_IDS)
     table = written(bounded_batches(chosen).mapInPandas(run, "row long, node long, check long, n long, items binary, bits binary"))
     sets = _told_apart(table, clashes)
     twice = cut(sets.groupBy("node").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("node", "first"))

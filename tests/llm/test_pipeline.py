@@ -9,7 +9,7 @@ import regex
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from feedloom.llm import language, quality
+from feedloom.llm import common, language, near_dedup, quality
 from feedloom.llm.queries import tokenizer_path
 from tests.llm.test_training_operators import WORD, brute_groups, odd_documents
 
@@ -55,6 +55,13 @@ def test_shared_ids_are_no_copies(spark):
     assert left.columns == docs.columns and got == [(0, ""), (0, " "), (0, "a"), (0, "b"), (1, "e"), (5, "c"), (5, "d"), (7, "f")]
 
 
+def test_shared_ids_beyond_what_is_broadcast(spark, monkeypatch):
+    for module in (common, near_dedup, P):
+        monkeypatch.setattr(module, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "PER_SALT", 2)
+    test_shared_ids_are_no_copies(spark)
+
+
 def test_stages_on_odd_documents(spark):
     docs = odd_documents(spark)
     for name, stage in P.STAGES[:-1]:

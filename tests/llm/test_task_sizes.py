@@ -52,3 +52,30 @@ def test_no_task_of_near_dedup_reads_all_documents(tmp_path, documents):
     assert large
     for k, v in large.items():
         assert max(v) <= 3 * sum(v) / 8, (k, v)  # tasks are dealt by hash
+
+
+def test_near_dedup_broadcasts_few_rows(tmp_path):
+    stages_of(
+        tmp_path,
+        """
+    from feedloom.llm.near_dedup import near_duplicates
+    pairs = "concat_ws(' ', transform(sequence(0, 11), i -> hex(xxhash64(id div 2, i))), if(id % 2 = 0, null, 'z'))"
+    found = near_duplicates(spark.range(120_000).selectExpr("id as doc_id", pairs + " as text"), n=4)
+    assert found.where("kept").count() == 60_000 and found.where("component_id <> doc_id - doc_id % 2").isEmpty()
+    """,
+    )
+    nodes, rows = set(), []
+
+    def walk(node):
+        if node["nodeName"].startswith("BroadcastExchange"):
+            nodes.update(m["accumulatorId"] for m in node["metrics"] if m["name"] == "number of output rows")
+        for child in node["children"]:
+            walk(child)
+
+    for name in glob.glob(f"{tmp_path}/log/*"):
+        for event in map(json.loads, open(name)):
+            if "sparkPlanInfo" in event:
+                walk(event["sparkPlanInfo"])
+            elif event["Event"].endswith("DriverAccumUpdates"):
+                rows += [n for k, n in event["accumUpdates"] if k in nodes]
+    assert max(rows, default=0) <= 50_000  # the driver holds what is broadcast
