@@ -259,9 +259,10 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     if most is None:
         edges = cut(edges)
         most = edges.count()
-    edges = cut(forest(few(edges, most)))
+    edges = forest(few(edges, most))
     if most <= ROWS_A_PART:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return cut(edges).select(F.col("u").alias("node"), F.col("v").alias("component"))
+    edges = written(edges)  # a checkpoint keeps the planner's estimate, which the joins of each round raise to a high power: numbers of many MB on the driver
 
     def state() -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -277,6 +278,7 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
         large = lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = lowest(large)
         star = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v")))
-        edges = cut(few(star.distinct(), 2 * n))
+        before, edges = edges, written(few(star.distinct(), 2 * n))
+        discard(before)
         last, found = found, state()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

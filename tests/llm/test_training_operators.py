@@ -73,6 +73,14 @@ def test_components(spark, monkeypatch, limits):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_estimates_of_components_do_not_grow_by_round(spark, monkeypatch):
+    for name, value in {"ROWS_A_PART": 20, "BROADCAST_IDS": 3}.items():
+        monkeypatch.setattr(common, name, value)
+    found = components(spark.createDataFrame([(i * 37 % 101, (i + 1) * 37 % 101) for i in range(100)], "a long, b long"))
+    assert found.count() == 100 and found.where("component <> 0").isEmpty()
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 100
+
+
 # --- 8: near duplicates
 
 
