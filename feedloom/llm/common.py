@@ -262,7 +262,7 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     edges = forest(few(edges, most))
     if most <= ROWS_A_PART:
         return cut(edges).select(F.col("u").alias("node"), F.col("v").alias("component"))
-    edges = written(edges)  # a checkpoint keeps the planner's estimate, which the joins of each round raise to a high power: numbers of many MB on the driver
+    edges = written(edges)  # a checkpoint keeps the planner's estimate, which the joins of each round raise to a high power
 
     def state() -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
